@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from photolake.functions.fixed import IMAGE_EXTENSIONS
 
@@ -97,17 +97,13 @@ def analysis_rasters(images: DataFrame, bgr: bool = False, max_side: int = MAX_S
 
 
 def labels_from_path(images: DataFrame) -> DataFrame:
-    """Class label = parent directory; class index = rank of the label among all labels.
-
-    The ranking runs over the distinct labels only, so no single task sees the images.
-    """
+    """Class label = parent directory; class index = rank of the label among all labels."""
     labelled = images.withColumn("label", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     return labelled.join(class_index(labelled), "label").select("image_id", "path", "label", "class_index")
 
 
 def class_index(labelled: DataFrame) -> DataFrame:
-    """(label, class_index): each label counts the labels before it, by name."""
-    classes = labelled.select("label").distinct()
-    before = classes.select(F.col("label").alias("smaller"))
-    return (classes.join(before, F.col("smaller") < F.col("label"), "left")
-            .groupBy("label").agg(F.count("smaller").cast("int").alias("class_index")))
+    """(label, class_index). The ranking sees one row per class (a model's output width), never the images."""
+    classes = labelled.groupBy("label").agg(F.lit(0).alias("one"))
+    return classes.select("label", (F.dense_rank().over(W.partitionBy("one").orderBy("label")) - 1)
+                          .alias("class_index"))
