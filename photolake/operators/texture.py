@@ -96,22 +96,21 @@ def glcm_features(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def half_turn_bin(gx: Column, gy: Column) -> Column:
-    """One of eight equal bins over [0, pi], last bin closed; null beyond pi.
+    """One of eight equal bins over [0, pi] for gy >= 0, last bin closed.
 
     Decided by slopes in place of angles: gradients are integers and tan(pi/8) is irrational, so no
     rounding can move a pixel across a bin edge.
     """
     t = math.sqrt(2) - 1
     a = -gx
-    return (F.when(gy < 0, F.lit(None))
-            .when((gx >= 0) & (gy == 0), 0).when(gy == 0, 7)
+    return (F.when(gy == 0, F.when(gx >= 0, 0).otherwise(7))
             .when(gx > 0, F.when(gy < t * gx, 0).when(gy < gx, 1).when(t * gy < gx, 2).otherwise(3))
             .when(a < t * gy, 4).when(a < gy, 5).when(t * a < gy, 6).otherwise(7)).cast("int")
 
 
 def edge_orientation_hist(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Pixels per gradient direction bin over the upper half turn."""
+    """Pixels per gradient direction bin over the upper half turn; the lower half is left out."""
     gx, gy = gradients_of()
-    return (neighbourhoods(rasters, keys).select(*keys, gx.alias("gx"), gy.alias("gy"))
-            .select(*keys, half_turn_bin(F.col("gx"), F.col("gy")).alias("bin")).where("bin IS NOT NULL")
+    return (neighbourhoods(rasters, keys).select(*keys, gx.alias("gx"), gy.alias("gy")).where("gy >= 0")
+            .select(*keys, half_turn_bin(F.col("gx"), F.col("gy")).alias("bin"))
             .groupBy(*keys, "bin").agg(F.count("*").alias("cnt")))
