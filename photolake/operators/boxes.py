@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from photolake.functions.columns import box_score, int_div, iou, ratio, packed_luma
+from photolake.functions.columns import box_score, int_div, iou, packed_luma, ratio, var_pop_of
+from photolake.operators.features import palette_topk
 from photolake.operators.raster import roi_rasters
 from photolake.operators.texture import tone_and_edges
 
@@ -78,32 +79,29 @@ def _covered_cells(cell: int) -> Column:
 
 
 def iou_pairs(boxes: DataFrame, threshold: float = 0.3, cell: int = CELL) -> DataFrame:
-    """Overlapping box pairs of the same image with IoU above ``threshold``.
+    """Overlapping box pairs (box_1 < box_2) of the same image with IoU above ``threshold``.
 
     Boxes meet only in grid cells that both touch, not across the whole image; a pair is reported in
     the cell that holds the corner of its intersection, so no duplicate removal is needed. Identical
-    rectangles are collapsed first and expanded only for pairs that qualify.
+    rectangles are linked to their first box only (IoU 1) and meet the others through it, so a pile
+    of equal boxes never turns into all of its pairs.
     """
-    rects = boxes.groupBy("image_id", "x", "y", "w", "h").agg(F.count("*").alias("copies"))
-    cells = rects.withColumn("c", F.explode(_covered_cells(cell))).select(
-        "image_id", "c.cx", "c.cy", "x", "y", "w", "h")
-    a, b = cells.alias("a"), cells.alias("b")
     names = ("x", "y", "w", "h")
+    rects = boxes.groupBy("image_id", *names).agg(F.min("box_id").alias("box_id"), F.count("*").alias("copies"))
+    cells = rects.withColumn("c", F.explode(_covered_cells(cell))).select("image_id", "c.cx", "c.cy", "box_id", *names)
+    a, b = cells.alias("a"), cells.alias("b")
     left, right = ([F.col(f"{s}.{c}") for c in names] for s in "ab")
     overlap = iou(*left, *right)
     home = ((int_div(F.greatest(left[0], right[0]), F.lit(cell)) == F.col("a.cx"))
             & (int_div(F.greatest(left[1], right[1]), F.lit(cell)) == F.col("a.cy")))
     close = (a.join(b, ["image_id", "cx", "cy"])
-             .where((F.struct(*left) <= F.struct(*right)) & home & (overlap > threshold))
-             .select("image_id", *[F.col(f"a.{c}").alias(f"{c}1") for c in names],
-                     *[F.col(f"b.{c}").alias(f"{c}2") for c in names], overlap.alias("iou")))
-    ids = boxes.select("image_id", "box_id", *names)
-    first = ids.select("image_id", F.col("box_id").alias("i"), *[F.col(c).alias(f"{c}1") for c in names])
-    second = ids.select("image_id", F.col("box_id").alias("j"), *[F.col(c).alias(f"{c}2") for c in names])
-    same = F.struct(*[f"{c}1" for c in names]) == F.struct(*[f"{c}2" for c in names])
-    return (close.join(first, ["image_id", "x1", "y1", "w1", "h1"]).join(second, ["image_id", "x2", "y2", "w2", "h2"])
-            .where(~same | (F.col("i") < F.col("j")))
-            .select("image_id", F.least("i", "j").alias("box_1"), F.greatest("i", "j").alias("box_2"), "iou"))
+             .where((F.col("a.box_id") < F.col("b.box_id")) & home & (overlap > threshold))
+             .select("image_id", F.col("a.box_id").alias("box_1"), F.col("b.box_id").alias("box_2"),
+                     overlap.alias("iou")))
+    piles = rects.where("copies > 1").withColumnRenamed("box_id", "box_1")
+    star = (boxes.join(piles, ["image_id", *names]).where("box_id <> box_1")
+            .select("image_id", "box_1", F.col("box_id").alias("box_2"), F.lit(1.0).alias("iou")))
+    return close.unionByName(star)
 
 
 def combine_detections(boxes: DataFrame, methods: Sequence[str] = ("cascade", "dnn"),
@@ -129,7 +127,7 @@ def face_quality_of(contrast: Column, sharpness: Column, eyes: Column) -> Column
 
 def face_quality(crops: DataFrame) -> DataFrame:
     """Low noise, sharp, eyes visible; clamped to 0..1. ``eyes`` is a column of the crops."""
-    stats = tone_and_edges(crops.withColumn("e", F.col("eyes")), (*ROI, "eyes"))
+    stats = tone_and_edges(crops, (*ROI, "eyes"))
     return stats.select(*ROI, face_quality_of(F.col("contrast"), F.col("sharpness"), F.col("eyes")).alias("quality"))
 
 
@@ -153,14 +151,11 @@ def equalised_counts(crops: DataFrame) -> DataFrame:
 
 def face_features(crops: DataFrame) -> DataFrame:
     """Mean, deviation and entropy (nats) of the equalised crop, and its most frequent 12-bit colour."""
-    from photolake.operators.features import palette_topk
-
     counts = equalised_counts(crops)
     total = F.sum("cnt").over(W.partitionBy(*ROI))
     v, c, p = F.col("v"), F.col("cnt"), F.col("p")
     stats = counts.withColumn("p", ratio(c, total)).groupBy(*ROI).agg(
         F.sum("cnt").alias("n"), F.sum(v * c).alias("s1"), F.sum(v * v * c).alias("s2"), (-F.sum(p * F.log(p))).alias("entropy"))
-    from photolake.functions.columns import var_pop_of
     stats = stats.select(*ROI, ratio(F.col("s1"), F.col("n")).alias("mean_intensity"),
                          F.sqrt(var_pop_of(F.col("n"), F.col("s1"), F.col("s2"))).alias("std_intensity"), "entropy")
     top = palette_topk(crops.repartition(*ROI), 1, ROI).select(*ROI, F.col("color").alias("top_color"))

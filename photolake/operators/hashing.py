@@ -212,14 +212,13 @@ def duplicate_groups(hashes: DataFrame, k: int = 6, hot: int = HOT) -> DataFrame
         done = cut(first.withColumn("leads", F.lit(True)).unionByName(claimed.withColumn("leads", F.lit(False))))
         new = done.where("leads").select("node")
         leaders = new if leaders is None else leaders.unionByName(new)
-        # A pair whose ends were both open may lose either end; keep it only while both stay open. A node
-        # claimed here no longer leads, and one that lost its last smaller neighbour leads next round.
-        left = open_edges.join(done.select(F.col("node").alias("lo")), "lo", "left_anti")
-        lone = _freed(open_edges, done)
-        open_edges = cut(left.join(done.select(F.col("node").alias("hi")), "hi", "left_anti").select("lo", "hi"))
-        lone = cut(lone.join(open_edges.select(F.col("lo").alias("node")), "node", "left_anti")
-                   .join(open_edges.select(F.col("hi").alias("node")), "node", "left_anti"))
-        leaders = leaders.unionByName(lone)
+        ends = open_edges.select(F.explode(F.array("lo", "hi")).alias("node")).distinct()
+        open_edges = cut(open_edges.join(done.select(F.col("node").alias("lo")), "lo", "left_anti")
+                         .join(done.select(F.col("node").alias("hi")), "hi", "left_anti").select("lo", "hi"))
+        # An undecided end without any open edge left leads its own group.
+        still = open_edges.select(F.explode(F.array("lo", "hi")).alias("node"))
+        lone = ends.join(done.select("node"), "node", "left_anti").join(still, "node", "left_anti")
+        leaders = leaders.unionByName(cut(lone))
     groups = reps.select(F.col("rep").alias("node"), "h")
     if leaders is not None:
         leads = cut(leaders.distinct())
@@ -235,12 +234,6 @@ def duplicate_groups(hashes: DataFrame, k: int = 6, hot: int = HOT) -> DataFrame
     return members.join(large, "leader")
 
 
-def _freed(open_edges: DataFrame, done: DataFrame) -> DataFrame:
-    """Undecided ends of this round's edges: those left without any open edge lead their own group."""
-    ends = open_edges.select(F.explode(F.array("lo", "hi")).alias("node")).distinct()
-    return ends.join(done.select("node"), "node", "left_anti")
-
-
 def exact_duplicates(images: DataFrame, content: str = "content") -> DataFrame:
     """Groups of identical content: (kept, image_id). Only digests travel, never the bytes."""
     digests = images.select("image_id", F.sha2(F.col(content), 256).alias("digest"))

@@ -100,9 +100,10 @@ def roi_rasters(boxes: DataFrame, rasters: DataFrame) -> DataFrame:
                .withColumn("cw", F.least(F.col("x") + F.col("w"), F.col("rw")) - F.col("x0"))
                .withColumn("ch", F.least(F.col("y") + F.col("h"), F.col("rh")) - F.col("y0"))
                .where((F.col("cw") > 0) & (F.col("ch") > 0)))
+    # The optimizer may evaluate the crop next to the filter above, so empty boxes must not fail here.
+    rows = F.sequence(F.col("y0"), F.col("y0") + F.greatest(F.col("ch"), F.lit(1)) - 1)
     crop = F.flatten(F.transform(
-        F.sequence(F.col("y0"), F.col("y0") + F.col("ch") - 1),
-        lambda row: F.slice(F.col("px"), row * F.col("rw") + F.col("x0") + 1, F.col("cw"))))
+        rows, lambda row: F.slice(F.col("px"), row * F.col("rw") + F.col("x0") + 1, F.greatest(F.col("cw"), F.lit(0)))))
     rest = [c for c in boxes.columns if c not in ("image_id", "box_id", "x", "y", "w", "h")]
     return clipped.select("image_id", "box_id", "x0", "y0", *rest, F.col("cw").alias("w"),
                           F.col("ch").alias("h"), crop.alias("px"))
