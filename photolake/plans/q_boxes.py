@@ -155,16 +155,18 @@ def face_details(spark, d):
 
 # --- hashes and duplicates ------------------------------------------------------------------
 
-@query("phash", views="pix", sql="""
-WITH t AS (SELECT image_id, ty, tx, sum(gray)//count(*) AS v FROM pix, range(0,32) a(ty), range(0,32) b(tx)
+PHASH = """t AS (SELECT image_id, ty, tx, sum(gray)//count(*) AS v FROM pix, range(0,32) a(ty), range(0,32) b(tx)
   WHERE y BETWEEN ty*h//32 AND greatest(ty*h//32, ((ty+1)*h-1)//32)
    AND x BETWEEN tx*w//32 AND greatest(tx*w//32, ((tx+1)*w-1)//32) GROUP BY ALL),
 basis AS (SELECT f, p, CAST(round(cos(pi()*f*(2*p+1)/64.0::DOUBLE)*16384) AS BIGINT) AS c FROM range(0,8) a(f), range(0,32) b(p)),
 rw AS (SELECT image_id, ty, f AS u, sum(v*c)::BIGINT AS s FROM t JOIN basis ON p=tx GROUP BY ALL),
 cf AS (SELECT image_id, f AS k, u, sum(s*c)::BIGINT AS c FROM rw JOIN basis ON p=ty GROUP BY ALL),
-m AS (SELECT image_id, median(c) AS mid FROM cf GROUP BY 1)
-SELECT image_id, CAST(sum(CASE WHEN NOT c>mid THEN 0::HUGEINT WHEN k*8+u=0 THEN -(1::HUGEINT << 63)
- ELSE 1::HUGEINT << (63-(k*8+u))::INT END) AS BIGINT) AS h FROM cf JOIN m USING (image_id) GROUP BY 1""")
+m AS (SELECT image_id, median(c) AS mid FROM cf GROUP BY 1),
+ph AS (SELECT image_id, CAST(sum(CASE WHEN NOT c>mid THEN 0::HUGEINT WHEN k*8+u=0 THEN -(1::HUGEINT << 63)
+ ELSE 1::HUGEINT << (63-(k*8+u))::INT END) AS BIGINT) AS h FROM cf JOIN m USING (image_id) GROUP BY 1)"""
+
+
+@query("phash", views="pix", sql=f"WITH {PHASH} SELECT image_id, h FROM ph")
 def phash(spark, d):
     return hashing.phash(rasters(spark, d))
 

@@ -119,7 +119,7 @@ def mean_color(spark, d):
     return features.mean_color(rasters(spark, d))
 
 
-def _kmeans_sql(k: int = 3, rounds: int = 10) -> str:
+def kmeans_ctes(k: int = 3, rounds: int = 10) -> str:
     """Chained rounds of weighted k-means in exact integers."""
     parts = ["""q AS MATERIALIZED (SELECT image_id, r//16*256+g//16*16+b//16 AS q, count(*)::BIGINT AS cnt
                 FROM pix GROUP BY ALL)""",
@@ -135,12 +135,12 @@ def _kmeans_sql(k: int = 3, rounds: int = 10) -> str:
         parts.append(f"""k{i} AS MATERIALIZED (SELECT k.image_id, k.c, {mean} FROM k{i - 1} k
             LEFT JOIN n{i} n ON n.image_id=k.image_id AND n.c=k.c
             LEFT JOIN col ON col.image_id=n.image_id AND col.q=n.q GROUP BY 1, 2)""")
-    return "WITH " + ",\n".join(parts) + f"""
-        SELECT image_id, CAST(c AS INT) AS cluster, CAST(r//1000000 AS INT) AS r, CAST(g//1000000 AS INT) AS g,
-         CAST(b//1000000 AS INT) AS b FROM k{rounds}"""
+    parts.append(f"""palette AS (SELECT image_id, CAST(c AS INT) AS cluster, CAST(r//1000000 AS INT) AS r,
+        CAST(g//1000000 AS INT) AS g, CAST(b//1000000 AS INT) AS b FROM k{rounds})""")
+    return ",\n".join(parts)
 
 
-@query("palette_kmeans", views="pix", sql=_kmeans_sql())
+@query("palette_kmeans", views="pix", sql=f"WITH {kmeans_ctes()} SELECT * FROM palette")
 def palette_kmeans(spark, d):
     return features.palette_kmeans(rasters(spark, d))
 
