@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from photolake.functions.columns import color_distance, dot, norm
 from photolake.operators.predictions import best_label
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 2048
+CORPUS_BLOCK = 8192
 
 
 def semantic_search(embeddings: DataFrame, vector: Sequence[float], n: int = 100) -> DataFrame:
@@ -31,51 +32,43 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def _block_top(corpus: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
-    """Per Arrow batch of the corpus, the k nearest for each query of one bounded block."""
-    targets = _unit(vectors)
+def _block_top(queries: pd.DataFrame, corpus: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of one corpus block for each query of one query block, by a matrix product."""
+    ids, others = queries["vec_id"].to_numpy(), corpus["vec_id"].to_numpy()
+    sims = _unit(np.stack(queries["embedding"]).astype(np.float64)) @ _unit(
+        np.stack(corpus["embedding"]).astype(np.float64)).T
+    sims = np.round(sims, 12)
+    sims[ids[:, None] == others[None, :]] = -np.inf
+    order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
+    best = np.take_along_axis(sims, order, axis=1)
+    ok = np.isfinite(best)
+    return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1])[ok.ravel()], "vec_id": others[order][ok],
+                         "similarity": best[ok]})
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            vec_ids = np.asarray(batch.column(0))
-            flat = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, -1)
-            for start in range(0, len(ids), 512):
-                part = ids[start:start + 512]
-                sims = np.round(targets[start:start + 512] @ _unit(flat).T, 12)
-                sims[part[:, None] == vec_ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(vec_ids, sims.shape), -sims), axis=1)[:, :k]
-                best = np.take_along_axis(sims, order, axis=1)
-                ok = np.isfinite(best)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(part, order.shape[1])[ok.ravel()]), pa.array(vec_ids[order][ok]),
-                     pa.array(best[ok])], names=["query_id", "vec_id", "similarity"])
 
-    return corpus.select("vec_id", "embedding").mapInArrow(scan, "query_id bigint, vec_id bigint, similarity double")
-
-
-def batch_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+def batch_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK,
+                    corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """The k nearest corpus vectors of every query (itself left out), exact.
 
-    Queries are taken in blocks of bounded size; each block is shipped to the tasks and met with the
-    corpus as matrix products, and every Arrow batch keeps only its k best per query, so pairs are
-    never written out. More queries mean more passes over the corpus, not larger broadcasts.
+    Both sides are hashed into blocks of bounded size and every query block meets every corpus block
+    as a matrix product in its own task. A task keeps only its k best per query, so pairs are never
+    written out, nothing is broadcast, and the final rank sees k rows per query and corpus block.
     """
-    queries = queries.select(F.col("vec_id").cast("long"), "embedding")
-    n_blocks = max(1, -(-queries.count() // block))
-    tops = None
-    for i in range(2 * n_blocks if n_blocks > 1 else 1):
-        part = queries if n_blocks == 1 else queries.where(F.pmod(F.hash("vec_id"), F.lit(2 * n_blocks)) == i)
-        rows = part.toArrow()
-        if rows.num_rows == 0:
-            continue
-        ids = np.asarray(rows.column(0))
-        vectors = np.asarray(rows.column(1).combine_chunks().flatten(), dtype=np.float64).reshape(len(ids), -1)
-        top = _block_top(corpus, ids, vectors, k)
-        tops = top if tops is None else tops.unionByName(top)
-    if tops is None:
-        tops = queries.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, similarity double")
+    n_q = max(1, -(-queries.count() // query_block))
+    n_c = max(1, -(-corpus.count() // corpus_block))
+
+    def blocked(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return df.select("vec_id", "embedding", F.pmod(F.hash("vec_id"), F.lit(n_own)).alias(own),
+                         F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
+
+    def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(c) == 0:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
+        return _block_top(q, c, k)
+
+    tops = (blocked(queries, "qb", n_q, "cb", n_c).groupBy("qb", "cb")
+            .cogroup(blocked(corpus, "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
+            .applyInPandas(meet, "query_id bigint, vec_id bigint, similarity double"))
     order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
     return tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -26,12 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per post: blog, type, time, counters, tags and photo urls."""
+def posts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One row per post: blog, type, time, counters, tags and photo urls; ``events`` may be a stream."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("blog"))
     n_docs = docs.count()  # one number, read from the file footers
     tags = _sql_array(POST_TAGS)
-    events = table(spark, sf_dir, "events").withColumn("doc_id", F.col("event_id") % n_docs)
+    events = table(spark, sf_dir, "events") if events is None else events
+    events = events.withColumn("doc_id", F.col("event_id") % n_docs)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return events.join(docs, "doc_id").join(labels, "doc_id", "left").selectExpr(
         "event_id AS post_id", "blog",
@@ -95,9 +96,10 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ELSE 'dnn' END AS method", "CAST(event_id % 3 AS INT) AS eyes")
 
 
-def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Download attempts with outcome and error type."""
-    return table(spark, sf_dir, "events").selectExpr(
+def attempts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Download attempts with outcome and error type; ``events`` may be a stream."""
+    events = table(spark, sf_dir, "events") if events is None else events
+    return events.selectExpr(
         "event_id AS attempt_id",
         "concat('https://u', user_id, '.example.com/', event_id % 40, '.png') AS url", "ts",
         "CAST(event_id % 4 AS INT) AS attempt",

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from photolake.functions.columns import h32
@@ -17,8 +17,20 @@ from photolake.operators.search import SearchParams, search_posts
 from photolake.operators.tags import sample_tag
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet",
+                files_per_batch: int = 1) -> DataFrame:
+    """A folder of parquet files as a stream, a few files per batch; ``files`` filters by name."""
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+            .option("pathGlobFilter", files).parquet(folder))
+
+
+def utc_instant(ts: Column) -> Column:
+    """Event time must be an instant: read a zoneless timestamp as UTC, whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
+def utc_zoneless(instant: Column) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
 def write_batch(batch: DataFrame, batch_id: int, out: str) -> None:
@@ -42,15 +54,16 @@ def stream_dedup(photos: DataFrame, out: str, checkpoint: str, keep: str = "40 d
 
     The watermark bounds the remembered urls: a copy later than ``keep`` may pass again.
     """
-    once = photos.withWatermark("post_ts", keep).dropDuplicatesWithinWatermark(["url"])
+    once = (photos.select("url", utc_instant(F.col("post_ts")).alias("seen_at"))
+            .withWatermark("seen_at", keep).dropDuplicatesWithinWatermark(["url"]))
     drain(once.select("url"), checkpoint, lambda b, i: write_batch(b, i, out))
 
 
 def stream_stats(attempts: DataFrame, out: str, checkpoint: str, width: str = "1 day") -> None:
     """Running outcome counters per time window; each batch writes the counters it changed."""
-    counts = (attempts.withWatermark("ts", "40 days").groupBy(F.window("ts", width).alias("w"), "outcome")
-              .agg(F.count("*").alias("n"))
-              .select(F.col("w.start").alias("window_start"), "outcome", "n"))
+    counts = (attempts.select("outcome", utc_instant(F.col("ts")).alias("at")).withWatermark("at", "40 days")
+              .groupBy(F.window("at", width).alias("w"), "outcome").agg(F.count("*").alias("n"))
+              .select(utc_zoneless(F.col("w.start")).alias("window_start"), "outcome", "n"))
     drain(counts, checkpoint, lambda b, i: write_batch(b, i, out), "update")
 
 
