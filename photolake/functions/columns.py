@@ -10,7 +10,7 @@ def int_div(a, b) -> Column:
                            F.lit(b) if not isinstance(b, Column) else b)
 
 
-# --- packed colours: one INT holds 0xRRGGBB -------------------------------------------------
+# --- packed pixels: one INT holds 0xYYRRGGBB, with Y the gray value --------------------------
 
 def red(px: Column) -> Column:
     return F.shiftright(px, 16).bitwiseAND(255)
@@ -24,13 +24,14 @@ def blue(px: Column) -> Column:
     return px.bitwiseAND(255)
 
 
-def luma(r: Column, g: Column, b: Column) -> Column:
-    """0.299R + 0.587G + 0.114B, rounded half up, in integer arithmetic."""
-    return int_div(299 * r + 587 * g + 114 * b + 500, 1000).cast("int")
+def packed_luma(px: Column) -> Column:
+    """Gray value: 0.299R + 0.587G + 0.114B, rounded half up when the raster was made."""
+    return F.shiftrightunsigned(px, 24)
 
 
-def packed_luma(px: Column) -> Column:
-    return luma(red(px), green(px), blue(px))
+def packed_rgb(px: Column) -> Column:
+    """0xRRGGBB; its order is (r, g, b) order."""
+    return px.bitwiseAND(0xFFFFFF)
 
 
 def packed_sum(px: Column) -> Column:

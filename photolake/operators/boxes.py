@@ -38,31 +38,29 @@ def box_rank(boxes: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked.where(F.col("rank") <= limit) if limit else ranked
 
 
-def _iou_with(b: Column) -> Column:
-    return iou(F.col("x"), F.col("y"), F.col("w"), F.col("h"), b["x"], b["y"], b["w"], b["h"])
-
-
 def box_nms(boxes: DataFrame, threshold: float = 0.3, keep: int = 5) -> DataFrame:
     """Greedy suppression: per image keep the best box, drop boxes overlapping a kept one, at most ``keep``.
 
     Runs as ``keep`` rounds, each picking the best surviving box of every image by a partially
     aggregated maximum. No image's boxes are ever gathered into one task, so an image holding a
-    large share of all boxes stays spread out; the kept boxes are one short array per image.
+    large share of all boxes stays spread out: boxes are placed by image and box once, every round
+    reads that placement, and what is joined to them is one row of kept boxes per image.
     """
-    candidates = scored(boxes).select("image_id", "box_id", "x", "y", "w", "h", "score")
-    best = F.max_by(F.struct("box_id", "x", "y", "w", "h", "score"),
-                    F.struct(F.col("score"), (-F.col("box_id")).alias("neg"))).alias("best")
-    kept = candidates.groupBy("image_id").agg(best).select("image_id", F.array("best").alias("kept"))
-    for _ in range(keep - 1):
-        alive = (candidates.join(kept, "image_id")
-                 .where(~F.exists("kept", lambda k: (k["box_id"] == F.col("box_id")) | (_iou_with(k) > threshold))))
-        pick = alive.groupBy("image_id").agg(best)
-        kept = (kept.join(pick, "image_id", "left")
-                .select("image_id", F.when(F.col("best").isNull(), F.col("kept"))
-                        .otherwise(F.concat("kept", F.array("best"))).alias("kept")))
-    return (kept.select("image_id", F.posexplode("kept").alias("pos", "b"))
-            .select("image_id", (F.col("pos") + 1).alias("rank"), F.col("b.box_id").alias("box_id"),
-                    *[F.col(f"b.{c}").alias(c) for c in ("x", "y", "w", "h", "score")]))
+    fields = ("box_id", "x", "y", "w", "h", "score")
+    candidates = scored(boxes).select("image_id", *fields).repartition("image_id", "box_id")
+    best = F.max_by(F.struct(*fields), F.struct(F.col("score"), (-F.col("box_id")).alias("neg")))
+    kept = candidates.groupBy("image_id").agg(best.alias("kept_1"))
+    for i in range(2, keep + 1):
+        alive = F.lit(True)
+        for j in range(1, i):
+            k = F.col(f"kept_{j}")
+            overlap = iou(*[F.col(c) for c in "xywh"], *[k[c] for c in "xywh"])
+            alive = alive & ~F.coalesce((k["box_id"] == F.col("box_id")) | (overlap > threshold), F.lit(False))
+        pick = candidates.join(kept, "image_id").where(alive).groupBy("image_id").agg(best.alias(f"kept_{i}"))
+        kept = kept.join(pick, "image_id", "left")
+    boxes_of = F.array_compact(F.array(*[f"kept_{i}" for i in range(1, keep + 1)]))
+    return (kept.select("image_id", F.posexplode(boxes_of).alias("pos", "b"))
+            .select("image_id", (F.col("pos") + 1).alias("rank"), *[F.col(f"b.{c}").alias(c) for c in fields]))
 
 
 # Cells are a little larger than a usual box, so most boxes cover at most four.

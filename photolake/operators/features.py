@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from photolake.functions.columns import (blue, green, hsv, int_div, packed_luma, packed_sum, ratio, red,
+from photolake.functions.columns import (blue, green, hsv, int_div, packed_luma, packed_rgb, packed_sum, ratio, red,
                                          var_pop_of)
 from photolake.operators.raster import KEYS, by_image, explode_pixels
 
@@ -46,7 +46,8 @@ def _range_bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
 def gray_entropy_nats(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Entropy (nats) of the channel mean, 256 bins over the image's own range."""
     s = by_image(rasters).select(*keys, F.transform("px", packed_sum).alias("s"))
-    bins = (s.select(*keys, F.array_min("s").alias("lo"), F.array_max("s").alias("hi"), F.explode("s").alias("v"))
+    ranged = s.select(*keys, "s", F.array_min("s").alias("lo"), F.array_max("s").alias("hi"))
+    bins = (ranged.select(*keys, "lo", "hi", F.explode("s").alias("v"))
             .select(*keys, _range_bin(F.col("v"), F.col("lo"), F.col("hi"), 256).alias("bin")))
     return _entropy(bins.groupBy(*keys, "bin").agg(F.count("*").alias("cnt")), keys, F.log)
 
@@ -85,8 +86,8 @@ def color_uniformity(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
 
 def dominant_color_mode(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Most frequent exact colour; ties go to the smallest colour in (r, g, b) order."""
-    counts = (by_image(rasters).select(*keys, F.explode("px").alias("v"))
-              .groupBy(*keys, "v").agg(F.count("*").alias("cnt")))
+    counts = (by_image(rasters).select(*keys, F.explode("px").alias("p"))
+              .groupBy(*keys, packed_rgb(F.col("p")).alias("v")).agg(F.count("*").alias("cnt")))
     top = counts.groupBy(*keys).agg(F.max(F.struct("cnt", (-F.col("v")).alias("neg"))).alias("m"))
     v = -F.col("m.neg")
     return top.select(*keys, red(v).alias("r"), green(v).alias("g"), blue(v).alias("b"), F.col("m.cnt").alias("cnt"))

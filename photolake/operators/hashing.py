@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,52 +16,53 @@ SIDE, LOW = 32, 8
 HOT = 1024
 
 
+def _basis(freq: int) -> Column:
+    """Scaled cosine basis of one frequency, as a constant array over positions."""
+    return F.array(*[F.lit(round(math.cos(math.pi * freq * (2 * pos + 1) / (2 * SIDE)) * 16384)).cast("long")
+                     for pos in range(SIDE)])
+
+
 def phash(rasters: DataFrame) -> DataFrame:
     """64-bit perceptual hash: 32x32 gray, 2-D cosine transform, low 8x8 block against its median.
 
-    The transform is separable: two sums keyed by image, each over integers (a scaled cosine basis
-    computed in place), so the bits do not depend on summation order. Everything runs on the
-    placement made once by image.
+    The transform is separable: eight sums per row of the small image, then sixty-four per image, all
+    integers, so the bits do not depend on summation order. Every grouping reuses the placement made
+    once by image.
     """
     def span(target: Column, size: Column) -> Column:
         first = int_div(target * size, F.lit(SIDE))
         last = F.greatest(first, int_div((target + 1) * size - 1, F.lit(SIDE)))
         return F.sequence(first, last)
 
-    def basis(freq: Column, pos: Column) -> Column:
-        return F.round(F.cos(F.pi() * freq * (2 * pos + 1) / (2.0 * SIDE)) * 16384).cast("long")
-
-    gray = by_image(rasters).select("image_id", "w", "h", F.transform("px", packed_luma).alias("gray"))
-    cells = (gray.select("*", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("ty"))
-             .select("*", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("tx")))
-    source = (cells.select("image_id", "w", "gray", "ty", "tx", F.explode(span(F.col("ty"), F.col("h"))).alias("y"),
-                           span(F.col("tx"), F.col("w")).alias("xs"))
-              .select("image_id", "ty", "tx", "w", "gray", "y", F.explode("xs").alias("x"))
-              .select("image_id", "ty", "tx",
-                      F.get("gray", (F.col("y") * F.col("w") + F.col("x")).cast("int")).cast("long").alias("v")))
-    small = source.groupBy("image_id", "ty", "tx").agg(int_div(F.sum("v"), F.count("*")).alias("v"))
-    freqs = F.explode(F.sequence(F.lit(0), F.lit(LOW - 1)))
-    rows = (small.select("*", freqs.alias("u")).groupBy("image_id", "ty", "u")
-            .agg(F.sum(F.col("v") * basis(F.col("u"), F.col("tx"))).alias("s")))
-    coef = (rows.select("*", freqs.alias("k")).groupBy("image_id", "k", "u")
-            .agg(F.sum(F.col("s") * basis(F.col("k"), F.col("ty"))).alias("c")))
-    block = coef.groupBy("image_id").agg(F.median("c").alias("mid"),
-                                         F.collect_list(F.struct((F.col("k") * LOW + F.col("u")).alias("i"), "c")).alias("b"))
-    bits = F.aggregate("b", F.lit(0).cast("long"), lambda acc, e: F.when(
-        e["c"] > F.col("mid"), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (63 - e["i"]).cast("int"))))
-        .otherwise(acc))
-    return block.select("image_id", bits.alias("h"))
-
-
-def median_hash(rasters: DataFrame) -> DataFrame:
-    """64-bit hash of an 8x8 raster: one bit per pixel brighter than the median. A map over rasters."""
-    gray = rasters.select("image_id", F.transform("px", packed_luma).alias("g"))
+    cells = (by_image(rasters).select("image_id", "w", "h", "px", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("ty"))
+             .select("image_id", "w", "px", "ty", F.explode(span(F.col("ty"), F.col("h"))).alias("y"))
+             .select("image_id", "w", "ty", F.slice("px", (F.col("y") * F.col("w") + 1).cast("int"), F.col("w")).alias("row"))
+             .select("image_id", "w", "ty", "row", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("tx"))
+             .select("image_id", "ty", "tx", "row", F.explode(span(F.col("tx"), F.col("w"))).alias("x"))
+             .select("image_id", "ty", "tx", packed_luma(F.get("row", F.col("x").cast("int"))).alias("v")))
+    small = cells.groupBy("image_id", "ty", "tx").agg(int_div(F.sum("v"), F.count("*")).alias("v"))
+    rows = small.groupBy("image_id", "ty").agg(*[
+        F.sum(F.col("v") * F.get(_basis(u), F.col("tx"))).alias(f"s{u}") for u in range(LOW)])
+    block = rows.groupBy("image_id").agg(*[
+        F.sum(F.col(f"s{u}") * F.get(_basis(k), F.col("ty"))).alias(f"c{k * LOW + u}")
+        for k in range(LOW) for u in range(LOW)])
+    coef = F.array(*[f"c{i}" for i in range(LOW * LOW)])
+    return _bits_over_median(block.select("image_id", coef.alias("g")))
+
+
+def _bits_over_median(values: DataFrame) -> DataFrame:
+    """(image_id, h): bit 63 - i is set where value i of 64 exceeds the median."""
     ranked = F.sort_array("g")
     doubled = F.get(ranked, F.lit(31)) + F.get(ranked, F.lit(32))
     bits = F.aggregate(F.transform("g", lambda v, i: F.when(2 * v > F.col("mid2"), F.call_function(
         "shiftleft", F.lit(1).cast("long"), 63 - i)).otherwise(F.lit(0).cast("long"))),
         F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return gray.withColumn("mid2", doubled).select("image_id", bits.alias("h"))
+    return values.withColumn("mid2", doubled).select("image_id", bits.alias("h"))
+
+
+def median_hash(rasters: DataFrame) -> DataFrame:
+    """64-bit hash of an 8x8 raster: one bit per pixel brighter than the median. A map over rasters."""
+    return _bits_over_median(rasters.select("image_id", F.transform("px", packed_luma).alias("g")))
 
 
 # --- Hamming join ---------------------------------------------------------------------------

@@ -30,28 +30,33 @@ def explode_pixels(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
                     packed_luma(px).alias("gray")))
 
 
-def with_gray(rasters: DataFrame) -> DataFrame:
-    return rasters.withColumn("gray", F.transform("px", packed_luma))
+def mirrored(rasters: DataFrame) -> DataFrame:
+    """Add ``pad``: the raster with a one-pixel border mirrored around its edge pixels, (w + 2) x (h + 2)."""
+    w, h, px = F.col("w"), F.col("h"), F.col("px")
+    left, right = F.least(F.lit(1), w - 1), F.greatest(w - 2, F.lit(0))
+
+    def row(i):
+        y = F.when(i < 0, F.least(F.lit(1), h - 1)).when(i >= h, F.greatest(h - 2, F.lit(0))).otherwise(i)
+        return F.concat(F.slice(px, y * w + left + 1, 1), F.slice(px, y * w + 1, w), F.slice(px, y * w + right + 1, 1))
+
+    return rasters.withColumn("pad", F.flatten(F.transform(F.sequence(F.lit(-1), h), row)))
 
 
 def neighbourhoods(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Each gray pixel with its eight neighbours (n_ul .. n_dr); borders mirror around the edge pixel."""
-    flat = (with_gray(rasters).select(*keys, "w", "h", "gray", F.posexplode("gray").alias("p", "v"))
-            .withColumn("y", int_div(F.col("p"), F.col("w")).cast("int"))
-            .withColumn("x", (F.col("p") % F.col("w")).cast("int")))
-    x, y, w, h = (F.col(c) for c in ("x", "y", "w", "h"))
-    flat = (flat.withColumn("xl", F.when(x > 0, x - 1).otherwise(F.least(F.lit(1), w - 1)))
-            .withColumn("xr", F.when(x < w - 1, x + 1).otherwise(F.greatest(w - 2, F.lit(0))))
-            .withColumn("yu", F.when(y > 0, y - 1).otherwise(F.least(F.lit(1), h - 1)))
-            .withColumn("yd", F.when(y < h - 1, y + 1).otherwise(F.greatest(h - 2, F.lit(0)))))
+    """Each gray pixel with its eight neighbours (n_ul .. n_dr), read from the mirrored raster by position."""
+    p, w = F.col("p"), F.col("w")
+    flat = (mirrored(rasters).select(*keys, "w", "pad", F.posexplode("px").alias("p", "v"))
+            .select(*keys, "w", "pad", packed_luma(F.col("v")).alias("v"),
+                    int_div(p, w).cast("int").alias("y"), (p % w).cast("int").alias("x"))
+            .withColumn("o", F.col("y") * (F.col("w") + 2) + F.col("x")))
 
-    def at(row, col):
-        return F.get("gray", F.col(row) * F.col("w") + F.col(col))
+    def at(dy: int, dx: int):
+        return packed_luma(F.get("pad", F.col("o") + dy * (F.col("w") + 2) + dx))
 
     return flat.select(*keys, "y", "x", "v",
-                       at("yu", "xl").alias("n_ul"), at("yu", "x").alias("n_u"), at("yu", "xr").alias("n_ur"),
-                       at("y", "xl").alias("n_l"), at("y", "xr").alias("n_r"),
-                       at("yd", "xl").alias("n_dl"), at("yd", "x").alias("n_d"), at("yd", "xr").alias("n_dr"))
+                       at(0, 0).alias("n_ul"), at(0, 1).alias("n_u"), at(0, 2).alias("n_ur"),
+                       at(1, 0).alias("n_l"), at(1, 2).alias("n_r"),
+                       at(2, 0).alias("n_dl"), at(2, 1).alias("n_d"), at(2, 2).alias("n_dr"))
 
 
 def laplacian(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -37,9 +37,9 @@ def _block_top(queries: pd.DataFrame, corpus: pd.DataFrame, k: int) -> pd.DataFr
     ids, others = queries["vec_id"].to_numpy(), corpus["vec_id"].to_numpy()
     sims = _unit(np.stack(queries["embedding"]).astype(np.float64)) @ _unit(
         np.stack(corpus["embedding"]).astype(np.float64)).T
-    sims = np.round(sims, 12)
     sims[ids[:, None] == others[None, :]] = -np.inf
-    order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, :k]
+    # Twelve digits decide the order, so equal vectors tie whatever the summation order.
+    order = np.lexsort((np.broadcast_to(others, sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
     best = np.take_along_axis(sims, order, axis=1)
     ok = np.isfinite(best)
     return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1])[ok.ravel()], "vec_id": others[order][ok],
@@ -69,7 +69,7 @@ def batch_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_bl
     tops = (blocked(queries, "qb", n_q, "cb", n_c).groupBy("qb", "cb")
             .cogroup(blocked(corpus, "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
             .applyInPandas(meet, "query_id bigint, vec_id bigint, similarity double"))
-    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "vec_id")
     return tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from photolake.functions.columns import int_div, ratio, var_pop_of
+from photolake.functions.columns import int_div, packed_luma, ratio, var_pop_of
 from photolake.operators.raster import (KEYS, angle_of, by_image, gradients_of, laplacian_of, magnitude_of,
-                                        neighbourhoods, with_gray)
+                                        neighbourhoods)
 
 
 def blur_score(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -61,13 +61,13 @@ def glcm(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
     Unordered pairs are counted, then mirrored, so the heavy grouping sees half the rows.
     """
-    flat = (with_gray(by_image(rasters)).select(*keys, "w", "h", "gray", F.posexplode("gray").alias("p", "v"))
+    flat = (by_image(rasters).select(*keys, "w", "h", "px", F.posexplode("px").alias("p", "v"))
             .withColumn("y", int_div(F.col("p"), F.col("w")).cast("int"))
-            .withColumn("x", (F.col("p") % F.col("w")).cast("int")))
+            .withColumn("x", (F.col("p") % F.col("w")).cast("int")).withColumn("v", packed_luma(F.col("v"))))
     pairs = F.array(*[F.struct(
         F.lit(name).alias("angle"),
         F.when((F.col("y") + dy < F.col("h")) & (F.col("x") + dx >= 0) & (F.col("x") + dx < F.col("w")),
-               F.get("gray", (F.col("y") + dy) * F.col("w") + F.col("x") + dx)).alias("u"))
+               packed_luma(F.get("px", (F.col("y") + dy) * F.col("w") + F.col("x") + dx))).alias("u"))
         for name, dy, dx in DIRECTIONS])
     cells = (flat.select(*keys, "w", "h", "v", F.inline(pairs)).where("u IS NOT NULL")
              .groupBy(*keys, "angle", F.least("v", "u").alias("lo"), F.greatest("v", "u").alias("hi"))

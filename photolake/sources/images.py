@@ -63,13 +63,15 @@ def _packed(data: bytes, width: int, height: int, channels: int, bgr: bool, side
     elif bgr:
         img = img[:, :, 2::-1]
     small = _shrink(img[:, :, :3], side)
-    return (small[:, :, 0] << 16) | (small[:, :, 1] << 8) | small[:, :, 2]
+    r, g, b = small[:, :, 0], small[:, :, 1], small[:, :, 2]
+    gray = (299 * r + 587 * g + 114 * b + 500) // 1000
+    return ((gray << 24) | (r << 16) | (g << 8) | b).astype(np.uint32).view(np.int32)
 
 
 def analysis_rasters(images: DataFrame, bgr: bool = False, max_side: int = MAX_SIDE) -> DataFrame:
     """(image_id, width, height, data[, n_channels]) -> one bounded raster row per image.
 
-    ``px`` holds packed 0xRRGGBB values, row by row. Each image is averaged down to at most
+    ``px`` holds packed 0xYYRRGGBB values (Y = gray), row by row. Each image is averaged down to at most
     ``max_side`` x ``max_side``, so one row never exceeds 16 KB. This is the only Python stage of the
     feature pipeline; it is a map over Arrow batches and needs no shuffle.
     """
@@ -84,7 +86,7 @@ def analysis_rasters(images: DataFrame, bgr: bool = False, max_side: int = MAX_S
                 grid = _packed(data.as_buffer(), w, h, c, bgr, max_side)
                 hs.append(grid.shape[0])
                 ws.append(grid.shape[1])
-                px.append(grid.reshape(-1).astype(np.int32))
+                px.append(grid.reshape(-1))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in px])]).astype(np.int32)
             values = np.concatenate(px) if px else np.array([], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(

@@ -71,7 +71,7 @@ def gray_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = "CAST(floor((CAST(e AS DOUBLE) + 1.0D) * 127.5D) AS INT)"
     return table(spark, sf_dir, "embeddings").selectExpr(
         "vec_id AS image_id", "8 AS w", "CAST(size(embedding) DIV 8 AS INT) AS h",
-        f"transform(embedding, e -> {v} * 65793) AS px")
+        f"transform(transform(embedding, e -> {v}), g -> shiftleft(g, 24) | (g * 65793)) AS px")
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
