@@ -45,11 +45,11 @@ def _range_bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
 
 def gray_entropy_nats(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Entropy (nats) of the channel mean, 256 bins over the image's own range."""
-    s = by_image(rasters).select(*keys, F.transform("px", packed_sum).alias("s"))
-    ranged = s.select(*keys, "s", F.array_min("s").alias("lo"), F.array_max("s").alias("hi"))
-    bins = (ranged.select(*keys, "lo", "hi", F.explode("s").alias("v"))
-            .select(*keys, _range_bin(F.col("v"), F.col("lo"), F.col("hi"), 256).alias("bin")))
-    return _entropy(bins.groupBy(*keys, "bin").agg(F.count("*").alias("cnt")), keys, F.log)
+    levels = (by_image(rasters).select(*keys, F.explode("px").alias("v"))
+              .groupBy(*keys, packed_sum(F.col("v")).alias("s")).agg(F.count("*").alias("n")))
+    part = W.partitionBy(*keys)
+    bins = levels.select(*keys, "n", _range_bin(F.col("s"), F.min("s").over(part), F.max("s").over(part), 256).alias("bin"))
+    return _entropy(bins.groupBy(*keys, "bin").agg(F.sum("n").alias("cnt")), keys, F.log)
 
 
 def gray_entropy_bits(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -60,15 +60,13 @@ def gray_entropy_bits(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFra
 
 def joint_color_entropy(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Entropy (bits) of the joint 16x16x16 colour histogram over each channel's own range."""
-    placed = by_image(rasters)
-    for name, channel in (("r", red), ("g", green), ("b", blue)):
-        values = F.transform("px", channel)
-        placed = placed.withColumn(f"{name}_lo", F.array_min(values)).withColumn(f"{name}_hi", F.array_max(values))
-    v = F.col("v")
-    flat = placed.select(*keys, *[f"{c}_{e}" for c in "rgb" for e in ("lo", "hi")], F.explode("px").alias("v"))
-    bins = [_range_bin(channel(v), F.col(f"{c}_lo"), F.col(f"{c}_hi"), 16).alias(f"{c}_bin")
+    v, part = F.col("v"), W.partitionBy(*keys)
+    colors = (by_image(rasters).select(*keys, F.explode("px").alias("p"))
+              .groupBy(*keys, packed_rgb(F.col("p")).alias("v")).agg(F.count("*").alias("n")))
+    bins = [_range_bin(channel(v), F.min(channel(v)).over(part), F.max(channel(v)).over(part), 16).alias(f"{c}_bin")
             for c, channel in (("r", red), ("g", green), ("b", blue))]
-    counts = flat.select(*keys, *bins).groupBy(*keys, "r_bin", "g_bin", "b_bin").agg(F.count("*").alias("cnt"))
+    counts = (colors.select(*keys, "n", *bins).groupBy(*keys, "r_bin", "g_bin", "b_bin")
+              .agg(F.sum("n").alias("cnt")))
     return _entropy(counts, keys, F.log2, 1e-10)
 
 

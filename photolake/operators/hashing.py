@@ -16,10 +16,10 @@ SIDE, LOW = 32, 8
 HOT = 1024
 
 
-def _basis(freq: int) -> Column:
-    """Scaled cosine basis of one frequency, as a constant array over positions."""
-    return F.array(*[F.lit(round(math.cos(math.pi * freq * (2 * pos + 1) / (2 * SIDE)) * 16384)).cast("long")
-                     for pos in range(SIDE)])
+def _basis(freq: int, pos: str) -> Column:
+    """Scaled cosine of one frequency at column ``pos``, from a constant array."""
+    values = [round(math.cos(math.pi * freq * (2 * x + 1) / (2 * SIDE)) * 16384) for x in range(SIDE)]
+    return F.expr(f"get(array({', '.join(f'{v}L' for v in values)}), {pos})")
 
 
 def phash(rasters: DataFrame) -> DataFrame:
@@ -42,9 +42,9 @@ def phash(rasters: DataFrame) -> DataFrame:
              .select("image_id", "ty", "tx", packed_luma(F.get("row", F.col("x").cast("int"))).alias("v")))
     small = cells.groupBy("image_id", "ty", "tx").agg(int_div(F.sum("v"), F.count("*")).alias("v"))
     rows = small.groupBy("image_id", "ty").agg(*[
-        F.sum(F.col("v") * F.get(_basis(u), F.col("tx"))).alias(f"s{u}") for u in range(LOW)])
+        F.sum(F.col("v") * _basis(u, "tx")).alias(f"s{u}") for u in range(LOW)])
     block = rows.groupBy("image_id").agg(*[
-        F.sum(F.col(f"s{u}") * F.get(_basis(k), F.col("ty"))).alias(f"c{k * LOW + u}")
+        F.sum(F.col(f"s{u}") * _basis(k, "ty")).alias(f"c{k * LOW + u}")
         for k in range(LOW) for u in range(LOW)])
     coef = F.array(*[f"c{i}" for i in range(LOW * LOW)])
     return _bits_over_median(block.select("image_id", coef.alias("g")))

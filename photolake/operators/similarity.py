@@ -34,9 +34,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def _block_top(queries: pd.DataFrame, corpus: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest of one corpus block for each query of one query block, by a matrix product."""
-    ids, others = queries["vec_id"].to_numpy(), corpus["vec_id"].to_numpy()
-    sims = _unit(np.stack(queries["embedding"]).astype(np.float64)) @ _unit(
-        np.stack(corpus["embedding"]).astype(np.float64)).T
+    ids, others = queries["query_id"].to_numpy(), corpus["vec_id"].to_numpy()
+    sims = _unit(np.stack(queries["target"]).astype(np.float64)) @ _unit(
+        np.stack(corpus["vector"]).astype(np.float64)).T
     sims[ids[:, None] == others[None, :]] = -np.inf
     # Twelve digits decide the order, so equal vectors tie whatever the summation order.
     order = np.lexsort((np.broadcast_to(others, sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
@@ -57,8 +57,10 @@ def batch_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_bl
     n_q = max(1, -(-queries.count() // query_block))
     n_c = max(1, -(-corpus.count() // corpus_block))
 
-    def blocked(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.select("vec_id", "embedding", F.pmod(F.hash("vec_id"), F.lit(n_own)).alias(own),
+    def blocked(df: DataFrame, names: tuple[str, str], own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        # Fresh names on both sides: a frame may be searched against itself.
+        return df.select(F.col("vec_id").alias(names[0]), F.col("embedding").alias(names[1]),
+                         F.pmod(F.hash("vec_id"), F.lit(n_own)).alias(own),
                          F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -66,8 +68,8 @@ def batch_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_bl
             return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
         return _block_top(q, c, k)
 
-    tops = (blocked(queries, "qb", n_q, "cb", n_c).groupBy("qb", "cb")
-            .cogroup(blocked(corpus, "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
+    tops = (blocked(queries, ("query_id", "target"), "qb", n_q, "cb", n_c).groupBy("qb", "cb")
+            .cogroup(blocked(corpus, ("vec_id", "vector"), "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
             .applyInPandas(meet, "query_id bigint, vec_id bigint, similarity double"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "vec_id")
     return tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
