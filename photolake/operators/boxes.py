@@ -48,16 +48,21 @@ def box_nms(boxes: DataFrame, threshold: float = 0.3, keep: int = 5) -> DataFram
     """
     fields = ("box_id", "x", "y", "w", "h", "score")
     candidates = scored(boxes).select("image_id", *fields).repartition("image_id", "box_id")
-    best = F.max_by(F.struct(*fields), F.struct(F.col("score"), (-F.col("box_id")).alias("neg")))
-    kept = candidates.groupBy("image_id").agg(best.alias("kept_1"))
+    merit = F.struct(F.col("score"), (-F.col("box_id")).alias("neg"))
+
+    def best(alive: Column) -> Column:
+        return F.max_by(F.struct(*fields), F.when(alive, merit))
+
+    kept = candidates.groupBy("image_id").agg(best(F.lit(True)).alias("kept_1"))
     for i in range(2, keep + 1):
         alive = F.lit(True)
         for j in range(1, i):
             k = F.col(f"kept_{j}")
             overlap = iou(*[F.col(c) for c in "xywh"], *[k[c] for c in "xywh"])
             alive = alive & ~F.coalesce((k["box_id"] == F.col("box_id")) | (overlap > threshold), F.lit(False))
-        pick = candidates.join(kept, "image_id").where(alive).groupBy("image_id").agg(best.alias(f"kept_{i}"))
-        kept = kept.join(pick, "image_id", "left")
+        # The kept boxes ride along, so each round refers to the one before it once.
+        kept = candidates.join(kept, "image_id").groupBy("image_id").agg(
+            *[F.any_value(f"kept_{j}").alias(f"kept_{j}") for j in range(1, i)], best(alive).alias(f"kept_{i}"))
     boxes_of = F.array_compact(F.array(*[f"kept_{i}" for i in range(1, keep + 1)]))
     return (kept.select("image_id", F.posexplode(boxes_of).alias("pos", "b"))
             .select("image_id", (F.col("pos") + 1).alias("rank"), *[F.col(f"b.{c}").alias(c) for c in fields]))

@@ -43,6 +43,8 @@ def decode_images(spark: SparkSession, path: str) -> DataFrame:
 
 def _shrink(img: np.ndarray, side: int) -> np.ndarray:
     """Box-average (floor) to at most side x side; pixel y goes to cell y * h2 // h, likewise x."""
+    if max(img.shape[:2]) <= side:
+        return img.astype(np.int32)
     out = img.astype(np.int64)
     count = np.ones(1, dtype=np.int64)
     for axis in (0, 1):
