@@ -80,13 +80,12 @@ def hamming(a: Column, b: Column) -> Column:
 
 # --- boxes ----------------------------------------------------------------------------------
 
-def iou(x1, y1, w1, h1, x2, y2, w2, h2) -> Column:
-    """Intersection over union of two boxes; 0 when the union is empty."""
-    iw = F.greatest(F.lit(0), F.least(x1 + w1, x2 + w2) - F.greatest(x1, x2))
-    ih = F.greatest(F.lit(0), F.least(y1 + h1, y2 + h2) - F.greatest(y1, y2))
-    inter = iw * ih
-    union = w1 * h1 + w2 * h2 - inter
-    return F.when(union > 0, ratio(inter, union)).otherwise(F.lit(0.0))
+def iou(a: str, b: str) -> Column:
+    """Intersection over union of two boxes, given as column prefixes; 0 when the union is empty."""
+    iw = f"greatest(0, least({a}x + {a}w, {b}x + {b}w) - greatest({a}x, {b}x))"
+    ih = f"greatest(0, least({a}y + {a}h, {b}y + {b}h) - greatest({a}y, {b}y))"
+    union = f"({a}w * {a}h + {b}w * {b}h - {iw} * {ih})"
+    return F.expr(f"CASE WHEN {union} > 0 THEN CAST({iw} * {ih} AS DOUBLE) / CAST({union} AS DOUBLE) ELSE 0.0D END")
 
 
 def box_score(w: Column, h: Column) -> Column:

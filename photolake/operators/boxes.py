@@ -57,9 +57,8 @@ def box_nms(boxes: DataFrame, threshold: float = 0.3, keep: int = 5) -> DataFram
     for i in range(2, keep + 1):
         alive = F.lit(True)
         for j in range(1, i):
-            k = F.col(f"kept_{j}")
-            overlap = iou(*[F.col(c) for c in "xywh"], *[k[c] for c in "xywh"])
-            alive = alive & ~F.coalesce((k["box_id"] == F.col("box_id")) | (overlap > threshold), F.lit(False))
+            clash = (F.col(f"kept_{j}.box_id") == F.col("box_id")) | (iou("", f"kept_{j}.") > threshold)
+            alive = alive & ~F.coalesce(clash, F.lit(False))
         # The kept boxes ride along, so each round refers to the one before it once.
         kept = candidates.join(kept, "image_id").groupBy("image_id").agg(
             *[F.any_value(f"kept_{j}").alias(f"kept_{j}") for j in range(1, i)], best(alive).alias(f"kept_{i}"))
@@ -93,10 +92,9 @@ def iou_pairs(boxes: DataFrame, threshold: float = 0.3, cell: int = CELL) -> Dat
     rects = boxes.groupBy("image_id", *names).agg(F.min("box_id").alias("box_id"), F.count("*").alias("copies"))
     cells = rects.withColumn("c", F.explode(_covered_cells(cell))).select("image_id", "c.cx", "c.cy", "box_id", *names)
     a, b = cells.alias("a"), cells.alias("b")
-    left, right = ([F.col(f"{s}.{c}") for c in names] for s in "ab")
-    overlap = iou(*left, *right)
-    home = ((int_div(F.greatest(left[0], right[0]), F.lit(cell)) == F.col("a.cx"))
-            & (int_div(F.greatest(left[1], right[1]), F.lit(cell)) == F.col("a.cy")))
+    overlap = iou("a.", "b.")
+    home = ((int_div(F.greatest("a.x", "b.x"), F.lit(cell)) == F.col("a.cx"))
+            & (int_div(F.greatest("a.y", "b.y"), F.lit(cell)) == F.col("a.cy")))
     close = (a.join(b, ["image_id", "cx", "cy"])
              .where((F.col("a.box_id") < F.col("b.box_id")) & home & (overlap > threshold))
              .select("image_id", F.col("a.box_id").alias("box_1"), F.col("b.box_id").alias("box_2"),

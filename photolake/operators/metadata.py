@@ -123,17 +123,17 @@ def thumbnail_plan(images: DataFrame, contents: DataFrame, box: tuple[int, int]
         F.concat(stem, F.lit("_thumb_"), "digest", F.lit(".jpg")).alias("thumb_name"))
 
 
-def color_name(r: Column, g: Column, b: Column) -> Column:
-    """Nearest named colour, by squared distance, then by name."""
-    return F.array_min(F.array(*[F.struct(
-        ((r - x) * (r - x) + (g - y) * (g - y) + (b - z) * (b - z)).alias("d"), F.lit(name).alias("name"))
-        for name, (x, y, z) in fixed.COLOR_NAMES.items()]))["name"]
+def color_name(r: str, g: str, b: str) -> Column:
+    """Nearest named colour to three channel columns, by squared distance, then by name."""
+    options = (f"struct(({r} - {x}) * ({r} - {x}) + ({g} - {y}) * ({g} - {y}) + ({b} - {z}) * ({b} - {z}) AS d, "
+               f"'{name}' AS name)" for name, (x, y, z) in fixed.COLOR_NAMES.items())
+    return F.expr(f"array_min(array({', '.join(options)})).name")
 
 
 def recommend_tags(rasters: DataFrame) -> DataFrame:
     """Distinct tags from palette colour names, brightness, shape and quality."""
     tones = features.palette_kmeans(rasters).groupBy("image_id").agg(
-        F.collect_set(F.concat(color_name(F.col("r"), F.col("g"), F.col("b")), F.lit(" tone"))).alias("tones"))
+        F.collect_set(F.concat(color_name("r", "g", "b"), F.lit(" tone"))).alias("tones"))
     stats = texture.tone_and_edges(rasters, ("image_id", "width", "height"))
     light = F.col("brightness") / 255.0
     scored = stats.select("image_id", light.alias("light"), aspect_ratio().alias("shape"),

@@ -23,10 +23,12 @@ def expansions() -> dict[str, list[str]]:
 
 
 def _lookup(table: dict[str, list[str]]) -> Column:
-    parts = []
-    for word, found in table.items():
-        parts += [F.lit(word), F.array(*[F.lit(f) for f in found])]
-    return F.create_map(*parts)
+    """The table as a constant map expression."""
+    def text(word: str) -> str:
+        return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    entries = (f"{text(word)}, array({', '.join(map(text, found))})" for word, found in table.items())
+    return F.expr(f"map({', '.join(entries)})")
 
 
 def expand_tag(tag: Column) -> Column:
