@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from photolake import plans
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -26,7 +27,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, duck, name):
     frame = entry.queries()[name](spark, SF)
     cols = sorted(frame.columns)
@@ -45,5 +46,5 @@ def test_entry(spark):
 
 
 def test_every_query_but_model_mechanics_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {
+    assert set(plans.QUERIES) - set(plans.ORACLES) == {
         "list_images", "train_head", "predict_batch", "evaluate_model", "save_load_model"}
