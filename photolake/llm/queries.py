@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from photolake.llm import chat, langid, quality, sharding
+from photolake.llm import chat, langid, quality, secrets, sharding
 from photolake.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,12 @@ def _quality_sql() -> str:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = "CAST(size(filter(base, x -> x.kind = {0})) AS BIGINT) AS n_{1}"
+    return spans.selectExpr(
+        "doc_id", *[count.format(i, kind) for i, kind in enumerate(secrets.KINDS[:3])],
+        f"sha2({secrets.joined('base')}, 256) AS base_sha256", f"{secrets.joined('all')} AS spans")
