@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from photolake.llm import chat, langid, quality, secrets, sharding
+from photolake.llm import chat, langid, packing, quality, secrets, sharding
 from photolake.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.selectExpr(
         "doc_id", *[count.format(i, kind) for i, kind in enumerate(secrets.KINDS[:3])],
         f"sha2({secrets.joined('base')}, 256) AS base_sha256", f"{secrets.joined('all')} AS spans")
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
