@@ -1,8 +1,8 @@
 """Token ids of whole texts by a public tokenizer file, with the ids of recurring words kept.
 
 A byte-level BPE tokenizer first cuts a text into words, numbers, punctuation and white space, and never joins over
-such a cut. Texts are cut where that is certain (a space or newline between other characters, a comma or full stop
-behind a letter), and every distinct piece is encoded once.
+such a cut. Texts are cut where that is certain (a single space or newline between other characters), and every distinct
+piece is encoded once.
 """
 
 from __future__ import annotations
@@ -15,13 +15,16 @@ import numpy as np
 
 FILE = "byte_bpe_50k.json"
 #: Distinct pieces kept by a worker; beyond that it starts afresh.
-KEEP = 600_000
+KEEP = 1_400_000
 #: Characters of a text handled at a time.
 PART = 1 << 20
 
-# Texts with any of these take the slower cut: white space beside white space, a comma or full stop that stands before
-# white space but not behind a letter or digit, or the mark used for cutting.
-_ODD = re.compile(r"\s\s|[^A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f][,.]\s|\x00")
+# Texts with any of these take the slower cut: white space beside white space, rarer white space, the mark used for cutting.
+_ODD = ("  ", " \n", "\n ", "\n\n", "\x00", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000",
+        *map(chr, range(0x2000, 0x200B)))
+_MARKS = (",", ".")
+_ZERO = np.zeros(1, dtype=np.int64)
+_PLAIN = re.compile(r" ?\S+")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _CUT_AFTER = re.compile(r"\S(?= \S)")
 
@@ -34,8 +37,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.separator_id, self.separator = next(((i, t.content) for i, t in added.items() if t.special), (None, None))
+        ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = ids[0] if len(ids) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
@@ -44,10 +47,9 @@ class Encoder:
 
     @staticmethod
     def _pieces(text: str) -> list[str]:
-        if _ODD.search(text):
+        if any(x in text for x in _ODD):
             return _CUT.split(text)
-        marked = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")
-        return marked.replace(",\x00", "\x00,\x00").replace(".\x00", "\x00.\x00").split("\x00")
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
     @staticmethod
     def _parts(text: str):
@@ -58,17 +60,28 @@ class Encoder:
         yield text[at:]
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many at a time: the file's special token stands between them, so none reaches over it."""
-        own = [p for p in pieces if self.separator is None or self.separator in p]
-        rest = [p for p in pieces if self.separator is not None and self.separator not in p]
+        """Encode new pieces, many at a time with newlines between them, which no word joins."""
+        # A comma or full stop behind a letter or digit is always cut off: word and mark are learnt apart.
+        marked = [p for p in pieces if p[-1:] in _MARKS and p[-2:-1].isalnum() and p[-2] < "\u0250"]
+        if marked:
+            whole = set(marked)
+            stems = dict.fromkeys([*(p[:-1] for p in marked), *_MARKS])
+            self._learn([p for p in stems if p not in self.places and p not in whole])
+            pieces = [p for p in pieces if p not in whole]
+            at = np.array([self.places[x] for p in marked for x in (p[:-1], p[-1])], dtype=np.int64)
+            ids, upto = self._gather(at)
+            self._keep(marked, ids, np.concatenate([_ZERO, upto[1:-1:2]]))
+        plain = list(map(_PLAIN.fullmatch, pieces))
+        own = [p for p, fits in zip(pieces, plain) if not fits or self.newline is None]
+        rest = [p for p, fits in zip(pieces, plain) if fits and self.newline is not None]
         for piece in own:
             self._keep([piece], np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=np.uint32),
-                       np.zeros(1, dtype=np.int64))
+                       _ZERO)
         for i in range(0, len(rest), 4096):
             some = rest[i:i + 4096]
             joint = np.array(self.tokenizer.encode_batch_fast(
-                [self.separator.join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            between = joint == self.separator_id
+                ["\n".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            between = joint == self.newline
             ends = np.flatnonzero(between)
             self._keep(some, joint[~between], np.concatenate([[0], ends - np.arange(len(ends))]))
 
@@ -87,6 +100,10 @@ class Encoder:
         if unknown:
             self._learn(list(dict.fromkeys([pieces[i] for i in unknown])))
             at[unknown] = [self.places[pieces[i]] for i in unknown]
+        return self._gather(at)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the kept pieces ``at``, end to end, and where each ends."""
         sizes = np.frombuffer(self.sizes, dtype=np.int64)[at]
         upto = np.cumsum(sizes)
         index = np.repeat(np.frombuffer(self.starts, dtype=np.int64)[at] - upto + sizes, sizes)
