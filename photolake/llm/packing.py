@@ -25,7 +25,7 @@ from photolake.llm.words import slices
 CAPACITY = 1024
 PIECE = 256
 #: Pieces in a group; a group's partitioning costs this times its windows.
-GROUP = 1024
+GROUP = 512
 END_ID = 0
 
 
