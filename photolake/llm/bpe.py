@@ -15,7 +15,7 @@ import numpy as np
 
 FILE = "byte_bpe_50k.json"
 #: Distinct pieces kept by a worker; beyond that it starts afresh.
-KEEP = 1_400_000
+KEEP = 1_200_000
 #: Characters of a text handled at a time.
 PART = 1 << 20
 
@@ -77,8 +77,8 @@ class Encoder:
         for piece in own:
             self._keep([piece], np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype=np.uint32),
                        _ZERO)
-        for i in range(0, len(rest), 4096):
-            some = rest[i:i + 4096]
+        for i in range(0, len(rest), 512):
+            some = rest[i:i + 512]
             joint = np.array(self.tokenizer.encode_batch_fast(
                 ["\n".join(some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             between = joint == self.newline
