@@ -30,10 +30,10 @@ from photolake.llm.words import BASE, BASE_INVERSE, mix, ngram_places, powers, s
 LENGTH = 100
 K = 24
 #: Stretches with one anchor that are compared together, bytes of a block, rows in a broadcast.
-TOGETHER = 4096
-BLOCK_BYTES = 2 << 20
+TOGETHER = 2048
+BLOCK_BYTES = 1 << 19
 BROADCAST_ROWS = 500_000
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 _NULL_ID = -(1 << 63)
 
 # A stretch's place in one number, in the order of the text: 15 bits of the text's hash (they tell repeated ids apart),
