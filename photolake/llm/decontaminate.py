@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from photolake.llm.base import text_batches, written
+from photolake.llm.base import text_batches, text_mark, without, written
 from photolake.llm.words import mix, ngram_hashes, ngram_places, slices, utf8, word_hashes
 
 N = 4
@@ -105,7 +105,7 @@ def _hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     text_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("mark"), text.alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_mark().alias("mark"), text.alias("text")).mapInArrow(run, schema)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -187,6 +187,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    bad = leaks(docs, benchmark, min_score).selectExpr("doc_id AS __id", "mark AS __mark").distinct()
-    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+    return without(docs, leaks(docs, benchmark, min_score))

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from photolake.llm.base import text_batches, written
+from photolake.llm.base import bounded, nested, text_batches, text_mark, without, written
 from photolake.llm.graph import components
 from photolake.llm.words import mix, ngram_hashes, ngram_places, slices, utf8, word_hashes
 
@@ -29,8 +29,6 @@ MAX_HASHES = 96
 BLOCK = 1024
 #: Bytes of n-gram sets dealt to one task.
 BIN_BYTES = 16 << 20
-#: Ids in a broadcast; more are joined by shuffling.
-BROADCAST_IDS = 500_000
 
 
 def bands_and_rows(similarity: float = SIMILARITY, recall: float = TARGET_RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -95,20 +93,22 @@ def _signatures(grams: np.ndarray, first: np.ndarray, bands: int, rows: int) ->
 
 
 def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, key (digest of the n-gram set), n_grams, bands."""
+    """(doc_id, mark, text) -> doc_id, mark, key (digest of the n-gram set), n_grams, bands."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, texts in slices(batch.column(1)):
+            for begin, texts in slices(batch.column(2)):
                 grams, first = _sets(texts, n)
                 values = _signatures(grams, first, bands, rows).view(np.int64).reshape(-1)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(begin, len(texts)), pa.array(_digests(grams, first), pa.binary()),
+                    batch.column(0).slice(begin, len(texts)), batch.column(1).slice(begin, len(texts)),
+                    pa.array(_digests(grams, first), pa.binary()),
                     pa.array(np.diff(first), pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(values))],
-                    names=["doc_id", "key", "n_grams", "bands"])
+                    names=["doc_id", "mark", "key", "n_grams", "bands"])
 
     text_batches(docs.sparkSession)
-    return docs.mapInArrow(sign, "doc_id long, key binary, n_grams long, bands array<long>")
+    return docs.select("doc_id", text_mark().alias("mark"), "text").mapInArrow(
+        sign, "doc_id long, mark long, key binary, n_grams long, bands array<long>")
 
 
 def sets(docs: DataFrame, n: int) -> DataFrame:
@@ -211,11 +211,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: f
                .where("n > 1").groupBy("n", "lead", "mark").agg(F.min(F.struct("band", "hash")).alias("b"))
                .select("b.band", "b.hash", "n"))
     members = written(entries.join(buckets, ["band", "hash"]))
-    involved = members.select("key").distinct().join(texts, "key")
-    ids = involved.select(F.col("first_id").alias("doc_id")).distinct()
-    n_ids, n_bytes = involved.agg(F.count("*"), F.sum("n_grams")).first()
-    if n_ids <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = bounded(members.select("key").distinct().join(texts, "key").select(F.col("first_id").alias("doc_id")).distinct())
     grams = sets(docs.join(ids, "doc_id", "left_semi"), n).groupBy("key").agg(F.first("grams").alias("grams"))
     n_blocks = F.ceil(F.col("n") / block)
     dealt = (members.withColumn("block", F.pmod(F.xxhash64("key"), n_blocks).cast("int"))
@@ -247,11 +243,12 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: f
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = N, recall: float = TARGET_RECALL,
                     block: int = BLOCK) -> DataFrame:
-    """(doc_id, text) -> one row per row of ``docs``: doc_id, class_id, n_links, n_text_links, n_copies.
+    """(doc_id, text) -> one row per row of ``docs``: doc_id, class_id, n_links, n_text_links, n_copies,
+    is_first, mark.
 
     class_id is the least doc_id of those reached over links (similarity of n-gram sets at least ``similarity``), n_links the
     number of other rows linked to this one, copies included, n_text_links the number of different texts linked, n_copies the
-    rows with this very n-gram set. Null and empty texts and texts without words have no n-grams and no links; they are classes of
+    rows with this very n-gram set; is_first marks the row that may stand for its class, mark is a hash of its text. Null and empty texts and texts without words have no n-grams and no links; they are classes of
     their own, as are rows without doc_id (class_id null). Texts of fewer than ``n`` words are linked to copies only. Repeated rows
     are copies. Other columns are ignored; an empty table gives an empty table.
     """
@@ -259,16 +256,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, n: int = N,
     degree = found.groupBy("key").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
     roots = components(found.selectExpr("key AS u", "lead AS v")).withColumnRenamed("node", "key")
     grouped = roots.join(texts.select("key", "first_id"), "key")
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = grouped.join(least, "root").select("key", "class_id")
+    least = grouped.groupBy("root").agg(F.min(F.struct("first_id", "key")).alias("least"))
+    classes = grouped.join(least, "root").selectExpr("key", "least.first_id AS class_id", "least.key = key AS leads")
     info = written(texts.select("key", "first_id", "copies").join(degree, "key", "left").join(classes, "key", "left")
                    .where("copies > 1 OR links > 0")
-                   .selectExpr("key", "coalesce(class_id, first_id) AS class_id", "coalesce(links, 0) AS links",
-                               "coalesce(linked, 0) AS linked", "copies"))
-    rows = keyed.select("doc_id", "key", "n_grams").join(info, "key", "left").selectExpr(
+                   .selectExpr("key", "first_id", "coalesce(class_id, first_id) AS class_id", "coalesce(leads, true) AS leads",
+                               "coalesce(links, 0) AS links", "coalesce(linked, 0) AS linked", "copies"))
+    rows = keyed.select("doc_id", "mark", "key", "n_grams").join(info, "key", "left").selectExpr(
         "doc_id", "CASE WHEN n_grams > 0 THEN coalesce(class_id, doc_id) ELSE doc_id END AS class_id",
-        "coalesce(linked + copies - 1, 0) AS n_links", "coalesce(links, 0) AS n_text_links", "coalesce(copies, 1) AS n_copies")
+        "coalesce(linked + copies - 1, 0) AS n_links", "coalesce(links, 0) AS n_text_links", "coalesce(copies, 1) AS n_copies",
+        "n_grams = 0 OR coalesce(leads AND doc_id = first_id, true) AS is_first", "mark")
     lone = docs.where("doc_id IS NULL").selectExpr(
         "CAST(doc_id AS BIGINT) AS doc_id", "CAST(NULL AS BIGINT) AS class_id", "0L AS n_links", "0L AS n_text_links",
-        "1L AS n_copies")
+        "1L AS n_copies", "true AS is_first", "xxhash64(coalesce(CAST(text AS STRING), '')) AS mark")
     return rows.unionByName(lone)
+
+
+def deduplicate(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` with one row of each class; rows without doc_id stay."""
+    found = written(near_duplicates(docs, **params))
+    kept = without(docs, found.where("NOT is_first"))
+    twice = written(found.where("is_first AND doc_id IS NOT NULL").groupBy("doc_id", "mark").count().where("count > 1"))
+    if twice.isEmpty():
+        return kept
+    # Rows equal in id and text: one of them stays.
+    bad = twice.selectExpr("doc_id AS bad_id", "mark AS bad_mark")
+    again = nested(kept).join(bad, (F.col("id") == F.col("bad_id")) & (F.col("mark") == F.col("bad_mark")), "left_semi")
+    return without(kept, twice).unionByName(again.dropDuplicates(["id", "mark"]).select("row.*"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from photolake.llm.base import written
+from photolake.llm.base import BROADCAST_ROWS, nested, text_mark, written
 
 ASSIGN = (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 MIN_VALUE = 8
@@ -41,6 +41,8 @@ MAX_FALSE = 0.05
 #: Classes with fewer tokens accept p above this.
 MIN_CLASS, DEFAULT_LIMIT = 20, 0.01
 _CHUNK = 512
+#: Characters of secrets in a broadcast.
+MAX_CHARS = 32 << 20
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -159,13 +161,25 @@ def joined(spans: str) -> str:
 
 
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """``docs`` with every found secret replaced by ``mark`` and n_chars counted again; all rows stay."""
-    found = scan(docs).where("size(all) > 0").selectExpr(
-        "doc_id AS __id", "array_distinct(transform(all, x -> x.s)) AS __s").groupBy("__id").agg(F.first("__s").alias("__s"))
-    longest = "array_sort(__s, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a = b THEN 0 ELSE 1 END)"
-    text = f"CASE WHEN __s IS NULL THEN text ELSE aggregate({longest}, text, (t, s) -> replace(t, s, '{mark}')) END"
-    out = docs.join(found, F.col("doc_id") == F.col("__id"), "left").withColumn("text", F.expr(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__s").isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    """``docs`` with every found secret replaced by ``mark`` and n_chars, if there, counted again; all rows stay."""
+    own = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), text_mark().alias("mark")).alias("doc_id"), "text")
+    found = written(scan(own).where("size(all) > 0").dropDuplicates(["doc_id"]).selectExpr(
+        "doc_id.id AS found_id", "doc_id.mark AS found_mark", "array_distinct(transform(all, x -> x.s)) AS secrets"))
+    n, chars = found.agg(F.count("*"), F.sum(F.expr("aggregate(secrets, 0L, (a, x) -> a + length(x))"))).first()
+    if n <= BROADCAST_ROWS and (chars or 0) <= MAX_CHARS:
+        found = F.broadcast(found)
+    # Longer ones first, so that none is left in part.
+    ordered = ("array_sort(secrets, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) "
+               "WHEN a < b THEN -1 WHEN a = b THEN 0 ELSE 1 END)")
+    text = f"CASE WHEN secrets IS NULL THEN row.text ELSE aggregate({ordered}, row.text, (t, s) -> replace(t, s, '{mark}')) END"
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark"))
+    joined = nested(docs).join(found, same, "left").withColumn("new_text", F.expr(text))
+    columns = []
+    for c in docs.columns:
+        column = F.col(f"row.`{c}`")
+        if c == "text":
+            column = F.col("new_text")
+        elif c == "n_chars":
+            column = F.when(F.col("secrets").isNull(), column).otherwise(F.length("new_text").cast(docs.schema[c].dataType))
+        columns.append(column.alias(c))
+    return joined.select(*columns)
