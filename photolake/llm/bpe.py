@@ -32,6 +32,8 @@ _CUT_AFTER = re.compile(r"\S(?= \S)")
 class Encoder:
     """Encodes texts as ``tokenizers`` does with add_special_tokens=False."""
 
+    keep = KEEP
+
     def __init__(self, file: str = FILE):
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -93,7 +95,7 @@ class Encoder:
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces end to end, and where each piece ends."""
-        if len(self.places) > KEEP:
+        if len(self.places) > self.keep:
             self._clear()
         at = np.fromiter(map(self.places.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
         unknown = np.flatnonzero(at < 0).tolist()
@@ -150,8 +152,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(file: str = FILE) -> Encoder:
-    """The worker's encoder for a file; loaded once."""
+def encoder(file: str = FILE, keep: int = KEEP) -> Encoder:
+    """The worker's encoder for a file; loaded once. ``keep``: distinct pieces kept."""
     if file not in _encoders:
         _encoders[file] = Encoder(file)
+    _encoders[file].keep = keep
     return _encoders[file]

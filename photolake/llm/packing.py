@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from photolake.llm.base import text_batches, written
-from photolake.llm.bpe import FILE, encoder
+from photolake.llm.bpe import FILE, KEEP, encoder
 from photolake.llm.words import slices
 
 CAPACITY = 1024
@@ -88,10 +88,10 @@ def windows(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, file: str = FILE, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, file: str = FILE, with_ids: bool = False, keep: int = KEEP) -> DataFrame:
     """(doc_id, text) -> the pieces of every document, ``ids`` too if asked for."""
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(file)
+        coder = encoder(file, keep)
         for batch in batches:
             for first, texts in slices(batch.column(1), 1 << 20):
                 ids, bounds = coder.encode(texts.to_pylist(), END_ID)
@@ -115,14 +115,15 @@ def pieces(docs: DataFrame, file: str = FILE, with_ids: bool = False) -> DataFra
         tokens, PIECES + ", ids array<int>" * with_ids)
 
 
-def pack(docs: DataFrame, file: str = FILE, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, file: str = FILE, with_ids: bool = False, keep: int = KEEP) -> DataFrame:
     """(doc_id, text) -> pieces with sequence_id and offset: which part of which document stands where.
 
     Null and empty texts are one piece, the end id. Repeated rows and null ids are packed like any others; other columns
     are ignored; an empty table gives an empty table. A full window is a sequence of its own; a packed sequence holds at
-    most CAPACITY ids, offsets run from 0 without gaps. Only (length, place) of pieces meet in a group, never ids.
+    most CAPACITY ids, offsets run from 0 without gaps. Only (length, place) of pieces meet in a group, never ids. ``keep``
+    bounds the encoder's memory, about 300 bytes for each kept word.
     """
-    cut_up = written(pieces(docs, file, with_ids).withColumn("__row", F.monotonically_increasing_id()))
+    cut_up = written(pieces(docs, file, with_ids, keep).withColumn("__row", F.monotonically_increasing_id()))
     n_groups = max(1, -(-cut_up.where(F.col("length") < CAPACITY).count() // GROUP))
     full = cut_up.where(F.col("length") == CAPACITY).withColumn("sequence_id", F.col("__row") * 2).withColumn(
         "offset", F.lit(0).cast("long"))
