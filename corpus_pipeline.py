@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from photolake.llm import decontaminate, langid, ngram_join, packing, secrets
 from photolake.llm.base import bounded, table, text_mark, written
 
+#: Words whose ids a worker keeps in memory while it packs, beside what the stages before have left there.
+KEPT_WORDS = 150_000
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the model's languages, with a posterior above the limit, stay."""
@@ -43,7 +46,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces placed in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, keep=KEPT_WORDS)
 
 
 STAGES = [
