@@ -45,15 +45,16 @@ _ANCHOR = "CAST(pos & 255 AS INT)"
 
 
 def _stretches(texts: pa.Array, length: int, k: int) -> tuple[np.ndarray, ...]:
-    """(text, start in it, further windows, anchor's distance, anchor's hash) of all stretches."""
+    """(text, start in it, further windows, anchor's distance, anchor's hash, hash of the bytes) of all stretches."""
     raw, bounds = utf8(texts)
     n, w = len(raw), length - k + 1
     places, text = ngram_places(bounds, length, n)
     if not len(places):
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4)) + (np.zeros(0, dtype=np.uint64),)
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4)) + (np.zeros(0, dtype=np.uint64),) * 2
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
-    hashes = mix((total[k:] - total[:-k]) * powers(BASE_INVERSE, n)[:n - k + 1])
+    back = powers(BASE_INVERSE, n)
+    hashes = mix((total[k:] - total[:-k]) * back[:n - k + 1])
     m = len(hashes)
     # The upper bits order K-grams, the lower ones hold the place: ties go to the left.
     ranked = np.full(-(-m // w) * w, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -67,23 +68,25 @@ def _stretches(texts: pa.Array, length: int, k: int) -> tuple[np.ndarray, ...]:
     begin[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(begin)
     last = np.append(at[1:] - 1, len(places) - 1)
-    return (text[at], places[at] - bounds[text[at]], last - at, anchor[at] - places[at], hashes[anchor[at]])
+    more, distance, begin = last - at, anchor[at] - places[at], places[at]
+    content = mix((total[begin + more + length] - total[begin]) * back[begin]) ^ mix(((more << 8) | distance).astype(np.uint64))
+    return text[at], begin - bounds[text[at]], more, distance, hashes[anchor[at]], content
 
 
 def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(id, tie, text) -> key (the anchor's hash), id, pos."""
+    """(id, tie, text) -> key (the anchor's hash), id, pos, content (hash of the stretch)."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             ties = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for first, part in slices(batch.column(2), _SLICE):
-                text, start, more, distance, key = _stretches(part, length, k)
+                text, start, more, distance, key, content = _stretches(part, length, k)
                 pos = (ties[first + text] << 48) | (start << 15) | (more << 8) | distance
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[first + text]), pa.array(pos)],
-                                                 names=["key", "id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[first + text]), pa.array(pos),
+                                                  pa.array(content.view(np.int64))], names=["key", "id", "pos", "content"])
 
     text_batches(docs.sparkSession)
-    return docs.select("id", "tie", "text").mapInArrow(find, "key long, id long, pos long")
+    return docs.select("id", "tie", "text").mapInArrow(find, "key long, id long, pos long, content long")
 
 
 def _split(stretches: DataFrame, length: int, k: int, together: int) -> DataFrame:
@@ -164,18 +167,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, together:
         copies = F.broadcast(copies)
     texts = rows.join(copies, ["id", "tie"], "left_anti")
 
-    counted = _anchors(texts, length, k).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    repeated = written(_anchors(texts, length, k).join(counted, "key", "left_semi"))
-    tied = repeated.withColumn("tie", F.expr(_TIE))
-    found = written(tied.join(texts, ["id", "tie"]).selectExpr(
-        "key", "id", "pos", f"substring(text, CAST({_START} AS INT) + 1, CAST({_SIZE} AS INT)) AS bytes")
-        .withColumn("content", F.xxhash64("bytes")))
+    anchors = written(_anchors(texts, length, k))
+    counted = anchors.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    found = written(anchors.join(counted, "key", "left_semi"))
     contents = written(found.groupBy("key", "content").agg(F.min(F.struct("id", "pos")).alias("f"), F.count("*").alias("n")))
-    late = (found.select("key", "content", "id", "pos").join(contents.where("n > 1").select("key", "content", "f"), ["key", "content"])
+    late = (found.join(contents.where("n > 1").select("key", "content", "f"), ["key", "content"])
             .where("id <> f.id OR pos <> f.pos").selectExpr("id", f"{_TIE} AS tie", f"{_START} AS a", f"{_START} + {_SIZE} AS b"))
     several = contents.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    wanted = contents.join(several, "key", "left_semi").select("key", "content", "f.id", "f.pos")
-    stretches = written(found.join(wanted, ["key", "content", "id", "pos"], "left_semi").select("key", "id", "pos", "bytes"))
+    wanted = contents.join(several, "key", "left_semi").select("key", "f.id", "f.pos").withColumn("tie", F.expr(_TIE))
+    stretches = written(wanted.join(texts, ["id", "tie"]).selectExpr(
+        "key", "id", "pos", f"substring(text, CAST({_START} AS INT) + 1, CAST({_SIZE} AS INT)) AS bytes"))
     n_blocks = max(1, -(-(stretches.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // block_bytes))
 
     def search(block: pd.DataFrame) -> pd.DataFrame:
@@ -190,8 +191,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, together:
               .groupBy("block").applyInPandas(search, "id long, tie int, a long, b long"))
     runs = written(late.select("id", "tie", "a", "b").unionByName(inside))
     per_text = runs.groupBy("id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
-    if runs.count() <= 8 * BROADCAST_ROWS and runs.select("id", "tie").distinct().count() <= BROADCAST_ROWS:
-        per_text = F.broadcast(per_text)
     cut = written(_rest(texts.join(per_text, ["id", "tie"]))).dropDuplicates(["id", "tie"])
     doc_id = f"nullif(id, CAST({_NULL_ID} AS BIGINT)) AS doc_id"
     firsts = placed.where("is_first").join(cut, ["id", "tie"], "left").selectExpr(
