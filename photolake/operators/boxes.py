@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from photolake.functions.columns import box_score, int_div, iou, packed_luma, ratio, var_pop_of
 from photolake.operators.features import palette_topk
+from photolake.operators.ranking import ranked
 from photolake.operators.raster import roi_rasters
 from photolake.operators.texture import tone_and_edges
 
@@ -30,12 +31,14 @@ def scored(boxes: DataFrame) -> DataFrame:
 def box_rank(boxes: DataFrame, limit: int | None = None) -> DataFrame:
     """Boxes of each image by size and squareness, best first.
 
-    An image's full ranking is a sort inside that image. Callers that need only the best boxes pass
-    ``limit``, which is applied per task before the exchange.
+    The full ranking is placed by range, so an image with very many boxes spans several tasks. Callers that
+    need only the best boxes pass ``limit``, which is applied per task before the exchange.
     """
+    if not limit:
+        full = ranked(scored(boxes), ["image_id"], [F.desc("score"), F.asc("box_id")])
+        return full.withColumn("rank", F.col("rank").cast("int"))
     order = W.partitionBy("image_id").orderBy(F.desc("score"), "box_id")
-    ranked = scored(boxes).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= limit) if limit else ranked
+    return scored(boxes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
 def box_nms(boxes: DataFrame, threshold: float = 0.3, keep: int = 5) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from photolake.operators import features, metadata as md, predictions as pred
 from photolake.operators.raster import by_image
 from photolake.operators.search import SearchParams, make_filename, ntz, search_posts, skip_known
+from photolake.session import cut
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ def collect_images(posts: DataFrame, cat: Catalogue, p: CollectParams, existing:
     chosen = make_filename(chosen, p.run_ts, p.pattern)
     info = cat.images.join(chosen.select("image_id").distinct(), "image_id", "left_semi").select(
         "image_id", "width", "height", md.cheap_filter(p.filters).alias("cheap_ok"))
-    placed = by_image(md.survivors(cat.rasters, info))
+    placed = by_image(md.survivors(cat.rasters, info.where(F.coalesce("cheap_ok", F.lit(True)))))
     info = info.join(features.gray_entropy_nats(placed), "image_id", "left")
     if p.filters.palette:
         info = info.join(features.mean_color(placed), "image_id", "left")
@@ -75,7 +75,8 @@ def collect_images(posts: DataFrame, cat: Catalogue, p: CollectParams, existing:
 
 
 def status_partition(collected: DataFrame) -> dict[str, DataFrame]:
-    """Downloaded, skipped and failed rows: three filters of one status column, disjoint by construction."""
+    """Downloaded, skipped and failed rows: three filters of one status column, which is computed once."""
+    collected = cut(collected)
     return {s: collected.where(F.col("status") == s) for s in ("downloaded", "skipped", "error")}
 
 
@@ -138,7 +139,3 @@ def resume_collection(previous: State | None, posts: DataFrame, cat: Catalogue,
     start = resume_window(previous.runs, now).first()["start_ts"]
     fresh = replace(p, run_ts=now, search=replace(p.search, start=str(start), end=now))
     return merge_collections(previous, run_collection(posts, cat, fresh, params, existing, known=previous.items))
-
-
-def known_urls(items: DataFrame, statuses: Sequence[str] = ("downloaded", "skipped")) -> DataFrame:
-    return items.where(F.col("status").isin(list(statuses))).select("url").distinct()

@@ -237,7 +237,7 @@ def duplicate_groups(hashes: DataFrame, k: int = 6, hot: int = HOT) -> DataFrame
 
 
 def exact_duplicates(images: DataFrame, content: str = "content") -> DataFrame:
-    """Groups of identical content: (kept, image_id). Only digests travel, never the bytes."""
-    digests = images.select("image_id", F.sha2(F.col(content), 256).alias("digest"))
+    """Groups of identical content: (kept, image_id). The bytes are read once, only digests travel."""
+    digests = cut(images.select("image_id", F.sha2(F.col(content), 256).alias("digest")))
     groups = digests.groupBy("digest").agg(F.min("image_id").alias("kept"), F.count("*").alias("n")).where("n > 1")
     return digests.join(groups, "digest").select("kept", "image_id", "n")

@@ -191,7 +191,7 @@ def image_report(images: DataFrame, rasters: DataFrame, predictions: DataFrame)
     profile = features.color_profile(placed)
     histogram = profile.select("image_id", F.struct(
         F.col("hist_r").alias("red"), F.col("hist_g").alias("green"), F.col("hist_b").alias("blue")).alias("histogram"))
-    texture_parts = texture.glcm_features(texture.glcm(placed))
+    texture_parts = texture.glcm_features(texture.glcm(placed, angles=("0",)))
     return (images.join(basic, "image_id").join(palette, "image_id").join(histogram, "image_id")
             .join(texture.tone_and_edges(placed), "image_id")
             .join(texture_parts.select("image_id", F.struct(*[c for c in texture_parts.columns if c != "image_id"])

@@ -56,8 +56,8 @@ def quality_score(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 DIRECTIONS = (("0", 0, 1), ("45", 1, 1), ("90", 1, 0), ("135", 1, -1))
 
 
-def glcm(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Symmetric, normalised gray co-occurrence per direction; only cells that occur.
+def glcm(rasters: DataFrame, keys: Sequence[str] = KEYS, angles: Sequence[str] = ("0", "45", "90", "135")) -> DataFrame:
+    """Symmetric, normalised gray co-occurrence for each of ``angles``; only cells that occur.
 
     Unordered pairs are counted, then mirrored, so the heavy grouping sees half the rows.
     """
@@ -68,7 +68,7 @@ def glcm(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.lit(name).alias("angle"),
         F.when((F.col("y") + dy < F.col("h")) & (F.col("x") + dx >= 0) & (F.col("x") + dx < F.col("w")),
                packed_luma(F.get("px", (F.col("y") + dy) * F.col("w") + F.col("x") + dx))).alias("u"))
-        for name, dy, dx in DIRECTIONS])
+        for name, dy, dx in DIRECTIONS if name in angles])
     cells = (flat.select(*keys, "w", "h", "v", F.inline(pairs)).where("u IS NOT NULL")
              .groupBy(*keys, "angle", F.least("v", "u").alias("lo"), F.greatest("v", "u").alias("hi"))
              .agg(F.count("*").alias("cnt"), F.any_value("w").alias("w"), F.any_value("h").alias("h")))

@@ -93,10 +93,11 @@ VIEWS: dict[str, tuple[str, str]] = {
           WHEN 'signup' THEN 'skipped_duplicate' ELSE 'success' END AS outcome,
          CASE WHEN event_type='error' THEN ({lst(ERROR_TYPES)})[(event_id%5)::INT+1] END AS error_type FROM events"""),
     "predictions": ("", f"""
-        SELECT vec_id AS image_id, ({lst(STYLE_LABELS)})[p] AS label, (1.0::DOUBLE+embedding[p])/s AS confidence,
+        SELECT vec_id AS image_id, ({lst(STYLE_LABELS)})[p] AS label, part[p]/list_sum(part) AS confidence,
          ({lst(STYLE_LABELS)})[label+1] AS true_label
-        FROM (SELECT vec_id, embedding, label,
-         list_sum(list_transform(embedding[1:10], lambda z: 1.0::DOUBLE+z)) AS s FROM embeddings), range(1,11) t(p)"""),
+        FROM (SELECT vec_id, label, list_transform(mean, lambda m: (m*m)*(m*m)) AS part FROM (SELECT vec_id, label,
+         list_transform(range(1,11), lambda c: list_sum(list_transform(embedding[c:len(embedding):10],
+          lambda z: 1.0::DOUBLE+z)) / len(embedding[c:len(embedding):10])) AS mean FROM embeddings)), range(1,11) t(p)"""),
     "synonyms": ("", f"SELECT * FROM (VALUES {_synonym_rows()}) v(key, synonym)"),
     # tag word (lower case) -> every word it expands to
     "expansion": ("synonyms", """

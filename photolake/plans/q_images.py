@@ -282,7 +282,7 @@ SELECT image_id, round(contrast,6) AS contrast, round(dissimilarity,6) AS dissim
  round(homogeneity,6) AS homogeneity, round(energy,6) AS energy,
  round(CASE WHEN var>1e-9 THEN cov/var ELSE 1.0 END,6) AS correlation FROM s JOIN c USING (image_id)""")
 def glcm_features(spark, d):
-    return rounded(texture.glcm_features(texture.glcm(rasters(spark, d))))
+    return rounded(texture.glcm_features(texture.glcm(rasters(spark, d), angles=("0",))))
 
 
 @query("edge_orientation_hist", views="stencil", sql="""

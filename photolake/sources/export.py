@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
@@ -45,11 +46,13 @@ def write_organised(metadata: DataFrame, path: str) -> None:
 
 
 def save_state(state: State, path: str, saved_ts: str) -> None:
-    """Append the state under its timestamp. ``runs`` is written last: without it a save does not exist."""
+    """Write the state under its timestamp; the same save again replaces it. ``runs`` is written last: without it a save
+    does not exist."""
     stamp = F.lit(saved_ts).alias("saved_ts")
     for name in ("items", "errors", "runs"):
         frame = getattr(state, name)
-        frame.select("*", stamp).write.mode("append").parquet(f"{path}/{name}")
+        (frame.select("*", stamp).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("saved_ts").parquet(f"{path}/{name}"))
 
 
 def load_state(spark: SparkSession, path: str) -> State | None:
@@ -57,13 +60,19 @@ def load_state(spark: SparkSession, path: str) -> State | None:
     try:
         runs = spark.read.schema(RUNS + ", saved_ts string").parquet(f"{path}/runs")
         latest = runs.agg(F.max("saved_ts")).first()[0]
-    except AnalysisException:
+    except (PySparkException, Py4JJavaError):
         return None
     if latest is None:
         return None
 
+    # saved_ts is the partition column: only the latest save's files are read.
     def at(name: str, schema: str) -> DataFrame:
         frame = spark.read.schema(schema + ", saved_ts string").parquet(f"{path}/{name}")
         return frame.where(F.col("saved_ts") == latest).drop("saved_ts")
 
-    return State(at("items", ITEMS), at("errors", ERRORS), at("runs", RUNS))
+    state = State(at("items", ITEMS), at("errors", ERRORS), at("runs", RUNS))
+    try:
+        state.items.count(), state.errors.count()  # reads the files' footers
+    except (PySparkException, Py4JJavaError):
+        return None
+    return state

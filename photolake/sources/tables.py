@@ -110,10 +110,14 @@ def attempts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten class confidences per image, with the true class."""
+    """Ten class confidences per image, with the true class. A class's weight is the fourth power of the
+    mean of 1 + z over the components whose position modulo 10 is the class."""
     labels = _sql_array(STYLE_LABELS)
     return (table(spark, sf_dir, "embeddings")
-            .selectExpr("vec_id AS image_id", f"{labels}[label] AS true_label", "slice(embedding, 1, 10) AS part")
-            .withColumn("total", F.expr("aggregate(part, 0.0D, (a, z) -> a + 1.0D + z)"))
+            .selectExpr("vec_id AS image_id", f"{labels}[label] AS true_label", "transform(sequence(0, 9), c -> aggregate("
+                        "filter(embedding, (z, i) -> i % 10 = c), named_struct('s', 0.0D, 'n', 0L), "
+                        "(a, z) -> named_struct('s', a.s + (1.0D + z), 'n', a.n + 1L), a -> a.s / a.n)) AS mean")
+            .withColumn("part", F.expr("transform(mean, m -> (m * m) * (m * m))"))
+            .withColumn("total", F.expr("aggregate(part, 0.0D, (a, z) -> a + z)"))
             .selectExpr("image_id", "true_label", "total", "posexplode(part) AS (p, e)")
-            .selectExpr("image_id", f"{labels}[p] AS label", "(1.0D + e) / total AS confidence", "true_label"))
+            .selectExpr("image_id", f"{labels}[p] AS label", "e / total AS confidence", "true_label"))

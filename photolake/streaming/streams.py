@@ -49,19 +49,28 @@ def stream_collect(posts: DataFrame, params: SearchParams, out: str, checkpoint:
     drain(search_posts(posts, params), checkpoint, lambda b, i: write_batch(b, i, out))
 
 
-def stream_dedup(photos: DataFrame, out: str, checkpoint: str, keep: str = "40 days") -> None:
-    """Collect each url once across batches.
+def stream_dedup(photos: DataFrame, out: str, checkpoint: str) -> None:
+    """Collect each url once across batches, however late it or its copies come.
 
-    The watermark bounds the remembered urls: a copy later than ``keep`` may pass again.
+    The collected urls are the state: a batch's urls are joined against those of earlier batches.
     """
-    once = (photos.select("url", utc_instant(F.col("post_ts")).alias("seen_at"))
-            .withWatermark("seen_at", keep).dropDuplicatesWithinWatermark(["url"]))
-    drain(once.select("url"), checkpoint, lambda b, i: write_batch(b, i, out))
+    def collect(batch: DataFrame, batch_id: int) -> None:
+        new = batch.distinct()
+        if batch_id > 0:
+            # An earlier batch always leaves its folder, so the table exists from the second batch on.
+            known = batch.sparkSession.read.schema("url string, batch_id int").parquet(out)
+            new = new.join(known.where(F.col("batch_id") < batch_id).select("url"), "url", "left_anti")
+        write_batch(new, batch_id, out)
+
+    drain(photos.select("url"), checkpoint, collect)
 
 
 def stream_stats(attempts: DataFrame, out: str, checkpoint: str, width: str = "1 day") -> None:
-    """Running outcome counters per time window; each batch writes the counters it changed."""
-    counts = (attempts.select("outcome", utc_instant(F.col("ts")).alias("at")).withWatermark("at", "40 days")
+    """Running outcome counters per time window; each batch writes the counters it changed.
+
+    There is no watermark, so late attempts count; the state is one counter per window and outcome.
+    """
+    counts = (attempts.select("outcome", utc_instant(F.col("ts")).alias("at"))
               .groupBy(F.window("at", width).alias("w"), "outcome").agg(F.count("*").alias("n"))
               .select(utc_zoneless(F.col("w.start")).alias("window_start"), "outcome", "n"))
     drain(counts, checkpoint, lambda b, i: write_batch(b, i, out), "update")

@@ -105,6 +105,12 @@ def test_state_round_trip(spark, tmp_path):
     export.save_state(state(spark, 16, ["9"], [], ["e"], {}), path, "2024-01-02T00:00:00")
     later = export.load_state(spark, path)
     assert (later.runs.first().total_found, later.items.count(), later.errors.count()) == (16, 1, 1)
+    export.save_state(state(spark, 16, ["9"], [], ["e"], {}), path, "2024-01-02T00:00:00")
+    again = export.load_state(spark, path)
+    assert (again.runs.count(), again.items.count(), again.errors.count()) == (1, 1, 1)
+    for damaged in (tmp_path / "state" / "runs").glob("saved_ts=*/*.parquet"):
+        damaged.write_bytes(b"no parquet")
+    assert export.load_state(spark, path) is None
 
 
 def test_resume_window(spark):
@@ -285,6 +291,8 @@ def test_stream_stats(spark, tmp_path):
     for n in range(3):
         rows = [(ts(1 + n, h % 24), "success" if h % 4 else "failed") for h in range(30)]
         spark.createDataFrame(rows, "ts timestamp_ntz, outcome string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late = [(dt.datetime(2020, 1, 1), "success")]  # counts, however late
+    spark.createDataFrame(late, "ts timestamp_ntz, outcome string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     log = spark.read.parquet(str(tmp_path / "in"))
     streams.stream_stats(streams.read_stream(spark, str(tmp_path / "in"), log.schema), str(tmp_path / "out"), str(tmp_path / "c"))
     got = streams.latest_counts(spark.read.parquet(str(tmp_path / "out")))
