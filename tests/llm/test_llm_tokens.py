@@ -27,7 +27,7 @@ def coder():
 
 
 @settings(max_examples=300, deadline=None)
-@given(text=st.text(alphabet=st.sampled_from(list("ab,.!'_ \n\t\x00 　é𝔘5s|<>") + ["<|endoftext|>", "don't"]), max_size=30))
+@given(text=st.lists(st.sampled_from(list("ab,.!'_ \n\t\x00 　é𝔘5s|<>") + ["<|endoftext|>", "don't"]), max_size=30).map("".join))
 def test_ids_equal_the_library(coder, plain, text):
     assert coder.encode([text])[0].tolist() == plain.encode(text, add_special_tokens=False).ids
 
