@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare word n-grams are seeds, local alignment of words is the verdict.
+"""Benchmark decontamination: shared word n-grams are seeds, local alignment of words is the verdict.
 
 1. The n-grams of all benchmark items fill a Bloom filter of fixed size, the only thing that is broadcast. One map over the
    documents hashes their words and keeps documents with n-grams that pass, their words and those n-grams.
-2. Each n-gram's document frequency is counted. An item's n-grams are seeds unless they are far more frequent than is
-   usual among its own: what a copy of the item shares with it is not only common phrases.
+2. Every n-gram of an item is a seed, however often documents hold it: leaks themselves make n-grams frequent, so a count
+   cannot tell common phrases from popular leaks. Common phrases cost alignments and are turned down by their score.
 3. Seeds join documents to items by a shuffle. Hits of a document and an item are merged by diagonal into passages of at
    most a few item lengths; nothing is gathered per document or per item.
 4. Smith-Waterman alignment of words scores each passage, batches of passages at a time. The score is a share of the
@@ -22,8 +22,6 @@ from photolake.llm.base import text_batches, text_mark, without, written
 from photolake.llm.words import mix, ngram_hashes, ngram_places, slices, utf8, word_hashes
 
 N = 4
-#: An n-gram is no seed if it is in this many times more documents than the item's median n-gram.
-COMMON = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 FILTER_BITS = 24
@@ -165,14 +163,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -
     bits = bloom_filter(grams)
     found = written(_hits(docs, bits).withColumn("row", F.monotonically_increasing_id()))
     hits = found.select("row", F.explode(F.arrays_zip("pos", "hash")).alias("h")).select("row", "h.pos", "h.hash")
-    frequency = hits.join(grams.select("hash").distinct(), "hash", "left_semi").groupBy("hash").agg(
-        F.count("*").alias("df"))
-    present = grams.join(frequency, "hash")
-    usual = present.groupBy("item").agg(F.percentile("df", F.lit(0.5)).alias("usual"))
-    seeds = present.join(usual, "item").where(F.col("df") <= COMMON * F.col("usual")).select("item", "item_pos", "hash")
     n_words = "CAST(octet_length(words) DIV 8 AS INT)"
     lengths = items.selectExpr("item", f"{n_words} AS length")
-    diagonals = hits.join(seeds, "hash").join(lengths, "item").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
+    diagonals = hits.join(grams, "hash").join(lengths, "item").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
     slack = "greatest(8, length DIV 4)"
     passages = (diagonals.groupBy("row", "item", "length", F.expr("floor(diagonal / length)").alias("cell"))
                 .agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))

@@ -184,6 +184,15 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs.limit(0), benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_in_many_documents(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = " ".join(f"x{i}" if i in (6, 13, 20, 27, 34) else w for i, w in enumerate(item))
+    rows = [(0, " ".join(item))] + [(i, f"a{i} b{i} c{i} {edited} d{i}") for i in range(1, 13)] + [(20, f"{edited} e f g h " * 9)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    expected = {d: round(rough(" ".join(item), t), 4) for d, t in rows}
+    assert {r.doc_id: r.score for r in decontaminate.leaks(spark.createDataFrame(rows, DOC), benchmark).collect()} == expected
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     extra = [(None, "the and of that is secret: abcdefghijk the with for", None, None, 1), (5000, None, "en", "s", 0),
