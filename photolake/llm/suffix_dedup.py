@@ -10,6 +10,7 @@ before in the same one. The order is exact and global; the work is split by cont
 4. Different stretches with one anchor meet in blocks of bounded size, where equal windows are found from the block's
    Burrows-Wheeler transform (``suffixes.py``). An anchor with very many stretches is split: a window holds at least half
    of the bytes beside the anchor on one side, so stretches that share a window share these bytes, and so on, exactly.
+   Many stretches that share one whole window need no block: all but the window's earliest place are repeats.
 5. Repeated runs are merged per document and the remaining bytes digested.
 """
 
@@ -89,21 +90,28 @@ def _anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     return docs.select("id", "tie", "text").mapInArrow(find, "key long, id long, pos long, content long")
 
 
-def _split(stretches: DataFrame, length: int, k: int, together: int) -> DataFrame:
+def _split(stretches: DataFrame, length: int, k: int, together: int) -> tuple[DataFrame, DataFrame, int]:
     """(key, id, pos, bytes) -> the same, split where a key has more than ``together`` stretches, until none has or a key
-    stands for one window. Keys with a single stretch are left out."""
+    stands for one window; the runs (id, tie, a, b) of windows with more; and the bytes of the split rows. Keys with a single
+    stretch are left out."""
     beside = length - k
     now = stretches.withColumns({"l": F.lit(0), "r": F.lit(0)})
-    done = []
+    same = ["key", "l", "r"]
+    few, whole = f"n > 1 AND n <= {together}", f"n > {together} AND l + r = {beside}"
+    rest, windows, n_bytes = [], [], 0
     while True:
-        sizes = now.groupBy("key").agg(F.count("*").alias("n"))
-        if now.where(F.col("l") + F.col("r") < beside).groupBy("key").count().where(F.col("count") > together).isEmpty():
-            done.append(now.join(sizes.where("n > 1"), "key", "left_semi"))
+        sizes = written(now.groupBy(*same).agg(F.count("*").alias("n"), F.sum(F.octet_length("bytes")).alias("size")))
+        total = sizes.select(
+            F.sum(F.expr(f"CASE WHEN {few} THEN size END")), F.max(F.expr(whole)),
+            F.max(F.expr(f"n > {together} AND l + r < {beside}"))).first()
+        n_bytes += total[0] or 0
+        rest.append(now.join(sizes.where(few), same, "left_semi"))
+        if total[1]:
+            windows.append(now.join(sizes.where(whole), same, "left_semi").selectExpr(
+                "id", "pos", f"substring(bytes, {_ANCHOR} - l + 1, {length}) AS window", f"{_START} + {_ANCHOR} - l AS a"))
+        if not total[2]:
             break
-        small = sizes.where((F.col("n") > 1) & (F.col("n") <= together))
-        done.append(now.join(small, "key", "left_semi").unionByName(
-            now.where(F.col("l") + F.col("r") == beside).join(sizes.where(F.col("n") > together), "key", "left_semi")))
-        hot = now.where(F.col("l") + F.col("r") < beside).join(sizes.where(F.col("n") > together), "key", "left_semi")
+        hot = now.join(sizes.where(f"n > {together} AND l + r < {beside}"), same, "left_semi")
         half = f"CAST(ceil(({beside} - l - r) / 2) AS INT)"
         after = f"({_SIZE} - {_ANCHOR} - {k})"
         sides = hot.withColumn("side", F.expr(
@@ -112,10 +120,23 @@ def _split(stretches: DataFrame, length: int, k: int, together: int) -> DataFram
         now = written(sides.selectExpr(
             f"xxhash64(key, side.l, side.r, substring(bytes, {_ANCHOR} - side.l + 1, side.l + {k} + side.r)) AS key",
             "id", "pos", "bytes", "side.l AS l", "side.r AS r"))
-    out = done[0]
-    for part in done[1:]:
+    out = rest[0]
+    for part in rest[1:]:
         out = out.unionByName(part)
-    return out.select("key", "id", "pos", "bytes")
+    return out.select("key", "id", "pos", "bytes"), _late_windows(windows, stretches, length), n_bytes
+
+
+def _late_windows(windows: list[DataFrame], stretches: DataFrame, length: int) -> DataFrame:
+    """Runs (id, tie, a, b) of all places of each window but the earliest. Partial aggregation: no window meets in one task."""
+    if not windows:
+        return stretches.where("false").selectExpr("id", f"{_TIE} AS tie", f"{_START} AS a", f"{_START} AS b")
+    places = windows[0]
+    for part in windows[1:]:
+        places = places.unionByName(part)
+    places = written(places)
+    firsts = places.groupBy("window").agg(F.min(F.struct("id", "pos")).alias("f"))
+    return places.join(firsts, "window").where("id <> f.id OR pos <> f.pos").selectExpr(
+        "id", f"{_TIE} AS tie", "a", f"a + {length} AS b")
 
 
 def _rest(docs: DataFrame) -> DataFrame:
@@ -177,7 +198,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, together:
     wanted = contents.join(several, "key", "left_semi").select("key", "f.id", "f.pos").withColumn("tie", F.expr(_TIE))
     stretches = written(wanted.join(texts, ["id", "tie"]).selectExpr(
         "key", "id", "pos", f"substring(text, CAST({_START} AS INT) + 1, CAST({_SIZE} AS INT)) AS bytes"))
-    n_blocks = max(1, -(-(stretches.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0) // block_bytes))
+    split, late_windows, n_bytes = _split(stretches, length, k, together)
+    n_blocks = max(1, -(-n_bytes // block_bytes))
 
     def search(block: pd.DataFrame) -> pd.DataFrame:
         block = block.drop_duplicates(["id", "pos"]).sort_values(["id", "pos"], ignore_index=True)
@@ -187,9 +209,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, together:
         return pd.DataFrame({"id": block["id"].to_numpy()[which], "tie": (pos[which] >> 48).astype(np.int32),
                              "a": start + begin, "b": start + end})
 
-    inside = (_split(stretches, length, k, together).withColumn("block", F.pmod("key", F.lit(n_blocks)))
+    inside = (split.withColumn("block", F.pmod("key", F.lit(n_blocks)))
               .groupBy("block").applyInPandas(search, "id long, tie int, a long, b long"))
-    runs = written(late.select("id", "tie", "a", "b").unionByName(inside))
+    runs = written(late.select("id", "tie", "a", "b").unionByName(late_windows).unionByName(inside))
     per_text = runs.groupBy("id", "tie").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     cut = written(_rest(texts.join(per_text, ["id", "tie"]))).dropDuplicates(["id", "tie"])
     doc_id = f"nullif(id, CAST({_NULL_ID} AS BIGINT)) AS doc_id"

@@ -60,6 +60,26 @@ def test_repeated_bytes(spark, params):
     assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, **params).collect()} == removed(rows, 100)
 
 
+def test_crowded_windows_go_to_no_block(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = text(150)
+    rows = [(i, text(160) + shared + text(160)) for i in range(60)]
+    largest, sizes = 8, []
+    split = suffix_dedup._split
+
+    def watched(*args):
+        out = split(*args)
+        parts = out if isinstance(out, tuple) else (out,)
+        sizes.extend(r["count"] for r in parts[0].groupBy("key").count().collect())
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_split", watched)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOC), together=largest)
+    assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == removed(rows, 100)
+    assert max(sizes, default=0) <= largest
+
+
 def test_repeated_rows_and_ids(spark):
     rows = [(None, "ab" * 80), (3, "ab" * 80), (3, "ab" * 80), (3, "xy" * 90), (1, None)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOC)).collect()
