@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from photolake.llm import chat, decontaminate, langid, ngram_join, packing, quality, secrets, sharding, suffix_dedup, token_files
-from photolake.llm.base import table
+from photolake.llm import (chat, decontaminate, langid, ngram_join, packing, prefix_trie, quality, secrets, sharding, simhash,
+                           spelling, suffix_dedup, token_files)
+from photolake.llm.base import bounded, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,3 +194,103 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of a string's UTF-8 bytes, bit by bit."""
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(0, strlen({text})), lambda k: "
+            f"[('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), "
+            "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)")
+
+
+#: One of so many runs is damaged.
+DAMAGED = 31
+
+
+@query("op11_spelling_variants", sql=f"""
+    WITH RECURSIVE
+    runs AS (
+      SELECT run, count(*) AS k, {crc32_sql('tagged')} AS h FROM (
+        SELECT run, concat(doc_id, ':', run) AS tagged FROM (
+          SELECT doc_id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'),
+            '[a-zÀ-ÿ]+')) AS run FROM documents) WHERE length(run) >= {spelling.MIN_LENGTH})
+      GROUP BY run, tagged),
+    words AS MATERIALIZED (
+      SELECT word, sum(k)::BIGINT AS n FROM (
+        SELECT k, CASE WHEN h % {DAMAGED} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+        FROM runs) WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(k) >= {spelling.MIN_COUNT}),
+    gaps AS MATERIALIZED (
+      SELECT word, left(word, k) || '?' || substr(word, k + 2) AS gap, left(word, k) || substr(word, k + 2) AS rest
+      FROM (SELECT word, unnest(range(0, length(word))) AS k FROM words)),
+    near AS MATERIALIZED (
+      SELECT a.word, b.word AS other FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.word <> b.word
+      UNION SELECT g.word, w.word FROM gaps g JOIN words w ON w.word = g.rest
+      UNION SELECT w.word, g.word FROM gaps g JOIN words w ON w.word = g.rest),
+    best AS (
+      SELECT a.word, count(*) AS n_near, arg_min(b.word, (-b.n, b.word)) AS form, max(b.n) AS form_n
+      FROM near JOIN words a ON a.word = near.word JOIN words b ON b.word = near.other GROUP BY a.word),
+    forms AS MATERIALIZED (
+      SELECT word, CASE WHEN form_n >= {spelling.RATIO} * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near,
+        CASE WHEN form_n >= {spelling.RATIO} * n THEN form_n END AS form_n FROM words LEFT JOIN best USING (word)),
+    chain AS (
+      SELECT word, word AS spot, 0 AS step FROM forms
+      UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON f.word = c.spot WHERE f.form IS NOT NULL)
+    SELECT f.word, form, root, n, n_near, form_n FROM forms f
+    JOIN (SELECT word, arg_max(spot, step) AS root FROM chain GROUP BY word) c ON c.word = f.word""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    h, size = "h", "char_length(run)"
+    words = (runs.withColumn("h", F.crc32(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "run")))
+             .selectExpr(f"CASE WHEN {h} % {DAMAGED} = 0 THEN concat(substring(run, 1, CAST({h} % {size} AS INT)), "
+                         f"substring(run, CAST({h} % {size} AS INT) + 2)) ELSE run END AS word"))
+    return spelling.group_variants(written(spelling.count_words(words)))
+
+
+@query("op12_simhash")
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: A conversation begins like the first of so many.
+FAMILY = 20
+
+
+@query("op13_prefix_trie", sql=f"""
+    WITH
+    turns AS (
+      SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w, turn FROM conversations WHERE conv_id IS NOT NULL),
+    own AS MATERIALIZED (
+      SELECT conv_id, list({{'k': k, 'w': w}} ORDER BY turn NULLS FIRST, k) AS t,
+        {crc32_sql('CAST(conv_id AS VARCHAR)')} % 4 AS h, conv_id - (conv_id % {FAMILY} + {FAMILY}) % {FAMILY} AS b
+      FROM turns GROUP BY conv_id),
+    whole AS MATERIALIZED (
+      SELECT o.conv_id, list_concat(coalesce(f.t, [])[1:o.h], o.t[o.h + 1:]) AS t
+      FROM own o LEFT JOIN own f ON f.conv_id = o.b),
+    nodes AS MATERIALIZED (
+      SELECT d, path, count(*) AS n_convs, min(conv_id) AS conv_id, CASE WHEN d = 0 THEN 0 ELSE any_value(w) END AS w,
+        sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+      FROM (SELECT conv_id, d, list_transform(t[1:d], lambda x: x.k) AS path, t[d].w AS w, d = len(t) AS last
+            FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM whole)) GROUP BY d, path),
+    family AS MATERIALIZED (
+      SELECT n.d, n.path, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.path[1:n.d] = n.path)
+        AS n_children FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]),
+    sums AS (
+      SELECT d, path, sum(leaf)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (
+        SELECT unnest(range(0, n.d + 1)) AS d, n.path[1:unnest(range(0, n.d + 1))] AS path,
+          CASE WHEN n_children = 0 THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * w AS saved
+        FROM nodes n JOIN family f ON f.d = n.d AND f.path = n.path) GROUP BY d, path)
+    SELECT conv_id, n.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+    FROM nodes n JOIN family f ON f.d = n.d AND f.path = n.path JOIN sums s ON s.d = n.d AND s.path = n.path""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = written(prefix_trie.encoded(table(spark, sf_dir, "conversations")))
+    convs = written(turns.select("conv_id").distinct())
+    mixed = convs.selectExpr("conv_id", "crc32(CAST(conv_id AS STRING)) % 4 AS h", f"conv_id - pmod(conv_id, {FAMILY}) AS family")
+    fronts = turns.where(f"conv_id % {FAMILY} = 0 AND pos <= 3").selectExpr("conv_id AS family", "pos", "key", "words")
+    taken = (mixed.join(fronts.groupBy("family").agg(F.max("pos").alias("have")), "family", "left")
+             .selectExpr("conv_id", "h", "family", "least(h, coalesce(have, 0L)) AS taken"))
+    begin = taken.join(fronts, "family").where("pos <= h").select("conv_id", "pos", "key", "words")
+    rest = turns.join(bounded(taken.select("conv_id", "h", "taken")), "conv_id").where("pos > h").selectExpr(
+        "conv_id", "pos - h + taken AS pos", "key", "words")
+    return prefix_trie.prefix_trie(written(begin.unionByName(rest)), convs)
