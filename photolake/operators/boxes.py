@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from photolake.functions.columns import box_score, int_div, iou, packed_luma, ratio, var_pop_of
 from photolake.operators.features import palette_topk
 from photolake.operators.ranking import ranked
-from photolake.operators.raster import roi_rasters
+from photolake.operators.raster import clipped_boxes, roi_tiles
 from photolake.operators.texture import tone_and_edges
 
 ROI = ("image_id", "box_id")
@@ -140,7 +140,7 @@ def equalised_counts(crops: DataFrame) -> DataFrame:
 
     Gray levels are counted first; the running sum then sees at most 256 rows per crop.
     """
-    gray = (crops.repartition(*ROI).select(*ROI, F.explode("px").alias("p"))
+    gray = (crops.select(*ROI, F.explode("px").alias("p"))
             .groupBy(*ROI, packed_luma(F.col("p")).alias("g")).agg(F.count("*").alias("cnt")))
     part = W.partitionBy(*ROI)
     up_to = F.sum("cnt").over(part.orderBy("g").rowsBetween(W.unboundedPreceding, 0))
@@ -162,20 +162,23 @@ def face_features(crops: DataFrame) -> DataFrame:
         F.sum("cnt").alias("n"), F.sum(v * c).alias("s1"), F.sum(v * v * c).alias("s2"), (-F.sum(p * F.log(p))).alias("entropy"))
     stats = stats.select(*ROI, ratio(F.col("s1"), F.col("n")).alias("mean_intensity"),
                          F.sqrt(var_pop_of(F.col("n"), F.col("s1"), F.col("s2"))).alias("std_intensity"), "entropy")
-    top = palette_topk(crops.repartition(*ROI), 1, ROI).select(*ROI, F.col("color").alias("top_color"))
+    top = palette_topk(crops, 1, ROI).select(*ROI, F.col("color").alias("top_color"))
     return stats.join(top, list(ROI))
 
 
-def face_details(boxes: DataFrame, rasters: DataFrame) -> DataFrame:
-    """One record per kept detection, with location, tone, quality, features and orientation.
-
-    All parts carry the same keys, so after the crops are placed once the join adds no exchange.
+def face_details(boxes: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """One record per kept detection, with location, tone, quality, features and orientation, and with the number and the
+    locations of all kept detections of its image (as many as ``detection_filter`` keeps, at most).
     """
-    crops = roi_rasters(detection_filter(boxes), rasters).repartition(*ROI)
+    kept = detection_filter(boxes)
+    crops = roi_tiles(kept, bitmaps)
     tone = tone_and_edges(crops, (*ROI, "eyes"))
-    location = crops.select(*ROI, F.col("x0").alias("x"), F.col("y0").alias("y"), "w", "h")
-    return (location.join(tone, list(ROI)).join(face_features(crops), list(ROI))
-            .select(*ROI, F.struct("x", "y", "w", "h").alias("location"), "brightness", "contrast",
+    place = F.struct(F.col("left").alias("x"), F.col("top").alias("y"), F.col("width").alias("w"), F.col("height").alias("h"))
+    location = clipped_boxes(kept, bitmaps).select(*ROI, place.alias("location"))
+    faces = location.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("box_id", "location"))).alias("faces")).select(
+        "image_id", F.size("faces").alias("face_count"), F.col("faces.location").alias("face_locations"))
+    return (location.join(tone, list(ROI)).join(face_features(crops), list(ROI)).join(faces, "image_id")
+            .select(*ROI, "face_count", "face_locations", "location", "brightness", "contrast",
                     F.col("eyes").alias("eyes_count"),
                     face_quality_of(F.col("contrast"), F.col("sharpness"), F.col("eyes")).alias("quality_score"),
                     F.struct("mean_intensity", "std_intensity", "entropy", "top_color").alias("features"),
@@ -183,11 +186,11 @@ def face_details(boxes: DataFrame, rasters: DataFrame) -> DataFrame:
                              F.col("edge_density").alias("gradient_magnitude")).alias("orientation")))
 
 
-def detection_metrics(boxes: DataFrame, images: DataFrame) -> DataFrame:
+def detection_metrics(boxes: DataFrame, images: DataFrame, large: int = 1_000_000, medium: int = 300_000) -> DataFrame:
     """Detected boxes per image, summed by image format and size class. Counts come before the join."""
     per_image = boxes.groupBy("image_id").agg(F.count("*").alias("n"))
-    size = F.when(F.col("width") * F.col("height") >= 1_000_000, "large").when(
-        F.col("width") * F.col("height") >= 300_000, "medium").otherwise("small")
+    size = F.when(F.col("width") * F.col("height") >= large, "large").when(
+        F.col("width") * F.col("height") >= medium, "medium").otherwise("small")
     found = F.coalesce(F.col("n"), F.lit(0))
     return (images.join(per_image, "image_id", "left").groupBy("format", size.alias("size_class"))
             .agg(F.count("*").alias("n_images"), F.sum(found).alias("n_boxes"), F.count_if(found > 0).alias("n_with_boxes")))

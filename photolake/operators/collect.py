@@ -7,9 +7,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from photolake.operators import features, metadata as md, predictions as pred
-from photolake.operators.raster import by_image
 from photolake.operators.search import SearchParams, make_filename, ntz, search_posts, skip_known
 from photolake.session import cut
+from photolake.sources.images import image_tiles
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class CollectParams:
 class Catalogue:
     """What the collector needs to know about images; ``image_key`` turns a photo row into an image_id."""
     images: DataFrame
-    rasters: DataFrame
+    bitmaps: DataFrame
     predictions: DataFrame
     image_key: Column
 
@@ -42,20 +42,22 @@ def collect_images(posts: DataFrame, cat: Catalogue, p: CollectParams, existing:
                    known: DataFrame | None = None) -> DataFrame:
     """(url, image_id, filename, status, reason) for the first ``max_images`` photos found.
 
-    status is downloaded, skipped or error. The slice is a distributed top-n, and pixel features are
-    computed only for images in it that pass the cheap tests.
+    status is downloaded, skipped or error. The slice is a distributed top-n; only images in it that pass the cheap tests are
+    decoded, and only their predictions are ranked.
     """
     chosen = (found_photos(posts, p, known).select("post_id", "post_ts", "url", cat.image_key.alias("image_id"))
               .orderBy("post_ts", "url", "post_id").limit(p.max_images))
     chosen = make_filename(chosen, p.run_ts, p.pattern)
     info = cat.images.join(chosen.select("image_id").distinct(), "image_id", "left_semi").select(
         "image_id", "width", "height", md.cheap_filter(p.filters).alias("cheap_ok"))
-    placed = by_image(md.survivors(cat.rasters, info.where(F.coalesce("cheap_ok", F.lit(True)))))
-    info = info.join(features.gray_entropy_nats(placed), "image_id", "left")
+    tiles = image_tiles(md.survivors(cat.bitmaps, info.where(F.coalesce("cheap_ok", F.lit(True)))))
+    if p.styles:
+        wanted = cat.predictions.join(info.select("image_id"), "image_id", "left_semi")
+    info = info.join(features.gray_entropy_nats(tiles), "image_id", "left")
     if p.filters.palette:
-        info = info.join(features.mean_color(placed), "image_id", "left")
+        info = info.join(features.mean_color(tiles), "image_id", "left")
     if p.styles:
-        info = info.join(pred.best_label(cat.predictions).select("image_id", F.col("label").alias("style")), "image_id", "left")
+        info = info.join(pred.best_label(wanted).select("image_id", F.col("label").alias("style")), "image_id", "left")
     rows = chosen.join(info, "image_id", "left")
     if existing is not None and not p.overwrite:
         rows = rows.join(existing.select("filename").distinct().withColumn("exists", F.lit(True)), "filename", "left")

@@ -1,8 +1,7 @@
 """Colour and tone features per image.
 
-Scalar features need one grouping whose partial sums leave one row per image before the exchange.
-Histogram features place the rasters by image once (``by_image``); both grouping levels then reuse
-that placement. ``keys`` names the raster's identity, so the same code serves whole images and crops.
+Every feature begins with a grouping whose partial sums are taken tile by tile, where the tiles are made; what moves
+are sums or counts, never pixels. ``keys`` names the raster's identity, so the same code serves whole images and crops.
 """
 
 from __future__ import annotations
@@ -15,20 +14,26 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from photolake.functions.columns import (blue, green, hsv, int_div, packed_luma, packed_rgb, packed_sum, ratio, red,
                                          var_pop_of)
-from photolake.operators.raster import KEYS, by_image, explode_pixels
+from photolake.operators.raster import KEYS, explode_pixels, positioned
 
 
-def channel_values(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def channel_values(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, channel, v): three rows per pixel."""
     v = F.col("v")
     rows = F.array(*[F.struct(F.lit(name).alias("channel"), value.alias("bin"))
                      for name, value in (("r", red(v)), ("g", green(v)), ("b", blue(v)))])
-    return rasters.select(*keys, F.explode("px").alias("v")).select(*keys, F.inline(rows))
+    return tiles.select(*keys, F.explode("px").alias("v")).select(*keys, F.inline(rows))
 
 
-def color_histogram(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def color_histogram(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Counts of each channel value that occurs."""
-    return channel_values(by_image(rasters), keys).groupBy(*keys, "channel", "bin").agg(F.count("*").alias("cnt"))
+    return channel_values(tiles, keys).groupBy(*keys, "channel", "bin").agg(F.count("*").alias("cnt"))
+
+
+def color_counts(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, v, n): how often each exact colour occurs."""
+    return (tiles.select(*keys, F.explode("px").alias("p")).groupBy(*keys, packed_rgb(F.col("p")).alias("v"))
+            .agg(F.count("*").alias("n")))
 
 
 def _entropy(counts: DataFrame, keys: Sequence[str], log, eps: float = 0.0) -> Column:
@@ -43,26 +48,28 @@ def _range_bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
     return F.when(hi > lo, F.least(int_div((v - lo) * n, hi - lo), F.lit(n - 1))).otherwise(0)
 
 
-def gray_entropy_nats(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def gray_entropy_nats(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Entropy (nats) of the channel mean, 256 bins over the image's own range."""
-    levels = (by_image(rasters).select(*keys, F.explode("px").alias("v"))
+    levels = (tiles.select(*keys, F.explode("px").alias("v"))
               .groupBy(*keys, packed_sum(F.col("v")).alias("s")).agg(F.count("*").alias("n")))
     part = W.partitionBy(*keys)
     bins = levels.select(*keys, "n", _range_bin(F.col("s"), F.min("s").over(part), F.max("s").over(part), 256).alias("bin"))
     return _entropy(bins.groupBy(*keys, "bin").agg(F.sum("n").alias("cnt")), keys, F.log)
 
 
-def gray_entropy_bits(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def gray_entropy_bits(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Entropy (bits) of the luma histogram."""
-    gray = by_image(rasters).select(*keys, F.explode("px").alias("v")).select(*keys, packed_luma(F.col("v")).alias("bin"))
+    gray = tiles.select(*keys, F.explode("px").alias("v")).select(*keys, packed_luma(F.col("v")).alias("bin"))
     return _entropy(gray.groupBy(*keys, "bin").agg(F.count("*").alias("cnt")), keys, F.log2)
 
 
-def joint_color_entropy(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def joint_color_entropy(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Entropy (bits) of the joint 16x16x16 colour histogram over each channel's own range."""
+    return joint_entropy_of(color_counts(tiles, keys), keys)
+
+
+def joint_entropy_of(colors: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     v, part = F.col("v"), W.partitionBy(*keys)
-    colors = (by_image(rasters).select(*keys, F.explode("px").alias("p"))
-              .groupBy(*keys, packed_rgb(F.col("p")).alias("v")).agg(F.count("*").alias("n")))
     bins = [_range_bin(channel(v), F.min(channel(v)).over(part), F.max(channel(v)).over(part), 16).alias(f"{c}_bin")
             for c, channel in (("r", red), ("g", green), ("b", blue))]
     counts = (colors.select(*keys, "n", *bins).groupBy(*keys, "r_bin", "g_bin", "b_bin")
@@ -70,25 +77,27 @@ def joint_color_entropy(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataF
     return _entropy(counts, keys, F.log2, 1e-10)
 
 
-def color_uniformity(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def color_uniformity(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean of the count entropies of hue and saturation (counts are not normalised)."""
     v = F.col("v")
     hue, sat, _ = hsv(red(v), green(v), blue(v))
     rows = F.array(F.struct(F.lit("h").alias("channel"), hue.alias("bin")),
                    F.struct(F.lit("s").alias("channel"), sat.alias("bin")))
-    counts = (by_image(rasters).select(*keys, F.explode("px").alias("v")).select(*keys, F.inline(rows))
+    counts = (tiles.select(*keys, F.explode("px").alias("v")).select(*keys, F.inline(rows))
               .groupBy(*keys, "channel", "bin").agg(F.count("*").alias("cnt")))
     return counts.groupBy(*keys).agg(
         (-F.sum(F.col("cnt") * F.log2(F.col("cnt") + F.lit(1e-7))) / 2).alias("uniformity"))
 
 
-def dominant_color_mode(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def dominant_color_mode(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Most frequent exact colour; ties go to the smallest colour in (r, g, b) order."""
-    counts = (by_image(rasters).select(*keys, F.explode("px").alias("p"))
-              .groupBy(*keys, packed_rgb(F.col("p")).alias("v")).agg(F.count("*").alias("cnt")))
-    top = counts.groupBy(*keys).agg(F.max(F.struct("cnt", (-F.col("v")).alias("neg"))).alias("m"))
+    return mode_of(color_counts(tiles, keys), keys)
+
+
+def mode_of(colors: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    top = colors.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("v")).alias("neg"))).alias("m"))
     v = -F.col("m.neg")
-    return top.select(*keys, red(v).alias("r"), green(v).alias("g"), blue(v).alias("b"), F.col("m.cnt").alias("cnt"))
+    return top.select(*keys, red(v).alias("r"), green(v).alias("g"), blue(v).alias("b"), F.col("m.n").alias("cnt"))
 
 
 def _channel_sums() -> list[Column]:
@@ -97,55 +106,57 @@ def _channel_sums() -> list[Column]:
                                        (("r", red(v)), ("g", green(v)), ("b", blue(v)))]]
 
 
-def mean_color(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def mean_color(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean colour, truncated to integers."""
-    sums = rasters.select(*keys, F.explode("px").alias("v")).groupBy(*keys).agg(*_channel_sums())
+    sums = tiles.select(*keys, F.explode("px").alias("v")).groupBy(*keys).agg(*_channel_sums())
     return sums.select(*keys, *[int_div(F.col(f"s_{c}"), F.col("n")).cast("int").alias(c) for c in "rgb"])
 
 
-def color_variance(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def color_variance(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Population variance over all channel values."""
-    v = F.col("v")
+    return variance_of(tiles.select(*keys, F.explode("px").alias("v")).select(*keys, "v", F.lit(1).cast("long").alias("n")), keys)
+
+
+def variance_of(colors: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    v, n = F.col("v"), F.col("n")
     squares = red(v) * red(v) + green(v) * green(v) + blue(v) * blue(v)
-    sums = (rasters.select(*keys, F.explode("px").alias("v")).groupBy(*keys)
-            .agg(F.count("*").alias("n"), F.sum(packed_sum(v)).alias("s1"), F.sum(squares).alias("s2")))
+    sums = colors.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * packed_sum(v)).alias("s1"), F.sum(n * squares).alias("s2"))
     return sums.select(*keys, var_pop_of(3 * F.col("n"), F.col("s1"), F.col("s2")).alias("variance"))
 
 
-def contrast_brightness(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def contrast_brightness(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Standard deviation and mean of gray."""
     g = F.col("g")
-    sums = (rasters.select(*keys, F.explode("px").alias("v")).select(*keys, packed_luma(F.col("v")).alias("g"))
+    sums = (tiles.select(*keys, F.explode("px").alias("v")).select(*keys, packed_luma(F.col("v")).alias("g"))
             .groupBy(*keys).agg(F.count("*").alias("n"), F.sum(g).alias("s1"), F.sum(g * g).alias("s2")))
     return sums.select(*keys, F.sqrt(var_pop_of(F.col("n"), F.col("s1"), F.col("s2"))).alias("contrast"),
                        ratio(F.col("s1"), F.col("n")).alias("brightness"))
 
 
-def skin_ratio_score(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def skin_ratio_score(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Twice the share of skin-coloured pixels, at most 1."""
     v = F.col("v")
     hue, sat, val = hsv(red(v), green(v), blue(v))
     skin = (hue <= 20) & (sat >= 48) & (val >= 80)
-    return (rasters.select(*keys, F.explode("px").alias("v")).select(*keys, skin.alias("skin")).groupBy(*keys)
+    return (tiles.select(*keys, F.explode("px").alias("v")).select(*keys, skin.alias("skin")).groupBy(*keys)
             .agg(F.least(F.lit(1.0), 2 * ratio(F.count_if("skin"), F.count("*"))).alias("score")))
 
 
-def color_ratio(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def color_ratio(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean distance of the channels from gray, over 255."""
-    p = explode_pixels(rasters, keys)
+    p = explode_pixels(tiles, keys)
     gap = sum((F.abs(F.col(c) - F.col("gray")) for c in "rgb"), F.lit(0))
     return p.groupBy(*keys).agg((ratio(F.sum(gap), F.count("*")) / 255.0).alias("color_ratio"))
 
 
-def thirds_composition(rasters: DataFrame) -> DataFrame:
+def thirds_composition(tiles: DataFrame) -> DataFrame:
     """Mean colour of the 3x3 sections (the last takes the remainder) and the brightest of them."""
     def third(pos: Column, size: Column) -> Column:
         return F.when(size >= 3, F.least(int_div(pos, int_div(size, 3)), F.lit(2))).otherwise(2)
 
-    p, w, v = F.col("p"), F.col("w"), F.col("v")
-    section = (third(int_div(p, w), F.col("h")) * 3 + third(p % w, w)).cast("int")
-    sums = (rasters.select("image_id", "width", "height", "w", "h", F.posexplode("px").alias("p", "v"))
-            .groupBy("image_id", section.alias("section"))
+    width, height = F.col("width"), F.col("height")
+    section = (third(F.col("y"), height) * 3 + third(F.col("x"), width)).cast("int")
+    sums = (positioned(tiles, "image_id", "width", "height").groupBy("image_id", section.alias("section"))
             .agg(*_channel_sums(), F.any_value("width").alias("width"), F.any_value("height").alias("height")))
     total = F.col("s_r") + F.col("s_g") + F.col("s_b")
     means = sums.select("image_id", "section", *[ratio(F.col(f"s_{c}"), F.col("n")).alias(f"mean_{c}") for c in "rgb"],
@@ -162,9 +173,9 @@ def _quantised(v: Column) -> Column:
     return int_div(red(v), 16) * 256 + int_div(green(v), 16) * 16 + int_div(blue(v), 16)
 
 
-def palette_topk(rasters: DataFrame, k: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
+def palette_topk(tiles: DataFrame, k: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
     """The k most frequent 12-bit colours of each image, with counts."""
-    counts = (by_image(rasters).select(*keys, F.explode("px").alias("v"))
+    counts = (tiles.select(*keys, F.explode("px").alias("v"))
               .groupBy(*keys, _quantised(F.col("v")).alias("color")).agg(F.count("*").alias("cnt")))
     order = W.partitionBy(*keys).orderBy(F.desc("cnt"), "color")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -186,13 +197,13 @@ def _lloyd(colors: np.ndarray, counts: np.ndarray, k: int, rounds: int) -> np.nd
     return centers
 
 
-def palette_kmeans(rasters: DataFrame, k: int = 3, rounds: int = 10) -> DataFrame:
-    """k palette colours per image: weighted k-means over its quantised colours.
+def palette_kmeans(tiles: DataFrame, k: int = 3, rounds: int = 10) -> DataFrame:
+    """k palette colours per image: weighted k-means over its quantised colours. ``tiles``: images resampled to ``squeezed`` size.
 
     Spark counts colours per image (at most 4096 of them); only that bounded, sorted list enters the
     iterative helper, one image at a time inside each task. Integer arithmetic throughout.
     """
-    counts = (by_image(rasters).select("image_id", F.explode("px").alias("v"))
+    counts = (tiles.select("image_id", F.explode("px").alias("v"))
               .groupBy("image_id", _quantised(F.col("v")).alias("q")).agg(F.count("*").alias("cnt")))
     lists = counts.groupBy("image_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), F.col("q")))).alias("c")).select(
@@ -214,21 +225,21 @@ def palette_kmeans(rasters: DataFrame, k: int = 3, rounds: int = 10) -> DataFram
     return lists.mapInArrow(run, "image_id bigint, cluster int, r int, g int, b int")
 
 
-def color_profile(rasters: DataFrame) -> DataFrame:
-    """One record per image: joint entropy, dominant colour, variance and three 256-bin histograms.
-
-    All parts are placed by image_id, so the joins add no exchange.
-    """
-    placed = by_image(rasters)
-    hist = color_histogram(placed).groupBy("image_id").agg(*[
-        F.map_from_entries(F.collect_list(F.when(F.col("channel") == c, F.struct("bin", "cnt")))).alias(f"m_{c}")
-        for c in "rgb"])
+def color_profile(tiles: DataFrame) -> DataFrame:
+    """One record per image: joint entropy, dominant colour, variance and three 256-bin histograms, all from one count of colours."""
+    colors = color_counts(tiles)
+    v = F.col("v")
+    rows = F.array(*[F.struct(F.lit(name).alias("channel"), value.alias("bin"))
+                     for name, value in (("r", red(v)), ("g", green(v)), ("b", blue(v)))])
+    hist = (colors.select("image_id", "n", F.inline(rows)).groupBy("image_id", "channel", "bin").agg(F.sum("n").alias("cnt"))
+            .groupBy("image_id").agg(*[
+                F.map_from_entries(F.collect_list(F.when(F.col("channel") == c, F.struct("bin", "cnt")))).alias(f"m_{c}") for c in "rgb"]))
 
     def all_bins(counts: str) -> Column:
         return F.transform(F.sequence(F.lit(0), F.lit(255)),
                            lambda i: F.coalesce(F.try_element_at(F.col(counts), i), F.lit(0).cast("long")))
 
     full = hist.select("image_id", *[all_bins(f"m_{c}").alias(f"hist_{c}") for c in "rgb"])
-    return (joint_color_entropy(placed).withColumnRenamed("entropy", "color_entropy")
-            .join(dominant_color_mode(placed).drop("cnt"), "image_id")
-            .join(color_variance(placed), "image_id").join(full, "image_id"))
+    return (joint_entropy_of(colors).withColumnRenamed("entropy", "color_entropy")
+            .join(mode_of(colors).drop("cnt"), "image_id")
+            .join(variance_of(colors), "image_id").join(full, "image_id"))

@@ -3,51 +3,61 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from photolake.functions.columns import hamming, int_div, packed_luma
-from photolake.operators.raster import by_image
+from photolake.functions.columns import hamming, packed_luma
 from photolake.session import cut
 
 SIDE, LOW = 32, 8
 HOT = 1024
 
 
-def _basis(freq: int, pos: str) -> Column:
-    """Scaled cosine of one frequency at column ``pos``, from a constant array."""
-    values = [round(math.cos(math.pi * freq * (2 * x + 1) / (2 * SIDE)) * 16384) for x in range(SIDE)]
-    return F.expr(f"get(array({', '.join(f'{v}L' for v in values)}), {pos})")
+def _weights(first: int, n: int, size: int) -> np.ndarray:
+    """[frequency, place] for places first .. first + n - 1 of an axis of ``size``: the scaled cosine of each of the SIDE cells, times
+    the place's overlap with the cell in units of 1 / SIDE."""
+    cell, place = np.arange(SIDE, dtype=np.int64), np.arange(first, first + n, dtype=np.int64)[:, None]
+    overlap = np.maximum(np.minimum((cell + 1) * size, (place + 1) * SIDE) - np.maximum(cell * size, place * SIDE), 0)
+    basis = [[round(math.cos(math.pi * f * (2 * x + 1) / (2 * SIDE)) * 16384) for x in range(SIDE)] for f in range(LOW)]
+    return np.array(basis, dtype=np.int64) @ overlap.T
 
 
-def phash(rasters: DataFrame) -> DataFrame:
-    """64-bit perceptual hash: 32x32 gray, 2-D cosine transform, low 8x8 block against its median.
+def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each tile's share of the low LOW x LOW coefficients."""
+    known: dict[tuple[int, int, int], np.ndarray] = {}
 
-    The transform is separable: eight sums per row of the small image, then sixty-four per image, all
-    integers, so the bits do not depend on summation order. Every grouping reuses the placement made
-    once by image.
+    def weights(*key: int) -> np.ndarray:
+        if len(known) > 4096:
+            known.clear()
+        return known.setdefault(key, _weights(*key)) if key not in known else known[key]
+
+    for batch in batches:
+        px = batch.column(7)
+        values, offsets = px.values.to_numpy(), px.offsets.to_numpy()
+        gray = (values.view(np.uint32) >> np.uint32(24)).astype(np.int64)
+        sums = np.zeros((len(px), LOW * LOW), dtype=np.int64)
+        places = zip(*(batch.column(i).to_pylist() for i in range(1, 7)))
+        for i, (width, height, y0, x0, w, h) in enumerate(places):
+            grid = gray[offsets[i]:offsets[i + 1]].reshape(h, w)
+            sums[i] = (weights(y0, h, height) @ grid @ weights(x0, w, width).T).reshape(-1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(
+            pa.array(np.arange(len(px) + 1) * LOW * LOW, pa.int32()), pa.array(sums.reshape(-1)))], names=["image_id", "c"])
+
+
+def phash(tiles: DataFrame) -> DataFrame:
+    """64-bit perceptual hash: 32x32 gray (area-weighted), 2-D cosine transform, low 8x8 block against its median.
+
+    Resampling and transform are linear and separable, so every tile adds its pixels times row and column weights: 64 exact integers a
+    tile, which are all that moves. The common factor 1 / (width * height) changes no bit and is left out.
     """
-    def span(target: Column, size: Column) -> Column:
-        first = int_div(target * size, F.lit(SIDE))
-        last = F.greatest(first, int_div((target + 1) * size - 1, F.lit(SIDE)))
-        return F.sequence(first, last)
-
-    cells = (by_image(rasters).select("image_id", "w", "h", "px", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("ty"))
-             .select("image_id", "w", "px", "ty", F.explode(span(F.col("ty"), F.col("h"))).alias("y"))
-             .select("image_id", "w", "ty", F.slice("px", (F.col("y") * F.col("w") + 1).cast("int"), F.col("w")).alias("row"))
-             .select("image_id", "w", "ty", "row", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("tx"))
-             .select("image_id", "ty", "tx", "row", F.explode(span(F.col("tx"), F.col("w"))).alias("x"))
-             .select("image_id", "ty", "tx", packed_luma(F.get("row", F.col("x").cast("int"))).alias("v")))
-    small = cells.groupBy("image_id", "ty", "tx").agg(int_div(F.sum("v"), F.count("*")).alias("v"))
-    rows = small.groupBy("image_id", "ty").agg(*[
-        F.sum(F.col("v") * _basis(u, "tx")).alias(f"s{u}") for u in range(LOW)])
-    block = rows.groupBy("image_id").agg(*[
-        F.sum(F.col(f"s{u}") * _basis(k, "ty")).alias(f"c{k * LOW + u}")
-        for k in range(LOW) for u in range(LOW)])
-    coef = F.array(*[f"c{i}" for i in range(LOW * LOW)])
-    return _bits_over_median(block.select("image_id", coef.alias("g")))
+    columns = ["image_id", "width", "height", "y0", "x0", "w", "h", "px"]
+    shares = tiles.select(*columns).mapInArrow(_tile_sums, "image_id bigint, c array<bigint>")
+    block = shares.groupBy("image_id").agg(*[F.sum(F.get("c", F.lit(i)).cast("decimal(20,0)")).alias(f"c{i}") for i in range(LOW * LOW)])
+    return _bits_over_median(block.select("image_id", F.array(*[f"c{i}" for i in range(LOW * LOW)]).alias("g")))
 
 
 def _bits_over_median(values: DataFrame) -> DataFrame:

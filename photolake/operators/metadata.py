@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from photolake.functions import fixed
 from photolake.functions.columns import color_distance, ratio
 from photolake.operators import features, hashing, predictions as pred, tags, texture
-from photolake.operators.raster import by_image
+from photolake.sources.images import image_tiles, lowered, squeezed
 
 Color = tuple[int, int, int]
 
@@ -44,8 +44,20 @@ def near_palette(color: tuple[Column, Column, Column], palette: Sequence[Color],
     return hit
 
 
-def survivors(rasters: DataFrame, images: DataFrame) -> DataFrame:
-    return rasters.join(images.select("image_id"), "image_id", "left_semi")
+def survivors(bitmaps: DataFrame, images: DataFrame) -> DataFrame:
+    """Bitmaps of these images only; taken before decoding."""
+    return bitmaps.join(images.select("image_id"), "image_id", "left_semi")
+
+
+def palette_of(bitmaps: DataFrame) -> DataFrame:
+    """(image_id, dominant_colors) at the size at which palettes are taken."""
+    return features.palette_kmeans(image_tiles(bitmaps, size=squeezed)).groupBy("image_id").agg(
+        F.sort_array(F.collect_list(F.struct("cluster", "r", "g", "b"))).alias("dominant_colors"))
+
+
+def quality_of(bitmaps: DataFrame) -> DataFrame:
+    """(image_id, quality) at the size at which quality is judged."""
+    return texture.quality_score(image_tiles(bitmaps, halo=True, size=lowered)).select("image_id", "quality")
 
 
 def cheap_filter(p: FilterParams) -> Column:
@@ -63,30 +75,29 @@ def feature_filter(p: FilterParams) -> Column:
     return cond
 
 
-def advanced_filter(images: DataFrame, rasters: DataFrame, p: FilterParams) -> DataFrame:
+def advanced_filter(images: DataFrame, bitmaps: DataFrame, p: FilterParams) -> DataFrame:
     """Images passing resolution, shape, entropy and palette tests."""
     kept = images.where(cheap_filter(p))
-    placed = by_image(survivors(rasters, kept))
+    tiles = image_tiles(survivors(bitmaps, kept))
     if p.entropy_threshold:
-        kept = kept.join(features.gray_entropy_nats(placed), "image_id")
+        kept = kept.join(features.gray_entropy_nats(tiles), "image_id")
     if p.palette:
-        kept = kept.join(features.mean_color(placed), "image_id")
+        kept = kept.join(features.mean_color(tiles), "image_id")
     return kept.where(feature_filter(p))
 
 
-def valid_image(images: DataFrame, rasters: DataFrame, flags: DataFrame) -> DataFrame:
+def valid_image(images: DataFrame, bitmaps: DataFrame, flags: DataFrame, min_side: int = fixed.MIN_SIDE) -> DataFrame:
     """(image_id, is_valid, reject_reason): the first failing test in order of cost.
 
-    ``flags`` gives is_nsfw per image. An image that passes the stored-column tests but has no raster
-    is ``undecodable``.
+    ``flags`` gives is_nsfw per image. Only images that pass the tests on stored columns are decoded; one of them that has no
+    bitmap is ``undecodable``.
     """
     cheap = (F.when(F.col("length") > fixed.MAX_FILE_BYTES, "file_size")
-             .when((F.col("width") < fixed.MIN_SIDE) | (F.col("height") < fixed.MIN_SIDE), "too_small")
+             .when((F.col("width") < min_side) | (F.col("height") < min_side), "too_small")
              .when(~aspect_ratio().between(fixed.MIN_RATIO, fixed.MAX_RATIO), "aspect_ratio")
              .when(~F.lower("format").isin(fixed.VALID_FORMATS), "format"))
     checked = images.select("image_id", cheap.alias("cheap"))
-    placed = by_image(survivors(rasters, checked.where("cheap IS NULL")))
-    scores = features.color_ratio(placed).join(texture.blur_score(placed), "image_id")
+    scores = texture.color_and_blur(image_tiles(survivors(bitmaps, checked.where("cheap IS NULL")), halo=True))
     reason = (F.coalesce(F.col("cheap"), F.when(F.col("color_ratio").isNull(), "undecodable")
                          .when(F.col("color_ratio") < fixed.MIN_COLOR_RATIO, "low_color")
                          .when(F.col("blur_score") < fixed.MIN_BLUR_VARIANCE, "blurry")
@@ -96,13 +107,13 @@ def valid_image(images: DataFrame, rasters: DataFrame, flags: DataFrame) -> Data
             .select("image_id", F.col("reject_reason").isNull().alias("is_valid"), "reject_reason"))
 
 
-def evaluate_quality(images: DataFrame, rasters: DataFrame, min_resolution: tuple[int, int] = (800, 600),
+def evaluate_quality(images: DataFrame, bitmaps: DataFrame, min_resolution: tuple[int, int] = (800, 600),
                      min_entropy: float = 4.0, min_sharpness: float = 100.0) -> DataFrame:
     """Resolution, entropy (bits) and sharpness verdicts per image."""
-    placed = by_image(rasters)
+    tiles = image_tiles(survivors(bitmaps, images), halo=True)
     resolved = (F.col("width") >= min_resolution[0]) & (F.col("height") >= min_resolution[1])
     rich, sharp = F.col("entropy") >= min_entropy, F.col("blur_score") > min_sharpness
-    return (images.join(features.gray_entropy_bits(placed), "image_id").join(texture.blur_score(placed), "image_id")
+    return (images.join(features.gray_entropy_bits(tiles), "image_id").join(texture.blur_score(tiles), "image_id")
             .select("image_id", resolved.alias("meets_minimum"), "entropy", rich.alias("meets_entropy"),
                     F.col("blur_score").alias("laplacian_variance"), sharp.alias("is_sharp"),
                     (resolved & rich & sharp).alias("overall_quality")))
@@ -130,14 +141,13 @@ def color_name(r: str, g: str, b: str) -> Column:
     return F.expr(f"array_min(array({', '.join(options)})).name")
 
 
-def recommend_tags(rasters: DataFrame) -> DataFrame:
+def recommend_tags(bitmaps: DataFrame) -> DataFrame:
     """Distinct tags from palette colour names, brightness, shape and quality."""
-    tones = features.palette_kmeans(rasters).groupBy("image_id").agg(
-        F.collect_set(F.concat(color_name("r", "g", "b"), F.lit(" tone"))).alias("tones"))
-    stats = texture.tone_and_edges(rasters, ("image_id", "width", "height"))
+    tones = palette_of(bitmaps).select("image_id", F.explode("dominant_colors").alias("c")).groupBy("image_id").agg(
+        F.collect_set(F.concat(color_name("c.r", "c.g", "c.b"), F.lit(" tone"))).alias("tones"))
+    stats = features.contrast_brightness(image_tiles(bitmaps), ("image_id", "width", "height"))
     light = F.col("brightness") / 255.0
-    scored = stats.select("image_id", light.alias("light"), aspect_ratio().alias("shape"),
-                          (sum((p for p in texture.quality_parts()), F.lit(0.0)) / 3).alias("quality"))
+    scored = stats.select("image_id", light.alias("light"), aspect_ratio().alias("shape")).join(quality_of(bitmaps), "image_id")
     found = F.array_compact(F.array(
         F.when(F.col("light") < 0.3, "dark").when(F.col("light") > 0.7, "bright"),
         F.when(F.col("shape") < 0.75, "portrait").when(F.col("shape") > 1.33, "landscape"),
@@ -146,12 +156,12 @@ def recommend_tags(rasters: DataFrame) -> DataFrame:
         "image_id", F.array_sort(F.array_distinct(F.concat("tones", found))).alias("tags"))
 
 
-def basic_metadata(images: DataFrame, rasters: DataFrame, predictions: DataFrame, mode: str = "RGB") -> DataFrame:
+def basic_metadata(images: DataFrame, bitmaps: DataFrame, predictions: DataFrame, mode: str = "RGB", min_side: int = 300) -> DataFrame:
     """Size, format, hash, quality and classification of each decodable image."""
-    placed = by_image(rasters)
-    verdict = pred.classify_valid(images, predictions)
-    return (images.join(hashing.phash(placed), "image_id")
-            .join(texture.quality_score(placed).select("image_id", "quality"), "image_id")
+    bitmaps = survivors(bitmaps, images)
+    verdict = pred.classify_valid(images, predictions, min_side)
+    return (images.join(hashing.phash(image_tiles(bitmaps)), "image_id")
+            .join(quality_of(bitmaps), "image_id")
             .join(verdict, "image_id")
             .select("image_id", "width", "height", F.col("length").alias("file_size"), "format",
                     F.lit(mode).alias("color_mode"), F.lower(F.lpad(F.hex("h"), 16, "0")).alias("phash"),
@@ -160,18 +170,17 @@ def basic_metadata(images: DataFrame, rasters: DataFrame, predictions: DataFrame
                     .alias("ai_classification")))
 
 
-def post_metadata(images: DataFrame, rasters: DataFrame, posts: DataFrame, boxes: DataFrame) -> DataFrame:
+def post_metadata(images: DataFrame, bitmaps: DataFrame, posts: DataFrame, boxes: DataFrame) -> DataFrame:
     """File facts with the post's tags, detections, palette, quality and person flag.
 
     ``posts`` has image_id and tags. Every part but the images is optional per image.
     """
-    placed = by_image(rasters)
+    bitmaps = survivors(bitmaps, images)
     verdict = tags.classify_by_tags(posts.withColumnRenamed("image_id", "post_id")).select(
         F.col("post_id").alias("image_id"), "is_person")
-    palette = features.palette_kmeans(placed).groupBy("image_id").agg(
-        F.sort_array(F.collect_list(F.struct("cluster", "r", "g", "b"))).alias("dominant_colors"))
+    palette = palette_of(bitmaps)
     counts = boxes.groupBy("image_id").agg(F.count("*").alias("detected"))
-    quality = texture.quality_score(placed).select("image_id", "quality")
+    quality = quality_of(bitmaps)
     return (images.join(posts.select("image_id", "tags"), "image_id", "left").join(verdict, "image_id", "left")
             .join(counts, "image_id", "left").join(palette, "image_id", "left").join(quality, "image_id", "left")
             .select("image_id", file_name(F.col("path")).alias("filename"), F.col("length").alias("file_size"),
@@ -181,19 +190,20 @@ def post_metadata(images: DataFrame, rasters: DataFrame, posts: DataFrame, boxes
                     F.coalesce("is_person", F.lit(False)).alias("is_person")))
 
 
-def image_report(images: DataFrame, rasters: DataFrame, predictions: DataFrame) -> DataFrame:
+def image_report(images: DataFrame, bitmaps: DataFrame, predictions: DataFrame, min_side: int = 300) -> DataFrame:
     """One nested record per image: metadata, analysis and file facts."""
-    placed = by_image(rasters)
-    basic = basic_metadata(images, rasters, predictions)
+    bitmaps = survivors(bitmaps, images)
+    tiles = image_tiles(bitmaps, halo=True)
+    basic = basic_metadata(images, bitmaps, predictions, min_side=min_side)
     basic = basic.select("image_id", F.struct(*[c for c in basic.columns if c != "image_id"]).alias("basic_metadata"))
-    palette = features.palette_kmeans(placed).groupBy("image_id").agg(
-        F.sort_array(F.collect_list(F.struct("cluster", "r", "g", "b"))).alias("dominant_colors"))
-    profile = features.color_profile(placed)
+    profile = features.color_profile(tiles)
     histogram = profile.select("image_id", F.struct(
         F.col("hist_r").alias("red"), F.col("hist_g").alias("green"), F.col("hist_b").alias("blue")).alias("histogram"))
-    texture_parts = texture.glcm_features(texture.glcm(placed, angles=("0",)))
-    return (images.join(basic, "image_id").join(palette, "image_id").join(histogram, "image_id")
-            .join(texture.tone_and_edges(placed), "image_id")
+    texture_parts = texture.glcm_features(texture.glcm(tiles, angles=("0",)))
+    skin = features.skin_ratio_score(tiles).withColumnRenamed("score", "nsfw_score")
+    channels = bitmaps.select("image_id", F.col("n_channels") if "n_channels" in bitmaps.columns else F.lit(3).alias("n_channels"))
+    return (images.join(basic, "image_id").join(palette_of(bitmaps), "image_id").join(histogram, "image_id")
+            .join(texture.tone_and_edges(tiles), "image_id").join(skin, "image_id").join(channels, "image_id")
             .join(texture_parts.select("image_id", F.struct(*[c for c in texture_parts.columns if c != "image_id"])
                                        .alias("texture")), "image_id")
             .select("image_id", "basic_metadata",
@@ -201,7 +211,7 @@ def image_report(images: DataFrame, rasters: DataFrame, predictions: DataFrame)
                              F.struct("dominant_colors", "histogram").alias("color_analysis"),
                              F.struct(F.col("sharpness").alias("blur_score"), "edge_density", "contrast",
                                       F.col("brightness").alias("mean_brightness")).alias("quality_metrics"),
-                             "texture").alias("advanced_analysis"),
+                             "texture", "nsfw_score", F.col("n_channels").alias("channels")).alias("advanced_analysis"),
                     F.struct("path", F.col("length").alias("size_bytes"), F.col("atime").alias("last_modified"))
                     .alias("file_info")))
 

@@ -1,67 +1,56 @@
-"""Rasters to pixels, crops, thumbnails and augmentation.
+"""Tiles to pixels, crops, thumbnails and augmentation.
 
-A raster row is ``(keys..., w, h, px)``. Everything here is a map over raster rows: neighbours and
-crops are array look-ups, so stencils need neither a shuffle nor a sort.
+A tile row is ``(keys..., width, height, y0, x0, w, h, px[, pad])``: a part of a raster of width x height whose first pixel is at
+(y0, x0). ``pad`` is the tile with a border of one pixel, so stencils read their neighbours by array position: everything here is a map over
+tiles and needs neither a shuffle nor a sort, whatever the size of an image.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from photolake.functions.columns import blue, green, int_div, packed_luma, red
+from photolake.sources.images import TILE, image_tiles
 
 KEYS = ("image_id",)
 
 
-def by_image(rasters: DataFrame) -> DataFrame:
-    """Place each raster by image once; every later grouping or join on image_id reuses it."""
-    return rasters.repartition("image_id")
+def positioned(tiles: DataFrame, *keep: str) -> DataFrame:
+    """One row per pixel: ``keep``, packed value v, and place y, x in the raster."""
+    p, w = F.col("p"), F.col("w")
+    return (tiles.select(*keep, "y0", "x0", "w", F.posexplode("px").alias("p", "v"))
+            .select(*keep, "v", (F.col("y0") + int_div(p, w)).cast("int").alias("y"), (F.col("x0") + p % w).cast("int").alias("x")))
 
 
-def explode_pixels(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def explode_pixels(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per pixel: position, channels and gray value."""
     px = F.col("v")
-    return (rasters.select(*keys, "w", F.posexplode("px").alias("p", "v"))
-            .select(*keys, int_div(F.col("p"), F.col("w")).cast("int").alias("y"),
-                    (F.col("p") % F.col("w")).cast("int").alias("x"),
-                    red(px).alias("r"), green(px).alias("g"), blue(px).alias("b"),
-                    packed_luma(px).alias("gray")))
-
-
-def mirrored(rasters: DataFrame) -> DataFrame:
-    """Add ``pad``: the raster with a one-pixel border mirrored around its edge pixels, (w + 2) x (h + 2)."""
-    w, h, px = F.col("w"), F.col("h"), F.col("px")
-    left, right = F.least(F.lit(1), w - 1), F.greatest(w - 2, F.lit(0))
+    return positioned(tiles, *keys).select(*keys, "y", "x", red(px).alias("r"), green(px).alias("g"), blue(px).alias("b"),
+                                           packed_luma(px).alias("gray"))
 
-    def row(i):
-        y = F.when(i < 0, F.least(F.lit(1), h - 1)).when(i >= h, F.greatest(h - 2, F.lit(0))).otherwise(i)
-        return F.concat(F.slice(px, y * w + left + 1, 1), F.slice(px, y * w + 1, w), F.slice(px, y * w + right + 1, 1))
 
-    return rasters.withColumn("pad", F.flatten(F.transform(F.sequence(F.lit(-1), h), row)))
-
-
-def neighbourhoods(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Each gray pixel with its eight neighbours (n_ul .. n_dr), read from the mirrored raster by position."""
+def neighbourhoods(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Each pixel (packed, and its gray value v) with its eight gray neighbours (n_ul .. n_dr), read from the bordered tile by position."""
     p, w = F.col("p"), F.col("w")
-    flat = (mirrored(rasters).select(*keys, "w", "pad", F.posexplode("px").alias("p", "v"))
-            .select(*keys, "w", "pad", packed_luma(F.col("v")).alias("v"),
-                    int_div(p, w).cast("int").alias("y"), (p % w).cast("int").alias("x"))
-            .withColumn("o", F.col("y") * (F.col("w") + 2) + F.col("x")))
+    flat = (tiles.select(*keys, "y0", "x0", "w", "pad", F.posexplode("px").alias("p", "v"))
+            .withColumn("row", int_div(p, w).cast("int")).withColumn("col", (p % w).cast("int"))
+            .withColumn("o", F.col("row") * (w + 2) + F.col("col")))
 
     def at(dy: int, dx: int):
-        return packed_luma(F.get("pad", F.col("o") + dy * (F.col("w") + 2) + dx))
+        return packed_luma(F.get("pad", F.col("o") + dy * (w + 2) + dx))
 
-    return flat.select(*keys, "y", "x", "v",
+    return flat.select(*keys, F.col("v").alias("packed"), (F.col("y0") + F.col("row")).alias("y"), (F.col("x0") + F.col("col")).alias("x"),
+                       packed_luma(F.col("v")).alias("v"),
                        at(0, 0).alias("n_ul"), at(0, 1).alias("n_u"), at(0, 2).alias("n_ur"),
                        at(1, 0).alias("n_l"), at(1, 2).alias("n_r"),
                        at(2, 0).alias("n_dl"), at(2, 1).alias("n_d"), at(2, 2).alias("n_dr"))
 
 
-def laplacian(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def laplacian(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Four-neighbour Laplacian per pixel."""
-    return neighbourhoods(rasters, keys).select(*keys, "y", "x", "v", laplacian_of().alias("lap"))
+    return neighbourhoods(tiles, keys).select(*keys, "y", "x", "v", laplacian_of().alias("lap"))
 
 
 def laplacian_of():
@@ -84,77 +73,101 @@ def angle_of(gx, gy):
     return F.when(a < 0, a + 2 * F.pi()).otherwise(a)
 
 
-def sobel(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def sobel(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """3x3 Sobel gradients, magnitude and direction per pixel."""
     gx, gy = gradients_of()
-    return (neighbourhoods(rasters, keys).select(*keys, "y", "x", gx.alias("gx"), gy.alias("gy"))
+    return (neighbourhoods(tiles, keys).select(*keys, "y", "x", gx.alias("gx"), gy.alias("gy"))
             .withColumn("magnitude", magnitude_of(F.col("gx"), F.col("gy")))
             .withColumn("angle", angle_of(F.col("gx"), F.col("gy"))))
 
 
-def roi_rasters(boxes: DataFrame, rasters: DataFrame) -> DataFrame:
-    """Crop each box out of its image's raster: an equi-join, then array slices.
-
-    Boxes are clipped to the raster; a box that lies outside yields no row. Only the boxes side can
-    be skewed, and it stays splittable because a raster is one row per image.
-    """
-    r = rasters.select("image_id", F.col("w").alias("rw"), F.col("h").alias("rh"), "px")
-    clipped = (boxes.join(r, "image_id")
-               .withColumn("x0", F.greatest(F.col("x"), F.lit(0)))
-               .withColumn("y0", F.greatest(F.col("y"), F.lit(0)))
-               .withColumn("cw", F.least(F.col("x") + F.col("w"), F.col("rw")) - F.col("x0"))
-               .withColumn("ch", F.least(F.col("y") + F.col("h"), F.col("rh")) - F.col("y0"))
-               .where((F.col("cw") > 0) & (F.col("ch") > 0)))
-    # The optimizer may evaluate the crop next to the filter above, so empty boxes must not fail here.
-    rows = F.sequence(F.col("y0"), F.col("y0") + F.greatest(F.col("ch"), F.lit(1)) - 1)
-    crop = F.flatten(F.transform(
-        rows, lambda row: F.slice(F.col("px"), row * F.col("rw") + F.col("x0") + 1, F.greatest(F.col("cw"), F.lit(0)))))
+def clipped_boxes(boxes: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Boxes cut to their image: the box's columns with left, top, width and height of what is inside; none outside."""
+    sizes = bitmaps.select("image_id", F.col("width").alias("iw"), F.col("height").alias("ih"))
     rest = [c for c in boxes.columns if c not in ("image_id", "box_id", "x", "y", "w", "h")]
-    return clipped.select("image_id", "box_id", "x0", "y0", *rest, F.col("cw").alias("w"),
-                          F.col("ch").alias("h"), crop.alias("px"))
+    left, top = F.greatest(F.col("x"), F.lit(0)), F.greatest(F.col("y"), F.lit(0))
+    return (boxes.join(sizes, "image_id")
+            .select("image_id", "box_id", *rest, left.alias("left"), top.alias("top"),
+                    (F.least(F.col("x") + F.col("w"), F.col("iw")) - left).alias("width"),
+                    (F.least(F.col("y") + F.col("h"), F.col("ih")) - top).alias("height"))
+            .where((F.col("width") > 0) & (F.col("height") > 0)))
+
+
+def _cells(first: Column, size: Column, side: int) -> Column:
+    # The optimizer may evaluate this next to the filter above, so an empty box must not fail here.
+    return F.sequence(int_div(first, F.lit(side)), int_div(first + F.greatest(size, F.lit(1)) - 1, F.lit(side)))
 
 
-def roi_pixels(boxes: DataFrame, rasters: DataFrame) -> DataFrame:
+def roi_tiles(boxes: DataFrame, bitmaps: DataFrame, side: int = TILE) -> DataFrame:
+    """Each box as tiles of its own: (image_id, box_id, other columns, left, top, width, height, y0, x0, w, h, px, pad).
+
+    width and height are those of the clipped box, y0 and x0 count from its corner. Boxes meet the haloed tiles they touch, by
+    grid cell; a crop needs no pixel beyond a tile's halo, since its own border is mirrored inwards. Only images with boxes are decoded.
+    """
+    crops = clipped_boxes(boxes, bitmaps)
+    wanted = bitmaps.join(boxes.select("image_id").distinct(), "image_id", "left_semi")
+    tiles = image_tiles(wanted, halo=True, side=side).select(
+        "image_id", int_div(F.col("y0"), F.lit(side)).alias("cy"), int_div(F.col("x0"), F.lit(side)).alias("cx"),
+        F.col("y0").alias("ty"), F.col("x0").alias("tx"), F.col("w").alias("tw"), F.col("h").alias("th"), "px", "pad")
+    met = (crops.withColumn("cy", F.explode(_cells(F.col("top"), F.col("height"), side)))
+           .withColumn("cx", F.explode(_cells(F.col("left"), F.col("width"), side)))
+           .join(tiles, ["image_id", "cy", "cx"]))
+    for lead, size, begin, tile, length, at, n in (("top", "height", "y0", "ty", "th", "fy", "h"), ("left", "width", "x0", "tx", "tw", "fx", "w")):
+        met = (met.withColumn(at, F.greatest(F.col(lead), F.col(tile)))
+               .withColumn(n, F.greatest(F.least(F.col(lead) + F.col(size), F.col(tile) + F.col(length)) - F.col(at), F.lit(1)))
+               .withColumn(begin, F.col(at) - F.col(lead)))
+
+    def inside(i: Column, size: str) -> Column:
+        """A place of the crop for one that may lie just outside of it."""
+        n = F.col(size)
+        return F.when(i < 0, F.least(F.lit(1), n - 1)).when(i >= n, F.greatest(n - 2, F.lit(0))).otherwise(i)
+
+    def bordered(i: Column) -> Column:
+        row = (F.col("top") + inside(F.col("y0") + i, "height") - F.col("ty") + 1) * (F.col("tw") + 2)
+        start = F.col("left") - F.col("tx") + 1  # the crop's first column in a bordered row
+        one = lambda place: F.slice("pad", (row + start + inside(place, "width") + 1).cast("int"), F.lit(1))
+        return F.concat(one(F.col("x0") - 1), F.slice("pad", (row + start + F.col("x0") + 1).cast("int"), F.col("w")), one(F.col("x0") + F.col("w")))
+
+    plain = F.flatten(F.transform(F.sequence(F.col("fy") - F.col("ty"), F.col("fy") - F.col("ty") + F.col("h") - 1), lambda i: F.slice(
+        "px", (i * F.col("tw") + F.col("fx") - F.col("tx") + 1).cast("int"), F.col("w"))))
+    border = F.flatten(F.transform(F.sequence(F.lit(-1), F.col("h")), bordered))
+    return met.select(*crops.columns, "y0", "x0", "w", "h", plain.alias("px"), border.alias("pad"))
+
+
+def roi_pixels(boxes: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Pixels of each box, in image coordinates."""
-    crop = roi_rasters(boxes, rasters)
-    keys = ["image_id", "box_id"]
-    return (crop.select(*keys, "x0", "y0", "w", F.posexplode("px").alias("p", "v"))
-            .select(*keys, (F.col("y0") + int_div(F.col("p"), F.col("w"))).cast("int").alias("y"),
-                    (F.col("x0") + F.col("p") % F.col("w")).cast("int").alias("x"),
-                    packed_luma(F.col("v")).alias("gray")))
+    keys = ("image_id", "box_id")
+    return positioned(roi_tiles(boxes, bitmaps), *keys, "left", "top").select(
+        *keys, (F.col("top") + F.col("y")).alias("y"), (F.col("left") + F.col("x")).alias("x"), packed_luma(F.col("v")).alias("gray"))
 
 
-def thumbnail_raster(rasters: DataFrame, max_w: int, max_h: int) -> DataFrame:
+def thumbnail_raster(tiles: DataFrame, max_w: int, max_h: int) -> DataFrame:
     """Box-average to the planned thumbnail size (never enlarging); one row per thumbnail pixel.
 
-    Image rows are grouped by image, so partial sums run before the exchange.
+    A tile's pixels are summed before the exchange, so what moves are thumbnail cells.
     """
-    scale = F.least(F.lit(1.0), F.lit(float(max_w)) / F.col("w"), F.lit(float(max_h)) / F.col("h"))
-    planned = (rasters.withColumn("tw", F.greatest(F.lit(1), F.floor(F.col("w") * scale).cast("int")))
-               .withColumn("th", F.greatest(F.lit(1), F.floor(F.col("h") * scale).cast("int"))))
-    p, w, v = F.col("p"), F.col("w"), F.col("v")
-    cells = (planned.select("image_id", "w", "h", "tw", "th", F.posexplode("px").alias("p", "v"))
-             .select("image_id", int_div(int_div(p, w) * F.col("th"), F.col("h")).cast("int").alias("y"),
-                     int_div((p % w) * F.col("tw"), w).cast("int").alias("x"),
+    width, height, v = F.col("width"), F.col("height"), F.col("v")
+    scale = F.least(F.lit(1.0), F.lit(float(max_w)) / width, F.lit(float(max_h)) / height)
+    cells = (positioned(tiles, "image_id", "width", "height")
+             .withColumn("tw", F.greatest(F.lit(1), F.floor(width * scale).cast("int")))
+             .withColumn("th", F.greatest(F.lit(1), F.floor(height * scale).cast("int")))
+             .select("image_id", int_div(F.col("y") * F.col("th"), height).cast("int").alias("y"),
+                     int_div(F.col("x") * F.col("tw"), width).cast("int").alias("x"),
                      red(v).alias("r"), green(v).alias("g"), blue(v).alias("b")))
-    return cells.groupBy("image_id", "y", "x").agg(F.avg("r").alias("r"), F.avg("g").alias("g"),
-                                                   F.avg("b").alias("b"))
+    return cells.groupBy("image_id", "y", "x").agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"))
 
 
-def augment_raster(rasters: DataFrame, dx: int = 1, dy: int = 1) -> DataFrame:
+def augment_raster(tiles: DataFrame, dx: int = 1, dy: int = 1) -> DataFrame:
     """Training variants in one pass: rescaled original, horizontal flip, and a shift.
 
     A shifted pixel that leaves the frame is dropped.
     """
     variants = F.array(
         F.struct(F.lit("original").alias("variant"), F.col("y").alias("vy"), F.col("x").alias("vx")),
-        F.struct(F.lit("flip").alias("variant"), F.col("y").alias("vy"), (F.col("w") - 1 - F.col("x")).alias("vx")),
+        F.struct(F.lit("flip").alias("variant"), F.col("y").alias("vy"), (F.col("width") - 1 - F.col("x")).alias("vx")),
         F.struct(F.lit("shift").alias("variant"), (F.col("y") + dy).alias("vy"), (F.col("x") + dx).alias("vx")))
-    flat = (rasters.select("image_id", "w", "h", F.posexplode("px").alias("p", "v"))
-            .withColumn("y", int_div(F.col("p"), F.col("w")).cast("int"))
-            .withColumn("x", (F.col("p") % F.col("w")).cast("int"))
-            .select("image_id", "w", "h", "v", F.inline(variants)))
-    inside = (F.col("vx") >= 0) & (F.col("vx") < F.col("w")) & (F.col("vy") >= 0) & (F.col("vy") < F.col("h"))
+    flat = positioned(tiles, "image_id", "width", "height").select("image_id", "width", "height", "v", F.inline(variants))
+    inside = (F.col("vx") >= 0) & (F.col("vx") < F.col("width")) & (F.col("vy") >= 0) & (F.col("vy") < F.col("height"))
     v = F.col("v")
     return flat.where(inside).select("image_id", "variant", F.col("vy").alias("y"), F.col("vx").alias("x"),
                                      (red(v) / 255.0).alias("r"), (green(v) / 255.0).alias("g"),

@@ -1,4 +1,4 @@
-"""Texture, edges and sharpness, from array-indexed stencils."""
+"""Texture, edges and sharpness, from array-indexed stencils on haloed tiles."""
 
 from __future__ import annotations
 
@@ -7,23 +7,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from photolake.functions.columns import int_div, packed_luma, ratio, var_pop_of
-from photolake.operators.raster import (KEYS, angle_of, by_image, gradients_of, laplacian_of, magnitude_of,
-                                        neighbourhoods)
+from photolake.functions.columns import blue, green, int_div, packed_luma, ratio, red, var_pop_of
+from photolake.operators.raster import KEYS, angle_of, gradients_of, laplacian_of, magnitude_of, neighbourhoods
 
 
-def blur_score(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def blur_score(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Variance of the Laplacian; low means blurry."""
     lap = F.col("lap")
-    sums = (neighbourhoods(rasters, keys).select(*keys, laplacian_of().alias("lap")).groupBy(*keys)
+    sums = (neighbourhoods(tiles, keys).select(*keys, laplacian_of().alias("lap")).groupBy(*keys)
             .agg(F.count("*").alias("n"), F.sum(lap).alias("s1"), F.sum(lap * lap).alias("s2")))
     return sums.select(*keys, var_pop_of(F.col("n"), F.col("s1"), F.col("s2")).alias("blur_score"))
 
 
-def tone_and_edges(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def color_and_blur(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """color_ratio and blur_score in one pass and one grouping."""
+    px, lap = F.col("packed"), F.col("lap")
+    gap = sum((F.abs(c(px) - F.col("v")) for c in (red, green, blue)), F.lit(0))
+    sums = (neighbourhoods(tiles, keys).select(*keys, gap.alias("gap"), laplacian_of().alias("lap")).groupBy(*keys)
+            .agg(F.count("*").alias("n"), F.sum("gap").alias("gap"), F.sum(lap).alias("s1"), F.sum(lap * lap).alias("s2")))
+    return sums.select(*keys, (ratio(F.col("gap"), F.col("n")) / 255.0).alias("color_ratio"),
+                       var_pop_of(F.col("n"), F.col("s1"), F.col("s2")).alias("blur_score"))
+
+
+def tone_and_edges(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every scalar stencil feature in one pass and one grouping."""
     gx, gy = gradients_of()
-    px = (neighbourhoods(rasters, keys).select(*keys, "v", laplacian_of().alias("lap"), gx.alias("gx"), gy.alias("gy"))
+    px = (neighbourhoods(tiles, keys).select(*keys, "v", laplacian_of().alias("lap"), gx.alias("gx"), gy.alias("gy"))
           .withColumn("mag", magnitude_of(F.col("gx"), F.col("gy"))).withColumn("angle", angle_of(F.col("gx"), F.col("gy"))))
     v, lap = F.col("v"), F.col("lap")
     sums = px.groupBy(*keys).agg(
@@ -36,8 +45,8 @@ def tone_and_edges(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
                        "edge_density", "mean_angle", "dynamic_range")
 
 
-def quality_basic(rasters: DataFrame) -> DataFrame:
-    return tone_and_edges(rasters).select("image_id", "sharpness", "edge_density", "dynamic_range")
+def quality_basic(tiles: DataFrame) -> DataFrame:
+    return tone_and_edges(tiles).select("image_id", "sharpness", "edge_density", "dynamic_range")
 
 
 def quality_parts() -> list[Column]:
@@ -46,9 +55,9 @@ def quality_parts() -> list[Column]:
             (1.0 - F.col("contrast") / 255.0).alias("noise_score")]
 
 
-def quality_score(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Mean of sharpness, brightness and noise scores, with the parts."""
-    parts = tone_and_edges(rasters, keys).select(*keys, *quality_parts())
+def quality_score(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Mean of sharpness, brightness and noise scores, with the parts. ``tiles``: images resampled to ``lowered`` size."""
+    parts = tone_and_edges(tiles, keys).select(*keys, *quality_parts())
     return parts.withColumn("quality", (F.col("sharpness_score") + F.col("brightness_score") + F.col("noise_score")) / 3)
 
 
@@ -56,23 +65,25 @@ def quality_score(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 DIRECTIONS = (("0", 0, 1), ("45", 1, 1), ("90", 1, 0), ("135", 1, -1))
 
 
-def glcm(rasters: DataFrame, keys: Sequence[str] = KEYS, angles: Sequence[str] = ("0", "45", "90", "135")) -> DataFrame:
+def glcm(tiles: DataFrame, keys: Sequence[str] = KEYS, angles: Sequence[str] = ("0", "45", "90", "135")) -> DataFrame:
     """Symmetric, normalised gray co-occurrence for each of ``angles``; only cells that occur.
 
     Unordered pairs are counted, then mirrored, so the heavy grouping sees half the rows.
     """
-    flat = (by_image(rasters).select(*keys, "w", "h", "px", F.posexplode("px").alias("p", "v"))
-            .withColumn("y", int_div(F.col("p"), F.col("w")).cast("int"))
-            .withColumn("x", (F.col("p") % F.col("w")).cast("int")).withColumn("v", packed_luma(F.col("v"))))
+    p, w = F.col("p"), F.col("w")
+    flat = (tiles.select(*keys, "width", "height", "y0", "x0", "w", "pad", F.posexplode("px").alias("p", "v"))
+            .withColumn("row", int_div(p, w).cast("int")).withColumn("col", (p % w).cast("int"))
+            .withColumn("y", F.col("y0") + F.col("row")).withColumn("x", F.col("x0") + F.col("col"))
+            .withColumn("v", packed_luma(F.col("v"))))
     pairs = F.array(*[F.struct(
         F.lit(name).alias("angle"),
-        F.when((F.col("y") + dy < F.col("h")) & (F.col("x") + dx >= 0) & (F.col("x") + dx < F.col("w")),
-               packed_luma(F.get("px", (F.col("y") + dy) * F.col("w") + F.col("x") + dx))).alias("u"))
+        F.when((F.col("y") + dy < F.col("height")) & (F.col("x") + dx >= 0) & (F.col("x") + dx < F.col("width")),
+               packed_luma(F.get("pad", (F.col("row") + 1 + dy) * (w + 2) + F.col("col") + 1 + dx))).alias("u"))
         for name, dy, dx in DIRECTIONS if name in angles])
-    cells = (flat.select(*keys, "w", "h", "v", F.inline(pairs)).where("u IS NOT NULL")
+    cells = (flat.select(*keys, "width", "height", "v", F.inline(pairs)).where("u IS NOT NULL")
              .groupBy(*keys, "angle", F.least("v", "u").alias("lo"), F.greatest("v", "u").alias("hi"))
-             .agg(F.count("*").alias("cnt"), F.any_value("w").alias("w"), F.any_value("h").alias("h")))
-    w, h, angle = F.col("w"), F.col("h"), F.col("angle")
+             .agg(F.count("*").alias("cnt"), F.any_value("width").alias("w"), F.any_value("height").alias("h")))
+    w, h, angle = F.col("w").cast("long"), F.col("h").cast("long"), F.col("angle")
     n_pairs = F.when(angle == "0", (w - 1) * h).when(angle == "90", w * (h - 1)).otherwise((w - 1) * (h - 1))
     mirrored = F.when(F.col("lo") == F.col("hi"), F.array(F.struct(F.col("lo").alias("i"), F.col("hi").alias("j"),
                                                                    (2 * F.col("cnt")).alias("c")))).otherwise(
@@ -108,9 +119,9 @@ def half_turn_bin(gx: Column, gy: Column) -> Column:
             .when(a < t * gy, 4).when(a < gy, 5).when(t * a < gy, 6).otherwise(7)).cast("int")
 
 
-def edge_orientation_hist(rasters: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def edge_orientation_hist(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Pixels per gradient direction bin over the upper half turn; the lower half is left out."""
     gx, gy = gradients_of()
-    return (neighbourhoods(rasters, keys).select(*keys, gx.alias("gx"), gy.alias("gy")).where("gy >= 0")
+    return (neighbourhoods(tiles, keys).select(*keys, gx.alias("gx"), gy.alias("gy")).where("gy >= 0")
             .select(*keys, half_turn_bin(F.col("gx"), F.col("gy")).alias("bin"))
             .groupBy(*keys, "bin").agg(F.count("*").alias("cnt")))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from photolake.functions.fixed import STYLE_LABELS, TAG_SYNONYMS
-from photolake.sources.images import MAX_SIDE
 from photolake.sources.tables import ERROR_TYPES, FORMATS, POST_TAGS
 
 
@@ -16,7 +15,7 @@ def _synonym_rows() -> str:
     return ",".join(rows)
 
 
-_FMT = f"({lst(FORMATS)})[(vec_id%6)::INT+1]"
+_FMT = f"({lst(FORMATS)})[(doc_id%6)::INT+1]"
 _T1 = f"({lst(POST_TAGS)})[(e.event_id%12)::INT+1]"
 _T2 = f"({lst(POST_TAGS)})[(e.user_id%12)::INT+1]"
 _HEX = "'0123456789ABCDEF'"
@@ -30,13 +29,15 @@ VIEWS: dict[str, tuple[str, str]] = {
          CAST(json_extract_string(e.props,'$.k') AS INT) AS note_count, coalesce(l.toxic,0)=1 AS is_nsfw,
          CASE WHEN e.event_id%12=e.user_id%12 THEN [{_T1}] ELSE [{_T1},{_T2}] END AS tags,
          CASE WHEN e.event_id%17=0 THEN [] ELSE list_transform(range(0,e.event_id%3+1),
-          lambda i: {{'url': concat('https://',d.source,'.example.com/img/',e.event_id%500,'_',i,'.jpg')}}) END AS photos
+          lambda i: {{'url': concat('https://',d.source,'.example.com/img/',d.doc_id,'_',i,'.jpg')}}) END AS photos
         FROM events e JOIN documents d ON d.doc_id=e.event_id%(SELECT count(*) FROM documents)
         LEFT JOIN labels l ON l.doc_id=d.doc_id"""),
     "images": ("", f"""
-        SELECT vec_id AS image_id, concat('/img/class',label,'/',vec_id,'.',{_FMT}) AS path,
-         CAST(400+vec_id*37%1200 AS INT) AS width, CAST(300+vec_id*53%900 AS INT) AS height,
-         vec_id*104729%15000000 AS length, {_FMT} AS format, vec_id*7919%100003 AS atime FROM embeddings"""),
+        SELECT doc_id AS image_id, concat('/img/',coalesce('class'||label,'unlabelled'),'/',doc_id,'.',{_FMT}) AS path, width,
+         CAST(greatest(1,ceil(ceil(length/3)/width)) AS INT) AS height, length, {_FMT} AS format, doc_id*7919%100003 AS atime
+        FROM (SELECT doc_id, length, CAST(greatest(1,ceil(sqrt(ceil(length/3)))) AS INT) AS width
+              FROM (SELECT doc_id, coalesce(strlen(text),0)::BIGINT AS length FROM documents))
+        LEFT JOIN (SELECT vec_id AS doc_id, label FROM embeddings) USING (doc_id)"""),
     # bytes of the whole text, as a list of 0..255
     "doc_bytes": ("", f"""
         SELECT doc_id, n, CAST(ceil(sqrt(ceil(n/3.0))) AS INT) AS width, ceil(n/3.0) AS npx,
@@ -49,14 +50,20 @@ VIEWS: dict[str, tuple[str, str]] = {
                unnest(list_transform(range(0,width*height),
                 lambda q: [b[(3*q)%n+1], b[(3*q+1)%n+1], b[(3*q+2)%n+1]])) AS pix
               FROM (SELECT *, CAST(ceil(npx/width) AS INT) AS height FROM doc_bytes))"""),
-    # the bounded raster, as pixels
-    "pix0": ("raw_px", f"""
-        SELECT image_id, width, height, least(width,{MAX_SIDE}) AS w, least(height,{MAX_SIDE}) AS h,
-         CAST(y*least(height,{MAX_SIDE})//height AS INT) AS y, CAST(x*least(width,{MAX_SIDE})//width AS INT) AS x,
-         CAST(sum(r)//count(*) AS INT) AS r, CAST(sum(g)//count(*) AS INT) AS g, CAST(sum(b)//count(*) AS INT) AS b
-        FROM raw_px GROUP BY ALL"""),
-    "pix": ("pix0", """
-        SELECT *, CAST((299*r+587*g+114*b+500)//1000 AS INT) AS gray, r*65536+g*256+b AS packed FROM pix0"""),
+    # whole images, as pixels
+    "pix": ("raw_px", """
+        SELECT image_id, width, height, width AS w, height AS h, CAST(y AS INT) AS y, CAST(x AS INT) AS x, r, g, b,
+         CAST((299*r+587*g+114*b+500)//1000 AS INT) AS gray, r*65536+g*256+b AS packed FROM raw_px"""),
+    # at most 100 x 100: means weighted by the area that a pixel and a cell share
+    "pix100": ("raw_px", """
+        SELECT image_id, CAST(cy AS INT) AS y, CAST(cx AS INT) AS x, CAST((2*sum(r*wt)+n)//(2*n) AS INT) AS r,
+         CAST((2*sum(g*wt)+n)//(2*n) AS INT) AS g, CAST((2*sum(b*wt)+n)//(2*n) AS INT) AS b FROM (
+          SELECT image_id, cy, cx, r, g, b, (width*height)::BIGINT AS n,
+           (least((cy+1)*height,(y+1)*least(height,100))-greatest(cy*height,y*least(height,100)))
+           *(least((cx+1)*width,(x+1)*least(width,100))-greatest(cx*width,x*least(width,100))) AS wt FROM (
+           SELECT *, unnest(range(x*least(width,100)//width, ((x+1)*least(width,100)-1)//width+1)) AS cx FROM (
+            SELECT *, unnest(range(y*least(height,100)//height, ((y+1)*least(height,100)-1)//height+1)) AS cy FROM raw_px)))
+        GROUP BY image_id, cy, cx, n"""),
     "gray8": ("", """
         SELECT vec_id AS image_id, CAST((p-1)//8 AS INT) AS y, CAST((p-1)%8 AS INT) AS x, 8 AS w, 8 AS h,
          CAST(floor((CAST(embedding[p] AS DOUBLE)+1.0::DOUBLE)*127.5::DOUBLE) AS INT) AS gray

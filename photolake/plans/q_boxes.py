@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from photolake.operators import boxes as bx, hashing, raster
-from photolake.plans.q_images import rasters
+from photolake.plans.q_images import tiles
 from photolake.plans.registry import query, rounded
 from photolake.sources import tables
 
@@ -64,12 +64,12 @@ def combine_detections(spark, d):
 
 
 @query("detection_metrics", views="boxes images", sql="""
-SELECT format, CASE WHEN width*height>=1000000 THEN 'large' WHEN width*height>=300000 THEN 'medium' ELSE 'small' END
+SELECT format, CASE WHEN width*height>=900 THEN 'large' WHEN width*height>=600 THEN 'medium' ELSE 'small' END
  AS size_class, count(*) AS n_images, CAST(sum(coalesce(n,0)) AS BIGINT) AS n_boxes,
  count(*) FILTER (coalesce(n,0)>0) AS n_with_boxes
 FROM images LEFT JOIN (SELECT image_id, count(*) AS n FROM boxes GROUP BY 1) USING (image_id) GROUP BY 1, 2""")
 def detection_metrics(spark, d):
-    return bx.detection_metrics(tables.boxes(spark, d), tables.images(spark, d))
+    return bx.detection_metrics(tables.boxes(spark, d), tables.images(spark, d), large=900, medium=600)
 
 
 # --- crops ----------------------------------------------------------------------------------
@@ -106,13 +106,13 @@ feat AS (SELECT image_id, box_id, sum(v*cnt)/sum(cnt) AS mean_intensity,
 
 
 def crops(spark, d):
-    return raster.roi_rasters(tables.boxes(spark, d), rasters(spark, d))
+    return raster.roi_tiles(tables.boxes(spark, d), tables.raw_images(spark, d))
 
 
 @query("roi_pixels", views="boxes pix", sql=f"""
 WITH {ROI.format('boxes')} SELECT image_id, box_id, y, x, gray FROM roi""")
 def roi_pixels(spark, d):
-    return raster.roi_pixels(tables.boxes(spark, d), rasters(spark, d))
+    return raster.roi_pixels(tables.boxes(spark, d), tables.raw_images(spark, d))
 
 
 @query("face_orientation", views="boxes pix", sql=f"""
@@ -141,34 +141,38 @@ WITH fb AS (SELECT * FROM boxes WHERE confidence>0.5 AND w BETWEEN 30 AND 300 AN
  QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY box_id)<=10),
 {ROI.format('fb')}, {ROI_STENCIL}, {EQUALISED},
 loc AS (SELECT image_id, box_id, min(x) AS x, min(y) AS y, max(x)-min(x)+1 AS w, max(y)-min(y)+1 AS h FROM roi GROUP BY 1, 2)
-SELECT image_id, box_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h,
+SELECT image_id, box_id, CAST(count(*) OVER i AS INT) AS face_count,
+ string_agg(concat(x,' ',y,' ',w,' ',h), ',' ORDER BY box_id) OVER i AS face_locations,
+ CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w AS INT) AS w, CAST(h AS INT) AS h,
  round(brightness,6) AS brightness, round(contrast,6) AS contrast, eyes AS eyes_count,
  round({FACE_QUALITY},6) AS quality_score, round(mean_intensity,6) AS mean_intensity,
  round(std_intensity,6) AS std_intensity, round(entropy,6)+0.0 AS entropy, CAST(color AS BIGINT) AS top_color,
  round(angle,6) AS dominant_angle, round(magnitude,6) AS gradient_magnitude
-FROM tone JOIN feat USING (image_id, box_id) JOIN top USING (image_id, box_id) JOIN loc USING (image_id, box_id)""")
+FROM tone JOIN feat USING (image_id, box_id) JOIN top USING (image_id, box_id) JOIN loc USING (image_id, box_id)
+WINDOW i AS (PARTITION BY image_id)""")
 def face_details(spark, d):
-    full = bx.face_details(tables.boxes(spark, d), rasters(spark, d))
-    return rounded(full.select("image_id", "box_id", "location.*", "brightness", "contrast", "eyes_count",
+    full = bx.face_details(tables.boxes(spark, d), tables.raw_images(spark, d))
+    places = F.array_join(F.transform("face_locations", lambda p: F.concat_ws(" ", p["x"], p["y"], p["w"], p["h"])), ",")
+    return rounded(full.select("image_id", "box_id", "face_count", places.alias("face_locations"), "location.*", "brightness", "contrast", "eyes_count",
                                "quality_score", "features.*", "orientation.*"))
 
 
 # --- hashes and duplicates ------------------------------------------------------------------
 
-PHASH = """t AS (SELECT image_id, ty, tx, sum(gray)//count(*) AS v FROM pix, range(0,32) a(ty), range(0,32) b(tx)
-  WHERE y BETWEEN ty*h//32 AND greatest(ty*h//32, ((ty+1)*h-1)//32)
-   AND x BETWEEN tx*w//32 AND greatest(tx*w//32, ((tx+1)*w-1)//32) GROUP BY ALL),
-basis AS (SELECT f, p, CAST(round(cos(pi()*f*(2*p+1)/64.0::DOUBLE)*16384) AS BIGINT) AS c FROM range(0,8) a(f), range(0,32) b(p)),
-rw AS (SELECT image_id, ty, f AS u, sum(v*c)::BIGINT AS s FROM t JOIN basis ON p=tx GROUP BY ALL),
-cf AS (SELECT image_id, f AS k, u, sum(s*c)::BIGINT AS c FROM rw JOIN basis ON p=ty GROUP BY ALL),
-m AS (SELECT image_id, median(c) AS mid FROM cf GROUP BY 1),
-ph AS (SELECT image_id, CAST(sum(CASE WHEN NOT c>mid THEN 0::HUGEINT WHEN k*8+u=0 THEN -(1::HUGEINT << 63)
+PHASH = """basis AS (SELECT f, p, CAST(round(cos(pi()*f*(2*p+1)/64.0::DOUBLE)*16384) AS BIGINT) AS c FROM range(0,8) a(f), range(0,32) b(p)),
+-- weight of each place of an axis of n pixels: cosine of each of 32 cells times the overlap with it
+axis AS MATERIALIZED (SELECT n, y, f, sum(c*greatest(0, least((p+1)*n,(y+1)*32)-greatest(p*n,y*32)))::BIGINT AS a FROM (
+  SELECT n, unnest(range(0,n)) AS y FROM (SELECT DISTINCT width AS n FROM pix UNION SELECT DISTINCT height FROM pix)), basis GROUP BY ALL),
+rw AS (SELECT image_id, height, pix.y, f AS u, sum(gray*a)::HUGEINT AS s FROM pix JOIN axis ON n=width AND axis.y=x GROUP BY ALL),
+cf AS (SELECT image_id, f AS k, u, sum(s*a)::HUGEINT AS c FROM rw JOIN axis ON n=height AND axis.y=rw.y GROUP BY ALL),
+m AS (SELECT image_id, list_sort(list(c)) AS l FROM cf GROUP BY 1),
+ph AS (SELECT image_id, CAST(sum(CASE WHEN NOT 2*c>l[32]+l[33] THEN 0::HUGEINT WHEN k*8+u=0 THEN -(1::HUGEINT << 63)
  ELSE 1::HUGEINT << (63-(k*8+u))::INT END) AS BIGINT) AS h FROM cf JOIN m USING (image_id) GROUP BY 1)"""
 
 
 @query("phash", views="pix", sql=f"WITH {PHASH} SELECT image_id, h FROM ph")
 def phash(spark, d):
-    return hashing.phash(rasters(spark, d))
+    return hashing.phash(tiles(spark, d))
 
 
 @query("median_hash", views="gray8", sql="""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from photolake.operators import collect as co, metadata as md, search
 from photolake.plans.oracle_views import h32
-from photolake.plans.q_images import ENTROPY_NATS, MEAN_COLOR, rasters
-from photolake.plans.q_metadata import BEST, PALETTE, PERSON, VERDICT, post_meta
+from photolake.plans.q_images import ENTROPY_NATS, MEAN_COLOR
+from photolake.plans.q_metadata import BEST, MIN_SIDE, PALETTE, PERSON, VERDICT, post_meta
 from photolake.plans.q_posts import COLLECT, SEARCH_WHERE
 from photolake.plans.registry import query
 from photolake.operators import predictions as pred
@@ -19,7 +19,7 @@ from photolake.streaming import streams
 STYLES = ("anime", "sketch", "comic", "abstract", "minimalist", "watercolor", "pixel_art")
 PARAMS = co.CollectParams(
     search=COLLECT, styles=STYLES, max_images=400, run_ts="2024-01-25 00:00:00",
-    filters=md.FilterParams(min_resolution=(500, 400), palette=PALETTE + ((80, 80, 80), (100, 90, 100)), tolerance=60.0))
+    filters=md.FilterParams(min_resolution=(24, 20), palette=PALETTE + ((80, 80, 80), (100, 90, 100)), tolerance=60.0))
 WIDE = " OR ".join(f"sqrt((r-{x})**2+(g-{y})**2+(b-{z})**2)<=60" for x, y, z in PARAMS.filters.palette)
 
 
@@ -30,7 +30,7 @@ def scratch(spark, name):
 
 def catalogue(spark, d):
     key = F.regexp_extract("url", r"/img/(\d+)_", 1).cast("long")
-    return co.Catalogue(tables.images(spark, d), rasters(spark, d), tables.predictions(spark, d), key)
+    return co.Catalogue(tables.images(spark, d), tables.raw_images(spark, d), tables.predictions(spark, d), key)
 
 
 def earlier_files(spark, d):
@@ -49,9 +49,9 @@ DECIDE = f"""{ENTROPY_NATS}, {MEAN_COLOR}, {BEST},
 facts AS (SELECT image_id, width, height, entropy, r, g, b, label FROM images LEFT JOIN e_nats USING (image_id)
  LEFT JOIN mean_color USING (image_id) LEFT JOIN best USING (image_id))"""
 REASON = f"""CASE WHEN f.width IS NULL THEN 'no image'
- WHEN NOT (width>=500 AND height>=400 AND width/height BETWEEN 0.5 AND 2.0) THEN 'filters'
+ WHEN NOT (width>=24 AND height>=20 AND width/height BETWEEN 0.5 AND 2.0) THEN 'filters'
  WHEN entropy IS NULL THEN 'no pixels' WHEN entropy<2.0 OR NOT ({WIDE}) THEN 'filters'
- WHEN label NOT IN {STYLES} THEN 'style'"""
+ WHEN label IS NULL OR label NOT IN {STYLES} THEN 'style'"""
 IMAGE = "CAST(regexp_extract(url,'/img/([0-9]+)_',1) AS BIGINT) AS image_id"
 STATUS = "CASE WHEN reason IS NULL THEN 'downloaded' WHEN reason LIKE 'no %' THEN 'error' ELSE 'skipped' END"
 COLLECTED = f"""{DECIDE},
@@ -181,7 +181,7 @@ def resume_collection(spark, d):
 # --- exports --------------------------------------------------------------------------------
 
 def image_records(spark, d):
-    verdict = pred.classify_valid(tables.images(spark, d), tables.predictions(spark, d))
+    verdict = pred.classify_valid(tables.images(spark, d), tables.predictions(spark, d), MIN_SIDE)
     nested = F.struct("is_valid", "is_high_resolution", F.col("top_predictions.label").alias("top_labels"))
     return tables.images(spark, d).join(verdict, "image_id").select(
         "image_id", "path", "width", "height", "format", F.col("length").alias("file_size"), nested.alias("ai_classification"))
@@ -214,7 +214,7 @@ def export_metadata_csv(spark, d):
     return spark.read.schema(frame.schema).option("header", True).csv(path)
 
 
-@query("organize_files", views="images post_tags expansion", sql=f"""
+@query("organize_files", views="images photo_rows expansion", sql=f"""
 WITH {PERSON} SELECT image_id, post_id IS NOT NULL AS is_person FROM images LEFT JOIN person ON post_id=image_id
 WHERE format IN ('png','jpg','jpeg','bmp','gif')""")
 def organize_files(spark, d):

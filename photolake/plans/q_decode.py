@@ -52,9 +52,9 @@ SELECT image_id, width, height, 'RGB' AS mode, 'png' AS format, round(width/heig
  CAST(NULL AS VARCHAR) AS error, CAST(sum(r) AS BIGINT) AS red, CAST(sum(g) AS BIGINT) AS green,
  CAST(sum(b) AS BIGINT) AS blue FROM pix GROUP BY ALL""")
 def decode_images(spark, d):
-    """File facts of every decoded image, with the channel sums of its analysis raster."""
+    """File facts of every decoded image, with the channel sums of its pixels."""
     files = decoded(spark, d)
-    sums = (raster.explode_pixels(images.analysis_rasters(files, bgr=True)).groupBy("image_id")
+    sums = (raster.explode_pixels(images.image_tiles(files, bgr=True)).groupBy("image_id")
             .agg(F.sum("r").alias("red"), F.sum("g").alias("green"), F.sum("b").alias("blue")))
     return files.join(sums, "image_id", "left").select(
         "image_id", "width", "height", "mode", "format", F.round("aspect_ratio", 6).alias("aspect_ratio"), "error",

@@ -7,17 +7,14 @@ from photolake.plans.registry import query, rounded
 from photolake.sources import images, tables
 
 
-def rasters(spark, d):
-    """Analysis rasters of every document image, placed by image: the only exchange most queries need.
-
-    What moves is the bounded raster, never the image's bytes.
-    """
-    return raster.by_image(images.analysis_rasters(tables.raw_images(spark, d)))
+def tiles(spark, d, halo=False, size=None):
+    """Tiles of every document image, whole unless ``size`` resamples them."""
+    return images.image_tiles(tables.raw_images(spark, d), halo=halo, size=size)
 
 
 @query("explode_pixels", views="pix", sql="SELECT image_id, y, x, r, g, b, gray FROM pix")
 def explode_pixels(spark, d):
-    return raster.explode_pixels(rasters(spark, d))
+    return raster.explode_pixels(tiles(spark, d))
 
 
 @query("explode_pixels_gray", views="gray8", sql="SELECT image_id, y, x, gray FROM gray8")
@@ -31,7 +28,7 @@ t AS (SELECT *, greatest(1,floor(w*k)::INT) AS tw, greatest(1,floor(h*k)::INT) A
 SELECT image_id, CAST(y*th//h AS INT) AS y, CAST(x*tw//w AS INT) AS x, round(avg(r),6) AS r, round(avg(g),6) AS g,
  round(avg(b),6) AS b FROM t GROUP BY 1, 2, 3""")
 def thumbnail_raster(spark, d):
-    return rounded(raster.thumbnail_raster(rasters(spark, d), 24, 16))
+    return rounded(raster.thumbnail_raster(tiles(spark, d), 24, 16))
 
 
 @query("augment_raster", views="pix", sql="""
@@ -41,7 +38,7 @@ WITH v AS (SELECT image_id, 'original' AS variant, y, x, w, h, r, g, b FROM pix
 SELECT image_id, variant, y, x, round(r/255.0::DOUBLE,6) AS r, round(g/255.0::DOUBLE,6) AS g,
  round(b/255.0::DOUBLE,6) AS b FROM v WHERE x>=0 AND x<w AND y>=0 AND y<h""")
 def augment_raster(spark, d):
-    return rounded(raster.augment_raster(rasters(spark, d)))
+    return rounded(raster.augment_raster(tiles(spark, d)))
 
 
 @query("color_histogram", views="pix", sql="""
@@ -49,7 +46,7 @@ SELECT image_id, channel, bin, count(*) AS cnt FROM (
  SELECT image_id, 'r' AS channel, r AS bin FROM pix UNION ALL SELECT image_id, 'g', g FROM pix
  UNION ALL SELECT image_id, 'b', b FROM pix) GROUP BY ALL""")
 def color_histogram(spark, d):
-    return features.color_histogram(rasters(spark, d))
+    return features.color_histogram(tiles(spark, d))
 
 
 ENTROPY_NATS = """e_nats AS (SELECT image_id, -sum(p*ln(p)) AS entropy FROM (
@@ -83,19 +80,19 @@ HSV = """hsv AS (SELECT *, CASE WHEN mx=0 THEN 0 ELSE (510*d+mx)//(2*mx) END AS
 @query("gray_entropy_nats", views="pix",
        sql=f"WITH {ENTROPY_NATS} SELECT image_id, round(entropy,6)+0.0 AS entropy FROM e_nats")
 def gray_entropy_nats(spark, d):
-    return rounded(features.gray_entropy_nats(rasters(spark, d)))
+    return rounded(features.gray_entropy_nats(tiles(spark, d)))
 
 
 @query("gray_entropy_bits", views="pix",
        sql=f"WITH {ENTROPY_BITS} SELECT image_id, round(entropy,6)+0.0 AS entropy FROM e_bits")
 def gray_entropy_bits(spark, d):
-    return rounded(features.gray_entropy_bits(rasters(spark, d)))
+    return rounded(features.gray_entropy_bits(tiles(spark, d)))
 
 
 @query("joint_color_entropy", views="pix",
        sql=f"WITH {JOINT} SELECT image_id, round(entropy,6)+0.0 AS entropy FROM joint")
 def joint_color_entropy(spark, d):
-    return rounded(features.joint_color_entropy(rasters(spark, d)))
+    return rounded(features.joint_color_entropy(tiles(spark, d)))
 
 
 @query("color_uniformity", views="pix", sql=f"""
@@ -104,13 +101,13 @@ SELECT image_id, round(-sum(cnt*log2(cnt+1e-7))/2,6) AS uniformity FROM (
  SELECT image_id, c, bin, count(*) AS cnt FROM (SELECT image_id, 'h' AS c, hue AS bin FROM hsv
   UNION ALL SELECT image_id, 's', sat FROM hsv) GROUP BY ALL) GROUP BY 1""")
 def color_uniformity(spark, d):
-    return rounded(features.color_uniformity(rasters(spark, d)))
+    return rounded(features.color_uniformity(tiles(spark, d)))
 
 
 @query("dominant_color_mode", views="pix", sql=f"""
 WITH {MODE} SELECT image_id, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b, cnt FROM mode_color""")
 def dominant_color_mode(spark, d):
-    return features.dominant_color_mode(rasters(spark, d))
+    return features.dominant_color_mode(tiles(spark, d))
 
 
 MEAN_COLOR = """mean_color AS (SELECT image_id, CAST(sum(r)//count(*) AS INT) AS r, CAST(sum(g)//count(*) AS INT) AS g,
@@ -119,13 +116,13 @@ MEAN_COLOR = """mean_color AS (SELECT image_id, CAST(sum(r)//count(*) AS INT) AS
 
 @query("mean_color", views="pix", sql=f"WITH {MEAN_COLOR} SELECT * FROM mean_color")
 def mean_color(spark, d):
-    return features.mean_color(rasters(spark, d))
+    return features.mean_color(tiles(spark, d))
 
 
 def kmeans_ctes(k: int = 3, rounds: int = 10) -> str:
     """Chained rounds of weighted k-means in exact integers."""
     parts = ["""q AS MATERIALIZED (SELECT image_id, r//16*256+g//16*16+b//16 AS q, count(*)::BIGINT AS cnt
-                FROM pix GROUP BY ALL)""",
+                FROM pix100 GROUP BY ALL)""",
              """col AS MATERIALIZED (SELECT *, (q//256*16+8)::BIGINT AS r, (q//16%16*16+8)::BIGINT AS g,
                 (q%16*16+8)::BIGINT AS b, row_number() OVER (PARTITION BY image_id ORDER BY cnt DESC, q)-1 AS o FROM q)""",
              f"""k0 AS MATERIALIZED (SELECT image_id, o AS c, r*1000000 AS r, g*1000000 AS g, b*1000000 AS b FROM col
@@ -143,9 +140,9 @@ def kmeans_ctes(k: int = 3, rounds: int = 10) -> str:
     return ",\n".join(parts)
 
 
-@query("palette_kmeans", views="pix", sql=f"WITH {kmeans_ctes()} SELECT * FROM palette")
+@query("palette_kmeans", views="pix100", sql=f"WITH {kmeans_ctes()} SELECT * FROM palette")
 def palette_kmeans(spark, d):
-    return features.palette_kmeans(rasters(spark, d))
+    return features.palette_kmeans(tiles(spark, d, size=images.squeezed))
 
 
 @query("palette_topk", views="pix", sql="""
@@ -153,26 +150,26 @@ SELECT image_id, color, cnt, row_number() OVER (PARTITION BY image_id ORDER BY c
  SELECT image_id, CAST(r//16*256+g//16*16+b//16 AS BIGINT) AS color, count(*) AS cnt FROM pix GROUP BY ALL)
 QUALIFY rank<=5""")
 def palette_topk(spark, d):
-    return features.palette_topk(rasters(spark, d))
+    return features.palette_topk(tiles(spark, d))
 
 
 @query("color_variance", views="pix",
        sql=f"WITH {VARIANCE} SELECT image_id, round(variance,6) AS variance FROM variance")
 def color_variance(spark, d):
-    return rounded(features.color_variance(rasters(spark, d)))
+    return rounded(features.color_variance(tiles(spark, d)))
 
 
 @query("contrast_brightness", views="pix", sql="""
 SELECT image_id, round(stddev_pop(gray),6) AS contrast, round(avg(gray),6) AS brightness FROM pix GROUP BY 1""")
 def contrast_brightness(spark, d):
-    return rounded(features.contrast_brightness(rasters(spark, d)))
+    return rounded(features.contrast_brightness(tiles(spark, d)))
 
 
 @query("skin_ratio_score", views="pix", sql=f"""
 WITH {HSV} SELECT image_id, round(least(1.0::DOUBLE,
  2.0*count(*) FILTER (hue<=20 AND sat>=48 AND mx>=80)/count(*)),6) AS score FROM hsv GROUP BY 1""")
 def skin_ratio_score(spark, d):
-    return rounded(features.skin_ratio_score(rasters(spark, d)))
+    return rounded(features.skin_ratio_score(tiles(spark, d)))
 
 
 COLOR_RATIO = """color_ratio AS (SELECT image_id, avg(abs(r-gray)+abs(g-gray)+abs(b-gray))/255.0 AS color_ratio
@@ -182,7 +179,7 @@ COLOR_RATIO = """color_ratio AS (SELECT image_id, avg(abs(r-gray)+abs(g-gray)+ab
 @query("color_ratio", views="pix",
        sql=f"WITH {COLOR_RATIO} SELECT image_id, round(color_ratio,6) AS color_ratio FROM color_ratio")
 def color_ratio(spark, d):
-    return rounded(features.color_ratio(rasters(spark, d)))
+    return rounded(features.color_ratio(tiles(spark, d)))
 
 
 @query("thirds_composition", views="pix", sql="""
@@ -194,7 +191,7 @@ SELECT image_id, CAST(section AS INT) AS section, round(mean_r,6) AS mean_r, rou
  round(mean_b,6) AS mean_b, round(ar,6) AS aspect_ratio,
  CAST(first_value(section) OVER (PARTITION BY image_id ORDER BY m DESC, section) AS INT) AS dominant_section FROM m""")
 def thirds_composition(spark, d):
-    return rounded(features.thirds_composition(rasters(spark, d)))
+    return rounded(features.thirds_composition(tiles(spark, d)))
 
 
 @query("color_profile", views="pix", sql=f"""
@@ -209,7 +206,7 @@ SELECT image_id, round(j.entropy,6)+0.0 AS color_entropy, round(variance,6) AS c
  max(t) FILTER (c='r') AS hist_r, max(t) FILTER (c='g') AS hist_g, max(t) FILTER (c='b') AS hist_b
 FROM joint j JOIN mode_color m USING (image_id) JOIN variance USING (image_id) JOIN hist USING (image_id) GROUP BY ALL""")
 def color_profile(spark, d):
-    return rounded(features.color_profile(rasters(spark, d)).withColumnRenamed("variance", "color_variance")
+    return rounded(features.color_profile(tiles(spark, d)).withColumnRenamed("variance", "color_variance")
                    .withColumns({f"hist_{c}": F.array_join(f"hist_{c}", ",") for c in "rgb"}))
 
 
@@ -217,27 +214,27 @@ def color_profile(spark, d):
 
 @query("laplacian", views="stencil", sql="SELECT image_id, y, x, gray AS v, lap FROM stencil")
 def laplacian(spark, d):
-    return raster.laplacian(rasters(spark, d))
+    return raster.laplacian(tiles(spark, d, halo=True))
 
 
 @query("sobel", views="stencil", sql="""
 SELECT image_id, y, x, gx, gy, round(sqrt(gx*gx+gy*gy),6) AS magnitude,
  round(CASE WHEN atan2(gy,gx)<0 THEN atan2(gy,gx)+2*pi() ELSE atan2(gy,gx) END,6) AS angle FROM stencil""")
 def sobel(spark, d):
-    return rounded(raster.sobel(rasters(spark, d)))
+    return rounded(raster.sobel(tiles(spark, d, halo=True)))
 
 
 @query("blur_score", views="stencil",
        sql="SELECT image_id, round(var_pop(lap),6) AS blur_score FROM stencil GROUP BY 1")
 def blur_score(spark, d):
-    return rounded(texture.blur_score(rasters(spark, d)))
+    return rounded(texture.blur_score(tiles(spark, d, halo=True)))
 
 
 @query("quality_basic", views="stencil", sql="""
 SELECT image_id, round(var_pop(lap),6) AS sharpness, round(avg(sqrt(gx*gx+gy*gy)),6) AS edge_density,
  max(gray)-min(gray) AS dynamic_range FROM stencil GROUP BY 1""")
 def quality_basic(spark, d):
-    return rounded(texture.quality_basic(rasters(spark, d)))
+    return rounded(texture.quality_basic(tiles(spark, d, halo=True)))
 
 
 QUALITY = """quality AS (SELECT image_id, least(var_pop(lap)/1000.0,1.0::DOUBLE) AS sharpness_score,
@@ -250,7 +247,7 @@ WITH {QUALITY} SELECT image_id, round(sharpness_score,6) AS sharpness_score,
  round(brightness_score,6) AS brightness_score, round(noise_score,6) AS noise_score,
  round((sharpness_score+brightness_score+noise_score)/3,6) AS quality FROM quality""")
 def quality_score(spark, d):
-    return rounded(texture.quality_score(rasters(spark, d)))
+    return rounded(texture.quality_score(tiles(spark, d, halo=True, size=images.lowered)))
 
 
 GLCM = """pairs AS (
@@ -269,7 +266,7 @@ glcm AS (SELECT image_id, angle, i, j, c/sum(c) OVER (PARTITION BY image_id, ang
 
 @query("glcm", views="pix", sql=f"WITH {GLCM} SELECT image_id, angle, i, j, round(p,9) AS p FROM glcm")
 def glcm(spark, d):
-    return rounded(texture.glcm(rasters(spark, d)), 9)
+    return rounded(texture.glcm(tiles(spark, d, halo=True)), 9)
 
 
 @query("glcm_features", views="pix", sql=f"""
@@ -282,11 +279,11 @@ SELECT image_id, round(contrast,6) AS contrast, round(dissimilarity,6) AS dissim
  round(homogeneity,6) AS homogeneity, round(energy,6) AS energy,
  round(CASE WHEN var>1e-9 THEN cov/var ELSE 1.0 END,6) AS correlation FROM s JOIN c USING (image_id)""")
 def glcm_features(spark, d):
-    return rounded(texture.glcm_features(texture.glcm(rasters(spark, d), angles=("0",))))
+    return rounded(texture.glcm_features(texture.glcm(tiles(spark, d, halo=True), angles=("0",))))
 
 
 @query("edge_orientation_hist", views="stencil", sql="""
 SELECT image_id, CAST(least(floor(a/(pi()/8)),7) AS INT) AS bin, count(*) AS cnt
 FROM (SELECT image_id, atan2(gy,gx) AS a FROM stencil WHERE gy>=0) GROUP BY ALL""")
 def edge_orientation_hist(spark, d):
-    return texture.edge_orientation_hist(rasters(spark, d))
+    return texture.edge_orientation_hist(tiles(spark, d, halo=True))

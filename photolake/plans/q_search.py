@@ -5,11 +5,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from photolake.operators import features, models, predictions as pred, ranking, similarity, stats
-from photolake.plans.q_images import MEAN_COLOR, rasters
+from photolake.plans.q_images import MEAN_COLOR, tiles
 from photolake.plans.q_metadata import BEST
 from photolake.plans.registry import query, rounded
 from photolake.session import ensure_checkpoint_dir
-from photolake.sources import tables
+from photolake.sources import images, tables
 
 QUERY_ID = 0  # the vector or image that is searched for
 CLASSES = [f"class{i}" for i in range(10)]
@@ -40,9 +40,9 @@ WITH {MEAN_COLOR}
 SELECT a.image_id, round(sqrt((a.r-q.r)**2+(a.g-q.g)**2+(a.b-q.b)**2),6) AS distance FROM mean_color a
 JOIN mean_color q ON q.image_id={QUERY_ID} ORDER BY distance, a.image_id LIMIT 100""")
 def color_search(spark, d):
-    r = rasters(spark, d)
-    q = features.mean_color(r.where(F.col("image_id") == QUERY_ID)).first()  # the query: one colour
-    return rounded(similarity.color_search(features.mean_color(r), (q["r"], q["g"], q["b"])))
+    own = tables.raw_images(spark, d).where(F.col("image_id") == QUERY_ID)  # decoded alone
+    q = features.mean_color(images.image_tiles(own)).first()  # the query: one colour
+    return rounded(similarity.color_search(features.mean_color(tiles(spark, d)), (q["r"], q["g"], q["b"])))
 
 
 @query("style_search", views="predictions", sql=f"""

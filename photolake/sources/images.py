@@ -1,8 +1,8 @@
-"""Image files in, bounded rasters out."""
+"""Image files in, whole images as tiles out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from photolake.functions.fixed import IMAGE_EXTENSIONS
 
-MAX_SIDE = 64
-RASTER_SCHEMA = ("image_id bigint, width int, height int, w int, h int, px array<int>")
+#: Side of a tile: 16 KB of packed pixels.
+TILE = 64
+#: Pixels of tiles in one Arrow batch.
+BATCH_CELLS = 1 << 20
+TILE_COLUMNS = ["image_id", "width", "height", "y0", "x0", "w", "h", "px"]
+TILE_SCHEMA = "image_id bigint, width int, height int, y0 int, x0 int, w int, h int, px array<int>"
 
 
 def extension(path):
@@ -41,63 +45,118 @@ def decode_images(spark: SparkSession, path: str) -> DataFrame:
         F.when(bad, F.lit("cannot decode")).alias("error"))
 
 
-def _shrink(img: np.ndarray, side: int) -> np.ndarray:
-    """Box-average (floor) to at most side x side; pixel y goes to cell y * h2 // h, likewise x."""
-    if max(img.shape[:2]) <= side:
-        return img.astype(np.int32)
-    out = img.astype(np.int64)
-    count = np.ones(1, dtype=np.int64)
-    for axis in (0, 1):
-        n = out.shape[axis]
-        m = min(n, side)
-        starts = -(-np.arange(m) * n // m)
-        out = np.add.reduceat(out, starts, axis=axis)
-        sizes = np.diff(np.append(starts, n))
-        count = count * (sizes[:, None] if axis == 0 else sizes[None, :])
-    return out // count[:, :, None]
-
-
-def _packed(data: bytes, width: int, height: int, channels: int, bgr: bool, side: int) -> np.ndarray:
-    flat = np.resize(np.frombuffer(data, dtype=np.uint8), width * height * channels)
-    img = flat.reshape(height, width, channels)
-    if channels == 1:
-        img = np.repeat(img, 3, axis=2)
-    elif bgr:
-        img = img[:, :, 2::-1]
-    small = _shrink(img[:, :, :3], side)
-    r, g, b = small[:, :, 0], small[:, :, 1], small[:, :, 2]
+def squeezed(width: int, height: int, side: int = 100) -> tuple[int, int]:
+    """The size at which palettes are taken: at most ``side`` on each side, the shape not kept, never enlarged."""
+    return min(width, side), min(height, side)
+
+
+def lowered(width: int, height: int, rows: int = 300) -> tuple[int, int]:
+    """The size at which quality is judged: at most ``rows`` rows, the shape kept, never enlarged."""
+    return (width, height) if height <= rows else (max(1, (2 * width * rows + height) // (2 * height)), rows)
+
+
+def _area_sums(values: np.ndarray, m: int, axis: int) -> np.ndarray:
+    """Sums over m equal intervals of an axis of n cells. A cell counts by its overlap, in units of 1 / m; an interval's weights add up to n."""
+    n = values.shape[axis]
+    if m == n:
+        return values * n
+    zero = np.zeros_like(np.take(values, [0], axis=axis))
+    upto = np.concatenate([zero, np.cumsum(values, axis=axis)], axis=axis)
+    whole, part = np.divmod(np.arange(m + 1, dtype=np.int64) * n, m)
+    shape = [1] * values.ndim
+    shape[axis] = m + 1
+    at = m * np.take(upto, whole, axis=axis) + part.reshape(shape) * np.take(values, np.minimum(whole, n - 1), axis=axis)
+    return np.diff(at, axis=axis)
+
+
+def _resampled(bitmap: np.ndarray, width: int, height: int, rows: int = 256) -> np.ndarray:
+    """Area-weighted means, rounded half up; columns are summed a band of rows at a time."""
+    h, w = bitmap.shape[:2]
+    bands = [_area_sums(bitmap[y:y + rows].astype(np.int64), width, 1) for y in range(0, h, rows)]
+    sums = _area_sums(np.concatenate(bands), height, 0)
+    return ((2 * sums + h * w) // (2 * h * w)).astype(np.uint8)
+
+
+def _packed(rgb: np.ndarray) -> np.ndarray:
+    r, g, b = (rgb[:, :, k].astype(np.int32) for k in range(3))
     gray = (299 * r + 587 * g + 114 * b + 500) // 1000
-    return ((gray << 24) | (r << 16) | (g << 8) | b).astype(np.uint32).view(np.int32)
+    return ((gray << 24) | (r << 16) | (g << 8) | b).astype(np.uint32, copy=False).view(np.int32)
 
 
-def analysis_rasters(images: DataFrame, bgr: bool = False, max_side: int = MAX_SIDE) -> DataFrame:
-    """(image_id, width, height, data[, n_channels]) -> one bounded raster row per image.
+def _bitmap(data: bytes, width: int, height: int, channels: int, bgr: bool) -> np.ndarray:
+    """The RGB planes; too few bytes repeat to fill the bitmap."""
+    flat, need = np.frombuffer(data, dtype=np.uint8), width * height * channels
+    grid = (flat[:need] if len(flat) >= need else np.resize(flat, need)).reshape(height, width, channels)
+    if channels == 1:
+        return np.repeat(grid, 3, axis=2)
+    return grid[:, :, 2::-1] if bgr else grid[:, :, :3]
 
-    ``px`` holds packed 0xYYRRGGBB values (Y = gray), row by row. Each image is averaged down to at most
-    ``max_side`` x ``max_side``, so one row never exceeds 16 KB. This is the only Python stage of the
-    feature pipeline; it is a map over Arrow batches and needs no shuffle.
+
+def _mirrored(first: int, last: int, size: int) -> np.ndarray:
+    """Places first - 1 .. last of an axis; the places outside are mirrored around the edge cells."""
+    at = np.arange(first - 1, last + 1)
+    at[at < 0] = min(1, size - 1)
+    at[at >= size] = max(size - 2, 0)
+    return at
+
+
+def _cut(bitmap: np.ndarray, side: int, halo: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+    """(y0, x0, packed pixels, the same with a border) of each tile, a band of tiles at a time."""
+    h, w = bitmap.shape[:2]
+    for y0 in range(0, h, side):
+        y1 = min(y0 + side, h)
+        band = _packed(bitmap[_mirrored(y0, y1, h)] if halo else bitmap[y0:y1])
+        core = band[1:-1] if halo else band
+        for x0 in range(0, w, side):
+            x1 = min(x0 + side, w)
+            yield y0, x0, core[:, x0:x1], band[:, _mirrored(x0, x1, w)] if halo else None
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([a.size for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([a.reshape(-1) for a in arrays])))
+
+
+def image_tiles(images: DataFrame, bgr: bool = False, halo: bool = False, size: Callable[[int, int], tuple[int, int]] | None = None,
+                side: int = TILE) -> DataFrame:
+    """(image_id, width, height, data[, n_channels]) -> whole images as tiles of at most ``side`` x ``side`` pixels.
+
+    ``px`` holds packed 0xYYRRGGBB values (Y = gray), row by row; ``y0``, ``x0`` say where the tile begins, ``width`` and
+    ``height`` how large the raster is. With ``halo``, ``pad`` holds the tile with a border of one pixel, of (w + 2) x (h + 2): the
+    neighbouring tiles' pixels, or those mirrored around the raster's edge. ``size`` gives the size to which an image is
+    resampled first, if any. A map over Arrow batches: nothing is shuffled, no row exceeds a tile, and besides the bitmap
+    itself only a band of tiles is in memory.
     """
     if "n_channels" not in images.columns:
         images = images.withColumn("n_channels", F.lit(3))
+    names = TILE_COLUMNS + (["pad"] if halo else [])
+
+    def batch_of(tiles: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*tiles))
+        arrays = [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.int32()) for c in columns[1:7]], *[_lists(list(c)) for c in columns[7:]]]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: list[tuple] = []
+        cells = 0
         for batch in batches:
-            cols = [batch.column(i) for i in range(5)]
-            px, ws, hs = [], [], []
-            for data, w, h, c in zip(cols[1], *(c.to_pylist() for c in cols[2:])):
-                grid = _packed(data.as_buffer(), w, h, c, bgr, max_side)
-                hs.append(grid.shape[0])
-                ws.append(grid.shape[1])
-                px.append(grid.reshape(-1))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in px])]).astype(np.int32)
-            values = np.concatenate(px) if px else np.array([], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [cols[0], cols[2], cols[3], pa.array(ws, pa.int32()), pa.array(hs, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["image_id", "width", "height", "w", "h", "px"])
-
-    good = images.where(F.col("data").isNotNull() & (F.col("width") > 0) & (F.col("height") > 0))
-    return good.select("image_id", "data", "width", "height", "n_channels").mapInArrow(convert, RASTER_SCHEMA)
+            for image_id, data, w, h, c in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
+                bitmap = _bitmap(data.as_buffer(), w, h, c, bgr)
+                if size is not None and size(w, h) != (w, h):
+                    bitmap = _resampled(bitmap, *size(w, h))
+                height, width = bitmap.shape[:2]
+                for y0, x0, px, pad in _cut(bitmap, side, halo):
+                    tiles.append((image_id, width, height, y0, x0, px.shape[1], px.shape[0], px, *([pad] if halo else [])))
+                    cells += px.size
+                    if cells > BATCH_CELLS:
+                        yield batch_of(tiles)
+                        tiles, cells = [], 0
+        if tiles:
+            yield batch_of(tiles)
+
+    good = images.where(F.col("data").isNotNull() & (F.octet_length("data") > 0) & (F.col("width") > 0) & (F.col("height") > 0))
+    return good.select("image_id", "data", "width", "height", "n_channels").mapInArrow(
+        convert, TILE_SCHEMA + (", pad array<int>" if halo else ""))
 
 
 def labels_from_path(images: DataFrame) -> DataFrame:

@@ -43,26 +43,37 @@ def posts(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) ->
         f"array_distinct(array({tags}[CAST(event_id % 12 AS INT)], {tags}[CAST(user_id % 12 AS INT)])) AS tags",
         "CASE WHEN event_id % 17 = 0 THEN CAST(array() AS ARRAY<STRUCT<url: STRING>>) ELSE "
         "transform(sequence(0L, event_id % 3), i -> named_struct('url', concat('https://', blog, "
-        "'.example.com/img/', event_id % 500, '_', i, '.jpg'))) END AS photos")
+        "'.example.com/img/', doc_id, '_', i, '.jpg'))) END AS photos")
+
+
+#: Size of the near-square bitmap that holds ``length`` bytes.
+WIDTH = "CAST(greatest(1, ceil(sqrt(ceil(length / 3)))) AS INT)"
+HEIGHT = "CAST(greatest(1, ceil(ceil(length / 3) / width)) AS INT)"
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per stored image file."""
-    fmt = f"{_sql_array(FORMATS)}[CAST(vec_id % 6 AS INT)]"
-    return table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id AS image_id", f"concat('/img/class', label, '/', vec_id, '.', {fmt}) AS path",
-        "CAST(400 + vec_id * 37 % 1200 AS INT) AS width", "CAST(300 + vec_id * 53 % 900 AS INT) AS height",
-        "vec_id * 104729 % 15000000 AS length", f"{fmt} AS format", "vec_id * 7919 % 100003 AS atime")
+    """One row per stored image file: every document, with its bitmap's size and length; the class of its embedding, if any, is its folder."""
+    fmt = f"{_sql_array(FORMATS)}[CAST(doc_id % 6 AS INT)]"
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "CAST(coalesce(octet_length(text), 0) AS BIGINT) AS length")
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
+    return docs.join(labels, "doc_id", "left").withColumn("width", F.expr(WIDTH)).withColumn("height", F.expr(HEIGHT)).selectExpr(
+        "doc_id AS image_id", f"concat('/img/', coalesce('class' || label, 'unlabelled'), '/', doc_id, '.', {fmt}) AS path",
+        "width", "height", "length", f"{fmt} AS format", "doc_id * 7919 % 100003 AS atime")
 
 
 def raw_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undecorated bitmaps: RGB bytes of the whole text on a near-square grid (bytes repeat to fill it)."""
-    return (table(spark, sf_dir, "documents")
+    """Undecorated bitmaps: RGB bytes of the whole text on a near-square grid (bytes repeat to fill it).
+
+    Decoding is the heavy part, so bitmaps that lie in fewer row groups than there are cores are dealt out first.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores, "doc_id")
+    return (docs
             .select(F.col("doc_id").alias("image_id"), F.col("text").cast("binary").alias("data"))
             .where(F.octet_length("data") > 0)
-            .withColumn("n_px", F.ceil(F.octet_length("data") / 3).cast("int"))
-            .withColumn("width", F.ceil(F.sqrt("n_px")).cast("int"))
-            .withColumn("height", F.ceil(F.col("n_px") / F.col("width")).cast("int"))
+            .withColumn("length", F.octet_length("data")).withColumn("width", F.expr(WIDTH)).withColumn("height", F.expr(HEIGHT))
             .select("image_id", "width", "height", "data"))
 
 
@@ -70,7 +81,8 @@ def gray_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 gray rasters, one per embedding: value v becomes floor((v + 1) * 127.5) in all channels."""
     v = "CAST(floor((CAST(e AS DOUBLE) + 1.0D) * 127.5D) AS INT)"
     return table(spark, sf_dir, "embeddings").selectExpr(
-        "vec_id AS image_id", "8 AS w", "CAST(size(embedding) DIV 8 AS INT) AS h",
+        "vec_id AS image_id", "8 AS width", "CAST(size(embedding) DIV 8 AS INT) AS height", "0 AS y0", "0 AS x0", "8 AS w",
+        "CAST(size(embedding) DIV 8 AS INT) AS h",
         f"transform(transform(embedding, e -> {v}), g -> shiftleft(g, 24) | (g * 65793)) AS px")
 
 

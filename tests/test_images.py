@@ -2,12 +2,13 @@
 
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from photolake.operators import boxes as bx, features, hashing, raster, texture
+from photolake.operators import boxes as bx, features, hashing, metadata as md, raster, texture
 from photolake.sources import images
 
 
@@ -28,8 +29,8 @@ def frame(spark, grids):
     return spark.createDataFrame(rows, "image_id bigint, width int, height int, data binary")
 
 
-def rasters(spark, *grids):
-    return images.analysis_rasters(frame(spark, grids)).cache()
+def tiles(spark, *grids, **params):
+    return images.image_tiles(frame(spark, grids), halo=True, **params).cache()
 
 
 def noise(h, w, seed=1):
@@ -57,7 +58,7 @@ def test_listing_and_decoding(spark, tmp_path):
     assert good.aspect_ratio == 1.5
     assert bad.width is None and bad.error == "cannot decode"
     decoded = images.decode_images(spark, str(sub)).withColumn("image_id", F.lit(1).cast("long"))
-    px = raster.explode_pixels(images.analysis_rasters(decoded, bgr=True)).collect()
+    px = raster.explode_pixels(images.image_tiles(decoded, bgr=True)).collect()
     assert len(px) == 6
     for p in px:
         assert (p.r, p.g, p.b) == tuple(pixels[p.y, p.x])
@@ -66,39 +67,112 @@ def test_listing_and_decoding(spark, tmp_path):
     assert {(r.label, r.class_index) for r in labels} == {("cats", 0)}
 
 
-def test_raster_is_bounded_and_averages(spark):
-    big = noise(150, 131)
-    row = rasters(spark, big).first()
-    assert (row.w, row.h, len(row.px)) == (64, 64, 4096)
-    ys, xs = np.arange(150) * 64 // 150, np.arange(131) * 64 // 131
-    cell = big[np.ix_(ys == 5, xs == 63)].reshape(-1, 3)
-    value = row.px[5 * 64 + 63]
-    assert ((value >> 16) & 255, (value >> 8) & 255, value & 255) == tuple(cell.sum(axis=0) // len(cell))
+def mirrored(v, y, x):
+    h, w = v.shape
+    y = min(1, h - 1) if y < 0 else max(h - 2, 0) if y >= h else y
+    x = min(1, w - 1) if x < 0 else max(w - 2, 0) if x >= w else x
+    return int(v[y, x])
 
 
-@pytest.mark.parametrize("shape", [(5, 7), (1, 1), (1, 6), (6, 1), (2, 2)])
-def test_stencils_mirror_their_borders(spark, shape):
-    g = noise(*shape)
-    v = gray(g)
-    h, w = shape
+def stencils(v):
+    """(lap, gx, gy) of every pixel."""
+    h, w = v.shape
+    pad = np.array([[mirrored(v, y, x) for x in range(-1, w + 1)] for y in range(-1, h + 1)], dtype=np.int64)
+    at = lambda dy, dx: pad[1 + dy:1 + dy + h, 1 + dx:1 + dx + w]
+    lap = at(-1, 0) + at(1, 0) + at(0, -1) + at(0, 1) - 4 * at(0, 0)
+    gx = sum(k * (at(d, 1) - at(d, -1)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+    gy = sum(k * (at(1, d) - at(-1, d)) for d, k in ((-1, 1), (0, 2), (1, 1)))
+    return lap, gx, gy
+
+
+def test_tiles_hold_whole_images(spark):
+    big, small = noise(150, 131), noise(3, 2, 2)
+    rows = tiles(spark, big, small).collect()
+    assert sorted((r.image_id, r.y0, r.x0, r.h, r.w) for r in rows) == [
+        *[(0, y, x, min(64, 150 - y), min(64, 131 - x)) for y in (0, 64, 128) for x in (0, 64, 128)], (1, 0, 0, 3, 2)]
+    for r in rows:
+        g = (big, small)[r.image_id]
+        px = np.array(r.px).reshape(r.h, r.w)
+        assert (r.width, r.height) == (g.shape[1], g.shape[0])
+        part = g[r.y0:r.y0 + r.h, r.x0:r.x0 + r.w]
+        assert all(((px >> s & 255) == part[..., k]).all() for k, s in enumerate((16, 8, 0)))
+        pad = np.array(r.pad).reshape(r.h + 2, r.w + 2) >> 24 & 255
+        v = gray(g)
+        assert all(pad[i, j] == mirrored(v, r.y0 + i - 1, r.x0 + j - 1) for i in range(r.h + 2) for j in range(r.w + 2))
+
 
-    def at(y, x):
-        y = min(1, h - 1) if y < 0 else max(h - 2, 0) if y >= h else y
-        x = min(1, w - 1) if x < 0 else max(w - 2, 0) if x >= w else x
-        return int(v[y, x])
+def test_bytes_repeat_and_empty_images_have_no_tile(spark):
+    rows = [(0, 2, 2, bytearray(b"abcd")), (1, 1, 1, bytearray()), (2, 1, 1, None), (3, 0, 0, bytearray(b"x"))]
+    got = images.image_tiles(spark.createDataFrame(rows, "image_id bigint, width int, height int, data binary")).collect()
+    assert [r.image_id for r in got] == [0] and [x & 0xFFFFFF for x in got[0].px] == [0x616263, 0x646162, 0x636461, 0x626364]
 
-    r = rasters(spark, g)
-    for p in raster.laplacian(r).collect():
-        assert p.lap == sum(at(p.y + dy, p.x + dx) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0))) - 4 * at(p.y, p.x)
-    for p in raster.sobel(r).collect():
-        gx = sum(k * (at(p.y + d, p.x + 1) - at(p.y + d, p.x - 1)) for d, k in ((-1, 1), (0, 2), (1, 1)))
-        gy = sum(k * (at(p.y + 1, p.x + d) - at(p.y - 1, p.x + d)) for d, k in ((-1, 1), (0, 2), (1, 1)))
-        assert (p.gx, p.gy) == (gx, gy)
+
+@pytest.mark.parametrize("shape", [(5, 7), (1, 1), (1, 6), (6, 1), (2, 2), (13, 9)])
+def test_stencils_mirror_their_borders(spark, shape):
+    g = noise(*shape)
+    lap, gx, gy = stencils(gray(g))
+    r = tiles(spark, g, side=4)
+    found = raster.laplacian(r).collect()
+    assert len(found) == shape[0] * shape[1] and all(p.lap == lap[p.y, p.x] for p in found)
+    assert all((p.gx, p.gy) == (gx[p.y, p.x], gy[p.y, p.x]) for p in raster.sobel(r).collect())
+
+
+def test_features_of_many_tiles_equal_those_of_the_whole(spark):
+    g = noise(150, 131) // 3 + np.arange(131)[None, :, None]
+    v, (lap, gx, gy) = gray(g).astype(np.int64), stencils(gray(g))
+    r = tiles(spark, g)
+    assert r.count() == 9
+    row = texture.tone_and_edges(r).first()
+    close = lambda a, b: abs(a - b) < 1e-9 * max(1, abs(b))
+    assert close(row.sharpness, lap.var()) and close(row.contrast, v.std()) and close(row.brightness, v.mean())
+    assert close(row.edge_density, np.hypot(gx, gy).mean()) and row.dynamic_range == v.max() - v.min()
+    both = texture.color_and_blur(r).first()
+    assert close(both.blur_score, texture.blur_score(r).first().blur_score) and close(both.color_ratio, features.color_ratio(r).first().color_ratio)
+    counts = np.bincount(v.reshape(-1), minlength=256) / v.size
+    assert close(features.gray_entropy_bits(r).first().entropy, -(counts[counts > 0] * np.log2(counts[counts > 0])).sum())
+    assert close(features.color_variance(r).first().variance, g.reshape(-1).var())
+    values, often = np.unique((g[..., 0] << 16 | g[..., 1] << 8 | g[..., 2]).reshape(-1), return_counts=True)
+    profile = features.color_profile(r).first()
+    assert (profile.r << 16 | profile.g << 8 | profile.b) == values[often.argmax()]
+    assert profile.hist_g == np.bincount(g[..., 1].reshape(-1), minlength=256).tolist() and close(profile.variance, g.reshape(-1).var())
+    for name, dy, dx in texture.DIRECTIONS:
+        a = v[:150 - dy, max(0, -dx):131 - max(0, dx)]
+        b = v[dy:, max(0, dx):131 + min(0, dx)]
+        pairs = Counter(zip(a.reshape(-1).tolist(), b.reshape(-1).tolist()))
+        want = {(i, j): (pairs[i, j] + pairs[j, i]) / (2 * a.size) for x in pairs for i, j in (x, x[::-1])}
+        got = {(c.i, c.j): c.p for c in texture.glcm(r, angles=(name,)).collect()}
+        assert got.keys() == want.keys() and all(close(got[k], want[k]) for k in want)
+    sections = {s.section: s.mean_g for s in features.thirds_composition(r).collect()}
+    assert close(sections[5], g[50:100, 86:, 1].mean()) and len(sections) == 9
+    thumb = {(t.y, t.x): t.r for t in raster.thumbnail_raster(r, 24, 16).collect()}
+    ys, xs = np.arange(150) * 16 // 150, np.arange(131) * 13 // 131
+    assert len(thumb) == 16 * 13 and close(thumb[15, 4], g[np.ix_(ys == 15, xs == 4)][..., 0].mean())
+    flips = {(p.y, p.x): p.r for p in raster.augment_raster(r).where("variant = 'flip'").collect()}
+    assert len(flips) == v.size and close(flips[140, 3], g[140, 127, 0] / 255)
+
+
+def overlap(t, n, m, y):
+    return max(0, min((t + 1) * n, (y + 1) * m) - max(t * n, y * m))
+
+
+@pytest.mark.parametrize("size", [lambda w, h: images.squeezed(w, h, 5), lambda w, h: images.lowered(w, h, 7)])
+def test_resampling_weighs_by_area(spark, size):
+    g = noise(19, 12)
+    w, h = size(12, 19)
+    wy = np.array([[overlap(t, 19, h, y) for y in range(19)] for t in range(h)])
+    wx = np.array([[overlap(t, 12, w, x) for x in range(12)] for t in range(w)])
+    want = np.stack([(2 * (wy @ g[..., k] @ wx.T) + 19 * 12) // (2 * 19 * 12) for k in range(3)], axis=2)
+    row = tiles(spark, g, size=size).first()
+    px = np.array(row.px).reshape(h, w)
+    assert all(((px >> s & 255) == want[..., k]).all() for k, s in enumerate((16, 8, 0)))
+    bands = images._resampled(g.astype(np.uint8), w, h, rows=4)
+    assert (bands == want).all()
+    assert images.squeezed(80, 300) == (80, 100) and images.lowered(1000, 900) == (333, 300) and images.lowered(7, 300) == (7, 300)
 
 
 def test_feature_invariants(spark):
     flat, wild = np.full((6, 9, 3), 77), noise(20, 30)
-    r = rasters(spark, flat, wild)
+    r = tiles(spark, flat, wild)
     sums = {x.image_id: x.n for x in features.color_histogram(r).groupBy("image_id").agg(F.sum("cnt").alias("n")).collect()}
     assert sums == {0: 3 * 54, 1: 3 * 600}
     for entropy in (features.gray_entropy_nats, features.gray_entropy_bits):
@@ -114,13 +188,16 @@ def test_feature_invariants(spark):
     assert mode[0] == (77, 77, 77)
 
 
-def test_phash_bits_match_a_direct_transform(spark):
-    g = noise(32, 32)
-    v = gray(g)
-    basis = np.array([[round(np.cos(np.pi * u * (2 * x + 1) / 64) * 16384) for x in range(32)] for u in range(8)])
-    c = (basis @ v @ basis.T).reshape(-1)
-    want = sum(1 << (63 - i) for i in range(64) if c[i] > np.median(c))
-    got = hashing.phash(rasters(spark, g)).first().h
+@pytest.mark.parametrize("shape", [(32, 32), (9, 5), (150, 131)])
+def test_phash_bits_match_a_direct_transform(spark, shape):
+    g = noise(*shape) // 2 + (np.arange(shape[1]) % 90)[None, :, None]
+    v = gray(g).astype(object)
+    basis = np.array([[round(np.cos(np.pi * u * (2 * x + 1) / 64) * 16384) for x in range(32)] for u in range(8)], dtype=object)
+    wy, wx = (basis @ np.array([[overlap(t, n, 32, y) for y in range(n)] for t in range(32)], dtype=object) for n in shape)
+    c = (wy @ v @ wx.T).reshape(-1).tolist()
+    middle = sorted(c)[31] + sorted(c)[32]
+    want = sum(1 << (63 - i) for i in range(64) if 2 * c[i] > middle)
+    got = hashing.phash(tiles(spark, g)).first().h
     assert got & (2 ** 64 - 1) == want
 
 
@@ -128,18 +205,62 @@ def test_crops_clip_to_the_image(spark):
     g = noise(10, 12)
     rows = [(0, 1, 2, 3, 4, 5, 1), (0, 2, 8, 8, 50, 50, 0), (0, 3, 40, 1, 5, 5, 0), (0, 4, 1, 1, 0, 3, 0)]
     boxes = spark.createDataFrame(rows, "image_id bigint, box_id bigint, x int, y int, w int, h int, eyes int")
-    r = rasters(spark, g)
-    got = {(p.box_id, p.y, p.x): p.gray for p in raster.roi_pixels(boxes, r).collect()}
+    bitmaps = frame(spark, [g])
+    got = {(p.box_id, p.y, p.x): p.gray for p in raster.roi_pixels(boxes, bitmaps).collect()}
     v = gray(g)
     want = {(1, y, x): v[y, x] for y in range(3, 8) for x in range(2, 6)}
     want |= {(2, y, x): v[y, x] for y in range(8, 10) for x in range(8, 12)}
     assert got == want
-    flags = {x.box_id: x.quality for x in bx.face_quality(raster.roi_rasters(boxes, r)).collect()}
+    flags = {x.box_id: x.quality for x in bx.face_quality(raster.roi_tiles(boxes, bitmaps)).collect()}
     assert set(flags) == {1, 2} and all(0 <= q <= 1 for q in flags.values())
 
 
+def test_stencils_of_crops_over_many_tiles(spark):
+    g = noise(30, 26)
+    rng = np.random.default_rng(3)
+    spots = [(0, 0, 26, 30), (3, 4, 1, 9), (5, 7, 8, 1), (24, 28, 9, 9), (-2, -3, 9, 9), *[tuple(rng.integers(0, 20, 2)) + tuple(rng.integers(1, 20, 2)) for _ in range(8)]]
+    boxes = spark.createDataFrame([(0, i, *map(int, s), 1) for i, s in enumerate(spots)],
+                                  "image_id bigint, box_id bigint, x int, y int, w int, h int, eyes int")
+    crops = raster.roi_tiles(boxes, frame(spark, [g]), side=7).cache()
+    assert crops.count() > 50
+    known = {}
+    for p in raster.neighbourhoods(crops, ("box_id",)).select("box_id", "y", "x", raster.laplacian_of().alias("lap")).collect():
+        x, y, w, h = spots[p.box_id]
+        part = gray(g)[max(y, 0):y + h, max(x, 0):x + w]
+        laps = known.setdefault(p.box_id, stencils(part)[0])
+        assert p.lap == laps[p.y, p.x]
+    assert {b.box_id: b.n for b in raster.positioned(crops, "box_id").groupBy("box_id").agg(F.count("*").alias("n")).collect()} == {
+        i: gray(g)[max(y, 0):y + h, max(x, 0):x + w].size for i, (x, y, w, h) in enumerate(spots)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("feature", [features.mean_color, features.color_variance, features.contrast_brightness, features.skin_ratio_score,
+                                     features.color_ratio, features.thirds_composition, texture.blur_score, texture.tone_and_edges,
+                                     texture.color_and_blur, texture.quality_score, hashing.phash])
+def test_scalar_features_move_only_partial_sums(spark, feature):
+    plan = plan_of(feature(images.image_tiles(frame(spark, [noise(3, 3)]), halo=True)))
+    lines = plan.split("\n")
+    moved = [i for i, line in enumerate(lines) if "Exchange" in line]
+    assert moved and all("partial_" in lines[i + 1] for i in moved[-1:])
+    assert len(moved) == (2 if feature is features.thirds_composition else 1)
+
+
+def test_only_survivors_are_decoded(spark):
+    bitmaps = frame(spark, [noise(3, 3), noise(4, 4)])
+    facts = spark.createDataFrame([(0, 3, 3, 5, "png"), (1, 4, 4, 5, "png")], "image_id bigint, width int, height int, length bigint, format string")
+    flags = spark.createDataFrame([], "image_id bigint, is_nsfw boolean")
+    plans = [plan_of(md.advanced_filter(facts, bitmaps, md.FilterParams(palette=((1, 2, 3),)))), plan_of(md.valid_image(facts, bitmaps, flags))]
+    for plan in plans:
+        assert "MapInArrow" in plan
+        for part in plan.split("MapInArrow")[1:]:
+            assert "LeftSemi" in part.split("Exchange hashpartitioning(image_id")[0] or "LeftSemi" in part
+
+
 def test_empty_input(spark):
-    none = images.analysis_rasters(frame(spark, [noise(2, 2)]).where("image_id < 0"))
+    none = images.image_tiles(frame(spark, [noise(2, 2)]).where("image_id < 0"), halo=True)
     assert features.gray_entropy_bits(none).count() == 0
     assert texture.tone_and_edges(none).count() == 0
     assert hashing.phash(none).count() == 0
