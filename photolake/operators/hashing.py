@@ -14,6 +14,8 @@ from photolake.functions.columns import hamming, packed_luma
 from photolake.session import cut
 
 SIDE, LOW = 32, 8
+#: Scaled cosines, [frequency, cell].
+BASIS = np.array([[round(math.cos(math.pi * f * (2 * x + 1) / (2 * SIDE)) * 16384) for x in range(SIDE)] for f in range(LOW)], dtype=np.int64)
 HOT = 1024
 
 
@@ -22,8 +24,7 @@ def _weights(first: int, n: int, size: int) -> np.ndarray:
     the place's overlap with the cell in units of 1 / SIDE."""
     cell, place = np.arange(SIDE, dtype=np.int64), np.arange(first, first + n, dtype=np.int64)[:, None]
     overlap = np.maximum(np.minimum((cell + 1) * size, (place + 1) * SIDE) - np.maximum(cell * size, place * SIDE), 0)
-    basis = [[round(math.cos(math.pi * f * (2 * x + 1) / (2 * SIDE)) * 16384) for x in range(SIDE)] for f in range(LOW)]
-    return np.array(basis, dtype=np.int64) @ overlap.T
+    return BASIS @ overlap.T
 
 
 def _tile_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,12 +63,14 @@ def phash(tiles: DataFrame) -> DataFrame:
 
 def _bits_over_median(values: DataFrame) -> DataFrame:
     """(image_id, h): bit 63 - i is set where value i of 64 exceeds the median."""
-    ranked = F.sort_array("g")
-    doubled = F.get(ranked, F.lit(31)) + F.get(ranked, F.lit(32))
-    bits = F.aggregate(F.transform("g", lambda v, i: F.when(2 * v > F.col("mid2"), F.call_function(
-        "shiftleft", F.lit(1).cast("long"), 63 - i)).otherwise(F.lit(0).cast("long"))),
-        F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-    return values.withColumn("mid2", doubled).select("image_id", bits.alias("h"))
+    def bits(ranked: Column) -> Column:
+        doubled = F.get(ranked, F.lit(31)) + F.get(ranked, F.lit(32))
+        return F.aggregate(F.transform("g", lambda v, i: F.when(2 * v > doubled, F.call_function(
+            "shiftleft", F.lit(1).cast("long"), 63 - i)).otherwise(F.lit(0).cast("long"))),
+            F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    # A list of one binds the sorted values, which would otherwise be sorted again for every bit.
+    return values.select("image_id", F.get(F.transform(F.array(F.sort_array("g")), bits), F.lit(0)).alias("h"))
 
 
 def median_hash(rasters: DataFrame) -> DataFrame:
