@@ -9,7 +9,7 @@ from photolake.operators import collect as co, metadata as md, search
 from photolake.plans.oracle_views import h32
 from photolake.plans.q_images import ENTROPY_NATS, MEAN_COLOR
 from photolake.plans.q_metadata import BEST, MIN_SIDE, PALETTE, PERSON, VERDICT, post_meta
-from photolake.plans.q_posts import COLLECT, SEARCH_WHERE
+from photolake.plans.q_posts import COLLECT, SAMPLED, SEARCH_WHERE
 from photolake.plans.registry import query
 from photolake.operators import predictions as pred
 from photolake.session import ensure_checkpoint_dir
@@ -226,43 +226,60 @@ def organize_files(spark, d):
 
 # --- streams --------------------------------------------------------------------------------
 
-def event_stream(spark, d):
-    schema = tables.table(spark, d, "events").schema
-    return streams.read_stream(spark, d, schema, "events.parquet")
+BATCHES = 4
+
+
+def arriving(spark, d, run):
+    """The whole event table in four parts, dealt by event_id; each arrives, and is processed, after the one before.
+
+    ``run`` gets the events as a stream, and its folders of results and checkpoints; the results are returned.
+    """
+    events, out = tables.table(spark, d, "events"), scratch(spark, "stream")
+    for k in range(BATCHES):
+        events.where(F.col("event_id") % BATCHES == k).write.mode("append").parquet(out + "/in")
+        run(streams.read_stream(spark, out + "/in", events.schema, files_per_batch=None), out + "/out", out + "/ckpt")
+    return out + "/out"
 
 
 def written(spark, out, schema):
     return spark.read.schema(schema + ", batch_id int").parquet(out)
 
 
-@query("stream_collect", views="photo_rows", sql=f"SELECT post_id, url FROM photo_rows WHERE {SEARCH_WHERE}")
+@query("stream_collect", views="photo_rows post_tags", sql=f"""
+WITH {SAMPLED},
+f AS (SELECT post_id, url FROM photo_rows WHERE {SEARCH_WHERE}),
+p AS (SELECT post_id AS other_post_id, url, unnest(tags) AS tag FROM photo_rows),
+k AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY {h32('url')}, url, other_post_id) AS o FROM p),
+r AS (SELECT post_id, url, s.tag AS tag, row_number() OVER (PARTITION BY post_id ORDER BY o) AS rank, other_post_id
+ FROM s JOIN k ON s.tag=k.tag AND s.post_id<>k.other_post_id WHERE post_id IN (SELECT post_id FROM f) QUALIFY rank<=3)
+SELECT 'found' AS kind, post_id, url, CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS INT) AS rank, CAST(NULL AS BIGINT) AS other_post_id FROM f
+UNION ALL SELECT 'related', post_id, url, tag, CAST(rank AS INT), other_post_id FROM r""")
 def stream_collect(spark, d):
-    out = scratch(spark, "stream")
-    streams.stream_collect(tables.posts(spark, d, event_stream(spark, d)), COLLECT, out + "/out", out + "/ckpt")
-    return written(spark, out + "/out", "post_id bigint, url string").drop("batch_id")
+    """Photos found, and related photos of stored posts, in four batches."""
+    stored = tables.posts(spark, d)
+    out = arriving(spark, d, lambda events, out, ckpt: streams.stream_collect(tables.posts(spark, d, events), COLLECT, stored, out, ckpt))
+    return written(spark, out, "kind string, post_id bigint, url string, tag string, rank int, other_post_id bigint").drop("batch_id")
 
 
 @query("stream_dedup", views="photo_rows", sql="SELECT DISTINCT url FROM photo_rows")
 def stream_dedup(spark, d):
-    out = scratch(spark, "stream")
-    photos = search.photo_rows(tables.posts(spark, d, event_stream(spark, d)).select("post_ts", "photos"))
-    streams.stream_dedup(photos, out + "/out", out + "/ckpt")
-    return written(spark, out + "/out", "url string").drop("batch_id")
+    out = arriving(spark, d, lambda events, out, ckpt: streams.stream_dedup(
+        search.photo_rows(tables.posts(spark, d, events).select("post_ts", "photos")), out, ckpt))
+    return written(spark, out, "url string").drop("batch_id")
 
 
 @query("stream_stats", views="attempts", sql="""
 SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, outcome, count(*) AS n FROM attempts GROUP BY 1, 2""")
 def stream_stats(spark, d):
-    out = scratch(spark, "stream")
-    streams.stream_stats(tables.attempts(spark, d, event_stream(spark, d)), out + "/out", out + "/ckpt")
-    return streams.latest_counts(written(spark, out + "/out", "window_start timestamp_ntz, outcome string, n bigint"))
+    out = arriving(spark, d, lambda events, out, ckpt: streams.stream_stats(tables.attempts(spark, d, events), out, ckpt))
+    return streams.latest_counts(written(spark, out, "window_start timestamp_ntz, outcome string, n bigint"))
 
 
 @query("stream_tag_quota", views="post_tags", sql=f"""
 WITH s AS (SELECT post_id, tag FROM post_tags
  QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY {h32('concat(post_id, tag)')}, tag)=1)
-SELECT post_id, tag FROM s QUALIFY row_number() OVER (PARTITION BY tag ORDER BY {h32('post_id')}, post_id)<=10""")
+SELECT post_id, tag FROM s
+QUALIFY row_number() OVER (PARTITION BY tag ORDER BY post_id%{BATCHES}, {h32('post_id')}, post_id)<=10""")
 def stream_tag_quota(spark, d):
-    out = scratch(spark, "stream")
-    streams.stream_tag_quota(tables.posts(spark, d, event_stream(spark, d)), out + "/out", out + "/ckpt")
-    return written(spark, out + "/out", "post_id bigint, tag string").drop("batch_id")
+    out = arriving(spark, d, lambda events, out, ckpt: streams.stream_tag_quota(tables.posts(spark, d, events), out, ckpt))
+    return written(spark, out, "post_id bigint, tag string").drop("batch_id")

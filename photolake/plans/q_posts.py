@@ -99,11 +99,11 @@ def balanced_tags(spark, d):
     return tags.balanced_tags(tables.posts(spark, d))
 
 
-_SAMPLED = f"""s AS (SELECT post_id, tag FROM post_tags
+SAMPLED = f"""s AS (SELECT post_id, tag FROM post_tags
  QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY {h32('concat(post_id, tag)')}, tag)=1)"""
 
 
-@query("sample_tag", views="post_tags", sql=f"WITH {_SAMPLED} SELECT post_id, tag FROM s")
+@query("sample_tag", views="post_tags", sql=f"WITH {SAMPLED} SELECT post_id, tag FROM s")
 def sample_tag(spark, d):
     return tags.sample_tag(tables.posts(spark, d))
 
@@ -116,7 +116,7 @@ def tag_search(spark, d):
 
 
 @query("related_images", views="photo_rows post_tags", sql=f"""
-WITH {_SAMPLED},
+WITH {SAMPLED},
 p AS (SELECT post_id AS other_post_id, url, unnest(tags) AS tag FROM photo_rows),
 k AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY {h32('url')}, url, other_post_id) AS o FROM p)
 SELECT post_id, s.tag AS tag, row_number() OVER (PARTITION BY post_id ORDER BY o) AS rank, other_post_id, url

@@ -1,27 +1,30 @@
-"""Streaming forms of collection: incremental search, de-duplication, counters and tag quota.
+"""Streaming forms of collection: incremental search with related photos, de-duplication, counters and tag quota.
 
-Each runs until the available input is used up; its checkpoint holds the offset, which advances only
-after a batch has succeeded. Sinks are idempotent: a batch writes its own ``batch_id`` folder and
-overwrites it when it is retried.
+Each runs until the available input is used up; its checkpoint holds offset and state, which advance only after a batch has
+succeeded. What must be remembered from batch to batch (urls seen, counters, places taken) is keyed state in Spark's state store, so
+a batch never reads what earlier ones wrote. Sinks are idempotent: a batch writes its own ``batch_id`` folder and overwrites it when
+it is retried. For state larger than memory set ``spark.sql.streaming.stateStore.providerClass`` to the RocksDB provider.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from photolake.functions.columns import h32
 from photolake.operators.search import SearchParams, search_posts
-from photolake.operators.tags import sample_tag
+from photolake.operators.tags import related_images, sample_tag
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet",
-                files_per_batch: int = 1) -> DataFrame:
-    """A folder of parquet files as a stream, a few files per batch; ``files`` filters by name."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-            .option("pathGlobFilter", files).parquet(folder))
+                files_per_batch: int | None = 1) -> DataFrame:
+    """A folder of parquet files as a stream: a few files per batch, or all that have arrived; ``files`` filters by name."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
 
 
 def utc_instant(ts: Column) -> Column:
@@ -44,25 +47,27 @@ def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
     query.awaitTermination()
 
 
-def stream_collect(posts: DataFrame, params: SearchParams, out: str, checkpoint: str) -> None:
-    """Search new posts batch by batch and append the photos found."""
-    drain(search_posts(posts, params), checkpoint, lambda b, i: write_batch(b, i, out))
+def stream_collect(posts: DataFrame, params: SearchParams, stored: DataFrame, out: str, checkpoint: str, count: int = 3) -> None:
+    """Search new posts batch by batch; append the photos found and, for one sampled tag of each post found, up to ``count``
+    photos of other posts among ``stored``.
 
-
-def stream_dedup(photos: DataFrame, out: str, checkpoint: str) -> None:
-    """Collect each url once across batches, however late it or its copies come.
-
-    The collected urls are the state: a batch's urls are joined against those of earlier batches.
+    Both kinds of rows of a batch are one write, so a retried batch leaves neither twice. Of the stored posts only those with a tag
+    the batch asks for are ranked.
     """
     def collect(batch: DataFrame, batch_id: int) -> None:
-        new = batch.distinct()
-        if batch_id > 0:
-            # An earlier batch always leaves its folder, so the table exists from the second batch on.
-            known = batch.sparkSession.read.schema("url string, batch_id int").parquet(out)
-            new = new.join(known.where(F.col("batch_id") < batch_id).select("url"), "url", "left_anti")
-        write_batch(new, batch_id, out)
+        batch = batch.persist()
+        found = batch.select(F.lit("found").alias("kind"), "post_id", "url")
+        related = related_images(stored, count, batch.dropDuplicates(["post_id"])).select(
+            F.lit("related").alias("kind"), "post_id", "url", "tag", "rank", "other_post_id")
+        write_batch(found.unionByName(related, allowMissingColumns=True), batch_id, out)
+        batch.unpersist()
 
-    drain(photos.select("url"), checkpoint, collect)
+    drain(search_posts(posts, params).select("post_id", "tags", "url"), checkpoint, collect)
+
+
+def stream_dedup(photos: DataFrame, out: str, checkpoint: str) -> None:
+    """Collect each url once across batches, however late it or its copies come: the urls seen are keyed state, without a watermark."""
+    drain(photos.select("url").dropDuplicates(["url"]), checkpoint, lambda b, i: write_batch(b, i, out))
 
 
 def stream_stats(attempts: DataFrame, out: str, checkpoint: str, width: str = "1 day") -> None:
@@ -81,23 +86,28 @@ def latest_counts(written: DataFrame) -> DataFrame:
     return written.groupBy("window_start", "outcome").agg(F.max_by("n", "batch_id").alias("n"))
 
 
+def _admit(limit: int):
+    """For one tag: the first posts of the batch by hash that still find a place; the state is the posts that have one."""
+    def admit(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        taken = list(state.get[0]) if state.exists else []
+        best = pd.DataFrame({"post_id": pd.Series(dtype="int64"), "k": pd.Series(dtype="int64")})
+        for part in parts:  # a hot tag streams by; no more than the free places and one part are held
+            if len(taken) < limit:
+                new = part.loc[~part["post_id"].isin(taken), ["post_id", "k"]]
+                best = pd.concat([best, new]).drop_duplicates("post_id").nsmallest(limit - len(taken), ["k", "post_id"])
+        if len(best):
+            state.update((taken + [int(x) for x in best["post_id"]],))
+        yield best[["post_id"]].assign(tag=key[0])
+
+    return admit
+
+
 def stream_tag_quota(posts: DataFrame, out: str, checkpoint: str, limit: int = 10) -> None:
-    """At most ``limit`` posts per sampled tag over the life of the stream.
+    """At most ``limit`` posts per sampled tag over the life of the stream; a post that comes again takes no second place.
 
-    The state is the accepted posts themselves, at most ``limit`` rows per tag. Within a batch the rank
-    is cut per task before the exchange, so a hot tag never gathers in one task.
+    The state of a tag is the ids of its accepted posts, at most ``limit``.
     """
-    def admit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        order = W.partitionBy("tag").orderBy(h32(F.col("post_id")), "post_id")
-        first = (sample_tag(batch).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
-        if batch_id > 0:
-            # An earlier batch always leaves its folder, so the table exists from the second batch on.
-            used = (spark.read.schema("post_id bigint, tag string, batch_id int").parquet(out)
-                    .where(F.col("batch_id") < batch_id).groupBy("tag").agg(F.count("*").alias("used")))
-            first = first.join(used, "tag", "left")
-        else:
-            first = first.withColumn("used", F.lit(0))
-        write_batch(first.where(F.col("rank") + F.coalesce("used", F.lit(0)) <= limit).select("post_id", "tag"), batch_id, out)
-
-    drain(posts.select("post_id", "tags"), checkpoint, admit)
+    tagged = sample_tag(posts).select("tag", "post_id", h32(F.col("post_id")).alias("k"))
+    admitted = tagged.groupBy("tag").applyInPandasWithState(
+        _admit(limit), "post_id bigint, tag string", "taken array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    drain(admitted, checkpoint, lambda b, i: write_batch(b, i, out))

@@ -262,11 +262,20 @@ def test_stream_equals_batch(spark, feed, tmp_path):
     params = search.SearchParams(end="2024-01-04 00:00:00")
     out = str(tmp_path / "out")
     for _ in range(2):  # the second run finds nothing new
-        streams.stream_collect(streams.read_stream(spark, folder, batch.schema), params, out, str(tmp_path / "c"))
+        streams.stream_collect(streams.read_stream(spark, folder, batch.schema), params, batch, out, str(tmp_path / "c"))
     done = spark.read.parquet(out)
     want = search.search_posts(batch, params)
-    assert sorted(r.url for r in done.collect()) == sorted(r.url for r in want.collect())
+    assert sorted(r.url for r in done.where("kind = 'found'").collect()) == sorted(r.url for r in want.collect())
     assert done.select("batch_id").distinct().count() > 1
+    related = tags.related_images(batch).join(want.select("post_id").distinct(), "post_id", "left_semi")
+    columns = ["post_id", "tag", "rank", "other_post_id", "url"]
+    assert sorted(done.where("kind = 'related'").select(*columns).collect()) == sorted(related.select(*columns).collect()) != []
+    # A batch that is done again replaces its own rows.
+    before = done.count()
+    last = done.agg(F.max("batch_id")).first()[0]
+    rows = done.where(F.col("batch_id") == last).drop("batch_id").collect()
+    streams.write_batch(spark.createDataFrame(rows, done.drop("batch_id").schema), last, out)
+    assert spark.read.parquet(out).count() == before
 
 
 def test_stream_dedup(spark, feed, tmp_path):
@@ -277,6 +286,29 @@ def test_stream_dedup(spark, feed, tmp_path):
     assert got == sorted({r.url for r in search.photo_rows(batch).collect()})
 
 
+def test_stream_dedup_keeps_late_urls_and_reads_no_results(spark, tmp_path):
+    out, sent = str(tmp_path / "out"), []
+    for n, urls in enumerate((["a", "b", "a"], ["b", "c"], ["a", "z", "c"])):
+        spark.createDataFrame([(u,) for u in urls], "url string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.stream_dedup(streams.read_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), out, str(tmp_path / "c"))
+        sent += urls
+        if n == 0:  # results that are gone are not sent again: what was seen is state
+            (tmp_path / "out").rename(tmp_path / "taken")
+    got = [r.url for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == ["c", "z"] and {r.url for r in spark.read.parquet(str(tmp_path / "taken")).collect()} == {"a", "b"}
+
+
+def test_stream_quota_gives_a_repeated_post_no_second_place(spark, tmp_path):
+    schema = "post_id bigint, tags array<string>"
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(i, ["art"]) for i in range(6)], [(i, ["art"]) for i in range(6)] * 3, [(i, ["art"]) for i in range(4, 9)], [(i, ["art"]) for i in range(50)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        streams.stream_tag_quota(streams.read_stream(spark, folder, spark.read.parquet(folder).schema), out, str(tmp_path / "c"))
+    got = [(r.batch_id, r.post_id) for r in spark.read.parquet(out).collect()]
+    assert len(got) == 10 and {p for b, p in got if b == 0} == set(range(6)) and {p for b, p in got if b == 2} == {6, 7, 8}
+    assert not [p for b, p in got if b == 1] and len({p for _, p in got}) == 10
+
+
 def test_stream_quota_holds_across_batches(spark, feed, tmp_path):
     folder, batch = feed
     streams.stream_tag_quota(streams.read_stream(spark, folder, batch.schema), str(tmp_path / "out"), str(tmp_path / "c"))
