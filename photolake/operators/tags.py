@@ -115,8 +115,8 @@ def tag_search(posts: DataFrame, tag: str) -> DataFrame:
     return photo_rows(posts.where(hit))
 
 
-def related_images(posts: DataFrame, count: int = 3, asked: DataFrame | None = None) -> DataFrame:
-    """For one sampled tag per post (of ``asked``, or of all posts): up to ``count`` photos of other posts having that tag.
+def related_pool(posts: DataFrame, count: int = 3) -> DataFrame:
+    """(tag, pool): the photos of each tag that any post may get as related ones, at most 2 * ``count``.
 
     Only the first 2 * count photos of each tag can be needed, when no post supplies more than
     ``count`` of them: at most ``count`` belong to the asking post. Both ranks are cut per task before
@@ -124,16 +124,22 @@ def related_images(posts: DataFrame, count: int = 3, asked: DataFrame | None = N
     """
     photo = photo_rows(posts.select("post_id", "tags", "photos"))
     per_tag = photo.select("post_id", "url", h32(F.col("url")).alias("k"), F.explode("tags").alias("tag"))
-    wanted = sample_tag(posts if asked is None else asked)
-    if asked is not None:
-        per_tag = per_tag.join(wanted.select("tag").distinct(), "tag", "left_semi")
     order = [F.col("k"), F.col("url")]
     own = F.row_number().over(W.partitionBy("tag", "post_id").orderBy(*order))
     top = F.row_number().over(W.partitionBy("tag").orderBy(*order, "post_id"))
-    pool = (per_tag.withColumn("own", own).where(F.col("own") <= count)
+    return (per_tag.withColumn("own", own).where(F.col("own") <= count)
             .withColumn("top", top).where(F.col("top") <= 2 * count)
             .groupBy("tag").agg(F.sort_array(F.collect_list(F.struct("k", "url", "post_id"))).alias("pool")))
+
+
+def related_from(asking: DataFrame, pool: DataFrame, count: int = 3) -> DataFrame:
+    """For one sampled tag per asking post: up to ``count`` photos of other posts out of that tag's pool."""
     others = F.slice(F.filter("pool", lambda c: c["post_id"] != F.col("post_id")), 1, count)
-    return (wanted.join(pool, "tag").select("post_id", "tag", F.posexplode(others).alias("pos", "c"))
+    return (sample_tag(asking).join(pool, "tag").select("post_id", "tag", F.posexplode(others).alias("pos", "c"))
             .select("post_id", "tag", (F.col("pos") + 1).alias("rank"), F.col("c.post_id").alias("other_post_id"),
                     F.col("c.url").alias("url")))
+
+
+def related_images(posts: DataFrame, count: int = 3) -> DataFrame:
+    """For one sampled tag per post: up to ``count`` photos of other posts having that tag."""
+    return related_from(posts, related_pool(posts, count), count)

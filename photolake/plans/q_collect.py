@@ -5,14 +5,14 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from photolake.operators import collect as co, metadata as md, search
+from photolake.operators import collect as co, metadata as md, search, tags
 from photolake.plans.oracle_views import h32
 from photolake.plans.q_images import ENTROPY_NATS, MEAN_COLOR
 from photolake.plans.q_metadata import BEST, MIN_SIDE, PALETTE, PERSON, VERDICT, post_meta
 from photolake.plans.q_posts import COLLECT, SAMPLED, SEARCH_WHERE
 from photolake.plans.registry import query
 from photolake.operators import predictions as pred
-from photolake.session import ensure_checkpoint_dir
+from photolake.session import cut, ensure_checkpoint_dir
 from photolake.sources import export, tables
 from photolake.streaming import streams
 
@@ -226,11 +226,11 @@ def organize_files(spark, d):
 
 # --- streams --------------------------------------------------------------------------------
 
-BATCHES = 4
+BATCHES = 3
 
 
 def arriving(spark, d, run):
-    """The whole event table in four parts, dealt by event_id; each arrives, and is processed, after the one before.
+    """The whole event table in three parts, dealt by event_id; each arrives, and is processed, after the one before.
 
     ``run`` gets the events as a stream, and its folders of results and checkpoints; the results are returned.
     """
@@ -255,9 +255,9 @@ r AS (SELECT post_id, url, s.tag AS tag, row_number() OVER (PARTITION BY post_id
 SELECT 'found' AS kind, post_id, url, CAST(NULL AS VARCHAR) AS tag, CAST(NULL AS INT) AS rank, CAST(NULL AS BIGINT) AS other_post_id FROM f
 UNION ALL SELECT 'related', post_id, url, tag, CAST(rank AS INT), other_post_id FROM r""")
 def stream_collect(spark, d):
-    """Photos found, and related photos of stored posts, in four batches."""
-    stored = tables.posts(spark, d)
-    out = arriving(spark, d, lambda events, out, ckpt: streams.stream_collect(tables.posts(spark, d, events), COLLECT, stored, out, ckpt))
+    """Photos found, and related photos of stored posts, in three batches."""
+    pool = cut(tags.related_pool(tables.posts(spark, d)))
+    out = arriving(spark, d, lambda events, out, ckpt: streams.stream_collect(tables.posts(spark, d, events), COLLECT, pool, out, ckpt))
     return written(spark, out, "kind string, post_id bigint, url string, tag string, rank int, other_post_id bigint").drop("batch_id")
 
 

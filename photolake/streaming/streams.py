@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from photolake.functions.columns import h32
 from photolake.operators.search import SearchParams, search_posts
-from photolake.operators.tags import related_images, sample_tag
+from photolake.operators.tags import related_from, sample_tag
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType, files: str = "*.parquet",
@@ -47,17 +47,16 @@ def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
     query.awaitTermination()
 
 
-def stream_collect(posts: DataFrame, params: SearchParams, stored: DataFrame, out: str, checkpoint: str, count: int = 3) -> None:
+def stream_collect(posts: DataFrame, params: SearchParams, pool: DataFrame, out: str, checkpoint: str, count: int = 3) -> None:
     """Search new posts batch by batch; append the photos found and, for one sampled tag of each post found, up to ``count``
-    photos of other posts among ``stored``.
+    photos of other posts out of ``pool`` (``related_pool`` of the stored posts, a few rows a tag, best written once).
 
-    Both kinds of rows of a batch are one write, so a retried batch leaves neither twice. Of the stored posts only those with a tag
-    the batch asks for are ranked.
+    Both kinds of rows of a batch are one write, so a retried batch leaves neither twice.
     """
     def collect(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         found = batch.select(F.lit("found").alias("kind"), "post_id", "url")
-        related = related_images(stored, count, batch.dropDuplicates(["post_id"])).select(
+        related = related_from(batch.dropDuplicates(["post_id"]), pool, count).select(
             F.lit("related").alias("kind"), "post_id", "url", "tag", "rank", "other_post_id")
         write_batch(found.unionByName(related, allowMissingColumns=True), batch_id, out)
         batch.unpersist()

@@ -262,7 +262,7 @@ def test_stream_equals_batch(spark, feed, tmp_path):
     params = search.SearchParams(end="2024-01-04 00:00:00")
     out = str(tmp_path / "out")
     for _ in range(2):  # the second run finds nothing new
-        streams.stream_collect(streams.read_stream(spark, folder, batch.schema), params, batch, out, str(tmp_path / "c"))
+        streams.stream_collect(streams.read_stream(spark, folder, batch.schema), params, tags.related_pool(batch), out, str(tmp_path / "c"))
     done = spark.read.parquet(out)
     want = search.search_posts(batch, params)
     assert sorted(r.url for r in done.where("kind = 'found'").collect()) == sorted(r.url for r in want.collect())
