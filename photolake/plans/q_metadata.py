@@ -146,8 +146,7 @@ def confusion_matrix(spark, d):
     return pred.confusion_matrix(pred.best_label(tables.predictions(spark, d)), STYLE_LABELS)
 
 
-REPORT = f"""{MATRIX},
-per AS (SELECT c AS label, sum(n) FILTER (true_label=c AND predicted=c) AS tp, sum(n) FILTER (true_label=c) AS act,
+SCORES = """per AS (SELECT c AS label, sum(n) FILTER (true_label=c AND predicted=c) AS tp, sum(n) FILTER (true_label=c) AS act,
  sum(n) FILTER (predicted=c) AS cl FROM matrix JOIN cls ON c IN (true_label, predicted) GROUP BY 1),
 sc AS (SELECT label, tp, act AS support, CASE WHEN cl>0 THEN tp/cl ELSE 0 END AS precision,
  CASE WHEN act>0 THEN tp/act ELSE 0 END AS recall, CASE WHEN act+cl>0 THEN 2*tp/(act+cl) ELSE 0 END AS f1 FROM per),
@@ -159,7 +158,7 @@ rep AS (SELECT label, precision, recall, f1, support FROM sc
 
 
 @query("classification_report", views="predictions", sql=f"""
-WITH {REPORT} SELECT label, round(precision,6) AS precision, round(recall,6) AS recall, round(f1,6) AS f1,
+WITH {MATRIX}, {SCORES} SELECT label, round(precision,6) AS precision, round(recall,6) AS recall, round(f1,6) AS f1,
  CAST(support AS BIGINT) AS support FROM rep""")
 def classification_report(spark, d):
     matrix = pred.confusion_matrix(pred.best_label(tables.predictions(spark, d)), STYLE_LABELS)

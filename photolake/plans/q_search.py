@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from photolake.operators import features, models, predictions as pred, ranking, similarity, stats
 from photolake.plans.q_images import MEAN_COLOR, tiles
-from photolake.plans.q_metadata import BEST
+from photolake.plans.q_metadata import BEST, SCORES
 from photolake.plans.registry import query, rounded
 from photolake.session import ensure_checkpoint_dir
 from photolake.sources import images, tables
@@ -61,44 +61,95 @@ def labelled(spark, d):
     return ranking.stratified_split(items)
 
 
-@query("train_head")
+#: A short run, so that SQL can repeat it.
+TRAIN = {"epochs": 5, "patience": 2, "rate": 40.0}
+
+
+def head(spark, d):
+    return models.train_head(labelled(spark, d), len(CLASSES), **TRAIN)
+
+
+def _training_sql() -> str:
+    """Weights of every epoch, the validation losses, and the epoch whose weights are kept."""
+    epochs, n = TRAIN["epochs"], len(CLASSES)
+    parts = [f"""items AS (SELECT vec_id AS image_id, label AS y, embedding, CASE WHEN row_number() OVER (PARTITION BY label
+  ORDER BY lpad(vec_id::VARCHAR, 12, '0')) <= floor(0.2::DOUBLE*count(*) OVER (PARTITION BY label)) THEN 'validation' ELSE 'training' END AS part
+  FROM embeddings)""",
+             """x AS MATERIALIZED (SELECT image_id, y, part, unnest(range(0, len(embedding)+1)) AS d, unnest(list_append(list_transform(embedding,
+  lambda z: floor(z::DOUBLE*1e6+0.5)::BIGINT), 1000000)) AS v FROM items)""",
+             f"w0 AS (SELECT k, d, 0::BIGINT AS w FROM range(0,{n}) a(k), (SELECT DISTINCT d FROM x))"]
+    scores = """SELECT image_id, y, part, k, e/sum(e) OVER (PARTITION BY image_id) AS p FROM (
+  SELECT *, exp(l-max(l) OVER (PARTITION BY image_id)) AS e FROM (
+   SELECT image_id, any_value(y) AS y, any_value(part) AS part, k, sum(v*w)::DOUBLE/1e15 AS l FROM x JOIN {0} USING (d) GROUP BY image_id, k))"""
+    for i in range(epochs + 1):
+        parts.append(f"p{i} AS MATERIALIZED ({scores.format(f'w{i}')})")
+        if i < epochs:
+            parts.append(f"""w{i + 1} AS MATERIALIZED (SELECT k, d, (w-{round(TRAIN['rate'] * 1000)}*g//(1000000*n))::BIGINT AS w FROM w{i} JOIN (
+  SELECT k, d, count(*)::HUGEINT AS n, sum((floor(p*1e6+0.5)::BIGINT-CASE WHEN x.y=k THEN 1000000 ELSE 0 END)::HUGEINT*v) AS g
+  FROM p{i} JOIN x USING (image_id) WHERE x.part='training' GROUP BY k, d) USING (k, d))""")
+    losses = " UNION ALL ".join(f"SELECT {i} AS e, sum(floor(-ln(greatest(p,1e-7))*1e6+0.5)::BIGINT)/count(*) AS loss FROM p{i} "
+                                "WHERE part='validation' AND y=k" for i in range(1, epochs + 1))
+    parts += [f"losses AS MATERIALIZED ({losses})",
+              "upto AS (SELECT a.e, arg_min(b.e, (b.loss, b.e)) AS best FROM losses a JOIN losses b ON b.e<=a.e GROUP BY a.e)",
+              f"""kept AS MATERIALIZED (SELECT best FROM upto
+  WHERE e=(SELECT coalesce(min(e) FILTER (e-best>={TRAIN['patience']}), max(e)) FROM upto))""",
+              "weights AS (" + " UNION ALL ".join(f"SELECT k, d, w FROM w{i} WHERE (SELECT best FROM kept)={i}" for i in range(1, epochs + 1)) + ")",
+              f"scored AS MATERIALIZED ({scores.format('weights')})",
+              "top AS (SELECT image_id, part, y, 'class'||k AS label, p, row_number() OVER (PARTITION BY image_id ORDER BY p DESC, 'class'||k) AS rank FROM scored)"]
+    return ",\n".join(parts)
+
+
+TRAINING = _training_sql()
+
+
+@query("train_head", sql=f"""
+WITH {TRAINING}
+SELECT CAST(k AS INT) AS class_index, round(max(w) FILTER (d=64)/1e9,6) AS intercept, round(min(w) FILTER (d<64)/1e9,6) AS min_weight,
+ round(max(w) FILTER (d<64)/1e9,6) AS max_weight, CAST((SELECT best FROM kept) AS INT) AS best_epoch,
+ round((SELECT loss FROM losses WHERE e=(SELECT best FROM kept))/1e6,6) AS validation_loss FROM weights GROUP BY k""")
 def train_head(spark, d):
-    """Largest and smallest weight per class of the fitted head."""
-    model = models.train_head(labelled(spark, d).where("part = 'training'"))
-    head = model.stages[-1]
-    weights = head.coefficientMatrix.toArray()  # classes x dimensions: the model, not data
-    rows = [(i, float(head.interceptVector[i]), float(w.min()), float(w.max())) for i, w in enumerate(weights)]
-    return rounded(spark.createDataFrame(rows, "class_index int, intercept double, min_weight double, max_weight double"))
-
-
-@query("predict_batch")
+    """Intercept, smallest and largest weight per class of the fitted head, and the epoch that was kept."""
+    model = head(spark, d)
+    bias = len(model.weights[0]) - 1
+    table = models.model_table(spark, model).groupBy("class_index").agg(
+        (F.max(F.when(F.col("dim") == bias, F.col("weight"))) / models.WEIGHT).alias("intercept"),
+        (F.min(F.when(F.col("dim") < bias, F.col("weight"))) / models.WEIGHT).alias("min_weight"),
+        (F.max(F.when(F.col("dim") < bias, F.col("weight"))) / models.WEIGHT).alias("max_weight"))
+    return rounded(table.withColumn("best_epoch", F.lit(model.best_epoch)).withColumn(
+        "validation_loss", F.lit(model.losses[model.best_epoch - 1])))
+
+
+@query("predict_batch", sql=f"""
+WITH {TRAINING} SELECT image_id, label, round(p,6) AS confidence, rank, p>=0.2 AS is_confident FROM top WHERE rank<=3""")
 def predict_batch(spark, d):
-    data = labelled(spark, d)
-    model = models.train_head(data.where("part = 'training'"))
-    scored = models.predict_batch(model, data.drop("label"), CLASSES, 0.2)
+    scored = models.predict_batch(head(spark, d), labelled(spark, d).drop("label"), CLASSES, 0.2)
     return rounded(pred.top_predictions(scored.drop("is_confident"), 3, 0.2))
 
 
-@query("evaluate_model")
+@query("evaluate_model", sql=f"""
+WITH {TRAINING}, cls AS (SELECT unnest({CLASSES}) AS c),
+best AS (SELECT 'class'||y AS true_label, label FROM top WHERE rank=1 AND part='validation'),
+matrix AS (SELECT t.c AS true_label, p.c AS predicted, count(best.label) AS n FROM cls t CROSS JOIN cls p
+ LEFT JOIN best ON best.true_label=t.c AND best.label=p.c GROUP BY 1, 2),
+{SCORES} SELECT label, round(precision,6) AS precision, round(recall,6) AS recall, round(f1,6) AS f1, CAST(support AS BIGINT) AS support FROM rep""")
 def evaluate_model(spark, d):
-    data = labelled(spark, d)
-    model = models.train_head(data.where("part = 'training'"))
-    held = data.where("part = 'validation'").withColumnRenamed("label", "true_label")
-    scored = models.predict_batch(model, held, CLASSES, keys=("image_id", "true_label"))
+    held = labelled(spark, d).where("part = 'validation'").withColumnRenamed("label", "true_label")
+    scored = models.predict_batch(head(spark, d), held, CLASSES, keys=("image_id", "true_label"))
     return rounded(pred.classification_report(pred.confusion_matrix(pred.best_label(scored), CLASSES)))
 
 
-@query("save_load_model")
+@query("save_load_model", sql=f"""
+WITH {TRAINING} SELECT image_id, label AS original, label AS reloaded FROM top WHERE rank=1""")
 def save_load_model(spark, d):
     """Predictions of the reloaded head next to those of the original."""
-    data = labelled(spark, d)
-    model = models.train_head(data.where("part = 'training'"))
-    path = f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
-    models.save_model(model, path)
+    model, path = head(spark, d), f"{ensure_checkpoint_dir(spark)}/model-{uuid.uuid4().hex}"
+    models.save_model(spark, model, path)
+
     def best(m, name):
-        scored = models.predict_batch(m, data.drop("label"), CLASSES)
+        scored = models.predict_batch(m, labelled(spark, d).drop("label"), CLASSES)
         return pred.best_label(scored).select("image_id", F.col("label").alias(name))
-    return best(model, "original").join(best(models.load_model(path), "reloaded"), "image_id")
+
+    return best(model, "original").join(best(models.load_model(spark, path), "reloaded"), "image_id")
 
 
 # --- attempt log ----------------------------------------------------------------------------

@@ -215,14 +215,15 @@ def vectors(spark):
 
 def test_head_learns_and_survives_a_round_trip(spark, vectors, tmp_path):
     names = ["x", "y", "z"]
-    model = models.train_head(vectors)
+    model = models.train_head(vectors, 3, rate=4.0)
     scored = models.predict_batch(model, vectors, names, 0.5)
     sums = scored.groupBy("image_id").agg(F.sum("confidence").alias("s"), F.count("*").alias("n")).collect()
     assert all(abs(r.s - 1) < 1e-9 and r.n == 3 for r in sums)
     right = pred.best_label(scored).join(vectors, "image_id").where(F.element_at(F.array(*map(F.lit, names)), F.col("class_index") + 1) == F.col("label"))
     assert right.count() == 60
-    models.save_model(model, str(tmp_path / "m"))
-    again = models.predict_batch(models.load_model(str(tmp_path / "m")), vectors, names, 0.5)
+    models.save_model(spark, model, str(tmp_path / "m"))
+    assert models.load_model(spark, str(tmp_path / "m")) == model
+    again = models.predict_batch(models.load_model(spark, str(tmp_path / "m")), vectors, names, 0.5)
     assert sorted(again.collect()) == sorted(scored.collect())
 
     @F.pandas_udf("array<double>")
@@ -231,6 +232,22 @@ def test_head_learns_and_survives_a_round_trip(spark, vectors, tmp_path):
     assert models.score_with(vectors, lambda c: scorer(c), names).count() == 180
 
 
+def test_head_stops_and_keeps_the_best_weights(spark, vectors):
+    parted = vectors.withColumn("part", F.when(F.col("image_id") % 4 == 0, "validation"))
+    # Held-out classes contradict what is learnt, so the loss on them rises from the second epoch on.
+    wrong = parted.withColumn("class_index", F.when(F.col("part") == "validation", (F.col("class_index") + 1) % 3).otherwise(F.col("class_index")))
+    model = models.train_head(wrong, 3, epochs=30, patience=3)
+    assert model.best_epoch == 1 and len(model.losses) == 4 and model.losses[0] == min(model.losses)
+    assert model.weights == models.train_head(wrong, 3, epochs=1).weights
+    full = models.train_head(parted.repartition(7), 3, epochs=6, patience=3)
+    assert full == models.train_head(parted.coalesce(1), 3, epochs=6, patience=3)  # exact sums, whatever the placement
+    assert list(full.losses) == sorted(full.losses, reverse=True) and full.best_epoch == 6
+    odd = parted.unionByName(spark.createDataFrame([(99, None, 1, None), (98, [1.0, 2.0, 3.0], None, None)], parted.schema))
+    assert models.train_head(odd, 3, epochs=6, patience=3) == full
+    with pytest.raises(ValueError):
+        models.train_head(parted.limit(0), 3)
+
+
 @pytest.mark.parametrize("block", [7, 1000])
 def test_batch_neighbours_equal_single_searches(spark, vectors, block):
     emb = vectors.select(F.col("image_id").alias("vec_id"), "embedding")

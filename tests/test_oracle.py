@@ -45,6 +45,5 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_query_but_model_mechanics_has_sql():
-    assert set(plans.QUERIES) - set(plans.ORACLES) == {
-        "list_images", "train_head", "predict_batch", "evaluate_model", "save_load_model"}
+def test_every_query_but_the_listing_has_sql():
+    assert set(plans.QUERIES) - set(plans.ORACLES) == {"list_images"}
