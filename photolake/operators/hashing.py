@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from photolake.functions.columns import hamming, packed_luma
 from photolake.session import cut
 
 SIDE, LOW = 32, 8
+#: Members of a bucket that meet in one task.
+CHUNK = 4096
 #: Scaled cosines, [frequency, cell].
 BASIS = np.array([[round(math.cos(math.pi * f * (2 * x + 1) / (2 * SIDE)) * 16384) for x in range(SIDE)] for f in range(LOW)], dtype=np.int64)
-HOT = 1024
 
 
 def _weights(first: int, n: int, size: int) -> np.ndarray:
@@ -80,99 +81,46 @@ def median_hash(rasters: DataFrame) -> DataFrame:
 
 # --- Hamming join ---------------------------------------------------------------------------
 
-def _split(bits: Sequence[int], parts: int) -> list[list[int]]:
-    """Cut a list of bit positions into ``parts`` nearly equal runs."""
-    edge = [len(bits) * i // parts for i in range(parts + 1)]
-    return [list(bits[edge[i]:edge[i + 1]]) for i in range(parts)]
+def covering_masks(k: int, blocks: int) -> list[int]:
+    """Masks of all choices of ``blocks - k`` of so many blocks: two hashes within ``k`` bits agree under at least one."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:])]
+    masks = [sum(choice) for choice in combinations(parts, blocks - k)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _mask(bits: Sequence[int]) -> int:
-    value = sum(1 << b for b in bits)
-    return value - (1 << 64) if value >= 1 << 63 else value
+def _keyed(hashes: DataFrame, masks: Sequence[int]) -> DataFrame:
+    """(h, t, key): a hash under every mask. A map."""
+    keys = F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in masks])
+    return hashes.select("h", F.posexplode(keys).alias("t", "key"))
 
 
-def _paths(k: int, depth: int) -> list[tuple[str, str, int, list[int]]]:
-    """(parent path, path, key mask, masks that must differ) for every band at ``depth``.
-
-    A pair within distance k agrees on one of k + 1 bands. Inside a band that is too crowded, the
-    remaining bits are banded again by the same rule, which is again exact.
-    """
-    level = [("", [], list(range(64)), [])]
-    rows: list[tuple[str, str, int, list[int]]] = []
-    for _ in range(depth):
-        rows, below = [], []
-        for path, pinned, free, earlier in level:
-            bands = _split(free, k + 1)
-            for i, band in enumerate(bands):
-                child = f"{path}{chr(97 + i)}"
-                pins = pinned + band
-                differ = earlier + [_mask(b) for b in bands[:i]]
-                rows.append((path, child, _mask(pins), differ))
-                below.append((child, pins, [b for b in free if b not in set(band)], differ))
-        level = below
-    return rows
-
-
-PATH_SCHEMA = StructType([StructField("parent", StringType()), StructField("path", StringType()),
-                          StructField("mask", LongType()), StructField("differ", ArrayType(LongType()))])
-
-
-def _band_keys(hashes: DataFrame, k: int) -> DataFrame:
-    """(h, path, key) for the first banding, written as one literal array: a map."""
-    bands = F.array(*[F.struct(F.lit(path).alias("path"), F.lit(mask).cast("long").alias("mask"))
-                      for _, path, mask, _ in _paths(k, 1)])
-    return hashes.select("h", F.inline(bands)).select("h", "path", F.col("h").bitwiseAND(F.col("mask")).alias("key"))
-
-
-def hamming_pairs(left: DataFrame, right: DataFrame | None, k: int, hot: int = HOT, max_depth: int = 3) -> DataFrame:
+def hamming_pairs(left: DataFrame, right: DataFrame | None, k: int, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(h1, h2, hamming) for distinct hashes within ``k`` bits; ``right=None`` joins a frame to itself.
 
-    Exact, by equi-joins on bands. Buckets where more than ``hot`` x ``hot`` comparisons would meet are
-    split by a further banding of their remaining bits, at most ``max_depth`` levels. Each pair is
-    reported once, at its first agreeing band of each level, so there is no final distinct.
-    The band tables hold (k + 1) ** depth rows, whatever the data.
+    Exact, by equi-joins on covering keys. More ``blocks`` make longer keys and more of them: C(blocks, k) rows a hash, keys of about
+    64 * (blocks - k) / blocks bits; the default is k + 3. A bucket is salted by its size: its left members are dealt to
+    chunks, its right members go to each, so a crowded bucket is spread over as many tasks. Every pair is reported once, under
+    the first mask on which it agrees, so there is no final distinct.
     """
-    spark = left.sparkSession
+    masks = covering_masks(k, blocks or k + 3)
     self_join = right is None
-    lk = _band_keys(left, k)
-    rk = lk if self_join else _band_keys(right, k)
-    found: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
-        dims = spark.createDataFrame(_paths(k, depth), PATH_SCHEMA)
-        crowded = None
-        if depth < max_depth:
-            sizes = lk.groupBy("path", "key").agg(F.count("*").alias("n_left"))
-            if self_join:
-                load = F.col("n_left") * F.col("n_left")
-            else:
-                sizes = sizes.join(rk.groupBy("path", "key").agg(F.count("*").alias("n_right")), ["path", "key"])
-                load = F.col("n_left") * F.col("n_right")
-            heavy = sizes.where(load > hot * hot).select("path", "key")
-            crowded = None if heavy.isEmpty() else cut(heavy)
-        lc, rc = ((lk, rk) if crowded is None else
-                  tuple(f.join(crowded, ["path", "key"], "left_anti") for f in (lk, rk)))
-        order = F.col("a.h") < F.col("b.h") if self_join else F.lit(True)
-        close = (lc.alias("a").join(rc.alias("b"), ["path", "key"])
-                 .where(order & (hamming(F.col("a.h"), F.col("b.h")) <= k))
-                 .select("path", F.col("a.h").alias("h1"), F.col("b.h").alias("h2")))
-        first_only = F.forall("differ", lambda m: F.col("h1").bitwiseXOR(F.col("h2")).bitwiseAND(m) != 0)
-        found.append(close.join(F.broadcast(dims.select("path", "differ")), "path").where(first_only)
-                     .select("h1", "h2", hamming(F.col("h1"), F.col("h2")).alias("hamming")))
-        if crowded is None:
-            break
-        children = F.broadcast(spark.createDataFrame(_paths(k, depth + 1), PATH_SCHEMA)
-                               .select(F.col("parent").alias("path"), F.col("path").alias("child"), "mask"))
-
-        def deeper(keys: DataFrame) -> DataFrame:
-            return (keys.join(crowded, ["path", "key"], "left_semi").join(children, "path")
-                    .select("h", F.col("child").alias("path"), F.col("h").bitwiseAND(F.col("mask")).alias("key")))
-
-        lk = deeper(lk)
-        rk = lk if self_join else deeper(rk)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs
+    lk = _keyed(left, masks)
+    rk = lk if self_join else _keyed(right, masks)
+    sizes = rk.groupBy("t", "key").agg(F.count("*").alias("n"))
+    if self_join:
+        sizes = sizes.where("n > 1")
+    sizes = cut(sizes.select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
+    a = lk.join(sizes, ["t", "key"]).select(
+        "t", "key", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int").alias("chunk"), F.col("h").alias("h1"))
+    b = rk.join(sizes, ["t", "key"]).select(
+        "t", "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("h").alias("h2"))
+    order = F.col("h1") < F.col("h2") if self_join else F.lit(True)
+    gap = F.col("h1").bitwiseXOR(F.col("h2"))
+    close = a.join(b, ["t", "key", "chunk"]).where(order & (hamming(F.col("h1"), F.col("h2")) <= k))
+    earlier = F.slice(F.array(*[F.lit(m).cast("long") for m in masks]), F.lit(1), F.col("t"))
+    return (close.where(F.forall(earlier, lambda m: gap.bitwiseAND(m) != 0))
+            .select("h1", "h2", hamming(F.col("h1"), F.col("h2")).alias("hamming")))
 
 
 def representatives(hashes: DataFrame) -> DataFrame:
@@ -180,15 +128,15 @@ def representatives(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("h").agg(F.min("image_id").alias("rep"), F.count("*").alias("copies"))
 
 
-def hash_similarity_join(hashes: DataFrame, k: int = 6, hot: int = HOT) -> DataFrame:
+def hash_similarity_join(hashes: DataFrame, k: int = 6, blocks: int | None = None) -> DataFrame:
     """Near-duplicate links (image_1, image_2, hamming).
 
     Images sharing a hash are linked to their smallest image (distance 0); different hashes within
     ``k`` bits are linked between their smallest images. That states every near pair without writing
     all pairs of a large group of copies: joining both ends back on the hash expands it.
     """
-    reps = representatives(hashes)
-    near = hamming_pairs(reps.select("h"), None, k, hot)
+    reps = cut(representatives(hashes))
+    near = hamming_pairs(reps.select("h"), None, k, blocks)
     a = reps.select(F.col("h").alias("h1"), F.col("rep").alias("r1"))
     b = reps.select(F.col("h").alias("h2"), F.col("rep").alias("r2"))
     links = near.join(a, "h1").join(b, "h2").select(F.least("r1", "r2").alias("image_1"),
@@ -198,52 +146,79 @@ def hash_similarity_join(hashes: DataFrame, k: int = 6, hot: int = HOT) -> DataF
     return links.unionByName(star)
 
 
-def existing_duplicates(incoming: DataFrame, stored: DataFrame, k: int = 5, hot: int = HOT) -> DataFrame:
+def existing_duplicates(incoming: DataFrame, stored: DataFrame, k: int = 5, blocks: int | None = None) -> DataFrame:
     """Incoming images within ``k`` bits of any stored image."""
     new, old = incoming.select("h").distinct(), stored.select("h").distinct()
-    hit = hamming_pairs(new, old, k, hot).select(F.col("h1").alias("h")).distinct()
+    hit = hamming_pairs(new, old, k, blocks).select(F.col("h1").alias("h")).distinct()
     return incoming.join(hit, "h", "left_semi")
 
 
-def duplicate_groups(hashes: DataFrame, k: int = 6, hot: int = HOT) -> DataFrame:
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hi, lo, free) in order of hi -> (node, leads) of all nodes that can be decided from free ones and from nodes decided here."""
+    leads: dict[int, bool] = {}
+    node, claimed, unknown = None, False, False
+
+    def decide(found: list[tuple[int, bool]]) -> None:
+        if node is not None and (claimed or not unknown):
+            leads[node] = not claimed
+            found.append((node, not claimed))
+
+    for batch in batches:
+        found: list[tuple[int, bool]] = []
+        for hi, lo, free in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if hi != node:
+                decide(found)
+                node, claimed, unknown = hi, False, False
+            known = True if free else leads.get(lo)
+            claimed |= known is True
+            unknown |= known is None
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.bool_())],
+                                         names=["node", "leads"])
+    last: list[tuple[int, bool]] = []
+    decide(last)
+    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in last], pa.int64()), pa.array([x for _, x in last], pa.bool_())],
+                                     names=["node", "leads"])
+
+
+def greedy_leaders(edges: DataFrame) -> DataFrame:
+    """(lo, hi), lo < hi -> node: those that lead when nodes are visited in order and each unclaimed one claims its neighbours.
+
+    A node is decided once its lower neighbours are. Each round places undecided nodes by range, and a task decides, in order, every node
+    that depends on decided ones and on others of its own range: a chain is followed through a whole range in one round, so rounds are as many
+    as ranges that a chain crosses, not as its links. A task keeps one flag for each node it has decided.
+    """
+    open_edges, leaders = edges, edges.select(F.col("lo").alias("node")).limit(0)
+    while not open_edges.isEmpty():
+        nodes = open_edges.select("hi").distinct()
+        flagged = open_edges.join(nodes.select(F.col("hi").alias("lo"), F.lit(False).alias("free")), "lo", "left").select(
+            "hi", "lo", F.coalesce("free", F.lit(True)).alias("free"))  # a node without undecided lower neighbours leads
+        settled = flagged.repartitionByRange("hi").sortWithinPartitions("hi", "lo").mapInArrow(_settle, "node bigint, leads boolean")
+        done = cut(settled.unionByName(flagged.where("free").select(F.col("lo").alias("node"), F.lit(True).alias("leads")).distinct()))
+        left = cut(open_edges.join(done.select(F.col("node").alias("hi")), "hi", "left_anti")
+                   .join(done.where("NOT leads").select(F.col("node").alias("lo")), "lo", "left_anti").select("lo", "hi"))
+        # All lower neighbours were decided elsewhere, and none of them leads.
+        ends = left.select(F.explode(F.array("lo", "hi")).alias("node"))
+        lone = nodes.select(F.col("hi").alias("node")).join(done, "node", "left_anti").join(ends, "node", "left_anti")
+        leaders = cut(leaders.unionByName(done.where("leads").select("node")).unionByName(lone))
+        open_edges = left
+    return leaders.distinct()
+
+
+def duplicate_groups(hashes: DataFrame, k: int = 6, blocks: int | None = None) -> DataFrame:
     """Greedy duplicate groups (leader, image_id), groups of one left out.
 
     Same result as visiting images by id, letting each unclaimed one lead and claim every unclaimed
-    image within ``k`` bits. Rounds in parallel: an undecided image with no smaller undecided
-    neighbour leads, its neighbours are claimed; undecided edges shrink every round. Images sharing a
-    hash have the same neighbours, so only their smallest takes part and the rest follow it.
+    image within ``k`` bits. Images sharing a hash have the same neighbours, so only their smallest takes part and the rest follow it.
     """
     reps = cut(representatives(hashes))
-    near = hamming_pairs(reps.select("h"), None, k, hot)
+    near = hamming_pairs(reps.select("h"), None, k, blocks)
     a = reps.select(F.col("h").alias("h1"), F.col("rep").alias("r1"))
     b = reps.select(F.col("h").alias("h2"), F.col("rep").alias("r2"))
     edges = cut(near.join(a, "h1").join(b, "h2").select(F.least("r1", "r2").alias("lo"), F.greatest("r1", "r2").alias("hi")))
-    open_edges, leaders = edges, None
-    while not open_edges.isEmpty():
-        first = (open_edges.select(F.col("lo").alias("node")).distinct()
-                 .join(open_edges.select(F.col("hi").alias("node")), "node", "left_anti"))
-        claimed = (open_edges.join(first.select(F.col("node").alias("lo")), "lo", "left_semi")
-                   .select(F.col("hi").alias("node")).distinct())
-        done = cut(first.withColumn("leads", F.lit(True)).unionByName(claimed.withColumn("leads", F.lit(False))))
-        new = done.where("leads").select("node")
-        leaders = new if leaders is None else leaders.unionByName(new)
-        ends = open_edges.select(F.explode(F.array("lo", "hi")).alias("node")).distinct()
-        open_edges = cut(open_edges.join(done.select(F.col("node").alias("lo")), "lo", "left_anti")
-                         .join(done.select(F.col("node").alias("hi")), "hi", "left_anti").select("lo", "hi"))
-        # An undecided end without any open edge left leads its own group.
-        still = open_edges.select(F.explode(F.array("lo", "hi")).alias("node"))
-        lone = ends.join(done.select("node"), "node", "left_anti").join(still, "node", "left_anti")
-        leaders = leaders.unionByName(cut(lone))
-    groups = reps.select(F.col("rep").alias("node"), "h")
-    if leaders is not None:
-        leads = cut(leaders.distinct())
-        claims = (edges.join(leads.select(F.col("node").alias("lo")), "lo", "left_semi")
-                  .groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("boss")))
-        claims = claims.join(leads, "node", "left_anti")
-        groups = groups.join(claims, "node", "left")
-    else:
-        groups = groups.withColumn("boss", F.lit(None).cast("long"))
-    leader = groups.select("h", F.coalesce("boss", "node").alias("leader"))
+    leads = cut(greedy_leaders(edges))
+    claims = (edges.join(leads.select(F.col("node").alias("lo")), "lo", "left_semi")
+              .groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("boss")).join(leads, "node", "left_anti"))
+    leader = reps.select(F.col("rep").alias("node"), "h").join(claims, "node", "left").select("h", F.coalesce("boss", "node").alias("leader"))
     members = hashes.join(leader, "h").select("leader", "image_id")
     large = members.groupBy("leader").agg(F.count("*").alias("n")).where("n > 1")
     return members.join(large, "leader")

@@ -31,22 +31,20 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "image_id bigint, h bigint")
 
 
-@pytest.mark.parametrize("hot", [2, 6, 1024])
-@pytest.mark.parametrize("k", [0, 3, 6])
-def test_hamming_pairs_equal_brute_force(spark, k, hot):
+@pytest.mark.parametrize("k, blocks, chunk", [(0, None, 4096), (3, None, 5), (3, 5, 4096), (6, 8, 20)])
+def test_hamming_pairs_equal_brute_force(spark, k, blocks, chunk):
     rows = corpus()
     distinct = sorted({h for _, h in rows})
     want = sorted((a, b, bits(a, b)) for i, a in enumerate(distinct) for b in distinct[i + 1:] if bits(a, b) <= k)
-    got = hashing.hamming_pairs(table(spark, rows).select("h").distinct(), None, k, hot)
+    got = hashing.hamming_pairs(table(spark, rows).select("h").distinct(), None, k, blocks, chunk)
     assert sorted(tuple(r) for r in got.select("h1", "h2", "hamming").collect()) == want
 
 
-@pytest.mark.parametrize("hot", [2, 1024])
-def test_existing_duplicates(spark, hot):
+def test_existing_duplicates(spark):
     rows = corpus()
     new, old = rows[::2], rows[1::2]
     want = sorted(i for i, h in new if any(bits(h, g) <= 5 for _, g in old))
-    got = hashing.existing_duplicates(table(spark, new), table(spark, old), 5, hot)
+    got = hashing.existing_duplicates(table(spark, new), table(spark, old), 5)
     assert sorted(r.image_id for r in got.collect()) == want
 
 
@@ -62,8 +60,7 @@ def greedy(rows, k):
     return groups
 
 
-@pytest.mark.parametrize("hot", [4, 1024])
-def test_groups_equal_the_sequential_result(spark, hot):
+def test_groups_equal_the_sequential_result(spark):
     rows = corpus(60)
     chain, h = [], 0
     for i in range(12):  # a chain: each within reach of the next only
@@ -71,11 +68,44 @@ def test_groups_equal_the_sequential_result(spark, hot):
         chain.append((5000 + i, signed(h)))
     rows = sorted(rows + chain)
     found = {}
-    for r in hashing.duplicate_groups(table(spark, rows), 6, hot).collect():
+    for r in hashing.duplicate_groups(table(spark, rows), 6).collect():
         found.setdefault(r.leader, []).append(r.image_id)
     assert {k: sorted(v) for k, v in found.items()} == greedy(rows, 6)
 
 
+def test_crowded_corpus(spark):
+    """A hundred thousand hashes that agree in half of their bits: every key of those is one bucket."""
+    rng = random.Random(11)
+    near = [rng.getrandbits(24) for _ in range(100_000)]
+    distinct = sorted(set(near))
+    rows = [(h << 40 | 12345,) for h in distinct]
+    frame = spark.createDataFrame([(signed(h),) for h, in rows], "h bigint").repartition(4)
+    got = {frozenset((r.h1, r.h2)) for r in hashing.hamming_pairs(frame, None, 1, blocks=4).collect()}
+    known = set(distinct)
+    want = {frozenset((signed(h << 40 | 12345), signed((h ^ 1 << b) << 40 | 12345))) for h in distinct for b in range(24) if h ^ 1 << b in known}
+    assert got == want and len(want) > 1000
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    calls = []
+    cut = hashing.cut
+    monkeypatch.setattr(hashing, "cut", lambda df: (calls.append(1), cut(df))[1])
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5000)], "lo bigint, hi bigint")
+    assert sorted(r.node for r in hashing.greedy_leaders(chain).collect()) == list(range(0, 5001, 2))
+    assert len(calls) <= 36
+
+
+def test_leaders_of_random_graphs(spark):
+    rng = random.Random(12)
+    edges = {tuple(sorted(rng.sample(range(400), 2))) for _ in range(700)} | {(i, i + 1) for i in range(500, 600)} | {(700, i) for i in range(701, 760)}
+    leads = set()
+    for node in sorted({x for e in edges for x in e}):
+        if not any(lo in leads for lo, hi in edges if hi == node):
+            leads.add(node)
+    got = [r.node for r in hashing.greedy_leaders(spark.createDataFrame(sorted(edges), "lo bigint, hi bigint")).collect()]
+    assert len(got) == len(set(got)) and set(got) == leads
+
+
 def test_no_duplicates_at_all(spark):
     rows = [(1, 0), (2, 255), (3, -1)]
     assert hashing.duplicate_groups(table(spark, rows)).count() == 0
