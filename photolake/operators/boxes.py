@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -41,65 +42,87 @@ def box_rank(boxes: DataFrame, limit: int | None = None) -> DataFrame:
     return scored(boxes).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def box_nms(boxes: DataFrame, threshold: float = 0.3, keep: int = 5) -> DataFrame:
+#: Slices into which the boxes of an image are dealt.
+SALTS = 16
+
+
+def box_nms(boxes: DataFrame, threshold: float = 0.3, keep: int = 5, salts: int = SALTS) -> DataFrame:
     """Greedy suppression: per image keep the best box, drop boxes overlapping a kept one, at most ``keep``.
 
-    Runs as ``keep`` rounds, each picking the best surviving box of every image by a partially
-    aggregated maximum. No image's boxes are ever gathered into one task, so an image holding a
-    large share of all boxes stays spread out: boxes are placed by image and box once, every round
-    reads that placement, and what is joined to them is one row of kept boxes per image.
+    Runs as ``keep`` rounds, each picking the best surviving box of every image. Boxes are placed once, by image and salt, and stay
+    there: a round takes the best of each slice, merges one row per slice to one per image, and sends the kept boxes back to
+    the image's slices. So an image holding a large share of all boxes stays spread out.
     """
     fields = ("box_id", "x", "y", "w", "h", "score")
-    candidates = scored(boxes).select("image_id", *fields).repartition("image_id", "box_id")
-    merit = F.struct(F.col("score"), (-F.col("box_id")).alias("neg"))
+    candidates = scored(boxes).select(
+        "image_id", F.pmod(F.xxhash64("box_id"), F.lit(salts)).alias("salt"), *fields).repartition("image_id", "salt")
+    slices = candidates.select("image_id", "salt").distinct()
+    merit = F.struct("score", (-F.col("box_id")).alias("neg"), *[c for c in fields if c != "score"])
 
-    def best(alive: Column) -> Column:
-        return F.max_by(F.struct(*fields), F.when(alive, merit))
+    def best_of(frame: DataFrame, alive: Column, earlier: Sequence[str], name: str) -> DataFrame:
+        rest = [F.any_value(c).alias(c) for c in earlier]
+        return (frame.groupBy("image_id", "salt").agg(*rest, F.max(F.when(alive, merit)).alias("top"))
+                .groupBy("image_id").agg(*rest, F.max("top").alias(name)))
 
-    kept = candidates.groupBy("image_id").agg(best(F.lit(True)).alias("kept_1"))
+    kept = best_of(candidates, F.lit(True), (), "kept_1")
     for i in range(2, keep + 1):
+        names = [f"kept_{j}" for j in range(1, i)]
         alive = F.lit(True)
-        for j in range(1, i):
-            clash = (F.col(f"kept_{j}.box_id") == F.col("box_id")) | (iou("", f"kept_{j}.") > threshold)
+        for name in names:
+            clash = (F.col(f"{name}.box_id") == F.col("box_id")) | (iou("", f"{name}.") > threshold)
             alive = alive & ~F.coalesce(clash, F.lit(False))
         # The kept boxes ride along, so each round refers to the one before it once.
-        kept = candidates.join(kept, "image_id").groupBy("image_id").agg(
-            *[F.any_value(f"kept_{j}").alias(f"kept_{j}") for j in range(1, i)], best(alive).alias(f"kept_{i}"))
+        kept = best_of(candidates.join(slices.join(kept, "image_id"), ["image_id", "salt"]), alive, names, f"kept_{i}")
     boxes_of = F.array_compact(F.array(*[f"kept_{i}" for i in range(1, keep + 1)]))
     return (kept.select("image_id", F.posexplode(boxes_of).alias("pos", "b"))
             .select("image_id", (F.col("pos") + 1).alias("rank"), *[F.col(f"b.{c}").alias(c) for c in fields]))
 
 
-# Cells are a little larger than a usual box, so most boxes cover at most four.
-CELL = 64
+#: Cells of the finest grid have a side of 2 ** LEVEL.
+LEVEL = 5
+
+
+def _level_of(w: Column, h: Column) -> Column:
+    """The finest grid whose cells are at least as large as a box, which then covers at most four of them."""
+    side = F.greatest(w, h, F.lit(1)) - 1
+    return F.greatest(F.when(side > 0, F.length(F.bin(side.cast("long")))).otherwise(0), F.lit(LEVEL))
 
 
-def _covered_cells(cell: int) -> Column:
-    """Every grid cell a box touches."""
-    last_x = int_div(F.col("x") + F.greatest(F.col("w") - 1, F.lit(0)), F.lit(cell))
-    last_y = int_div(F.col("y") + F.greatest(F.col("h") - 1, F.lit(0)), F.lit(cell))
-    xs = F.sequence(int_div(F.col("x"), F.lit(cell)), last_x)
-    ys = F.sequence(int_div(F.col("y"), F.lit(cell)), last_y)
-    return F.flatten(F.transform(ys, lambda cy: F.transform(xs, lambda cx: F.struct(cx.alias("cx"), cy.alias("cy")))))
+def _covered_cells(level: Column) -> Column:
+    """Every cell of a level's grid that a box touches."""
+    def cells(at: str, size: str) -> Column:
+        cell = lambda c: F.call_function("shiftright", c, level)  # noqa: E731 - rounds down below zero too
+        return F.sequence(cell(F.col(at)), cell(F.col(at) + F.greatest(F.col(size) - 1, F.lit(0))))
 
+    xs = cells("x", "w")
+    return F.flatten(F.transform(cells("y", "h"), lambda cy: F.transform(xs, lambda cx: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
-def iou_pairs(boxes: DataFrame, threshold: float = 0.3, cell: int = CELL) -> DataFrame:
+
+def iou_pairs(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Overlapping box pairs (box_1 < box_2) of the same image with IoU above ``threshold``.
 
-    Boxes meet only in grid cells that both touch, not across the whole image; a pair is reported in
-    the cell that holds the corner of its intersection, so no duplicate removal is needed. Identical
+    A box lies on the grid of its own size, where it covers at most four cells. Since the IoU is at most the ratio of the longer sides,
+    it can only meet boxes at most log2(1 / threshold) levels coarser, so it lies on these grids too; a pair meets on the
+    grid of the larger box, and is reported in the cell that holds the corner of its intersection, so no duplicate removal is needed. Identical
     rectangles are linked to their first box only (IoU 1) and meet the others through it, so a pile
     of equal boxes never turns into all of its pairs.
     """
     names = ("x", "y", "w", "h")
+    reach = min(26, math.ceil(math.log2(1 / threshold))) if threshold > 0 else 26
     rects = boxes.groupBy("image_id", *names).agg(F.min("box_id").alias("box_id"), F.count("*").alias("copies"))
-    cells = rects.withColumn("c", F.explode(_covered_cells(cell))).select("image_id", "c.cx", "c.cy", "box_id", *names)
+    cells = (rects.withColumn("own", _level_of(F.col("w"), F.col("h")))
+             .withColumn("level", F.explode(F.sequence(F.col("own"), F.least(F.col("own") + reach, F.lit(31)))))
+             .withColumn("c", F.explode(_covered_cells(F.col("level"))))
+             .select("image_id", "level", "own", "c.cx", "c.cy", "box_id", *names))
     a, b = cells.alias("a"), cells.alias("b")
     overlap = iou("a.", "b.")
-    home = ((int_div(F.greatest("a.x", "b.x"), F.lit(cell)) == F.col("a.cx"))
-            & (int_div(F.greatest("a.y", "b.y"), F.lit(cell)) == F.col("a.cy")))
-    close = (a.join(b, ["image_id", "cx", "cy"])
-             .where((F.col("a.box_id") < F.col("b.box_id")) & home & (overlap > threshold))
+
+    def at(axis: str) -> Column:
+        return F.call_function("shiftright", F.greatest(f"a.{axis}", f"b.{axis}"), F.col("a.level"))
+
+    meets = ((F.greatest("a.own", "b.own") == F.col("a.level")) & (at("x") == F.col("a.cx")) & (at("y") == F.col("a.cy")))
+    close = (a.join(b, ["image_id", "level", "cx", "cy"])
+             .where((F.col("a.box_id") < F.col("b.box_id")) & meets & (overlap > threshold))
              .select("image_id", F.col("a.box_id").alias("box_1"), F.col("b.box_id").alias("box_2"),
                      overlap.alias("iou")))
     piles = rects.where("copies > 1").withColumnRenamed("box_id", "box_1")

@@ -45,34 +45,52 @@ def write_organised(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").partitionBy("is_person").json(path)
 
 
+TABLES = {"items": ITEMS, "errors": ERRORS, "runs": RUNS}
+MANIFEST = "saved_ts string, digests map<string,string>"
+
+
+def _digest(frame: DataFrame) -> str:
+    """Rows and content of a table, whatever the order of rows."""
+    # to_json, since maps cannot be hashed
+    content = F.xxhash64(F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("~")).alias(c) if not isinstance(
+        frame.schema[c].dataType, MapType) else F.array_sort(F.map_entries(c)).alias(c) for c in frame.columns])))
+    row = frame.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(content), F.lit(0)).alias("x"),
+                    F.coalesce(F.sum(content.cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
+    return f"{row['n']}:{row['x']}:{row['s']}"
+
+
+def _folder(path: str, saved_ts: str, name: str) -> str:
+    return f"{path}/saves/{saved_ts.replace(':', '-')}/{name}"
+
+
 def save_state(state: State, path: str, saved_ts: str) -> None:
-    """Write the state under its timestamp; the same save again replaces it. ``runs`` is written last: without it a save
-    does not exist."""
-    stamp = F.lit(saved_ts).alias("saved_ts")
-    for name in ("items", "errors", "runs"):
-        frame = getattr(state, name)
-        (frame.select("*", stamp).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("saved_ts").parquet(f"{path}/{name}"))
+    """Write the state under its timestamp, then its manifest, which holds a digest of every table as it can be read back; without it
+    the save does not exist. The same save again replaces it.
+    """
+    spark = state.items.sparkSession
+    digests = {}
+    for name, schema in TABLES.items():
+        getattr(state, name).write.mode("overwrite").parquet(_folder(path, saved_ts, name))
+        digests[name] = _digest(spark.read.schema(schema).parquet(_folder(path, saved_ts, name)))
+    manifest = spark.createDataFrame([(saved_ts, digests)], MANIFEST)
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{saved_ts.replace(':', '-')}")
 
 
 def load_state(spark: SparkSession, path: str) -> State | None:
-    """The latest complete state, or None when there is none or it cannot be read."""
-    try:
-        runs = spark.read.schema(RUNS + ", saved_ts string").parquet(f"{path}/runs")
-        latest = runs.agg(F.max("saved_ts")).first()[0]
-    except (PySparkException, Py4JJavaError):
-        return None
-    if latest is None:
-        return None
-
-    # saved_ts is the partition column: only the latest save's files are read.
-    def at(name: str, schema: str) -> DataFrame:
-        frame = spark.read.schema(schema + ", saved_ts string").parquet(f"{path}/{name}")
-        return frame.where(F.col("saved_ts") == latest).drop("saved_ts")
+    """The newest state that can be read whole, or None.
 
-    state = State(at("items", ITEMS), at("errors", ERRORS), at("runs", RUNS))
+    Saves are tried from the newest on; one whose tables cannot be read, or do not agree with their digests, is passed over.
+    """
     try:
-        state.items.count(), state.errors.count()  # reads the files' footers
+        manifests = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").parquet(
+            f"{path}/manifests").collect()  # a row per save
     except (PySparkException, Py4JJavaError):
         return None
-    return state
+    for saved in sorted(manifests, key=lambda r: r["saved_ts"], reverse=True):
+        try:
+            frames = {name: spark.read.schema(schema).parquet(_folder(path, saved["saved_ts"], name)) for name, schema in TABLES.items()}
+            if all(_digest(frame) == saved["digests"][name] for name, frame in frames.items()):
+                return State(**frames)
+        except (PySparkException, Py4JJavaError):
+            continue
+    return None

@@ -108,8 +108,28 @@ def test_state_round_trip(spark, tmp_path):
     export.save_state(state(spark, 16, ["9"], [], ["e"], {}), path, "2024-01-02T00:00:00")
     again = export.load_state(spark, path)
     assert (again.runs.count(), again.items.count(), again.errors.count()) == (1, 1, 1)
-    for damaged in (tmp_path / "state" / "runs").glob("saved_ts=*/*.parquet"):
-        damaged.write_bytes(b"no parquet")
+
+
+def test_a_damaged_save_gives_the_one_before(spark, tmp_path):
+    path, folder = str(tmp_path / "state"), tmp_path / "state"
+    for day in (1, 2, 3, 4):
+        export.save_state(state(spark, day, [f"{day}-{i}" for i in range(500)], [], [], {"day": str(day)}), path, f"2024-01-0{day}T00:00:00")
+    newest = lambda: getattr(export.load_state(spark, path), "runs", None) and export.load_state(spark, path).runs.first().total_found
+    assert newest() == 4
+    for f in (folder / "saves" / "2024-01-04T00-00-00" / "items").glob("*.parquet"):  # a data page, not the footer
+        raw = bytearray(f.read_bytes())
+        raw[len(raw) // 3:len(raw) // 3 + 40] = b"x" * 40
+        f.write_bytes(bytes(raw))
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert newest() == 3
+    for f in (folder / "saves" / "2024-01-03T00-00-00" / "runs").glob("*.parquet"):
+        f.write_bytes(b"no parquet")
+    assert newest() == 2
+    for f in (folder / "manifests" / "2024-01-02T00-00-00").glob("*.parquet"):  # a save without its manifest does not exist
+        f.write_bytes(b"cut off")
+    assert newest() == 1
+    for f in (folder / "saves" / "2024-01-01T00-00-00" / "items").glob("*.parquet"):
+        f.unlink()
     assert export.load_state(spark, path) is None
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from photolake.operators import boxes as bx, hashing
 
@@ -159,6 +160,31 @@ def test_iou_pairs_state_every_overlap(spark):
     assert all(abs(r.iou - overlap(shape[r.box_1], shape[r.box_2])) < 1e-9 for r in got if shape[r.box_1] != shape[r.box_2])
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.05, 0.0])
+def test_iou_pairs_of_all_sizes(spark, threshold):
+    rng = random.Random(21)
+    rows = [(1, i, rng.randint(-200, 3000), rng.randint(-200, 3000), int(10 ** rng.uniform(0, 3.5)), int(10 ** rng.uniform(0, 3.5))) for i in range(250)]
+    rows += [(1, 900 + i, 10 * i, 7 * i, 0, 5) for i in range(3)] + [(1, 1000, 0, 0, 3000, 3000), (1, 1001, 100, 50, 3000, 2900)]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1] and overlap(a[2:], b[2:]) > threshold}
+    got = bx.iou_pairs(spark.createDataFrame(rows, BOX), threshold).collect()
+    assert {(r.box_1, r.box_2) for r in got} == want and len(got) == len(want) > 1
+
+
+def test_a_box_covers_at_most_four_cells_of_its_grid(spark):
+    sides = spark.createDataFrame([(x, y, w, h) for x in (-5, 0, 31, 3000) for y in (7, 63) for w, h in ((1, 1), (33, 2), (3000, 3000), (64, 65))],
+                                  "x int, y int, w int, h int")
+    counts = sides.select(F.size(bx._covered_cells(bx._level_of(F.col("w"), F.col("h")))).alias("n")).collect()
+    assert all(1 <= r.n <= 4 for r in counts)
+
+
+def test_suppression_never_moves_boxes_by_image_alone(spark):
+    rows = [(1, i, i % 50, i % 40, 20 + i % 30, 20 + i % 20) for i in range(60)]
+    plan = bx.box_nms(spark.createDataFrame(rows, BOX))._jdf.queryExecution().executedPlan().toString().split("\n")
+    alone = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(image_id#" in line and "salt" not in line and "Reused" not in line]
+    assert alone and all("partial" in plan[i + 1] or "Sort" in plan[i + 1] or "functions=[" in plan[i + 1] for i in alone)
+    assert not [line for line in plan if "box_id" in line.split("[plan_id")[0] and "Exchange" in line and "salt" not in line]
+
+
 def test_fallback_only_without_first_methods(spark):
     rows = [(1, 1, "cascade"), (1, 2, "haar"), (2, 3, "haar"), (3, 4, "dnn"), (2, 5, "other")]
     got = bx.combine_detections(spark.createDataFrame(rows, "image_id bigint, box_id bigint, method string"))
