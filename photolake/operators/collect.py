@@ -137,7 +137,7 @@ def resume_collection(previous: State | None, posts: DataFrame, cat: Catalogue,
                       params: dict[str, str], existing: DataFrame | None = None) -> State:
     """Collect what is new since the previous state and merge; without one, collect afresh."""
     if previous is None:
-        return run_collection(posts, cat, replace(p, run_ts=now), params, existing)
+        return run_collection(posts, cat, replace(p, run_ts=now, search=replace(p.search, now=p.search.now or now)), params, existing)
     start = resume_window(previous.runs, now).first()["start_ts"]
     fresh = replace(p, run_ts=now, search=replace(p.search, start=str(start), end=now))
     return merge_collections(previous, run_collection(posts, cat, fresh, params, existing, known=previous.items))

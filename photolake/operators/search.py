@@ -12,7 +12,11 @@ from photolake.functions.columns import h32
 
 @dataclass(frozen=True)
 class SearchParams:
-    """Search filters; ``None`` or an empty tuple leaves a filter out."""
+    """Search filters; ``None`` or an empty tuple leaves a filter out.
+
+    Without ``start`` and ``end`` the last ``days`` days up to ``now`` (null: the time of the run) are searched; ``days=None``
+    searches all time.
+    """
     blogs: tuple[str, ...] = ()
     tags: tuple[str, ...] = ()
     start: str | None = None
@@ -21,6 +25,8 @@ class SearchParams:
     min_notes: int = 0
     content_type: tuple[str, ...] = ("photo",)
     nsfw_filter: bool = True
+    days: int | None = 30
+    now: str | None = None
 
 
 def ntz(text: str) -> Column:
@@ -45,6 +51,9 @@ def matches(p: SearchParams) -> Column:
         cond &= F.col("post_ts") >= ntz(p.start)
     if p.end:
         cond &= F.col("post_ts") <= ntz(p.end)
+    if not p.start and not p.end and p.days is not None:
+        now = ntz(p.now) if p.now else F.current_timestamp().cast("timestamp_ntz")
+        cond &= F.col("post_ts").between(now - F.expr(f"INTERVAL {int(p.days)} DAYS"), now)
     if p.nsfw_filter:
         cond &= ~F.coalesce(F.col("is_nsfw"), F.lit(False))
     if p.tags:

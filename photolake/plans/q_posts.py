@@ -32,6 +32,16 @@ def search_posts(spark, d):
         "post_id", "blog", "post_ts", "url", F.array_join("tags", ",").alias("tags"))
 
 
+@query("search_recent", views="photo_rows", sql="""
+SELECT post_id, blog, post_ts, url FROM photo_rows WHERE type='photo' AND NOT is_nsfw AND coalesce(likes,0)>=0
+ AND coalesce(note_count,0)>=0 AND post_ts>=TIMESTAMP '2024-01-11 00:00:00' AND post_ts<=TIMESTAMP '2024-02-10 00:00:00'
+ AND blog IN ('src0','src1')""")
+def search_recent(spark, d):
+    """Without dates: the thirty days up to the given time; two blogs only."""
+    params = search.SearchParams(blogs=("src0", "src1"), now="2024-02-10 00:00:00")
+    return search.search_posts(tables.posts(spark, d), params).select("post_id", "blog", "post_ts", "url")
+
+
 @query("make_filename", views="photo_rows", sql=f"""
 SELECT post_id, url, concat(split_part(regexp_extract(url,'^https?://([^/]+)',1),'.',1),'_20240201_123000_',
   {h32('url')}%10000, '.', regexp_extract(url,'([^.]*)$',1)) AS filename FROM photo_rows""")

@@ -33,14 +33,14 @@ def test_search_limits_are_inclusive_and_nulls_count_as_zero(spark):
     p = search.SearchParams(start="2024-01-05 00:00:00", end="2024-01-25 00:00:00", min_likes=5, min_notes=3)
     ids = lambda q: sorted(r.post_id for r in search.search_posts(rows, q).collect())
     assert ids(p) == [1, 2, 7, 9, 9, 9, 11]
-    assert ids(search.SearchParams(blogs=("b",))) == [9, 9, 9]
-    assert ids(search.SearchParams(tags=("art", "x"), blogs=("b",))) == [9, 9, 9]
-    assert ids(search.SearchParams(tags=("x",))) == []
-    assert ids(search.SearchParams(content_type=("text",))) == [8]
+    assert ids(search.SearchParams(blogs=("b",), days=None)) == [9, 9, 9]
+    assert ids(search.SearchParams(tags=("art", "x"), blogs=("b",), days=None)) == [9, 9, 9]
+    assert ids(search.SearchParams(tags=("x",), days=None)) == []
+    assert ids(search.SearchParams(content_type=("text",), days=None)) == [8]
 
 
 def test_search_is_a_map(spark):
-    plan = search.search_posts(posts(spark, post(1)), search.SearchParams())._jdf.queryExecution().executedPlan().toString()
+    plan = search.search_posts(posts(spark, post(1)), search.SearchParams(days=None))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
@@ -96,6 +96,15 @@ def test_merge_case(spark):
     assert newer.runs.first().params == {"blogs": "z"} and count(newer, "downloaded") == 2
 
 
+def test_default_window_is_thirty_days(spark):
+    rows = posts(spark, *[post(i, i) for i in range(1, 29)])
+    found = lambda **p: sorted({r.post_id for r in search.search_posts(rows, search.SearchParams(**p)).collect()})
+    assert found() == []  # all posts are long past
+    assert found(now="2024-02-09 00:00:00") == [i for i in range(1, 29) if i >= 10]
+    assert found(now="2024-01-12 23:00:00", days=2) == [i for i in (10, 11, 12) if ts(i) >= dt.datetime(2024, 1, 10, 23)]
+    assert found(days=None) == list(range(1, 29)) and found(end="2024-01-05 00:00:00") == found(days=None, end="2024-01-05 00:00:00")
+
+
 def test_state_round_trip(spark, tmp_path):
     path = str(tmp_path / "state")
     assert export.load_state(spark, path) is None
@@ -169,7 +178,7 @@ def test_collection_statuses_are_disjoint(spark):
                                   "image_id bigint, label string, confidence double")
     key = F.regexp_extract("url", r"/img/(\d+)_", 1).cast("long")
     cat = co.Catalogue(im, raw(spark, i1=RAMP, i2=RAMP, i4=RAMP, i5=RAMP), votes, key)
-    p = co.CollectParams(styles=("anime",), run_ts="2024-02-01 00:00:00")
+    p = co.CollectParams(search=search.SearchParams(min_likes=5, min_notes=3, days=None), styles=("anime",), run_ts="2024-02-01 00:00:00")
     first = {r.image_id: (r.status, r.reason) for r in co.collect_images(rows, cat, p).collect()}
     assert first == {1: ("downloaded", None), 2: ("skipped", "filters"), 3: ("error", "no pixels"),
                      4: ("downloaded", None), 5: ("skipped", "style"), 6: ("error", "no image")}
@@ -181,7 +190,7 @@ def test_collection_statuses_are_disjoint(spark):
     assert sum(f.count() for f in parts.values()) == 6
     none_known = co.collect_images(rows, cat, p, known=parts["downloaded"])
     assert 1 not in [r.image_id for r in none_known.collect()]
-    assert co.collect_images(rows, cat, co.CollectParams(max_images=2)).count() == 2
+    assert co.collect_images(rows, cat, co.CollectParams(search=search.SearchParams(min_likes=5, min_notes=3, days=None), max_images=2)).count() == 2
 
 
 # --- ranking, statistics, exports -----------------------------------------------------------
