@@ -1,4 +1,4 @@
-"""Column expressions: colour, geometry and hashing. All of them stay inside generated code."""
+"""Column expressions: colour, geometry and hashing. All but ``dot`` and ``norm``, which fold arrays, stay inside generated code."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Decoding image files: documents' bitmaps become PNG files in the shared folder, and are read back."""
+"""Listing and decoding image files: documents become files in the shared folder, and are read back."""
 
 import struct
 import zlib
@@ -12,6 +12,9 @@ from photolake.plans.registry import query
 from photolake.sources import images, tables
 
 
+LISTED = ("jpg", "png", "gif")
+
+
 def _png(data: bytes, width: int, height: int) -> bytes:
     """An RGB bitmap as an uncompressed-filter PNG; the bytes repeat to fill the grid."""
     size = width * height * 3
@@ -39,6 +42,32 @@ def write_pngs(bitmaps, folder: str) -> None:
     bitmaps.mapInPandas(write, "image_id bigint").write.format("noop").mode("overwrite").save()
 
 
+def write_files(files, folder: str) -> None:
+    """(path, content): one file per row below ``folder``, written where the tasks run; a retried task writes the same files again."""
+    def write(batches):
+        target, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                name = f"{base}{path}"
+                target.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with target.open_output_stream(name) as out:
+                    out.write(bytes(content))
+            yield batch[["path"]]
+
+    files.mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+
+
+@query("list_images", views="images", sql=f"SELECT path, length FROM images WHERE format IN {tuple(LISTED)}")
+def list_images(spark, d):
+    """Every document as a file under its image's path; those with the extensions asked for are listed, without reading them."""
+    folder = scratch(spark, "files")
+    folder = folder if ":" in folder else f"file://{folder}"
+    texts = tables.table(spark, d, "documents").select(F.col("doc_id").alias("image_id"),
+                                                       F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    write_files(tables.images(spark, d).select("image_id", "path").join(texts, "image_id").select("path", "content"), folder)
+    return images.list_images(spark, folder, LISTED).select(F.regexp_extract("path", r"(/img/.*)$", 1).alias("path"), "length")
+
+
 def decoded(spark, d):
     folder = scratch(spark, "png")
     folder = folder if ":" in folder else f"file://{folder}"

@@ -27,12 +27,6 @@ def labels_from_path(spark, d):
     return img.labels_from_path(tables.images(spark, d))
 
 
-@query("list_images")
-def list_images(spark, d):
-    """Lists the stored table files: a listing by extension that grows with the data."""
-    return img.list_images(spark, d, ("parquet",)).select("path", "length")
-
-
 @query("advanced_filter", views="images pix", sql=f"""
 WITH {ENTROPY_NATS}, {MEAN_COLOR}
 SELECT image_id, width, height, round(entropy,6)+0.0 AS entropy, r, g, b FROM images JOIN e_nats USING (image_id)
