@@ -3,9 +3,12 @@
 Each text gets counts (one map in Arrow batches) and integer metrics made of them. For every metric, language
 and source a quantile sketch is kept: counts in buckets whose width grows with the value, so that a quantile
 is read within 1/64 of its value. Sketches merge by adding counts: partial aggregation, and the sketches of a
-language or of all documents are sums of those below. Limits are median +- FENCE * max(quartile spread, floor)
-of the (language, source) sketch, or of the language's, or of all documents', whichever is the first with MIN_GROUP
-documents. Verdicts are a join of documents' metrics with their group's limits.
+language or of all documents are sums of those below. Documents that the base rules reject are not in them.
+
+A limit is q + FENCE * (q - median), where q is the metric's tail quantile: it follows how far a group's own values
+spread, and no floor but the sketch's resolution enters. Groups of few documents shrink towards their language, languages towards
+all documents: a quantile is the mean of the group's, weighted by its documents, and of its parent's, weighted by WEIGHT. So a group
+gains its own limits bit by bit as it grows. Verdicts are a join of documents' metrics with their group's limits.
 """
 
 from __future__ import annotations
@@ -16,21 +19,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from photolake.llm.base import text_batches, written
+from photolake.llm.base import bounded, text_batches, written
 from photolake.llm.words import mix, ngram_hashes, ngram_places, slices, utf8, word_hashes
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Documents that a group needs for limits of its own.
-MIN_GROUP = 200
-FENCE = 5
-#: Per metric: SQL over the counts, the least spread that counts, and whether small values fail too.
+#: Documents' worth of the parent's quantiles in a group's.
+WEIGHT = 200
+FENCE = 2
+#: Least distance of a tail from the median: a bucket of small values in the sketch.
+RESOLUTION = 1
+#: Per metric: SQL over the counts, the tail quantile in percent, and whether small values fail too. Rates that a single line or
+#: window of a short text makes large are read further out.
 METRICS = {
-    "symbol_rate": ("n_symbols * 1000 DIV greatest(word_chars, 1)", 40, False),
-    "dup_line_rate": ("n_dup_lines * 1000 DIV greatest(n_lines, 1)", 60, False),
-    "repeat_rate": ("n_repeat_words * 1000 DIV greatest(n_words, 1)", 50, False),
-    "word_length": ("word_chars * 100 DIV greatest(n_words, 1)", 60, True),
+    "symbol_rate": ("n_symbols * 1000 DIV greatest(word_chars, 1)", 90, False),
+    "dup_line_rate": ("n_dup_lines * 1000 DIV greatest(n_lines, 1)", 99, False),
+    "repeat_rate": ("n_repeat_words * 1000 DIV greatest(n_words, 1)", 99, False),
+    "word_length": ("word_chars * 100 DIV greatest(n_words, 1)", 95, True),
 }
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 
@@ -115,47 +121,47 @@ def sketches(metrics: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Quartiles per ``by`` and metric from merged sketches. A group has as many rows as filled buckets."""
+    """``by``, metric, n_docs, median and both tails (low, high) from merged sketches. A group has as many rows as filled buckets."""
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*by, "metric")
     upto = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    tail = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t}" for m, (_, t, _) in METRICS.items()) + " END"
     ranked = (merged.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(group))
-              .withColumn("least", F.expr(LEAST_OF)))
-    at = {"q1": "upto * 4 >= total", "q2": "upto * 2 >= total", "q3": "upto * 4 >= total * 3"}
+              .withColumn("least", F.expr(LEAST_OF)).withColumn("tail", F.expr(tail)))
+    at = {"low": "upto * 100 >= total * (100 - tail)", "median": "upto * 2 >= total", "high": "upto * 100 >= total * tail"}
     return ranked.groupBy(*by, "metric").agg(
         *[F.expr(f"min(CASE WHEN {test} THEN least END)").alias(q) for q, test in at.items()],
         F.max("total").alias("n_docs"))
 
 
 def limits(sketch: DataFrame) -> DataFrame:
-    """One row per (lang, source): lower and upper limit of every metric, and the level they come from."""
-    def wide(by: list[str], level: str) -> DataFrame:
-        q = quantiles(sketch, by).withColumn("floor", F.expr(
-            "CASE metric " + " ".join(f"WHEN '{m}' THEN {f}" for m, (_, f, _) in METRICS.items()) + " END"))
-        spread = f"{FENCE} * greatest(q3 - q1, floor)"
-        return q.groupBy(*by).agg(
-            *[F.expr(f"max(CASE WHEN metric = '{m}' THEN q2 {sign} {spread} END)").alias(f"{end}_{m}_{level}")
-              for m in METRICS for end, sign in (("lo", "-"), ("hi", "+"))],
-            F.max("n_docs").alias(f"n_{level}"))
-
-    own = wide(["lang", "source"], "own")
-    lang = wide(["lang"], "lang")
-    everything = wide([], "all")
-    joined = own.join(lang, "lang").crossJoin(F.broadcast(everything))  # one row
-    pick = (f"CASE WHEN n_own >= {MIN_GROUP} THEN {{0}}_own WHEN n_lang >= {MIN_GROUP} THEN {{0}}_lang "
-            "ELSE {0}_all END")
-    return joined.select(
-        "lang", "source", *[F.expr(pick.format(f"{end}_{m}")).alias(f"{end}_{m}") for m in METRICS for end in ("lo", "hi")],
-        F.expr(f"CASE WHEN n_own >= {MIN_GROUP} THEN 'source' WHEN n_lang >= {MIN_GROUP} THEN 'lang' ELSE 'all' END")
-        .alias("level"))
+    """One row per (lang, source) in ``sketch``: lower and upper limit of every metric, and ``own_share``, the weight of the
+    group's own documents in them."""
+    def level(by: list[str], name: str) -> DataFrame:
+        return quantiles(sketch, by).select(*by, "metric", *[F.col(c).alias(f"{c}_{name}") for c in ("low", "median", "high", "n_docs")])
+
+    def shrunk(name: str, parent: str) -> dict:
+        return {f"{q}_{name}": F.expr(f"(n_docs_{name} * {q}_{name} + {WEIGHT} * {q}_{parent}) DIV (n_docs_{name} + {WEIGHT})")
+                for q in ("low", "median", "high")}
+
+    joined = (level(["lang", "source"], "own").join(level(["lang"], "lang"), ["lang", "metric"])
+              .join(F.broadcast(level([], "all")), "metric")  # one row a metric
+              .withColumns(shrunk("lang", "all")).withColumns(shrunk("own", "lang"))
+              .withColumn("lo", F.expr(f"low_own - {FENCE} * greatest(median_own - low_own, {RESOLUTION})"))
+              .withColumn("hi", F.expr(f"high_own + {FENCE} * greatest(high_own - median_own, {RESOLUTION})")))
+    return joined.groupBy("lang", "source").agg(
+        *[F.expr(f"max(CASE WHEN metric = '{m}' THEN {end} END)").alias(f"{end}_{m}") for m in METRICS for end in ("lo", "hi")],
+        F.expr(f"round(max(n_docs_own / (n_docs_own + {WEIGHT})), 4)").alias("own_share"))
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, text) -> one row per row of ``docs``: counts, base_failed, level, failed_metrics, kept.
+    """(doc_id, lang, source, text) -> one row per row of ``docs``: counts, base_failed, own_share, failed_metrics, kept.
 
     Base rules: fewer than MIN_WORDS words, or more than MAX_REPEAT_PERCENT of the words in repeated 8-word windows.
     Null or empty texts have no words and fail. Null languages and sources are groups of their own. Repeated rows are
-    judged one by one; other columns are ignored; an empty table gives an empty table.
+    judged one by one, and each counts in its group's sketch; rows without doc_id are judged like others. Other columns are ignored; an
+    empty table gives an empty table. Texts of any length are read whole. A value at its limit passes. Groups whose documents all
+    fail the base rules have no limits: ``own_share`` and failed metrics are empty there.
     """
     counts = written(text_counts(docs))
     metrics = counts.selectExpr(
@@ -165,7 +171,8 @@ def quality(docs: DataFrame) -> DataFrame:
     fails = []
     for m, (_, _, both) in METRICS.items():
         fails.append(f"CASE WHEN {m} > hi_{m}" + (f" OR {m} < lo_{m}" if both else "") + f" THEN '{m}' END")
-    return (metrics.join(limits(sketches(metrics)), ["lang", "source"])
+    own_limits = bounded(written(limits(sketches(metrics.where("NOT base_failed")))))
+    return (metrics.join(own_limits, ["lang", "source"], "left")
             .withColumn("failed_metrics", F.expr(f"concat_ws(',', {', '.join(fails)})"))
-            .selectExpr("doc_id", "lang", "source", *COUNTS, "base_failed", "level", "failed_metrics",
+            .selectExpr("doc_id", "lang", "source", *COUNTS, "base_failed", "own_share", "failed_metrics",
                         "NOT base_failed AND failed_metrics = '' AS kept"))

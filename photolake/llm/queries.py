@@ -103,22 +103,26 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quality_sql() -> str:
     """Counts, sketches, limits and verdicts as in quality.py."""
+    tail = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t}" for m, (_, t, _) in quality.METRICS.items()) + " END"
+
     def level(by: str, name: str) -> str:
         over = f"PARTITION BY {by}, metric" if by else "PARTITION BY metric"
         keys = f"{by}, metric" if by else "metric"
         return f"""
     q_{name} AS (
-      SELECT {keys}, min(least) FILTER (upto * 4 >= total) AS q1, min(least) FILTER (upto * 2 >= total) AS q2,
-        min(least) FILTER (upto * 4 >= total * 3) AS q3, max(total) AS n_docs
+      SELECT {keys}, min(least) FILTER (upto * 100 >= total * (100 - {tail})) AS low, min(least) FILTER (upto * 2 >= total) AS median,
+        min(least) FILTER (upto * 100 >= total * {tail}) AS high, CAST(max(total) AS BIGINT) AS n_docs
       FROM (SELECT {keys}, sum(n) OVER ({over} ORDER BY bucket) AS upto, sum(n) OVER ({over}) AS total,
               CASE WHEN bucket < 128 THEN bucket ELSE (bucket % 64 + 64) << (bucket // 64 - 1) END AS least
             FROM (SELECT {keys}, bucket, sum(n) AS n FROM sketch GROUP BY {keys}, bucket)) GROUP BY {keys})"""
-    floors = " ".join(f"WHEN '{m}' THEN {f}" for m, (_, f, _) in quality.METRICS.items())
     stacked = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{m}' AS metric, {sql.replace(' DIV ', ' // ')} AS v FROM counts"
                                  for m, (sql, _, _) in quality.METRICS.items())
     both = ", ".join(f"'{m}'" for m, x in quality.METRICS.items() if x[2])
-    pick = lambda q: (f"CASE WHEN o.n_docs >= {quality.MIN_GROUP} THEN o.{q} WHEN l.n_docs >= {quality.MIN_GROUP} "
-                      f"THEN l.{q} ELSE a.{q} END")
+    def shrunk(n: str, q: str, parent: str) -> str:
+        return f"({n} * {q} + {quality.WEIGHT} * {parent}) // ({n} + {quality.WEIGHT})"
+
+    of_lang = ", ".join(f"{shrunk('l.n_docs', f'l.{q}', f'a.{q}')} AS {q}" for q in ("low", "median", "high"))
+    of_group = ", ".join(f"{shrunk('o.n_docs', f'o.{q}', f'l.{q}')} AS {q}" for q in ("low", "median", "high"))
     return f"""
     WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text
       FROM documents),
@@ -139,16 +143,17 @@ def _quality_sql() -> str:
         coalesce(n_dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
       FROM docs d JOIN tokens USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
     vals AS MATERIALIZED ({stacked}),
+    passing AS (SELECT doc_id FROM counts WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)),
     sketch AS MATERIALIZED (
       SELECT lang, source, metric, CASE WHEN v < 128 THEN v
         ELSE (length(bin(v)) - 7) * 64 + (v >> (length(bin(v)) - 7)) END AS bucket, count(*) AS n
-      FROM vals GROUP BY ALL),{level('lang, source', 'own')},{level('lang', 'lang')},{level('', 'all')},
+      FROM vals SEMI JOIN passing USING (doc_id) GROUP BY ALL),{level('lang, source', 'own')},{level('lang', 'lang')},{level('', 'all')},
+    lang_level AS (SELECT l.lang, metric, {of_lang} FROM q_lang l JOIN q_all a USING (metric)),
+    group_level AS (SELECT o.lang, o.source, metric, {of_group} FROM q_own o JOIN lang_level l USING (lang, metric)),
     judged AS (
-      SELECT doc_id, bool_or(v > q2 + spread OR metric IN ({both}) AND v < q2 - spread) AS failed FROM (
-        SELECT doc_id, metric, v, q2, {quality.FENCE} * greatest(q3 - q1, CASE metric {floors} END) AS spread FROM (
-          SELECT v.doc_id, v.metric, v.v, {pick('q1')} AS q1, {pick('q2')} AS q2, {pick('q3')} AS q3
-          FROM vals v JOIN q_own o USING (lang, source, metric) JOIN q_lang l USING (lang, metric)
-          JOIN q_all a USING (metric))) GROUP BY doc_id)
+      SELECT doc_id, coalesce(bool_or(v > high + {quality.FENCE} * greatest(high - median, {quality.RESOLUTION})
+          OR metric IN ({both}) AND v < low - {quality.FENCE} * greatest(median - low, {quality.RESOLUTION})), false) AS failed
+      FROM vals LEFT JOIN group_level USING (lang, source, metric) GROUP BY doc_id)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
       n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT failed AS kept

@@ -76,19 +76,58 @@ def test_limits_follow_the_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").withColumn("level", F.lit(1))
     got = {r.doc_id: r for r in quality.quality(docs).collect()}
     assert len(got) == len(rows) and all(got[i].kept for i in range(300)) and not any(got[1000 + i].kept for i in range(5))
-    assert all(got[2000 + i].kept for i in range(300)) and got[2000].level == "source" and got[3000].level == "all"
+    assert all(got[2000 + i].kept for i in range(300)) and got[2000].own_share == 0.6 and got[3000].own_share < 0.01
     assert got[3001].base_failed and not got[3001].kept
     assert quality.quality(docs.limit(0)).count() == 0
 
 
+def test_limits_adapt_to_the_spread(spark):
+    """Two groups of equal median: the limit follows the upper tail, and by degrees the size of the group."""
+    def sketch(n, source, values):
+        return [("en", source, values[i % len(values)]) for i in range(n)]
+
+    rows = sketch(8000, "clean", [10]) + sketch(5000, "noisy", [10, 10, 10, 10, 60]) + sketch(40, "small", [10, 10, 10, 10, 60])
+    frame = spark.createDataFrame(rows, "lang string, source string, v long").selectExpr(
+        "lang", "source", *[f"v AS {m}" for m in quality.METRICS])
+    found = {r.source: r for r in quality.limits(quality.sketches(frame)).collect()}
+    for m in quality.METRICS:
+        hi = {s: r[f"hi_{m}"] for s, r in found.items()}
+        assert hi["noisy"] >= hi["small"] > hi["clean"], (m, hi)
+    assert found["noisy"].hi_symbol_rate > found["small"].hi_symbol_rate
+    every = [x[2] for x in rows]
+    for s, r in found.items():
+        own = [x[2] for x in rows if x[1] == s]
+
+        def at(values, percent):
+            return sorted(values)[-(-len(values) * percent // 100) - 1]
+        for m, (_, tail, _) in quality.METRICS.items():
+            def level(percent):
+                lang = (len(every) * at(every, percent) + quality.WEIGHT * at(every, percent)) // (len(every) + quality.WEIGHT)
+                return (len(own) * at(own, percent) + quality.WEIGHT * lang) // (len(own) + quality.WEIGHT)
+            assert r[f"hi_{m}"] == level(tail) + quality.FENCE * max(level(tail) - level(50), quality.RESOLUTION)
+
+
+def test_quality_of_odd_rows(spark):
+    """Nulls everywhere, repeated rows, a very long text, a group that fails as a whole."""
+    good = " ".join(f"word{i}" for i in range(40))
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, "en", "a", good), (1, "en", "a", good), (None, None, None, good), (2, "en", "a", long), (3, "xx", "short", "a b"), (4, None, "a", None)]
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")).collect()
+    assert len(out) == len(rows) and sum(r.doc_id == 1 and r.kept for r in out) == 2
+    got = {r.doc_id: r for r in out}
+    assert got[None].kept and got[2].n_words == 300_000
+    assert not got[3].kept and got[3].own_share is None and got[3].failed_metrics == "" and not got[4].kept
+
+
 def test_sketch_quantiles_are_close(spark):
     values = [int(x) for x in np.random.default_rng(1).lognormal(6, 2, 4000)]
     frame = spark.createDataFrame([(v,) for v in values], "v long").selectExpr("'a' AS lang", "'b' AS source", *[
         f"v AS {m}" for m in quality.METRICS])
-    q = quality.quantiles(quality.sketches(frame), ["lang"]).first()
-    for got, share in ((q.q1, 0.25), (q.q2, 0.5), (q.q3, 0.75)):
-        exact = sorted(values)[max(0, int(np.ceil(share * len(values))) - 1)]
-        assert exact * (1 - 1 / 64) <= got <= exact
+    for q in quality.quantiles(quality.sketches(frame), ["lang"]).collect():
+        tail = quality.METRICS[q.metric][1] / 100
+        for got, share in ((q.low, 1 - tail), (q.median, 0.5), (q.high, tail)):
+            exact = sorted(values)[max(0, int(np.ceil(round(share * len(values), 6))) - 1)]
+            assert exact * (1 - 1 / 64) <= got <= exact
 
 
 def test_language_accuracy_and_evidence(spark):
