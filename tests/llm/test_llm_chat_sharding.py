@@ -48,7 +48,7 @@ def filled(n, m):
     return owner
 
 
-@pytest.mark.parametrize("n,m", [(1, 7), (7, 7), (5, 101), (12, 499)])
+@pytest.mark.parametrize("n,m", [(1, 7), (7, 7), (5, 101), (12, 499), (64, 8191)])
 def test_table_is_filled_in_turns(spark, n, m):
     rows = sharding.lookup_table(spark, n, m).orderBy("slot").collect()
     assert [r.shard for r in rows] == filled(n, m) and [r.slot for r in rows] == list(range(m))
@@ -67,3 +67,11 @@ def test_place(spark):
     assert sharding.place(rows.limit(0), ["k"], 4, 101).count() == 0
     with pytest.raises(ValueError):
         sharding.lookup_table(spark, 4, 100)
+
+
+def test_place_carries_all_columns(spark):
+    rows = spark.createDataFrame([(1, "a", 2, 3, "x" * 1_000_000), (None, None, None, None, None)],
+                                 "k long, __slot string, __shard long, at int, `a.b` string")
+    out = sharding.place(rows, ["k", "a.b"], 4, 101)
+    assert out.columns == ["k", "__slot", "__shard", "at", "a.b", "slot", "shard"]
+    assert sorted(tuple(r)[:4] for r in out.collect() if r.k) == [(1, "a", 2, 3)] and out.count() == 2
