@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from photolake.functions.columns import color_distance, dot, norm
 from photolake.operators.predictions import best_label
+from photolake.session import cut
 
 QUERY_BLOCK = 2048
 CORPUS_BLOCK = 8192
+#: Centres that reach every task, and vectors per centre that the driver chooses them from: fixed numbers, whatever the corpus.
+MAX_CENTRES = 512
+CANDIDATES = 8
+#: Angles closer than this count as equal, so that rounded similarities tie as they do without pruning.
+SLACK = 1e-5
 
 
 def semantic_search(embeddings: DataFrame, vector: Sequence[float], n: int = 100) -> DataFrame:
@@ -46,31 +52,111 @@ def _block_top(queries: pd.DataFrame, corpus: pd.DataFrame, k: int) -> pd.DataFr
                          "similarity": best[ok]})
 
 
+def _angles(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:
+    """Angles to all centres and, last, to a zero vector, whose cosine with anything is 0."""
+    unit = _unit(np.stack(vectors).astype(np.float64))
+    sims = unit @ centres.T if len(centres) else np.zeros((len(unit), 0))
+    return np.arccos(np.clip(np.concatenate([sims, np.zeros((len(unit), 1))], axis=1), -1, 1))
+
+
+def _spread(unit: np.ndarray, n: int) -> np.ndarray:
+    """Up to n rows, each the furthest from those before it."""
+    chosen, nearest = [0], unit @ unit[0]
+    while len(chosen) < min(n, len(unit)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def _home(vectors: pd.Series, angles: np.ndarray) -> np.ndarray:
+    """The cell of the nearest centre; zero vectors have the last cell to themselves."""
+    zero = np.array([not np.any(v) for v in vectors])
+    last = angles.shape[1] - 1
+    return np.where(zero, last, angles[:, :last].argmin(axis=1) if last else last)
+
+
+def _sizes(placed: DataFrame, block: int, name: str):
+    """(cell, blocks) for at most MAX_CENTRES + 1 cells."""
+    return F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name)))
+
+
+def neighbor_blocks(queries: DataFrame, corpus: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK,
+                    corpus_block: int = CORPUS_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Queries and corpus vectors dealt to the pairs of blocks that have to meet: (qcell, qb) with (cell, cb).
+
+    Corpus vectors belong to the cell of the nearest centre; a cell keeps its greatest angle to the centre, its radius. By the
+    triangle inequality for angles no vector of a cell is nearer to a query than the centre's angle less the radius, and none
+    is further than their sum. The sums of the nearest cells that hold k + 1 vectors bound the k-th neighbour, so
+    cells whose difference is above that bound are not met. Vectors without values are left out.
+    """
+    corpus = corpus.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").alias("vector"))
+    n_centres = min(MAX_CENTRES, max(1, -(-corpus.count() // corpus_block)))
+    some = (corpus.where(F.exists("vector", lambda x: x != 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(CANDIDATES * n_centres)
+            .select("vector").collect())
+    centres = _spread(_unit(np.array([r.vector for r in some], dtype=np.float64)), n_centres) if some else np.zeros((0, 0))
+
+    def place(frames):
+        for f in frames:
+            if len(f):
+                angles = _angles(f["vector"], centres)
+                cell = _home(f["vector"], angles)
+                yield f.assign(cell=cell.astype(np.int32), angle=angles[np.arange(len(f)), cell] * (cell < len(centres)))
+
+    kind = {f.name: f.dataType.simpleString() for f in corpus.schema.fields}
+    # Kept, not computed twice: a vector between two centres must stay in the cell whose radius it is in.
+    placed = cut(corpus.mapInPandas(place, f"vec_id {kind['vec_id']}, vector {kind['vector']}, cell int, angle double"))
+    radius, size = np.zeros(len(centres) + 1), np.zeros(len(centres) + 1, dtype=np.int64)
+    for r in placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():
+        radius[r.cell], size[r.cell] = r.radius, r.n
+
+    def meet(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            angles = _angles(f["target"], centres)
+            home = _home(f["target"], angles)
+            # A zero vector's cosine is 0 with all, whatever the cell's radius.
+            reach = np.where((home == len(centres))[:, None], 0.0, radius[None, :])
+            furthest = np.where(size > 0, angles + reach, np.inf)
+            order = np.argsort(furthest, axis=1)
+            enough = (np.cumsum(size[order], axis=1) > k)
+            bound = np.where(enough.any(axis=1), np.take_along_axis(
+                furthest, np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0], np.inf)
+            met = (angles - reach <= bound[:, None] + SLACK) & (size > 0)
+            yield f.assign(qcell=home.astype(np.int32), met=[np.flatnonzero(x).astype(np.int32) for x in met])
+
+    asking = queries.where("embedding IS NOT NULL").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("target"))
+    kind = {f.name: f.dataType.simpleString() for f in asking.schema.fields}
+    asking = cut(asking.mapInPandas(meet, f"query_id {kind['query_id']}, target {kind['target']}, qcell int, met array<int>"))
+    n_qb = _sizes(asking.select(F.col("qcell").alias("cell")), query_block, "n_qb").withColumnRenamed("cell", "qcell")
+    asked = (asking.join(n_qb, "qcell").withColumn("qb", F.pmod(F.hash("query_id"), "n_qb"))
+             .select("query_id", "target", "qcell", "qb", F.explode("met").alias("cell")))
+    n_cb = _sizes(placed, corpus_block, "n_cb")
+    left = asked.join(n_cb, "cell").select("query_id", "target", "qcell", "qb", "cell",
+                                           F.explode(F.expr("sequence(0, n_cb - 1)")).alias("cb"))
+    # Fresh names: a frame may be searched against itself.
+    pairs = cut(asked.selectExpr("qcell AS for_cell", "qb AS for_block", "cell").distinct())
+    right = placed.join(n_cb, "cell").withColumn("cb", F.pmod(F.hash("vec_id"), "n_cb")).join(pairs, "cell").select(
+        "vec_id", "vector", "for_cell", "for_block", "cell", "cb")
+    return left, right
+
+
 def batch_neighbors(queries: DataFrame, corpus: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK,
                     corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """The k nearest corpus vectors of every query (itself left out), exact.
 
-    Both sides are hashed into blocks of bounded size and every query block meets every corpus block
-    as a matrix product in its own task. A task keeps only its k best per query, so pairs are never
-    written out, nothing is broadcast, and the final rank sees k rows per query and corpus block.
+    Blocks of bounded size that may hold neighbours of each other (``neighbor_blocks``) meet as a matrix product in a
+    task of their own. A task keeps only its k best per query, so pairs are never written out, and the final rank sees
+    k rows per query and corpus block met.
     """
-    n_q = max(1, -(-queries.count() // query_block))
-    n_c = max(1, -(-corpus.count() // corpus_block))
-
-    def blocked(df: DataFrame, names: tuple[str, str], own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        # Fresh names on both sides: a frame may be searched against itself.
-        return df.select(F.col("vec_id").alias(names[0]), F.col("embedding").alias(names[1]),
-                         F.pmod(F.hash("vec_id"), F.lit(n_own)).alias(own),
-                         F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other))
-
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(c) == 0:
             return pd.DataFrame({"query_id": [], "vec_id": [], "similarity": []})
         return _block_top(q, c, k)
 
-    tops = (blocked(queries, ("query_id", "target"), "qb", n_q, "cb", n_c).groupBy("qb", "cb")
-            .cogroup(blocked(corpus, ("vec_id", "vector"), "cb", n_c, "qb", n_q).groupBy("qb", "cb"))
-            .applyInPandas(meet, "query_id bigint, vec_id bigint, similarity double"))
+    left, right = neighbor_blocks(queries, corpus, k, query_block, corpus_block)
+    tops = left.groupBy("qcell", "qb", "cell", "cb").cogroup(right.groupBy("for_cell", "for_block", "cell", "cb")).applyInPandas(
+        meet, "query_id bigint, vec_id bigint, similarity double")
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "vec_id")
     return tops.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -290,6 +291,29 @@ def test_batch_neighbours_equal_single_searches(spark, vectors, block):
         assert [got[q][i] for i in (1, 2, 3, 4)] == best
 
 
+def test_far_blocks_never_meet(spark):
+    """Clusters at right angles: neighbours equal the full product, though most pairs of blocks are left out."""
+    rng = np.random.default_rng(5)
+    points = [(i, [float(x) for x in np.eye(6)[i % 6] + rng.normal(0, 0.02, 6)]) for i in range(300)]
+    points += [(300, [0.0] * 6), (301, [0.0] * 6), (302, points[0][1]), (303, points[0][1]), (304, None)]
+    emb = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    left, _ = similarity.neighbor_blocks(emb, emb, 5, 20, 20)
+    ordinary = left.where(~F.col("query_id").isin(300, 301)).select("query_id", "cell")
+    assert ordinary.distinct().count() < 0.5 * 302 * left.select("cell").distinct().count()
+    known = points[:-1]
+    full = np.array([p[1] for p in known])
+    unit = np.divide(full, np.linalg.norm(full, axis=1, keepdims=True), out=np.zeros_like(full), where=full.any(axis=1, keepdims=True))
+    expected = set()
+    for i, row in enumerate(np.round(unit @ unit.T, 12)):
+        best = sorted((-s, j) for j, s in enumerate(row) if j != i)[:5]
+        expected |= {(i, j, rank) for rank, (_, j) in enumerate(best, 1)}
+    got = {(r.query_id, r.vec_id, r["rank"]) for r in similarity.batch_neighbors(emb, emb, 5, 20, 20).collect()}
+    assert got == expected
+    assert similarity.batch_neighbors(emb.limit(0), emb, 5).count() == 0 and similarity.batch_neighbors(emb, emb.limit(0), 5).count() == 0
+    zeros = emb.where("vec_id IN (300, 301)")
+    assert [(r.query_id, r.vec_id) for r in similarity.batch_neighbors(zeros, zeros, 5).orderBy("query_id").collect()] == [(300, 301), (301, 300)]
+
+
 # --- streams --------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
