@@ -213,6 +213,58 @@ def test_leaks_in_many_documents(spark):
     assert {r.doc_id: r.score for r in decontaminate.leaks(spark.createDataFrame(rows, DOC), benchmark).collect()} == expected
 
 
+def test_recall_by_score(spark):
+    """Copies edited in many ways: at least 0.9 of those that brute-force alignment scores in each tenth from 0.5 up are found."""
+    rng = random.Random(12)
+    items, rows, truth = [], [], {}
+    for i in range(300):
+        size = rng.choice([12, 16, 24, 40])
+        item = [f"i{i}w{j}" for j in range(size)]
+        every, share, regular = rng.randint(2, 6), rng.uniform(0, 0.4), rng.random() < 0.4
+        text = []
+        for j, w in enumerate(item):
+            if not (j % every == every - 1 if regular else rng.random() < share):
+                text.append(w)
+            elif regular or rng.random() < 0.6:
+                text.append(f"x{rng.random()}".replace(".", ""))
+            elif rng.random() < 0.5:
+                text += ["y", w]
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join(["filler"] * 30 + text + ["end"] * 30)))
+        truth[i] = rough(items[i][1], rows[i][1])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontaminate.leaks(spark.createDataFrame(rows, DOC), benchmark).collect()}
+    for band in range(5, 10):
+        own = [i for i, s in truth.items() if band / 10 <= s < band / 10 + 0.1]
+        assert len(own) >= 10 and sum(i in got for i in own) >= 0.9 * len(own), (band, len(own))
+    assert all(abs(got[i] - truth[i]) < 1e-4 for i in got)
+    every_fourth = [w if j % 4 < 3 else f"z{j}" for j, w in enumerate(next(t for _, t in items if t.count(" ") == 39).split(" "))]
+    found = decontaminate.leaks(spark.createDataFrame([(1, " ".join(every_fourth))], DOC), benchmark).collect()
+    assert [r.score for r in found] == [0.6375 if len(every_fourth) == 40 else None]
+
+
+def test_common_phrases_open_few_passages(spark):
+    """A phrase that all items and many documents share is no seed; a leak of an item that holds it still is found."""
+    rng = random.Random(13)
+    phrase = "choose the best answer from this list"
+    items = [(i, " ".join([f"a{i}x{j}" for j in range(15)] + [phrase] + [f"b{i}x{j}" for j in range(18)])) for i in range(200)]
+    rows = [(i, " ".join(f"{' '.join(f'r{rng.random()}' for _ in range(5))} {phrase}" for _ in range(8))) for i in range(500)]
+    rows += [(900 + i, f"start {items[i][1]} end") for i in range(20)] + [(1000 + i, items[5][1]) for i in range(300)]
+    benchmark, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, DOC)
+    assert decontaminate._candidates(*decontaminate._prepare(docs, benchmark)).count() < 1000
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == {(900 + i, i) for i in range(20)} | {(1000 + i, 5) for i in range(300)}
+
+
+def test_leaks_in_very_long_texts_and_short_items(spark):
+    filler = " ".join(f"f{i}" for i in range(300_000))
+    benchmark = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30))), (2, "only two"), (3, "red green blue"), (4, None), (None, "k l m n o p q")],
+                                      "item_id long, text string")
+    rows = [(1, f"{filler} {' '.join(f'w{i}' for i in range(30))} {filler}"), (2, "only two"), (3, "a red green blue b"), (4, "k l m x o p q"), (5, filler)]
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(spark.createDataFrame(rows, DOC), benchmark).collect()}
+    assert got == {(1, 1): 1.0, (3, 3): 1.0, (4, None): round(11 / 14, 4)}
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     extra = [(None, "the and of that is secret: abcdefghijk the with for", None, None, 1), (5000, None, "en", "s", 0),
