@@ -5,7 +5,8 @@
    n-grams. Gaps let copies seed in which every third or fourth word is replaced.
 2. An n-gram costs as many meetings as documents' places times items hold it. Of each item the costliest n-grams, dearer than
    the item's median, are left out while those left out cover at most two thirds of the words that the least score takes
-   as matches; the rest, the rare ones, are its seeds. So a leak always matches words that rare n-grams cover. Rarity is relative to the item: a leak, however popular, makes all its n-grams dear alike and keeps its seeds.
+   as matches; the rest, the rare ones, are its seeds. So a leak always matches words that rare n-grams cover. Rarity is
+   relative to the item: a leak, however popular, makes all its n-grams dear alike and keeps its seeds.
 3. Seeds join documents to items by a shuffle, salted. Hits of a document and an item are merged by diagonal into passages of
    at most a few item lengths; nothing is gathered per document, and per item no more than its own n-grams.
 4. Smith-Waterman alignment of words scores each passage, batches of passages at a time. The score is a share of the

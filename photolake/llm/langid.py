@@ -7,6 +7,8 @@ log posterior(l) = log prior(l | host) + text evidence(l) + log P(declared | l)
   at most EVIDENCE independent trigrams.
 * Declared markup language and address suffix: tables P(value | language) counted over all documents against the
   language that their text alone suggests, smoothed.
+* Other languages: one more class, whose text model is the mean of all languages' models, of the texts declared to be in none
+  of them and of the uniform one. A text in one of the languages is likelier under its own model; one in none of them draws on all.
 * Host prior: counts of text languages per host, smoothed towards the registered domain, that towards the suffix, that
   towards all documents. Every level is a grouped aggregation; documents get their host's row by a join.
 """
@@ -28,6 +30,9 @@ EVIDENCE = 60
 #: Documents' worth of the parent's distribution in a host's, domain's or suffix's.
 STRENGTH = 20.0
 MIN_POSTERIOR = 0.5
+OTHER = "other"
+#: Least prior of the class of other languages on any host, and the uniform model's share in its text model.
+OTHER_PRIOR, OTHER_UNIFORM = 0.01, 0.5
 
 _FOLD = np.full(256, 32, dtype=np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
@@ -52,11 +57,14 @@ def _cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trigram_counts(texts: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """(declared, text) -> (language, cell, n) over all texts declared to be in one of ``languages``."""
+    """(declared, text) -> (language, cell, n) over all texts that declare a language; those not in ``languages`` come last."""
+    places = {name: k for k, name in enumerate(languages)}
+    n_classes = len(languages) + 1
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
+        total = np.zeros((n_classes, BUCKETS), dtype=np.int64)
         for batch in batches:
-            index = np.asarray([languages.index(x) for x in batch.column(0).to_pylist()], dtype=np.int64)
+            index = np.asarray([places.get(x, n_classes - 1) for x in batch.column(0).to_pylist()], dtype=np.int64)
             for first, part in slices(batch.column(1)):
                 cells, bounds = _cells(part)
                 lang = np.repeat(index[first:first + len(part)], np.diff(bounds))
@@ -67,17 +75,20 @@ def trigram_counts(texts: DataFrame, languages: Sequence[str]) -> DataFrame:
             names=["language", "cell", "n"])
 
     text_batches(texts.sparkSession)
-    known = texts.where(F.col("declared").isin(list(languages)) & F.col("text").isNotNull()).select("declared", "text")
+    known = texts.where("declared IS NOT NULL AND text IS NOT NULL").select("declared", "text")
     return (known.mapInArrow(count, "language int, cell int, n long")
             .groupBy("language", "cell").agg(F.sum("n").alias("n")))
 
 
 def trigram_model(texts: DataFrame, languages: Sequence[str]) -> np.ndarray:
-    """log P(cell | language), add-one smoothed. At most languages x BUCKETS numbers reach the driver."""
-    counts = np.ones((len(languages), BUCKETS))
+    """log P(cell | language), add-one smoothed, and the other class last. At most (languages + 1) x BUCKETS numbers reach the driver."""
+    counts = np.zeros((len(languages) + 1, BUCKETS))
     for row in trigram_counts(texts, languages).collect():
         counts[row.language, row.cell] += row.n
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    shares = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
+    pooled = shares[counts.sum(axis=1) > 0].mean(axis=0) if counts.any() else np.full(BUCKETS, 1 / BUCKETS)
+    shares[-1] = OTHER_UNIFORM / BUCKETS + (1 - OTHER_UNIFORM) * pooled
+    return np.log(shares).astype(np.float32)
 
 
 def text_evidence(texts: DataFrame, model: np.ndarray, keep: Sequence[str]) -> DataFrame:
@@ -125,10 +136,12 @@ def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, min_posteri
     """(id, text, declared, host) -> one row per row: id, language, posterior, text_language, n_grams, accepted.
 
     ``declared`` and ``host`` may be null (no evidence) or unknown values. A text without letters, null and empty
-    texts among them, has no language: language 'und', posterior 0, not accepted. A text whose best language is below
-    ``min_posterior`` is not accepted. Ties go to the first of ``languages``. Repeated rows are judged one by one.
+    texts among them, has no language: language 'und', posterior 0, not accepted. A text unlike all of ``languages`` gets the
+    language 'other', and is not accepted, as is one whose best language is below ``min_posterior``. Ties go to the first of
+    ``languages``, the other class last. Texts of any length count whole. Repeated rows are judged one by one, further columns are
+    ignored, an empty table gives an empty table.
     """
-    n_langs = len(languages)
+    n_langs = len(languages) + 1
     texts = texts.select("id", F.lower(F.col("declared")).alias("declared"), F.lower(F.col("host")).alias("host"), "text")
     model = trigram_model(texts, languages)
     scores = written(_host_parts(text_evidence(texts, model, ["id", "declared", "host"])).withColumn(
@@ -155,17 +168,18 @@ def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, min_posteri
                                           f"+ {n_langs}.0D))"))
               .withColumn("p_suffix", F.expr(smooth("n_suffix", "p_all")))
               .withColumn("p_domain", F.expr(smooth("n_domain", "p_suffix")))
-              .withColumn("p_host", F.expr(smooth("n_host", "p_domain")))
+              .withColumn("p_seen", F.expr(smooth("n_host", "p_domain")))
+              .withColumn("p_host", F.expr(f"transform(p_seen, (p, k) -> {1 - OTHER_PRIOR}D * p + IF(k = {n_langs - 1}, {OTHER_PRIOR}D, 0.0D))"))
               .withColumn("d", F.expr(share("n_declared"))).withColumn("s", F.expr(share("n_suffix"))))
     logs = joined.withColumn("logs", F.expr(
         f"transform(sequence(0, {n_langs - 1}), k -> evidence[k] + ln(p_host[k]) + ln(d[k]) + ln(s[k]))"))
     best = "array_position(logs, array_max(logs))"
-    names = "array(" + ", ".join(f"'{x}'" for x in languages) + ")"
+    names = "array(" + ", ".join(f"'{x}'" for x in (*languages, OTHER)) + ")"
     return (logs.withColumn("posterior", F.expr(
                 "CASE WHEN n_grams > 0 THEN 1.0D / aggregate(logs, 0.0D, (a, x) -> a + exp(x - array_max(logs))) ELSE 0.0D END"))
             .selectExpr("id", f"CASE WHEN n_grams > 0 THEN element_at({names}, CAST({best} AS INT)) ELSE 'und' END AS language",
                         "round(posterior, 4) AS posterior", f"get({names}, CAST(text_language AS INT)) AS text_language",
-                        "n_grams", f"n_grams > 0 AND posterior >= {min_posterior} AS accepted"))
+                        "n_grams", f"n_grams > 0 AND {best} < {n_langs} AND posterior >= {min_posterior} AS accepted"))
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -152,6 +152,70 @@ def test_host_and_declaration_decide_where_the_text_does_not(spark):
     assert [got[i] for i in range(900, 904)] == ["en", "fr", "fr", "en"]
 
 
+FOREIGN = {
+    "Polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "Italian": "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono",
+    "Japanese": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。人間は、理性と良心とを授けられており",
+    "letters": "qzxv kjwpf xqgzt vbnmk wqxjz pfghk zzqxw kvjbx mnqwz xtrpk gjqvz hwkxq bzvjp qkxwf zjvmq xkwpg vqzjb kxfwq pzvgj",
+}
+
+
+def test_texts_in_no_known_language_are_rejected(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source")
+    host = docs.where("source IS NOT NULL").first().source
+    extra = [(-k, text, None, h) for k, (text, h) in enumerate([(t, h) for t in FOREIGN.values() for h in (None, host)], 1)]
+    rows = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    got = {r.id: r for r in langid.identify(langid.document_texts(rows)).collect()}
+    assert [got[r[0]].language for r in extra] == [langid.OTHER] * len(extra) and not any(got[r[0]].accepted for r in extra)
+    written = {r.doc_id for r in docs.where("text RLIKE '[A-Za-z]{3}'").collect()}
+    assert all(got[i].accepted for i in written)
+
+
+def test_identify_equals_the_plain_formula(spark):
+    """Brute force over a small table: nulls, repeated rows, ties, a very long text, a declared language outside the list."""
+    texts = [(i, "the and of that with" if i % 2 else "le la de que les", "en" if i % 2 else "fr", "a.example.com" if i % 3 else "b.example.org") for i in range(40)]
+    texts += [(50, "der die das und nicht " * 20_000, "de", None), (51, "the que of les", None, "a.example.com"), (51, "the que of les", None, "a.example.com"),
+              (52, "", "en", "x"), (53, None, None, None), (54, "42", "fr", "b.example.org"), (None, "wq zx", "en", "localhost")]
+    langs, n = ("en", "fr"), 3
+    got = langid.identify(spark.createDataFrame(texts, "id long, text string, declared string, host string").withColumn("p_all", F.lit(1)), langs).collect()
+
+    def cells(text):
+        return langid._cells(pa.array([text or ""]))[0]
+
+    counts = np.zeros((n, langid.BUCKETS))
+    for _, text, declared, _ in texts:
+        if declared is not None and text is not None:
+            np.add.at(counts[langs.index(declared) if declared in langs else 2], cells(text), 1)
+    shares = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
+    shares[2] = 0.5 / langid.BUCKETS + 0.5 * shares.mean(axis=0)
+    evidence = [[min(len(c), 60) / max(len(c), 1) * float(np.log(s)[c].sum()) for s in shares] for c in (cells(t[1]) for t in texts)]
+    best = [int(np.argmax(e)) if len(cells(t[1])) else None for e, t in zip(evidence, texts)]
+    parts = [(t[3], ".".join(t[3].split(".")[-2:]) if t[3] and "." in t[3] else t[3], t[3].split(".")[-1] if t[3] and "." in t[3] else None) for t in texts]
+
+    def tally(values, value):
+        own = [b for v, b in zip(values, best) if b is not None and v == value]
+        return np.array([own.count(k) for k in range(n)], dtype=float) if value is not None and own else None
+
+    every = np.array([best.count(k) for k in range(n)], dtype=float)
+    expected = []
+    for (key, text, declared, _), e, (host, domain, suffix) in zip(texts, evidence, parts):
+        if not len(cells(text)):
+            expected.append((str(key), "und", 0.0, False))
+            continue
+        p = (every + 1) / (every.sum() + n)
+        for values, value in (([x[2] for x in parts], suffix), ([x[1] for x in parts], domain), ([x[0] for x in parts], host)):
+            own = tally(values, value)
+            p = p if own is None else (own + langid.STRENGTH * p) / (own.sum() + langid.STRENGTH)
+        p = 0.99 * p + 0.01 * np.array([0, 0, 1])
+        logs = np.array(e) + np.log(p)
+        for own in (tally([t[2] for t in texts], declared), tally([x[2] for x in parts], suffix)):
+            logs += 0 if own is None else np.log((own + 1) / (every + n))
+        k = int(np.argmax(logs))
+        posterior = 1 / np.exp(logs - logs.max()).sum()
+        expected.append((str(key), (*langs, "other")[k], round(posterior, 3), k < 2 and posterior >= 0.5))
+    assert sorted((str(r.id), r.language, round(r.posterior, 3), r.accepted) for r in got) == sorted(expected)
+
+
 def test_page_texts(spark):
     pages = spark.createDataFrame([(1, "https://u@M.a.example.org:80/x?y", '<html lang="de-AT"><script>var x="<p>"</script><p>Hallo&amp;Welt</p>'),
                                    (2, None, None)], "page_id long, url string, html string")
