@@ -7,8 +7,8 @@ log posterior(l) = log prior(l | host) + text evidence(l) + log P(declared | l)
   at most EVIDENCE independent trigrams.
 * Declared markup language and address suffix: tables P(value | language) counted over all documents against the
   language that their text alone suggests, smoothed.
-* Other languages: one more class, whose text model is the mean of all languages' models, of the texts declared to be in none
-  of them and of the uniform one. A text in one of the languages is likelier under its own model; one in none of them draws on all.
+* Other languages: one more class, under which all trigrams are alike. A text in one of the languages, or in several of them
+  by turns, is likelier under its best language; one in none of them is mostly made of trigrams that are rare in each.
 * Host prior: counts of text languages per host, smoothed towards the registered domain, that towards the suffix, that
   towards all documents. Every level is a grouped aggregation; documents get their host's row by a join.
 """
@@ -31,8 +31,8 @@ EVIDENCE = 60
 STRENGTH = 20.0
 MIN_POSTERIOR = 0.5
 OTHER = "other"
-#: Least prior of the class of other languages on any host, and the uniform model's share in its text model.
-OTHER_PRIOR, OTHER_UNIFORM = 0.01, 0.5
+#: Least prior of the class of other languages on any host.
+OTHER_PRIOR = 0.01
 
 _FOLD = np.full(256, 32, dtype=np.uint32)
 _FOLD[97:123] = np.arange(97, 123)
@@ -57,14 +57,11 @@ def _cells(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def trigram_counts(texts: DataFrame, languages: Sequence[str]) -> DataFrame:
-    """(declared, text) -> (language, cell, n) over all texts that declare a language; those not in ``languages`` come last."""
-    places = {name: k for k, name in enumerate(languages)}
-    n_classes = len(languages) + 1
-
+    """(declared, text) -> (language, cell, n) over all texts declared to be in one of ``languages``."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_classes, BUCKETS), dtype=np.int64)
+        total = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in batches:
-            index = np.asarray([places.get(x, n_classes - 1) for x in batch.column(0).to_pylist()], dtype=np.int64)
+            index = np.asarray([languages.index(x) for x in batch.column(0).to_pylist()], dtype=np.int64)
             for first, part in slices(batch.column(1)):
                 cells, bounds = _cells(part)
                 lang = np.repeat(index[first:first + len(part)], np.diff(bounds))
@@ -75,20 +72,17 @@ def trigram_counts(texts: DataFrame, languages: Sequence[str]) -> DataFrame:
             names=["language", "cell", "n"])
 
     text_batches(texts.sparkSession)
-    known = texts.where("declared IS NOT NULL AND text IS NOT NULL").select("declared", "text")
+    known = texts.where(F.col("declared").isin(list(languages)) & F.col("text").isNotNull()).select("declared", "text")
     return (known.mapInArrow(count, "language int, cell int, n long")
             .groupBy("language", "cell").agg(F.sum("n").alias("n")))
 
 
 def trigram_model(texts: DataFrame, languages: Sequence[str]) -> np.ndarray:
-    """log P(cell | language), add-one smoothed, and the other class last. At most (languages + 1) x BUCKETS numbers reach the driver."""
-    counts = np.zeros((len(languages) + 1, BUCKETS))
+    """log P(cell | language), add-one smoothed, and the uniform model last. At most languages x BUCKETS numbers reach the driver."""
+    counts = np.ones((len(languages) + 1, BUCKETS))
     for row in trigram_counts(texts, languages).collect():
         counts[row.language, row.cell] += row.n
-    shares = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
-    pooled = shares[counts.sum(axis=1) > 0].mean(axis=0) if counts.any() else np.full(BUCKETS, 1 / BUCKETS)
-    shares[-1] = OTHER_UNIFORM / BUCKETS + (1 - OTHER_UNIFORM) * pooled
-    return np.log(shares).astype(np.float32)
+    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def text_evidence(texts: DataFrame, model: np.ndarray, keep: Sequence[str]) -> DataFrame:

@@ -167,8 +167,11 @@ def test_texts_in_no_known_language_are_rejected(spark):
     rows = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     got = {r.id: r for r in langid.identify(langid.document_texts(rows)).collect()}
     assert [got[r[0]].language for r in extra] == [langid.OTHER] * len(extra) and not any(got[r[0]].accepted for r in extra)
+    mixed = "".join(docs.where(f"lang = '{lang}'").first().text[:300] for lang in ("fr", "de"))
     written = {r.doc_id for r in docs.where("text RLIKE '[A-Za-z]{3}'").collect()}
     assert all(got[i].accepted for i in written)
+    rows = docs.unionByName(spark.createDataFrame([(-1, mixed, None, None)], docs.schema))
+    assert {r.id: r.accepted for r in langid.identify(langid.document_texts(rows)).collect()}[-1]
 
 
 def test_identify_equals_the_plain_formula(spark):
@@ -184,10 +187,9 @@ def test_identify_equals_the_plain_formula(spark):
 
     counts = np.zeros((n, langid.BUCKETS))
     for _, text, declared, _ in texts:
-        if declared is not None and text is not None:
-            np.add.at(counts[langs.index(declared) if declared in langs else 2], cells(text), 1)
+        if declared in langs and text is not None:
+            np.add.at(counts[langs.index(declared)], cells(text), 1)
     shares = (counts + 1) / (counts + 1).sum(axis=1, keepdims=True)
-    shares[2] = 0.5 / langid.BUCKETS + 0.5 * shares.mean(axis=0)
     evidence = [[min(len(c), 60) / max(len(c), 1) * float(np.log(s)[c].sum()) for s in shares] for c in (cells(t[1]) for t in texts)]
     best = [int(np.argmax(e)) if len(cells(t[1])) else None for e, t in zip(evidence, texts)]
     parts = [(t[3], ".".join(t[3].split(".")[-2:]) if t[3] and "." in t[3] else t[3], t[3].split(".")[-1] if t[3] and "." in t[3] else None) for t in texts]
