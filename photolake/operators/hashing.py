@@ -101,7 +101,8 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, k: int, blocks: int
     Exact, by equi-joins on covering keys. More ``blocks`` make longer keys and more of them: C(blocks, k) rows a hash, keys of about
     64 * (blocks - k) / blocks bits; the default is k + 3. A bucket is salted by its size: its left members are dealt to
     chunks, its right members go to each, so a crowded bucket is spread over as many tasks. Every pair is reported once, under
-    the first mask on which it agrees, so there is no final distinct.
+    the first mask on which it agrees, so there is no final distinct. Sizes are estimated before a hash becomes C(blocks, k) rows, so
+    the joins are asked to shuffle: one that looks small would be broadcast with all its keys, from the driver.
     """
     masks = covering_masks(k, blocks or k + 3)
     self_join = right is None
@@ -111,13 +112,13 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, k: int, blocks: int
     if self_join:
         sizes = sizes.where("n > 1")
     sizes = cut(sizes.select("t", "key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
-    a = lk.join(sizes, ["t", "key"]).select(
+    a = lk.join(sizes.hint("merge"), ["t", "key"]).select(
         "t", "key", F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int").alias("chunk"), F.col("h").alias("h1"))
-    b = rk.join(sizes, ["t", "key"]).select(
+    b = rk.join(sizes.hint("merge"), ["t", "key"]).select(
         "t", "key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("h").alias("h2"))
     order = F.col("h1") < F.col("h2") if self_join else F.lit(True)
     gap = F.col("h1").bitwiseXOR(F.col("h2"))
-    close = a.join(b, ["t", "key", "chunk"]).where(order & (hamming(F.col("h1"), F.col("h2")) <= k))
+    close = a.join(b.hint("merge"), ["t", "key", "chunk"]).where(order & (hamming(F.col("h1"), F.col("h2")) <= k))
     earlier = F.slice(F.array(*[F.lit(m).cast("long") for m in masks]), F.lit(1), F.col("t"))
     return (close.where(F.forall(earlier, lambda m: gap.bitwiseAND(m) != 0))
             .select("h1", "h2", hamming(F.col("h1"), F.col("h2")).alias("hamming")))

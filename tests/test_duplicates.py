@@ -61,6 +61,13 @@ def greedy(rows, k):
     return groups
 
 
+def test_keys_of_hashes_are_never_broadcast(spark):
+    rows = table(spark, corpus())
+    plan = hashing.hamming_pairs(rows.select("h").distinct(), rows.select("h").distinct(), 5)
+    assert plan.collect()  # the plan is final only after its own run
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_groups_equal_the_sequential_result(spark):
     rows = corpus(60)
     chain, h = [], 0
