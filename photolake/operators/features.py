@@ -6,15 +6,14 @@ are sums or counts, never pixels. ``keys`` names the raster's identity, so the s
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from photolake.functions.columns import (blue, green, hsv, int_div, packed_luma, packed_rgb, packed_sum, ratio, red,
-                                         var_pop_of)
+from photolake.functions.columns import blue, green, hsv, int_div, packed_luma, packed_sum, ratio, red, var_pop_of
 from photolake.operators.raster import KEYS, explode_pixels, positioned
+from photolake.operators.tallies import added, entropy, lists, per_raster, pixels, range_bins, rasters
 
 
 def channel_values(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -30,51 +29,49 @@ def color_histogram(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return channel_values(tiles, keys).groupBy(*keys, "channel", "bin").agg(F.count("*").alias("cnt"))
 
 
-def color_counts(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, v, n): how often each exact colour occurs."""
-    return (tiles.select(*keys, F.explode("px").alias("p")).groupBy(*keys, packed_rgb(F.col("p")).alias("v"))
-            .agg(F.count("*").alias("n")))
+def gray_entropy_nats(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Entropy (nats) of the channel mean, 256 bins over the image's own range."""
+    def feature(bounds: np.ndarray, v: np.ndarray, n: np.ndarray):
+        run, _, count = added(rasters(bounds), range_bins(v, bounds, 256), n)
+        return None, [entropy(run, count, len(bounds) - 1, np.log)]
 
+    total = pixels(lambda px: (px >> 16 & 255) + (px >> 8 & 255) + (px & 255))
+    return per_raster(tiles, keys, ["px"], total, feature, "entropy double")
 
-def _entropy(counts: DataFrame, keys: Sequence[str], log, eps: float = 0.0) -> Column:
-    """-sum p log(p + eps) over a frame of (keys, cnt)."""
-    total = F.sum("cnt").over(W.partitionBy(*keys))
-    p = counts.withColumn("p", F.col("cnt") / total)
-    return p.groupBy(*keys).agg((-F.sum(F.col("p") * log(F.col("p") + F.lit(eps)))).alias("entropy"))
 
+def gray_entropy_bits(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Entropy (bits) of the luma histogram."""
+    def feature(bounds: np.ndarray, v: np.ndarray, n: np.ndarray):
+        return None, [entropy(rasters(bounds), n, len(bounds) - 1, np.log2)]
 
-def _range_bin(v: Column, lo: Column, hi: Column, n: int) -> Column:
-    """Histogram bin over [lo, hi], last bin closed; a constant image falls into one bin."""
-    return F.when(hi > lo, F.least(int_div((v - lo) * n, hi - lo), F.lit(n - 1))).otherwise(0)
+    return per_raster(tiles, keys, ["px"], pixels(lambda px: px >> 24), feature, "entropy double")
 
 
-def gray_entropy_nats(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Entropy (nats) of the channel mean, 256 bins over the image's own range."""
-    levels = (tiles.select(*keys, F.explode("px").alias("v"))
-              .groupBy(*keys, packed_sum(F.col("v")).alias("s")).agg(F.count("*").alias("n")))
-    part = W.partitionBy(*keys)
-    bins = levels.select(*keys, "n", _range_bin(F.col("s"), F.min("s").over(part), F.max("s").over(part), 256).alias("bin"))
-    return _entropy(bins.groupBy(*keys, "bin").agg(F.sum("n").alias("cnt")), keys, F.log)
+def _exact_colors(px: np.ndarray) -> np.ndarray:
+    """0xRRGGBB; its order is (r, g, b) order."""
+    return px & 0xFFFFFF
 
 
-def gray_entropy_bits(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Entropy (bits) of the luma histogram."""
-    gray = tiles.select(*keys, F.explode("px").alias("v")).select(*keys, packed_luma(F.col("v")).alias("bin"))
-    return _entropy(gray.groupBy(*keys, "bin").agg(F.count("*").alias("cnt")), keys, F.log2)
+def _channels(v: np.ndarray) -> list[np.ndarray]:
+    return [v >> 16 & 255, v >> 8 & 255, v & 255]
 
 
-def joint_color_entropy(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Entropy (bits) of the joint 16x16x16 colour histogram over each channel's own range."""
-    return joint_entropy_of(color_counts(tiles, keys), keys)
+def _joint_entropy(bounds: np.ndarray, v: np.ndarray, n: np.ndarray) -> np.ndarray:
+    r, g, b = (range_bins(c, bounds, 16) for c in _channels(v))
+    run, _, count = added(rasters(bounds), (r << 8) | (g << 4) | b, n)
+    return entropy(run, count, len(bounds) - 1, np.log2, 1e-10)
 
 
-def joint_entropy_of(colors: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    v, part = F.col("v"), W.partitionBy(*keys)
-    bins = [_range_bin(channel(v), F.min(channel(v)).over(part), F.max(channel(v)).over(part), 16).alias(f"{c}_bin")
-            for c, channel in (("r", red), ("g", green), ("b", blue))]
-    counts = (colors.select(*keys, "n", *bins).groupBy(*keys, "r_bin", "g_bin", "b_bin")
-              .agg(F.sum("n").alias("cnt")))
-    return _entropy(counts, keys, F.log2, 1e-10)
+def _commonest(bounds: np.ndarray, v: np.ndarray, n: np.ndarray, bits: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Most frequent value below 2 ** bits of each raster, and its count; ties go to the smallest value."""
+    top = (1 << bits) - 1
+    best = np.maximum.reduceat((n << bits) | (top - v), bounds[:-1])
+    return top - (best & top), best >> bits
+
+
+def joint_color_entropy(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Entropy (bits) of the joint 16x16x16 colour histogram over each channel's own range."""
+    return per_raster(tiles, keys, ["px"], pixels(_exact_colors), lambda *counts: (None, [_joint_entropy(*counts)]), "entropy double")
 
 
 def color_uniformity(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -91,13 +88,11 @@ def color_uniformity(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def dominant_color_mode(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Most frequent exact colour; ties go to the smallest colour in (r, g, b) order."""
-    return mode_of(color_counts(tiles, keys), keys)
-
+    def feature(bounds: np.ndarray, v: np.ndarray, n: np.ndarray):
+        color, count = _commonest(bounds, v, n)
+        return None, [*[c.astype(np.int32) for c in _channels(color)], count]
 
-def mode_of(colors: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    top = colors.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("v")).alias("neg"))).alias("m"))
-    v = -F.col("m.neg")
-    return top.select(*keys, red(v).alias("r"), green(v).alias("g"), blue(v).alias("b"), F.col("m.n").alias("cnt"))
+    return per_raster(tiles, keys, ["px"], pixels(_exact_colors), feature, "r int, g int, b int, cnt bigint")
 
 
 def _channel_sums() -> list[Column]:
@@ -184,62 +179,56 @@ def palette_topk(tiles: DataFrame, k: int = 5, keys: Sequence[str] = KEYS) -> Da
 UNIT = 1_000_000
 
 
-def _lloyd(colors: np.ndarray, counts: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Weighted k-means in millionths of a colour step, seeded with the k most frequent colours."""
-    centers = colors[:k] * UNIT
-    points = colors * UNIT
+def quantised_colors(px: np.ndarray) -> np.ndarray:
+    """``_quantised`` of packed pixels in an array."""
+    return (px >> 12 & 0xF00) | (px >> 8 & 0xF0) | (px >> 4 & 0xF)
+
+
+def _palettes(bounds: np.ndarray, q: np.ndarray, n: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, list]:
+    """Weighted k-means of each raster's 12-bit colours, in millionths of a colour step, seeded with the k most frequent colours. Only
+    bounded lists (at most 4096 colours) enter, some hundred rasters at a time. Integer arithmetic throughout."""
+    run, size = rasters(bounds), np.diff(bounds)
+    order = np.lexsort((q, -n, run))
+    q, n, place = q[order], n[order], np.arange(len(q)) - bounds[run]
+    colors = np.stack([(q >> 8) * 16 + 8, (q >> 4 & 15) * 16 + 8, (q & 15) * 16 + 8], axis=1)
+    used = np.arange(k) < size[:, None]
+    centers = np.zeros((len(size), k, 3), dtype=np.int64)
+    centers[run[place < k], place[place < k]] = colors[place < k] * UNIT
     for _ in range(rounds):
-        near = ((points[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-        for c in range(len(centers)):
-            weight = counts * (near == c)
-            if weight.any():
-                centers[c] = (colors * weight[:, None]).sum(axis=0) * UNIT // weight.sum()
-    return centers
+        gaps = ((colors[:, None, :] * UNIT - centers[run]) ** 2).sum(axis=2)
+        gaps[~used[run]] = np.iinfo(np.int64).max
+        cell = run * k + gaps.argmin(axis=1)
+        weight = np.zeros(len(size) * k, dtype=np.int64)
+        sums = np.zeros((len(size) * k, 3), dtype=np.int64)
+        np.add.at(weight, cell, n)
+        np.add.at(sums, cell, colors * n[:, None])
+        moved = np.where(weight[:, None] > 0, sums * UNIT // np.maximum(weight, 1)[:, None], centers.reshape(-1, 3)).reshape(centers.shape)
+        if (moved == centers).all():
+            break  # further rounds change nothing
+        centers = moved
+    row, cluster = np.nonzero(used)
+    return row, [x.astype(np.int32) for x in (cluster, *(centers[row, cluster] // UNIT).T)]
 
 
 def palette_kmeans(tiles: DataFrame, k: int = 3, rounds: int = 10) -> DataFrame:
-    """k palette colours per image: weighted k-means over its quantised colours. ``tiles``: images resampled to ``squeezed`` size.
-
-    Spark counts colours per image (at most 4096 of them); only that bounded, sorted list enters the
-    iterative helper, one image at a time inside each task. Integer arithmetic throughout.
-    """
-    counts = (tiles.select("image_id", F.explode("px").alias("v"))
-              .groupBy("image_id", _quantised(F.col("v")).alias("q")).agg(F.count("*").alias("cnt")))
-    lists = counts.groupBy("image_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("neg"), F.col("q")))).alias("c")).select(
-        "image_id", F.col("c.q").alias("q"), F.transform("c.neg", lambda n: -n).alias("cnt"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list] = [[], [], [], [], []]
-            for image_id, q, cnt in zip(*(batch.column(i) for i in range(3))):
-                q = np.asarray(q.values, dtype=np.int64)
-                colors = np.stack([q // 256 * 16 + 8, q // 16 % 16 * 16 + 8, q % 16 * 16 + 8], axis=1)
-                for c, center in enumerate(_lloyd(colors, np.asarray(cnt.values, dtype=np.int64), k, rounds)):
-                    for col, value in zip(rows, (image_id.as_py(), c, *(center // UNIT).tolist())):
-                        col.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int64()), *[pa.array(c, pa.int32()) for c in rows[1:]]],
-                names=["image_id", "cluster", "r", "g", "b"])
-
-    return lists.mapInArrow(run, "image_id bigint, cluster int, r int, g int, b int")
+    """k palette colours per image: weighted k-means over its quantised colours. ``tiles``: images resampled to ``squeezed`` size."""
+    return per_raster(tiles, KEYS, ["px"], pixels(quantised_colors), lambda *counts: _palettes(*counts, k, rounds),
+                      "cluster int, r int, g int, b int")
 
 
 def color_profile(tiles: DataFrame) -> DataFrame:
     """One record per image: joint entropy, dominant colour, variance and three 256-bin histograms, all from one count of colours."""
-    colors = color_counts(tiles)
-    v = F.col("v")
-    rows = F.array(*[F.struct(F.lit(name).alias("channel"), value.alias("bin"))
-                     for name, value in (("r", red(v)), ("g", green(v)), ("b", blue(v)))])
-    hist = (colors.select("image_id", "n", F.inline(rows)).groupBy("image_id", "channel", "bin").agg(F.sum("n").alias("cnt"))
-            .groupBy("image_id").agg(*[
-                F.map_from_entries(F.collect_list(F.when(F.col("channel") == c, F.struct("bin", "cnt")))).alias(f"m_{c}") for c in "rgb"]))
-
-    def all_bins(counts: str) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(255)),
-                           lambda i: F.coalesce(F.try_element_at(F.col(counts), i), F.lit(0).cast("long")))
-
-    full = hist.select("image_id", *[all_bins(f"m_{c}").alias(f"hist_{c}") for c in "rgb"])
-    return (joint_entropy_of(colors).withColumnRenamed("entropy", "color_entropy")
-            .join(mode_of(colors).drop("cnt"), "image_id")
-            .join(variance_of(colors), "image_id").join(full, "image_id"))
+    def feature(bounds: np.ndarray, v: np.ndarray, n: np.ndarray):
+        runs, run, channels = len(bounds) - 1, rasters(bounds), _channels(v)
+        hist = []
+        for c in channels:
+            counts = np.zeros(runs * 256, dtype=np.int64)
+            np.add.at(counts, run * 256 + c, n)
+            hist.append(lists(counts, np.arange(runs + 1) * 256))
+        sums = [np.add.reduceat(n * x, bounds[:-1]) for x in (1, sum(channels), sum(c * c for c in channels))]
+        return None, [_joint_entropy(bounds, v, n), *[c.astype(np.int32) for c in _channels(_commonest(bounds, v, n)[0])], *sums, *hist]
+
+    full = per_raster(tiles, KEYS, ["px"], pixels(_exact_colors), feature, "color_entropy double, r int, g int, b int, n bigint, s1 bigint, "
+                      "s2 bigint, hist_r array<bigint>, hist_g array<bigint>, hist_b array<bigint>").where("image_id IS NOT NULL")
+    return full.select("image_id", "color_entropy", "r", "g", "b", var_pop_of(3 * F.col("n"), F.col("s1"), F.col("s2")).alias("variance"),
+                       "hist_r", "hist_g", "hist_b")

@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from photolake.functions.columns import blue, green, int_div, packed_luma, ratio, red, var_pop_of
+from photolake.functions.columns import blue, green, ratio, red, var_pop_of
 from photolake.operators.raster import KEYS, angle_of, gradients_of, laplacian_of, magnitude_of, neighbourhoods
+from photolake.operators.tallies import lists, per_raster
 
 
 def blur_score(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -68,21 +71,34 @@ DIRECTIONS = (("0", 0, 1), ("45", 1, 1), ("90", 1, 0), ("135", 1, -1))
 def glcm(tiles: DataFrame, keys: Sequence[str] = KEYS, angles: Sequence[str] = ("0", "45", "90", "135")) -> DataFrame:
     """Symmetric, normalised gray co-occurrence for each of ``angles``; only cells that occur.
 
-    Unordered pairs are counted, then mirrored, so the heavy grouping sees half the rows.
+    Unordered pairs are counted tile by tile and mirrored at the end, so what moves is one row a tile.
     """
-    p, w = F.col("p"), F.col("w")
-    flat = (tiles.select(*keys, "width", "height", "y0", "x0", "w", "pad", F.posexplode("px").alias("p", "v"))
-            .withColumn("row", int_div(p, w).cast("int")).withColumn("col", (p % w).cast("int"))
-            .withColumn("y", F.col("y0") + F.col("row")).withColumn("x", F.col("x0") + F.col("col"))
-            .withColumn("v", packed_luma(F.col("v"))))
-    pairs = F.array(*[F.struct(
-        F.lit(name).alias("angle"),
-        F.when((F.col("y") + dy < F.col("height")) & (F.col("x") + dx >= 0) & (F.col("x") + dx < F.col("width")),
-               packed_luma(F.get("pad", (F.col("row") + 1 + dy) * (w + 2) + F.col("col") + 1 + dx))).alias("u"))
-        for name, dy, dx in DIRECTIONS if name in angles])
-    cells = (flat.select(*keys, "width", "height", "v", F.inline(pairs)).where("u IS NOT NULL")
-             .groupBy(*keys, "angle", F.least("v", "u").alias("lo"), F.greatest("v", "u").alias("hi"))
-             .agg(F.count("*").alias("cnt"), F.any_value("width").alias("w"), F.any_value("height").alias("h")))
+    wanted = [(i, dy, dx) for i, (name, dy, dx) in enumerate(DIRECTIONS) if name in angles]
+
+    def pairs(columns: list[pa.Array]):
+        offsets = columns[-1].offsets.to_numpy()
+        gray = (columns[-1].values.to_numpy().view(np.uint32) >> 24).astype(np.int64)
+        codes, sizes = [np.zeros(0, np.int64)], []
+        for i, (width, height, y0, x0, w, h) in enumerate(zip(*(c.to_pylist() for c in columns[:-1]))):
+            pad = gray[offsets[i]:offsets[i + 1]].reshape(h + 2, w + 2)
+            sizes.append(0)
+            for angle, dy, dx in wanted:
+                # Rows and columns of the tile whose partner lies inside the raster.
+                y1, first, x1 = min(h, height - dy - y0), max(0, -dx - x0), min(w, width - dx - x0)
+                if y1 > 0 and x1 > first:
+                    v, u = pad[1:1 + y1, 1 + first:1 + x1], pad[1 + dy:1 + dy + y1, 1 + dx + first:1 + dx + x1]
+                    codes.append(((angle << 16) | (np.minimum(v, u) << 8) | np.maximum(v, u)).reshape(-1))
+                    sizes[-1] += codes[-1].size
+        return np.repeat(np.arange(len(sizes)), sizes), np.concatenate(codes), None
+
+    counts = per_raster(tiles.withColumns({"rw": F.col("width"), "rh": F.col("height")}), keys, ["width", "height", "y0", "x0", "w", "h", "pad"],
+                        pairs, lambda bounds, v, n: (None, [lists(v.astype(np.int32), bounds), lists(n, bounds)]),
+                        "code array<int>, cnt array<bigint>", carry=["rw", "rh"])
+    code = F.col("code")
+    cells = (counts.select(*keys, "rw", "rh", F.col("cnt").alias("all"), F.posexplode("code").alias("p", "code"))
+             .select(*keys, F.get(F.array(*[F.lit(name) for name, _, _ in DIRECTIONS]), F.shiftright(code, 16)).alias("angle"),
+                     F.shiftright(code, 8).bitwiseAND(255).alias("lo"), code.bitwiseAND(255).alias("hi"),
+                     F.get("all", "p").alias("cnt"), F.col("rw").alias("w"), F.col("rh").alias("h")))
     w, h, angle = F.col("w").cast("long"), F.col("h").cast("long"), F.col("angle")
     n_pairs = F.when(angle == "0", (w - 1) * h).when(angle == "90", w * (h - 1)).otherwise((w - 1) * (h - 1))
     mirrored = F.when(F.col("lo") == F.col("hi"), F.array(F.struct(F.col("lo").alias("i"), F.col("hi").alias("j"),

@@ -32,3 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: an iterative plan stays short and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows that go to a Python worker at a time. A row may be a bitmap, a tile or an image's counts.
+BATCH_ROWS = 400
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the rows of an Arrow batch, so that a worker's memory does not grow with its partition."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

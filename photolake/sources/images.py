@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from photolake.functions.fixed import IMAGE_EXTENSIONS
+from photolake.session import small_batches
 
 #: Side of a tile: 16 KB of packed pixels.
 TILE = 64
@@ -130,6 +131,7 @@ def image_tiles(images: DataFrame, bgr: bool = False, halo: bool = False, size:
     if "n_channels" not in images.columns:
         images = images.withColumn("n_channels", F.lit(3))
     names = TILE_COLUMNS + (["pad"] if halo else [])
+    small_batches(images.sparkSession)
 
     def batch_of(tiles: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*tiles))

@@ -1,5 +1,6 @@
 """Decoding, rasters, stencils and features on small images with known answers."""
 
+import re
 import struct
 import zlib
 from collections import Counter
@@ -264,3 +265,35 @@ def test_empty_input(spark):
     assert features.gray_entropy_bits(none).count() == 0
     assert texture.tone_and_edges(none).count() == 0
     assert hashing.phash(none).count() == 0
+
+
+COUNTED = [features.gray_entropy_nats, features.gray_entropy_bits, features.joint_color_entropy, features.dominant_color_mode,
+           features.palette_kmeans, features.color_profile, texture.glcm, lambda t: texture.glcm_features(texture.glcm(t, angles=("0",)))]
+
+
+@pytest.mark.parametrize("feature", COUNTED)
+def test_counts_move_by_raster_only(spark, feature):
+    """No exchange by colour, level or pair: a row moved holds a tile's counts."""
+    plan = feature(tiles(spark, noise(9, 9)))._jdf.queryExecution().executedPlan().toString()
+    keys = [part.split(", ") for part in re.findall(r"hashpartitioning\(([^)]*)\)", plan)]
+    assert keys and all(len(k) == 2 for k in keys)  # image_id and the number of partitions
+
+
+@pytest.mark.parametrize("rows", [1, 400])
+def test_counts_of_one_id_add_up_across_batches(spark, rows):
+    """Two rows of one id are one raster, whatever batches its tiles come in; a null id is an id."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        a, b = noise(6, 5), noise(6, 5, seed=2) // 4
+        both = frame(spark, [np.concatenate([a, b]), b]).withColumn("image_id", F.when(F.col("image_id") == 0, 7))
+        apart = frame(spark, [a, b, b]).withColumn("image_id", F.when(F.col("image_id") < 2, 7))
+        for feature in (features.gray_entropy_nats, features.gray_entropy_bits, features.joint_color_entropy, features.dominant_color_mode,
+                        features.palette_kmeans):
+            want, got = (sorted(feature(images.image_tiles(x, side=s)).collect(), key=str) for x, s in ((both, 64), (apart, 2)))
+            assert [r[0] for r in want] == [r[0] for r in got] and {r[0] for r in got} == {7, None}
+            for x, y in zip(want, got):
+                assert list(x)[1:] == pytest.approx(list(y)[1:])
+    finally:
+        spark.conf.set(name, old)
