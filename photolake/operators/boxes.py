@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from photolake.functions.columns import box_score, int_div, iou, packed_luma, ratio, var_pop_of
-from photolake.operators.features import palette_topk
+from photolake.functions.columns import box_score, iou, ratio, var_pop_of
+from photolake.operators.features import commonest, quantised_colors
 from photolake.operators.ranking import ranked
 from photolake.operators.raster import clipped_boxes, roi_tiles
+from photolake.operators.tallies import added, entropy, flat, per_raster, rasters
 from photolake.operators.texture import tone_and_edges
 
 ROI = ("image_id", "box_id")
@@ -158,35 +161,41 @@ def face_quality(crops: DataFrame) -> DataFrame:
     return stats.select(*ROI, face_quality_of(F.col("contrast"), F.col("sharpness"), F.col("eyes")).alias("quality"))
 
 
-def equalised_counts(crops: DataFrame) -> DataFrame:
-    """(image_id, box_id, v, cnt): histogram of each crop after histogram equalisation.
+def _equalised(bounds: np.ndarray, gray: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(crop, v, cnt): histogram of each crop after histogram equalisation, from its gray levels in order."""
+    run, start = rasters(bounds), bounds[:-1]
+    total = np.add.reduceat(count, start)
+    running = np.cumsum(count)
+    up_to = running - (running[start] - count[start])[run]
+    span = (total - count[start])[run]
+    value = np.where(span == 0, gray, (510 * (up_to - count[start][run]) + span) // np.maximum(2 * span, 1))
+    return added(run, value, count)
 
-    Gray levels are counted first; the running sum then sees at most 256 rows per crop.
-    """
-    gray = (crops.select(*ROI, F.explode("px").alias("p"))
-            .groupBy(*ROI, packed_luma(F.col("p")).alias("g")).agg(F.count("*").alias("cnt")))
-    part = W.partitionBy(*ROI)
-    up_to = F.sum("cnt").over(part.orderBy("g").rowsBetween(W.unboundedPreceding, 0))
-    lowest = F.first("cnt").over(part.orderBy("g"))
-    total = F.sum("cnt").over(part)
-    flat = gray.select(*ROI, "g", "cnt", up_to.alias("up_to"), lowest.alias("lowest"), total.alias("total"))
-    span = F.col("total") - F.col("lowest")
-    value = F.when(span == 0, F.col("g")).otherwise(
-        int_div(510 * (F.col("up_to") - F.col("lowest")) + span, 2 * span)).cast("int")
-    return flat.select(*ROI, value.alias("v"), "cnt").groupBy(*ROI, "v").agg(F.sum("cnt").alias("cnt"))
+
+def _crop_features(bounds: np.ndarray, v: np.ndarray, n: np.ndarray):
+    """Of gray levels (0 .. 255) and 12-bit colours (256 and up)."""
+    runs, tone = len(bounds) - 1, v < 256
+    run = rasters(bounds)
+    edges = np.searchsorted(run[tone], np.arange(runs + 1))
+    crop, value, count = _equalised(edges, v[tone], n[tone])
+    at = np.searchsorted(crop, np.arange(runs))
+    sums = [np.add.reduceat(x, at) for x in (count, value * count, value * value * count)]
+    colors = np.searchsorted(run[~tone], np.arange(runs + 1))
+    return None, [*sums, entropy(crop, count, runs, np.log), commonest(colors, v[~tone] - 256, n[~tone], 12)[0]]
+
+
+def _levels_and_colors(columns: list[pa.Array]):
+    px, tile = flat(columns[0])
+    px = px.view(np.uint32)
+    return np.concatenate([tile, tile]), np.concatenate([px >> 24, 256 + quantised_colors(px)]), None
 
 
 def face_features(crops: DataFrame) -> DataFrame:
-    """Mean, deviation and entropy (nats) of the equalised crop, and its most frequent 12-bit colour."""
-    counts = equalised_counts(crops)
-    total = F.sum("cnt").over(W.partitionBy(*ROI))
-    v, c, p = F.col("v"), F.col("cnt"), F.col("p")
-    stats = counts.withColumn("p", ratio(c, total)).groupBy(*ROI).agg(
-        F.sum("cnt").alias("n"), F.sum(v * c).alias("s1"), F.sum(v * v * c).alias("s2"), (-F.sum(p * F.log(p))).alias("entropy"))
-    stats = stats.select(*ROI, ratio(F.col("s1"), F.col("n")).alias("mean_intensity"),
-                         F.sqrt(var_pop_of(F.col("n"), F.col("s1"), F.col("s2"))).alias("std_intensity"), "entropy")
-    top = palette_topk(crops, 1, ROI).select(*ROI, F.col("color").alias("top_color"))
-    return stats.join(top, list(ROI))
+    """Mean, deviation and entropy (nats) of the equalised crop, and its most frequent 12-bit colour, from one count of both."""
+    stats = per_raster(crops, ROI, ["px"], _levels_and_colors, _crop_features, "n bigint, s1 bigint, s2 bigint, entropy double, top_color bigint")
+    return stats.where("image_id IS NOT NULL AND box_id IS NOT NULL").select(
+        *ROI, ratio(F.col("s1"), F.col("n")).alias("mean_intensity"),
+        F.sqrt(var_pop_of(F.col("n"), F.col("s1"), F.col("s2"))).alias("std_intensity"), "entropy", "top_color")
 
 
 def face_details(boxes: DataFrame, bitmaps: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def _joint_entropy(bounds: np.ndarray, v: np.ndarray, n: np.ndarray) -> np.ndarr
     return entropy(run, count, len(bounds) - 1, np.log2, 1e-10)
 
 
-def _commonest(bounds: np.ndarray, v: np.ndarray, n: np.ndarray, bits: int = 24) -> tuple[np.ndarray, np.ndarray]:
+def commonest(bounds: np.ndarray, v: np.ndarray, n: np.ndarray, bits: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Most frequent value below 2 ** bits of each raster, and its count; ties go to the smallest value."""
     top = (1 << bits) - 1
     best = np.maximum.reduceat((n << bits) | (top - v), bounds[:-1])
@@ -89,7 +89,7 @@ def color_uniformity(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def dominant_color_mode(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Most frequent exact colour; ties go to the smallest colour in (r, g, b) order."""
     def feature(bounds: np.ndarray, v: np.ndarray, n: np.ndarray):
-        color, count = _commonest(bounds, v, n)
+        color, count = commonest(bounds, v, n)
         return None, [*[c.astype(np.int32) for c in _channels(color)], count]
 
     return per_raster(tiles, keys, ["px"], pixels(_exact_colors), feature, "r int, g int, b int, cnt bigint")
@@ -226,7 +226,7 @@ def color_profile(tiles: DataFrame) -> DataFrame:
             np.add.at(counts, run * 256 + c, n)
             hist.append(lists(counts, np.arange(runs + 1) * 256))
         sums = [np.add.reduceat(n * x, bounds[:-1]) for x in (1, sum(channels), sum(c * c for c in channels))]
-        return None, [_joint_entropy(bounds, v, n), *[c.astype(np.int32) for c in _channels(_commonest(bounds, v, n)[0])], *sums, *hist]
+        return None, [_joint_entropy(bounds, v, n), *[c.astype(np.int32) for c in _channels(commonest(bounds, v, n)[0])], *sums, *hist]
 
     full = per_raster(tiles, KEYS, ["px"], pixels(_exact_colors), feature, "color_entropy double, r int, g int, b int, n bigint, s1 bigint, "
                       "s2 bigint, hist_r array<bigint>, hist_g array<bigint>, hist_b array<bigint>").where("image_id IS NOT NULL")

@@ -7,11 +7,15 @@ tiles and needs neither a shuffle nor a sort, whatever the size of an image.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from photolake.functions.columns import blue, green, int_div, packed_luma, red
+from photolake.operators.tallies import lists, per_raster
 from photolake.sources.images import TILE, image_tiles
 
 KEYS = ("image_id",)
@@ -98,17 +102,17 @@ def _cells(first: Column, size: Column, side: int) -> Column:
     return F.sequence(int_div(first, F.lit(side)), int_div(first + F.greatest(size, F.lit(1)) - 1, F.lit(side)))
 
 
-def roi_tiles(boxes: DataFrame, bitmaps: DataFrame, side: int = TILE) -> DataFrame:
-    """Each box as tiles of its own: (image_id, box_id, other columns, left, top, width, height, y0, x0, w, h, px, pad).
+def roi_tiles(boxes: DataFrame, bitmaps: DataFrame, side: int = TILE, halo: bool = True) -> DataFrame:
+    """Each box as tiles of its own: (image_id, box_id, other columns, left, top, width, height, y0, x0, w, h, px[, pad]).
 
     width and height are those of the clipped box, y0 and x0 count from its corner. Boxes meet the haloed tiles they touch, by
     grid cell; a crop needs no pixel beyond a tile's halo, since its own border is mirrored inwards. Only images with boxes are decoded.
     """
     crops = clipped_boxes(boxes, bitmaps)
     wanted = bitmaps.join(boxes.select("image_id").distinct(), "image_id", "left_semi")
-    tiles = image_tiles(wanted, halo=True, side=side).select(
+    tiles = image_tiles(wanted, halo=halo, side=side).select(
         "image_id", int_div(F.col("y0"), F.lit(side)).alias("cy"), int_div(F.col("x0"), F.lit(side)).alias("cx"),
-        F.col("y0").alias("ty"), F.col("x0").alias("tx"), F.col("w").alias("tw"), F.col("h").alias("th"), "px", "pad")
+        F.col("y0").alias("ty"), F.col("x0").alias("tx"), F.col("w").alias("tw"), F.col("h").alias("th"), "px", *["pad"] * halo)
     met = (crops.withColumn("cy", F.explode(_cells(F.col("top"), F.col("height"), side)))
            .withColumn("cx", F.explode(_cells(F.col("left"), F.col("width"), side)))
            .join(tiles, ["image_id", "cy", "cx"]))
@@ -130,31 +134,53 @@ def roi_tiles(boxes: DataFrame, bitmaps: DataFrame, side: int = TILE) -> DataFra
 
     plain = F.flatten(F.transform(F.sequence(F.col("fy") - F.col("ty"), F.col("fy") - F.col("ty") + F.col("h") - 1), lambda i: F.slice(
         "px", (i * F.col("tw") + F.col("fx") - F.col("tx") + 1).cast("int"), F.col("w"))))
-    border = F.flatten(F.transform(F.sequence(F.lit(-1), F.col("h")), bordered))
-    return met.select(*crops.columns, "y0", "x0", "w", "h", plain.alias("px"), border.alias("pad"))
+    parts = [plain.alias("px")]
+    if halo:
+        parts.append(F.flatten(F.transform(F.sequence(F.lit(-1), F.col("h")), bordered)).alias("pad"))
+    return met.select(*crops.columns, "y0", "x0", "w", "h", *parts)
 
 
 def roi_pixels(boxes: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Pixels of each box, in image coordinates."""
     keys = ("image_id", "box_id")
-    return positioned(roi_tiles(boxes, bitmaps), *keys, "left", "top").select(
+    return positioned(roi_tiles(boxes, bitmaps, halo=False), *keys, "left", "top").select(
         *keys, (F.col("top") + F.col("y")).alias("y"), (F.col("left") + F.col("x")).alias("x"), packed_luma(F.col("v")).alias("gray"))
 
 
 def thumbnail_raster(tiles: DataFrame, max_w: int, max_h: int) -> DataFrame:
     """Box-average to the planned thumbnail size (never enlarging); one row per thumbnail pixel.
 
-    A tile's pixels are summed before the exchange, so what moves are thumbnail cells.
+    A tile's pixels are summed by cell where the tile is made; a cell has four entries, its channels' sums and its pixels.
     """
-    width, height, v = F.col("width"), F.col("height"), F.col("v")
-    scale = F.least(F.lit(1.0), F.lit(float(max_w)) / width, F.lit(float(max_h)) / height)
-    cells = (positioned(tiles, "image_id", "width", "height")
-             .withColumn("tw", F.greatest(F.lit(1), F.floor(width * scale).cast("int")))
-             .withColumn("th", F.greatest(F.lit(1), F.floor(height * scale).cast("int")))
-             .select("image_id", int_div(F.col("y") * F.col("th"), height).cast("int").alias("y"),
-                     int_div(F.col("x") * F.col("tw"), width).cast("int").alias("x"),
-                     red(v).alias("r"), green(v).alias("g"), blue(v).alias("b")))
-    return cells.groupBy("image_id", "y", "x").agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("b").alias("b"))
+    def cells(first: int, n: int, size: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
+        """(cell, first place in the tile) along an axis."""
+        at = np.arange(first, first + n) * max(1, math.floor(size * scale)) // size
+        start = np.flatnonzero(np.diff(at, prepend=-1))
+        return at[start], start
+
+    def sums(columns: list[pa.Array]):
+        px, offsets = columns[-1].values.to_numpy().view(np.uint32), columns[-1].offsets.to_numpy()
+        codes, weights, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for i, (width, height, y0, x0, w, h) in enumerate(zip(*(c.to_pylist() for c in columns[:-1]))):
+            scale = min(1.0, max_w / width, max_h / height)
+            (cy, fy), (cx, fx) = cells(y0, h, height, scale), cells(x0, w, width, scale)
+            grid = px[offsets[i]:offsets[i + 1]].reshape(h, w)
+            planes = np.stack([grid >> 16 & 255, grid >> 8 & 255, grid & 255, np.ones_like(grid)], axis=2).astype(np.int64)
+            weights.append(np.add.reduceat(np.add.reduceat(planes, fy, axis=0), fx, axis=1).reshape(-1))
+            codes.append((((cy[:, None] * max_w + cx) * 4)[:, :, None] + np.arange(4)).reshape(-1))
+            sizes.append(codes[-1].size)
+        return np.repeat(np.arange(len(sizes)), sizes), np.concatenate(codes), np.concatenate(weights)
+
+    def means(bounds: np.ndarray, v: np.ndarray, n: np.ndarray):
+        four = n.reshape(-1, 4)
+        return None, [lists(x, bounds // 4) for x in (v[::4] // 4, *(four[:, c] / four[:, 3] for c in range(3)))]
+
+    thumbs = per_raster(tiles, KEYS, ["width", "height", "y0", "x0", "w", "h", "px"], sums, means,
+                        "cells array<int>, rs array<double>, gs array<double>, bs array<double>")
+    cell, p = F.col("cell"), F.col("p")
+    return (thumbs.select("image_id", "rs", "gs", "bs", F.posexplode("cells").alias("p", "cell"))
+            .select("image_id", int_div(cell, F.lit(max_w)).cast("int").alias("y"), (cell % max_w).cast("int").alias("x"),
+                    *[F.get(f"{c}s", p).alias(c) for c in "rgb"]))
 
 
 def augment_raster(tiles: DataFrame, dx: int = 1, dy: int = 1) -> DataFrame:

@@ -40,16 +40,20 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 def _block_top(queries: pd.DataFrame, corpus: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest of one corpus block for each query of one query block, by a matrix product."""
+    corpus = corpus.sort_values("vec_id", kind="stable")
     ids, others = queries["query_id"].to_numpy(), corpus["vec_id"].to_numpy()
     sims = _unit(np.stack(queries["target"]).astype(np.float64)) @ _unit(
         np.stack(corpus["vector"]).astype(np.float64)).T
-    sims[ids[:, None] == others[None, :]] = -np.inf
-    # Twelve digits decide the order, so equal vectors tie whatever the summation order.
-    order = np.lexsort((np.broadcast_to(others, sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
-    best = np.take_along_axis(sims, order, axis=1)
-    ok = np.isfinite(best)
-    return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1])[ok.ravel()], "vec_id": others[order][ok],
-                         "similarity": best[ok]})
+    sims[(ids[:, None] == others[None, :]) | ~np.isfinite(sims)] = -np.inf
+    # Twelve digits decide the order, so equal vectors tie whatever the summation order. Only those as near as the k-th are sorted.
+    digits = np.round(sims, 12)
+    last = np.partition(digits, -k, axis=1)[:, -k] if k < len(others) else np.full(len(ids), -np.inf)
+    row, col = np.nonzero((digits >= last[:, None]) & (digits > -np.inf))
+    order = np.lexsort((col, -digits[row, col], row))  # columns are in order of vec_id
+    row, col = row[order], col[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, col = row[best], col[best]
+    return pd.DataFrame({"query_id": ids[row], "vec_id": others[col], "similarity": sims[row, col]})
 
 
 def _angles(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:

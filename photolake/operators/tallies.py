@@ -35,6 +35,8 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
 def added(run: np.ndarray, value: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights added up by run and value, in their order."""
     code = (run.astype(np.int64) << 32) | value.astype(np.int64)
+    if (code[1:] > code[:-1]).all():  # in order already, nothing to add
+        return run, value, np.ones(len(run), np.int64) if weight is None else weight
     if weight is None:
         code, total = np.unique(code, return_counts=True)
     else:

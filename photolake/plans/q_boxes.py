@@ -105,8 +105,8 @@ feat AS (SELECT image_id, box_id, sum(v*cnt)/sum(cnt) AS mean_intensity,
  FROM eqp GROUP BY 1, 2)"""
 
 
-def crops(spark, d):
-    return raster.roi_tiles(tables.boxes(spark, d), tables.raw_images(spark, d))
+def crops(spark, d, halo=True):
+    return raster.roi_tiles(tables.boxes(spark, d), tables.raw_images(spark, d), halo=halo)
 
 
 @query("roi_pixels", views="boxes pix", sql=f"""
@@ -133,7 +133,7 @@ WITH {ROI.format('boxes')}, {EQUALISED}
 SELECT image_id, box_id, round(mean_intensity,6) AS mean_intensity, round(std_intensity,6) AS std_intensity,
  round(entropy,6)+0.0 AS entropy, CAST(color AS BIGINT) AS top_color FROM feat JOIN top USING (image_id, box_id)""")
 def face_features(spark, d):
-    return rounded(bx.face_features(crops(spark, d)))
+    return rounded(bx.face_features(crops(spark, d, halo=False)))
 
 
 @query("face_details", views="boxes pix", sql=f"""

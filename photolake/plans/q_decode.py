@@ -13,6 +13,10 @@ from photolake.sources import images, tables
 
 
 LISTED = ("jpg", "png", "gif")
+#: Subfolders that the written images are dealt to.
+FOLDERS = 256
+#: What opening a small file counts for when files are dealt to tasks; Spark's default of 4 MB gives a task 32 files.
+OPEN_COST = 1 << 16
 
 
 def _png(data: bytes, width: int, height: int) -> bytes:
@@ -29,13 +33,19 @@ def _png(data: bytes, width: int, height: int) -> bytes:
 
 
 def write_pngs(bitmaps, folder: str) -> None:
-    """One file per image, written where the tasks run; a retried task writes the same files again."""
+    """One file per image, written where the tasks run; a retried task writes the same files again. Subfolders keep listings short, and
+    are listed side by side."""
     def write(batches):
         target, base = fs.FileSystem.from_uri(folder)
-        target.create_dir(base, recursive=True)
+        made = set()
         for batch in batches:
             for image_id, width, height, data in zip(*(batch[c] for c in ("image_id", "width", "height", "data"))):
-                with target.open_output_stream(f"{base}/{image_id}.png") as out:
+                name = f"{image_id}.png"
+                part = f"{base}/{zlib.crc32(name.encode()) % FOLDERS:03x}"
+                if part not in made:
+                    target.create_dir(part, recursive=True)
+                    made.add(part)
+                with target.open_output_stream(f"{part}/{name}") as out:
                     out.write(_png(bytes(data), width, height))
             yield batch[["image_id"]]
 
@@ -69,11 +79,20 @@ def list_images(spark, d):
 
 
 def decoded(spark, d):
-    folder = scratch(spark, "png")
+    """Every image as a file, decoded once: what is read from the files is kept as a table."""
+    folder, kept = scratch(spark, "png"), scratch(spark, "decoded")
     folder = folder if ":" in folder else f"file://{folder}"
     write_pngs(tables.raw_images(spark, d), folder)
     number = F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long")
-    return images.decode_images(spark, folder).withColumn("image_id", number)
+    name = "spark.sql.files.openCostInBytes"
+    cost = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_COST))
+    try:
+        files = images.decode_images(spark, folder).withColumn("image_id", number)
+        files.write.parquet(kept)
+    finally:
+        spark.conf.set(name, cost)
+    return spark.read.schema(files.schema).parquet(kept)
 
 
 @query("decode_images", views="pix", sql="""
