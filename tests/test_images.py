@@ -268,7 +268,8 @@ def test_empty_input(spark):
 
 
 COUNTED = [features.gray_entropy_nats, features.gray_entropy_bits, features.joint_color_entropy, features.dominant_color_mode,
-           features.palette_kmeans, features.color_profile, texture.glcm, lambda t: texture.glcm_features(texture.glcm(t, angles=("0",)))]
+           features.palette_kmeans, features.color_profile, texture.glcm, lambda t: texture.glcm_features(texture.glcm(t, angles=("0",))),
+           lambda t: raster.thumbnail_raster(t, 4, 4)]
 
 
 @pytest.mark.parametrize("feature", COUNTED)
