@@ -184,30 +184,42 @@ def quantised_colors(px: np.ndarray) -> np.ndarray:
     return (px >> 12 & 0xF00) | (px >> 8 & 0xF0) | (px >> 4 & 0xF)
 
 
+def _exact_sums(cell: np.ndarray, values: np.ndarray, cells: int) -> np.ndarray:
+    """Sum of whole numbers from 0 up by cell; floating sums only where all of them are exact."""
+    if values.sum() < 1 << 53:
+        return np.bincount(cell, weights=values, minlength=cells).astype(np.int64)
+    sums = np.zeros(cells, dtype=np.int64)
+    np.add.at(sums, cell, values)
+    return sums
+
+
 def _palettes(bounds: np.ndarray, q: np.ndarray, n: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, list]:
     """Weighted k-means of each raster's 12-bit colours, in millionths of a colour step, seeded with the k most frequent colours. Only
     bounded lists (at most 4096 colours) enter, some hundred rasters at a time. Integer arithmetic throughout."""
     run, size = rasters(bounds), np.diff(bounds)
     order = np.lexsort((q, -n, run))
     q, n, place = q[order], n[order], np.arange(len(q)) - bounds[run]
-    colors = np.stack([(q >> 8) * 16 + 8, (q >> 4 & 15) * 16 + 8, (q & 15) * 16 + 8], axis=1)
+    colors = np.stack([(q >> 8) * 16 + 8, (q >> 4 & 15) * 16 + 8, (q & 15) * 16 + 8])
     used = np.arange(k) < size[:, None]
-    centers = np.zeros((len(size), k, 3), dtype=np.int64)
-    centers[run[place < k], place[place < k]] = colors[place < k] * UNIT
+    centers = np.zeros((3, k, len(size)), dtype=np.int64)
+    centers[:, place[place < k], run[place < k]] = colors[:, place < k] * UNIT
     for _ in range(rounds):
-        gaps = ((colors[:, None, :] * UNIT - centers[run]) ** 2).sum(axis=2)
-        gaps[~used[run]] = np.iinfo(np.int64).max
-        cell = run * k + gaps.argmin(axis=1)
-        weight = np.zeros(len(size) * k, dtype=np.int64)
-        sums = np.zeros((len(size) * k, 3), dtype=np.int64)
-        np.add.at(weight, cell, n)
-        np.add.at(sums, cell, colors * n[:, None])
-        moved = np.where(weight[:, None] > 0, sums * UNIT // np.maximum(weight, 1)[:, None], centers.reshape(-1, 3)).reshape(centers.shape)
-        if (moved == centers).all():
+        best = np.full(len(run), np.iinfo(np.int64).max)
+        cell = np.zeros(len(run), dtype=np.int64)
+        for c in range(k):
+            gap = sum((color * UNIT - center[c][run]) ** 2 for color, center in zip(colors, centers))
+            closer = (gap < best) & used[run, c]
+            best, cell = np.where(closer, gap, best), np.where(closer, c, cell)
+        cell = cell * len(size) + run
+        weight, *sums = (_exact_sums(cell, x, k * len(size)).reshape(k, -1) for x in (n, *(colors * n)))
+        moved = np.where(weight > 0, np.stack(sums) * UNIT // np.maximum(weight, 1), centers)
+        going = (moved != centers).any(axis=(0, 1))[run]
+        if not going.any():
             break  # further rounds change nothing
         centers = moved
+        colors, n, run = colors[:, going], n[going], run[going]  # nor do they for the other rasters
     row, cluster = np.nonzero(used)
-    return row, [x.astype(np.int32) for x in (cluster, *(centers[row, cluster] // UNIT).T)]
+    return row, [x.astype(np.int32) for x in (cluster, *(centers[:, cluster, row] // UNIT))]
 
 
 def palette_kmeans(tiles: DataFrame, k: int = 3, rounds: int = 10) -> DataFrame:
@@ -216,6 +228,18 @@ def palette_kmeans(tiles: DataFrame, k: int = 3, rounds: int = 10) -> DataFrame:
                       "cluster int, r int, g int, b int")
 
 
+def palette_arrays(tiles: DataFrame, k: int = 3, rounds: int = 10) -> DataFrame:
+    """``palette_kmeans`` with one row per image: its colours in an array, by cluster."""
+    def feature(bounds: np.ndarray, q: np.ndarray, n: np.ndarray):
+        row, found = _palettes(bounds, q, n, k, rounds)
+        ends = np.searchsorted(row, np.arange(len(bounds)))
+        return None, [lists(x, ends) for x in found]
+
+    names = ("cluster", "r", "g", "b")
+    arrays = per_raster(tiles, KEYS, ["px"], pixels(quantised_colors), feature, ", ".join(f"{name} array<int>" for name in names))
+    return arrays.select(*KEYS, F.arrays_zip(*names).alias("dominant_colors"))
+
+
 def color_profile(tiles: DataFrame) -> DataFrame:
     """One record per image: joint entropy, dominant colour, variance and three 256-bin histograms, all from one count of colours."""
     def feature(bounds: np.ndarray, v: np.ndarray, n: np.ndarray):

@@ -51,8 +51,7 @@ def survivors(bitmaps: DataFrame, images: DataFrame) -> DataFrame:
 
 def palette_of(bitmaps: DataFrame) -> DataFrame:
     """(image_id, dominant_colors) at the size at which palettes are taken."""
-    return features.palette_kmeans(image_tiles(bitmaps, size=squeezed)).groupBy("image_id").agg(
-        F.sort_array(F.collect_list(F.struct("cluster", "r", "g", "b"))).alias("dominant_colors"))
+    return features.palette_arrays(image_tiles(bitmaps, size=squeezed))
 
 
 def quality_of(bitmaps: DataFrame) -> DataFrame:
@@ -222,6 +221,14 @@ def organize_by_class(metadata: DataFrame) -> DataFrame:
                                    F.count_if(~F.col("is_person")).alias("non_person_images"))
 
 
+def _organised_type(name: Column) -> Column:
+    return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(fixed.ORGANIZE_EXTENSIONS)
+
+
+def organisable(images: DataFrame) -> DataFrame:
+    """Image files of the organised types; taken before decoding."""
+    return images.where(_organised_type(file_name(F.col("path"))))
+
+
 def organised(metadata: DataFrame) -> DataFrame:
-    ext = F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1))
-    return metadata.where(ext.isin(fixed.ORGANIZE_EXTENSIONS))
+    return metadata.where(_organised_type(F.col("filename")))

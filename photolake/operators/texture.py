@@ -48,6 +48,28 @@ def tone_and_edges(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
                        "edge_density", "mean_angle", "dynamic_range")
 
 
+def tone_and_sharpness(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The brightness, contrast and sharpness of ``tone_and_edges`` from whole-number sums, taken tile by tile: no row per pixel."""
+    names = ("n", "s1", "s2", "l1", "l2")
+
+    @F.arrow_udf(f"struct<{', '.join(f'{name}: bigint' for name in names)}>")
+    def sums(w: pa.Array, h: pa.Array, pad: pa.Array) -> pa.Array:
+        offsets, gray = pad.offsets.to_numpy(), (pad.values.to_numpy().view(np.uint32) >> 24).astype(np.int64)
+        rows = np.zeros((len(pad), len(names)), dtype=np.int64)
+        for i, (width, height) in enumerate(zip(w.to_pylist(), h.to_pylist())):
+            grid = gray[offsets[i]:offsets[i + 1]].reshape(height + 2, width + 2)
+            v = grid[1:-1, 1:-1]
+            lap = grid[:-2, 1:-1] + grid[2:, 1:-1] + grid[1:-1, :-2] + grid[1:-1, 2:] - 4 * v
+            rows[i] = v.size, v.sum(), (v * v).sum(), lap.sum(), (lap * lap).sum()
+        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T.copy()], names=list(names))
+
+    n, s1, s2, l1, l2 = map(F.col, names)
+    total = (tiles.select(*keys, sums("w", "h", "pad").alias("sums")).select(*keys, "sums.*").groupBy(*keys)
+             .agg(*[F.sum(name).alias(name) for name in names]))
+    return total.select(*keys, ratio(s1, n).alias("brightness"), F.sqrt(var_pop_of(n, s1, s2)).alias("contrast"),
+                        var_pop_of(n, l1, l2).alias("sharpness"))
+
+
 def quality_basic(tiles: DataFrame) -> DataFrame:
     return tone_and_edges(tiles).select("image_id", "sharpness", "edge_density", "dynamic_range")
 
@@ -60,7 +82,7 @@ def quality_parts() -> list[Column]:
 
 def quality_score(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Mean of sharpness, brightness and noise scores, with the parts. ``tiles``: images resampled to ``lowered`` size."""
-    parts = tone_and_edges(tiles, keys).select(*keys, *quality_parts())
+    parts = tone_and_sharpness(tiles, keys).select(*keys, *quality_parts())
     return parts.withColumn("quality", (F.col("sharpness_score") + F.col("brightness_score") + F.col("noise_score")) / 3)
 
 

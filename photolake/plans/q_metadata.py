@@ -232,7 +232,8 @@ def image_posts(spark, d):
     """Tags of all posts that carry each image."""
     number = F.regexp_extract("url", r"/img/(\d+)_", 1).cast("long")
     tagged = search.photo_rows(tables.posts(spark, d).select("tags", "photos")).select(number.alias("image_id"), F.explode("tags").alias("tag"))
-    return tagged.groupBy("image_id").agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+    # Repeats go by hash before the tags are collected; a set per image and task would be sorted.
+    return tagged.distinct().groupBy("image_id").agg(F.sort_array(F.collect_list("tag")).alias("tags"))
 
 
 PERSON = """image_tags AS MATERIALIZED (SELECT DISTINCT CAST(regexp_extract(url,'/img/([0-9]+)_',1) AS BIGINT) AS image_id,
@@ -251,8 +252,8 @@ meta AS (SELECT image_id, regexp_extract(path,'([^/]*)$',1) AS filename, length
  LEFT JOIN det USING (image_id) LEFT JOIN pal USING (image_id) LEFT JOIN quality USING (image_id))"""
 
 
-def post_meta(spark, d):
-    return md.post_metadata(tables.images(spark, d), tables.raw_images(spark, d), image_posts(spark, d),
+def post_meta(spark, d, images=None):
+    return md.post_metadata(tables.images(spark, d) if images is None else images, tables.raw_images(spark, d), image_posts(spark, d),
                             bx.combine_detections(tables.boxes(spark, d)))
 
 
@@ -265,11 +266,16 @@ def post_metadata(spark, d):
                    .drop("dominant_colors"))
 
 
+def organised_meta(spark, d):
+    """Records of the files that get organised; only these are decoded."""
+    return post_meta(spark, d, md.organisable(tables.images(spark, d)))
+
+
 @query("organize_by_class", views="images photo_rows expansion", sql=f"""
 WITH {PERSON} SELECT count(*) AS total_images, count(post_id) AS person_images, count(*)-count(post_id) AS non_person_images
 FROM images LEFT JOIN person ON post_id=image_id WHERE format IN {tuple(ORGANIZE_EXTENSIONS)}""")
 def organize_by_class(spark, d):
-    return md.organize_by_class(post_meta(spark, d))
+    return md.organize_by_class(organised_meta(spark, d))
 
 
 @query("image_report", views="images stencil pix100 predictions", sql=f"""

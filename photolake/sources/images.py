@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from photolake.session import small_batches
 TILE = 64
 #: Pixels of tiles in one Arrow batch.
 BATCH_CELLS = 1 << 20
+#: Pixels of small images that are packed at a time.
+PACK_CELLS = 1 << 16
 TILE_COLUMNS = ["image_id", "width", "height", "y0", "x0", "w", "h", "px"]
 TILE_SCHEMA = "image_id bigint, width int, height int, y0 int, x0 int, w int, h int, px array<int>"
 
@@ -79,7 +82,7 @@ def _resampled(bitmap: np.ndarray, width: int, height: int, rows: int = 256) ->
 
 
 def _packed(rgb: np.ndarray) -> np.ndarray:
-    r, g, b = (rgb[:, :, k].astype(np.int32) for k in range(3))
+    r, g, b = (rgb[..., k].astype(np.int32) for k in range(3))
     gray = (299 * r + 587 * g + 114 * b + 500) // 1000
     return ((gray << 24) | (r << 16) | (g << 8) | b).astype(np.uint32, copy=False).view(np.int32)
 
@@ -87,26 +90,55 @@ def _packed(rgb: np.ndarray) -> np.ndarray:
 def _bitmap(data: bytes, width: int, height: int, channels: int, bgr: bool) -> np.ndarray:
     """The RGB planes; too few bytes repeat to fill the bitmap."""
     flat, need = np.frombuffer(data, dtype=np.uint8), width * height * channels
-    grid = (flat[:need] if len(flat) >= need else np.resize(flat, need)).reshape(height, width, channels)
+    if len(flat) < need:
+        flat = np.concatenate([flat, flat[:need - len(flat)]]) if need <= 2 * len(flat) else np.resize(flat, need)
+    grid = flat[:need].reshape(height, width, channels)
     if channels == 1:
         return np.repeat(grid, 3, axis=2)
     return grid[:, :, 2::-1] if bgr else grid[:, :, :3]
 
 
+@lru_cache(1 << 12)
 def _mirrored(first: int, last: int, size: int) -> np.ndarray:
     """Places first - 1 .. last of an axis; the places outside are mirrored around the edge cells."""
     at = np.arange(first - 1, last + 1)
     at[at < 0] = min(1, size - 1)
     at[at >= size] = max(size - 2, 0)
+    at.flags.writeable = False
     return at
 
 
+def _packed_together(bitmaps: Iterable[tuple[int, np.ndarray]]) -> Iterator[tuple[int, np.ndarray]]:
+    """(image_id, raster): small bitmaps packed in one go, some ``PACK_CELLS`` pixels at a time; a larger one stays as it is."""
+    def packed() -> Iterator[tuple[int, np.ndarray]]:
+        flat = _packed(np.concatenate([b.reshape(-1, 3) for _, b in held]))
+        ends = np.cumsum([b.size // 3 for _, b in held]).tolist()
+        for (image_id, b), begin, end in zip(held, [0, *ends], ends):
+            yield image_id, flat[begin:end].reshape(b.shape[:2])
+
+    held: list[tuple[int, np.ndarray]] = []
+    cells = 0
+    for image_id, bitmap in bitmaps:
+        if bitmap.size > 3 * PACK_CELLS:
+            yield image_id, bitmap
+            continue
+        held.append((image_id, bitmap))
+        cells += bitmap.size // 3
+        if cells > PACK_CELLS:
+            yield from packed()
+            held, cells = [], 0
+    if held:
+        yield from packed()
+
+
 def _cut(bitmap: np.ndarray, side: int, halo: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
-    """(y0, x0, packed pixels, the same with a border) of each tile, a band of tiles at a time."""
+    """(y0, x0, packed pixels, the same with a border) of each tile, a band of tiles at a time. ``bitmap`` may be packed already."""
     h, w = bitmap.shape[:2]
     for y0 in range(0, h, side):
         y1 = min(y0 + side, h)
-        band = _packed(bitmap[_mirrored(y0, y1, h)] if halo else bitmap[y0:y1])
+        band = bitmap[_mirrored(y0, y1, h)] if halo else bitmap[y0:y1]
+        if band.ndim == 3:
+            band = _packed(band)
         core = band[1:-1] if halo else band
         for x0 in range(0, w, side):
             x1 = min(x0 + side, w)
@@ -126,7 +158,7 @@ def image_tiles(images: DataFrame, bgr: bool = False, halo: bool = False, size:
     ``height`` how large the raster is. With ``halo``, ``pad`` holds the tile with a border of one pixel, of (w + 2) x (h + 2): the
     neighbouring tiles' pixels, or those mirrored around the raster's edge. ``size`` gives the size to which an image is
     resampled first, if any. A map over Arrow batches: nothing is shuffled, no row exceeds a tile, and besides the bitmap
-    itself only a band of tiles is in memory.
+    itself (or a bounded number of small ones, which are packed together) only a band of tiles is in memory.
     """
     if "n_channels" not in images.columns:
         images = images.withColumn("n_channels", F.lit(3))
@@ -138,14 +170,18 @@ def image_tiles(images: DataFrame, bgr: bool = False, halo: bool = False, size:
         arrays = [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.int32()) for c in columns[1:7]], *[_lists(list(c)) for c in columns[7:]]]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
+    def bitmaps(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for image_id, data, w, h, c in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
+            bitmap = _bitmap(data.as_buffer(), w, h, c, bgr)
+            if size is not None and size(w, h) != (w, h):
+                bitmap = _resampled(bitmap, *size(w, h))
+            yield image_id, bitmap
+
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tiles: list[tuple] = []
         cells = 0
         for batch in batches:
-            for image_id, data, w, h, c in zip(batch.column(0).to_pylist(), batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                bitmap = _bitmap(data.as_buffer(), w, h, c, bgr)
-                if size is not None and size(w, h) != (w, h):
-                    bitmap = _resampled(bitmap, *size(w, h))
+            for image_id, bitmap in _packed_together(bitmaps(batch)):
                 height, width = bitmap.shape[:2]
                 for y0, x0, px, pad in _cut(bitmap, side, halo):
                     tiles.append((image_id, width, height, y0, x0, px.shape[1], px.shape[0], px, *([pad] if halo else [])))

@@ -235,6 +235,32 @@ def test_exports(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "o").glob("is_person=*")) == ["is_person=false", "is_person=true"]
 
 
+
+def test_organised_types_are_taken_before_decoding(spark):
+    names = ["/img/a/1.PNG", "/img/a/2.webp", "/img/b.png/3", "/img/b/4.jpeg", None]
+    files = spark.createDataFrame([(i, p, 2, 2, 12) for i, p in enumerate(names)], "image_id bigint, path string, width int, height int, length bigint")
+    bitmaps = spark.createDataFrame([(i, 2, 2, bytearray(range(12))) for i in range(5)], "image_id bigint, width int, height int, data binary")
+    posts = spark.createDataFrame([(0, ["smile"]), (1, ["smile"]), (3, ["art"])], "image_id bigint, tags array<string>")
+    boxes = spark.createDataFrame([(0, 1), (1, 2)], "image_id bigint, box_id bigint")
+    kept = md.organisable(files)
+    assert sorted(r.image_id for r in kept.collect()) == [0, 3]
+    found, all_files = (sorted(md.organised(md.post_metadata(x, bitmaps, posts, boxes)).collect()) for x in (kept, files))
+    assert found == all_files and [(r.image_id, r.is_person, r.detected_faces) for r in found] == [(0, True, 1), (3, False, 0)]
+
+
+def test_tags_of_an_image_are_collected_once_each(spark, tmp_path):
+    from photolake.plans.q_metadata import image_posts
+    tables = {"documents": ([(0, "ab", "x"), (1, None, "y")], "doc_id bigint, text string, source string"),
+              "labels": ([(0, 1), (0, 0)], "doc_id bigint, toxic int"),
+              "events": ([(e, dt.datetime(2024, 1, 1), u, "view", 1.0, '{"k": 1}') for e, u in ((2, 0), (4, 0), (14, 0), (2, 0), (7, 2), (7, 2), (17, 3))],
+                         "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    tagged = image_posts(spark, str(tmp_path))
+    assert "collect_set" not in tagged._jdf.queryExecution().executedPlan().toString()
+    assert {r.image_id: r.tags for r in tagged.collect()} == {0: ["Landscape", "Musician", "portrait"], 1: ["Landscape", "nsfw"]}
+
+
 # --- models and search ----------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

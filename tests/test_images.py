@@ -298,3 +298,66 @@ def test_counts_of_one_id_add_up_across_batches(spark, rows):
                 assert list(x)[1:] == pytest.approx(list(y)[1:])
     finally:
         spark.conf.set(name, old)
+
+
+def test_quality_takes_no_row_per_pixel(spark):
+    grids = [noise(70, 130), noise(3, 5, 2), noise(1, 1, 3), np.full((6, 4, 3), 90)]
+    t = tiles(spark, *grids)
+    scored = texture.quality_score(t)
+    assert "Generate" not in plan_of(scored)
+    slow = texture.tone_and_edges(t).select("image_id", *texture.quality_parts())
+    names = ["image_id", "sharpness_score", "brightness_score", "noise_score"]
+    assert sorted(scored.select(*names).collect()) == sorted(slow.select(*names).collect())
+    assert texture.quality_score(t.where("image_id < 0")).collect() == []
+
+
+def test_palettes_are_one_row_per_image(spark):
+    grids = [noise(9, 7), np.full((4, 4, 3), 90), noise(130, 120, 3)]
+    found = md.palette_of(frame(spark, grids))
+    assert len(re.findall(r"Exchange hashpartitioning", plan_of(found))) == 1
+    rows = features.palette_kmeans(images.image_tiles(frame(spark, grids), size=images.squeezed)).collect()
+    want = {i: sorted(tuple(r)[1:] for r in rows if r.image_id == i) for i in range(3)}
+    assert {r.image_id: [tuple(c) for c in r.dominant_colors] for r in found.collect()} == want
+    assert [len(want[i]) for i in range(3)] == [3, 1, 3]
+
+
+def test_palettes_equal_a_plain_loop():
+    rng = np.random.default_rng(5)
+    rasters = [np.unique(rng.integers(0, 4096, m)) for m in (1, 2, 3, 40, 300)]
+    counts = [rng.integers(1, 9, len(q)) for q in rasters]
+    bounds = np.cumsum([0, *map(len, rasters)])
+    row, found = features._palettes(bounds, np.concatenate(rasters), np.concatenate(counts), 3, 10)
+    got = [tuple(int(x) for x in r) for r in zip(row, *found)]
+    want = []
+    for i, (q, n) in enumerate(zip(rasters, counts)):
+        points = [[(int(v) >> s & 15) * 16 + 8 for s in (8, 4, 0)] for v in q]
+        seeds = sorted(range(len(q)), key=lambda j: (-n[j], q[j]))[:3]
+        centers = [[c * features.UNIT for c in points[j]] for j in seeds]
+        for _ in range(10):
+            cells = [min(range(len(centers)), key=lambda c: sum((x * features.UNIT - y) ** 2 for x, y in zip(p, centers[c]))) for p in points]
+            for c in range(len(centers)):
+                own = [j for j in range(len(q)) if cells[j] == c]
+                if own:
+                    weight = sum(int(n[j]) for j in own)
+                    centers[c] = [sum(int(n[j]) * points[j][d] for j in own) * features.UNIT // weight for d in range(3)]
+        want += [(i, c, *(x // features.UNIT for x in center)) for c, center in enumerate(centers)]
+    assert got == want
+    cell, values = np.array([0, 2, 0]), np.array([1 << 53, 5, 1])
+    assert features._exact_sums(cell, values, 3).tolist() == [(1 << 53) + 1, 0, 5]
+
+
+def test_small_images_are_packed_together(monkeypatch):
+    monkeypatch.setattr(images, "PACK_CELLS", 20)
+    calls = []
+    packed = images._packed
+    monkeypatch.setattr(images, "_packed", lambda rgb: calls.append(rgb.shape) or packed(rgb))
+    grids = [noise(*shape, seed).astype(np.uint8) for seed, shape in enumerate([(3, 4), (2, 5), (7, 9), (1, 1), (4, 4)])]
+    found = dict(images._packed_together(enumerate(grids)))
+    assert calls == [(22, 3), (17, 3)]  # the large one is packed by bands later
+    assert sorted(found) == [0, 1, 2, 3, 4] and (found[2] == grids[2]).all()
+    assert all((found[i] == packed(grids[i])).all() for i in (0, 1, 3, 4))
+    for side, halo in ((64, True), (2, True), (2, False)):
+        whole = list(images._cut(found[0], side, halo))
+        bands = list(images._cut(grids[0], side, halo))
+        assert len(whole) == len(bands) and all(a[:2] == b[:2] and (a[2] == b[2]).all() and (not halo or (a[3] == b[3]).all())
+                                                for a, b in zip(whole, bands))
