@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from photolake.functions.columns import blue, green, ratio, red, var_pop_of
 from photolake.operators.raster import KEYS, angle_of, gradients_of, laplacian_of, magnitude_of, neighbourhoods
-from photolake.operators.tallies import lists, per_raster
+from photolake.operators.tallies import per_raster_moved, rasters
 
 
 def blur_score(tiles: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -93,42 +93,46 @@ DIRECTIONS = (("0", 0, 1), ("45", 1, 1), ("90", 1, 0), ("135", 1, -1))
 def glcm(tiles: DataFrame, keys: Sequence[str] = KEYS, angles: Sequence[str] = ("0", "45", "90", "135")) -> DataFrame:
     """Symmetric, normalised gray co-occurrence for each of ``angles``; only cells that occur.
 
-    Unordered pairs are counted tile by tile and mirrored at the end, so what moves is one row a tile.
+    A tile has more pairs than pixels, so its gray levels move, a byte each, and pairs are counted, both ways round, where a raster's
+    tiles meet.
     """
     wanted = [(i, dy, dx) for i, (name, dy, dx) in enumerate(DIRECTIONS) if name in angles]
 
+    @F.arrow_udf("binary")
+    def gray(pad: pa.Array) -> pa.Array:
+        offsets, px = pad.offsets.to_numpy(), pad.values.to_numpy().view(np.uint32)
+        return pa.Array.from_buffers(pa.binary(), len(pad), [None, pa.py_buffer(offsets), pa.py_buffer((px >> 24).astype(np.uint8))])
+
     def pairs(columns: list[pa.Array]):
-        offsets = columns[-1].offsets.to_numpy()
-        gray = (columns[-1].values.to_numpy().view(np.uint32) >> 24).astype(np.int64)
-        codes, sizes = [np.zeros(0, np.int64)], []
-        for i, (width, height, y0, x0, w, h) in enumerate(zip(*(c.to_pylist() for c in columns[:-1]))):
-            pad = gray[offsets[i]:offsets[i + 1]].reshape(h + 2, w + 2)
+        codes, sizes = [np.zeros(0, np.int32)], []
+        for data, width, height, y0, x0, w, h in zip(columns[-1], *(c.to_pylist() for c in columns[:-1])):
+            pad = np.frombuffer(data.as_buffer(), np.uint8).reshape(h + 2, w + 2)
             sizes.append(0)
             for angle, dy, dx in wanted:
                 # Rows and columns of the tile whose partner lies inside the raster.
                 y1, first, x1 = min(h, height - dy - y0), max(0, -dx - x0), min(w, width - dx - x0)
                 if y1 > 0 and x1 > first:
                     v, u = pad[1:1 + y1, 1 + first:1 + x1], pad[1 + dy:1 + dy + y1, 1 + dx + first:1 + dx + x1]
-                    codes.append(((angle << 16) | (np.minimum(v, u) << 8) | np.maximum(v, u)).reshape(-1))
-                    sizes[-1] += codes[-1].size
+                    v, u = v.astype(np.int32), u.astype(np.int32)
+                    codes += [(v << 8 | u | angle << 16).reshape(-1), (u << 8 | v | angle << 16).reshape(-1)]
+                    sizes[-1] += 2 * v.size
         return np.repeat(np.arange(len(sizes)), sizes), np.concatenate(codes), None
 
-    counts = per_raster(tiles.withColumns({"rw": F.col("width"), "rh": F.col("height")}), keys, ["width", "height", "y0", "x0", "w", "h", "pad"],
-                        pairs, lambda bounds, v, n: (None, [lists(v.astype(np.int32), bounds), lists(n, bounds)]),
-                        "code array<int>, cnt array<bigint>", carry=["rw", "rh"])
-    code = F.col("code")
-    cells = (counts.select(*keys, "rw", "rh", F.col("cnt").alias("all"), F.posexplode("code").alias("p", "code"))
-             .select(*keys, F.get(F.array(*[F.lit(name) for name, _, _ in DIRECTIONS]), F.shiftright(code, 16)).alias("angle"),
-                     F.shiftright(code, 8).bitwiseAND(255).alias("lo"), code.bitwiseAND(255).alias("hi"),
-                     F.get("all", "p").alias("cnt"), F.col("rw").alias("w"), F.col("rh").alias("h")))
-    w, h, angle = F.col("w").cast("long"), F.col("h").cast("long"), F.col("angle")
-    n_pairs = F.when(angle == "0", (w - 1) * h).when(angle == "90", w * (h - 1)).otherwise((w - 1) * (h - 1))
-    mirrored = F.when(F.col("lo") == F.col("hi"), F.array(F.struct(F.col("lo").alias("i"), F.col("hi").alias("j"),
-                                                                   (2 * F.col("cnt")).alias("c")))).otherwise(
-        F.array(F.struct(F.col("lo").alias("i"), F.col("hi").alias("j"), F.col("cnt").alias("c")),
-                F.struct(F.col("hi").alias("i"), F.col("lo").alias("j"), F.col("cnt").alias("c"))))
-    return (cells.select(*keys, "angle", (2 * n_pairs).alias("total"), F.inline(mirrored))
-            .select(*keys, "angle", "i", "j", ratio(F.col("c"), F.col("total")).alias("p")))
+    def cells(bounds: np.ndarray, code: np.ndarray, n: np.ndarray):
+        """A row for each raster and angle; a cell is its count, level and partner's level, in one number."""
+        run, angle = rasters(bounds), code >> 16
+        first = np.flatnonzero(np.diff(run << 2 | angle, prepend=-1))
+        return run[first], [angle[first].astype(np.int32)], np.append(first, len(code)), n << 16 | code & 0xFFFF
+
+    held = tiles.withColumns({"rw": F.col("width"), "rh": F.col("height"), "gray": gray("pad")})
+    counts = per_raster_moved(held, keys, ["width", "height", "y0", "x0", "w", "h", "gray"], pairs, cells,
+                              "direction int, cells array<bigint>", carry=["rw", "rh"])
+    w, h, direction, cell = F.col("rw").cast("long"), F.col("rh").cast("long"), F.col("direction"), F.col("cell")
+    n_pairs = F.when(direction == 0, (w - 1) * h).when(direction == 2, w * (h - 1)).otherwise((w - 1) * (h - 1))
+    return (counts.select(*keys, F.get(F.array(*[F.lit(name) for name, _, _ in DIRECTIONS]), direction).alias("angle"),
+                          (2 * n_pairs).alias("total"), F.explode("cells").alias("cell"))
+            .select(*keys, "angle", F.shiftright(cell, 8).bitwiseAND(255).cast("int").alias("i"), cell.bitwiseAND(255).cast("int").alias("j"),
+                    ratio(F.shiftright(cell, 16), F.col("total")).alias("p")))
 
 
 def glcm_features(matrix: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from photolake.operators import boxes as bx, features, hashing, metadata as md, raster, texture
+from photolake.operators import boxes as bx, features, hashing, metadata as md, raster, tallies, texture
 from photolake.sources import images
 
 
@@ -280,6 +280,35 @@ def test_counts_move_by_raster_only(spark, feature):
     assert keys and all(len(k) == 2 for k in keys)  # image_id and the number of partitions
 
 
+def test_cooccurrence_moves_gray_levels(spark, monkeypatch):
+    """What is exchanged for glcm is a byte a pixel and no pair counts; slices and batches of any size give the same cells."""
+    g = [noise(150, 131), noise(7, 9, seed=3), noise(1, 1), noise(1, 6, seed=4)]
+    plan = texture.glcm(images.image_tiles(frame(spark, g), halo=True))._jdf.queryExecution().sparkPlan()
+    nodes, moved = [plan], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if "RepartitionByExpression" in node.nodeName() or "Exchange" in node.nodeName():
+            moved += [f.dataType().simpleString() for f in (node.schema().apply(i) for i in range(node.schema().size()))]
+    assert "binary" in moved and not any("array" in kind or "struct" in kind for kind in moved)
+
+    def cells():
+        found = texture.glcm(images.image_tiles(frame(spark, g), halo=True)).collect()
+        assert len(found) == len({tuple(c)[:4] for c in found})
+        return {tuple(c)[:4]: c.p for c in found}
+
+    whole = cells()
+    monkeypatch.setattr(tallies, "MET_ROWS", 1)
+    monkeypatch.setattr(tallies, "OUT_CELLS", 50)
+    assert cells() == whole
+    v = gray(g[1])
+    pairs = Counter(zip(v[:, :-1].reshape(-1).tolist(), v[:, 1:].reshape(-1).tolist()))
+    want = {(i, j): (pairs[i, j] + pairs[j, i]) / (2 * 7 * 8) for x in pairs for i, j in (x, x[::-1])}
+    got = {(i, j): p for (key, angle, i, j), p in whole.items() if (key, angle) == (1, "0")}
+    assert got.keys() == want.keys() and got == pytest.approx(want)
+    assert {(key, angle) for key, angle, _, _ in whole if key > 1} == {(3, "0")}
+
+
 @pytest.mark.parametrize("rows", [1, 400])
 def test_counts_of_one_id_add_up_across_batches(spark, rows):
     """Two rows of one id are one raster, whatever batches its tiles come in; a null id is an id."""
