@@ -340,6 +340,32 @@ def test_far_blocks_never_meet(spark):
     assert [(r.query_id, r.vec_id) for r in similarity.batch_neighbors(zeros, zeros, 5).orderBy("query_id").collect()] == [(300, 301), (301, 300)]
 
 
+def test_neighbours_move_no_vector_twice(spark):
+    """What is exchanged is the tables, once each, and the k best; the corpus is stored once, however many blocks meet."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(400, 8))
+    vectors[40:80] = vectors[0]  # more copies than k in one block
+    vectors[80:83] = 0
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    rows += [(5, rows[7][1]), (5, rows[7][1]), (5, rows[0][1]), (7, rows[7][1]), (900, None), (901, [float("nan")] * 8), (902, [1.0] * 7 + [None])]
+    emb = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    known = [(i, np.array(v)) for i, v in rows[:404]]
+    unit = np.stack([v / (np.linalg.norm(v) or 1) for _, v in known])
+    sims, expected = np.round(unit @ unit.T, 12), {}
+    for i, (q, _) in enumerate(known):
+        expected.setdefault(q, []).extend((-sims[i, j], o) for j, (o, _) in enumerate(known) if o != q)
+    want = sorted((q, o, rank) for q, pairs in expected.items() for rank, (_, o) in enumerate(sorted(pairs)[:5], 1))
+    for blocks in ((30, 50), (1000, 1000)):
+        found = similarity.batch_neighbors(emb, emb, 5, *blocks)
+        assert sorted((r.query_id, r.vec_id, r["rank"]) for r in found.collect()) == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CoGroup" not in plan and "Join" not in plan and "Generate" not in plan
+    cells = similarity.store_cells(emb.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").alias("vector")), 5, 50)
+    assert len([name for names in cells.files for name in names]) >= 8 and 360 <= cells.size.sum() <= 404 and cells.copies == 4
+    mask = rng.random((13, 11)) < 0.1
+    assert similarity._true(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
 # --- streams --------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
