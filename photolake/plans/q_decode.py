@@ -3,6 +3,7 @@
 import struct
 import zlib
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -13,8 +14,11 @@ from photolake.sources import images, tables
 
 
 LISTED = ("jpg", "png", "gif")
-#: Subfolders that the written images are dealt to.
+#: Subfolders that the written images are dealt to, at least, and images in one of them, about.
 FOLDERS = 256
+IN_FOLDER = 1000
+#: Images that are listed and decoded in one read, about: the driver holds a listing, so it must not grow with the table.
+AT_ONCE = 1 << 15
 #: What opening a small file counts for when files are dealt to tasks; Spark's default of 4 MB gives a task 32 files.
 OPEN_COST = 1 << 16
 
@@ -32,24 +36,27 @@ def _png(data: bytes, width: int, height: int) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, 1)) + chunk(b"IEND", b"")
 
 
-def write_pngs(bitmaps, folder: str) -> None:
+def write_pngs(bitmaps, folder: str, folders: int = FOLDERS) -> list[tuple[str, int]]:
     """One file per image, written where the tasks run; a retried task writes the same files again. Subfolders keep listings short, and
-    are listed side by side."""
+    are listed side by side: (path, images written to it) of each."""
     def write(batches):
         target, base = fs.FileSystem.from_uri(folder)
         made = set()
         for batch in batches:
+            parts = []
             for image_id, width, height, data in zip(*(batch[c] for c in ("image_id", "width", "height", "data"))):
                 name = f"{image_id}.png"
-                part = f"{base}/{zlib.crc32(name.encode()) % FOLDERS:03x}"
+                part = f"{zlib.crc32(name.encode()) % folders:03x}"
                 if part not in made:
-                    target.create_dir(part, recursive=True)
+                    target.create_dir(f"{base}/{part}", recursive=True)
                     made.add(part)
-                with target.open_output_stream(f"{part}/{name}") as out:
+                with target.open_output_stream(f"{base}/{part}/{name}") as out:
                     out.write(_png(bytes(data), width, height))
-            yield batch[["image_id"]]
+                parts.append(part)
+            yield pd.DataFrame({"part": parts})
 
-    bitmaps.mapInPandas(write, "image_id bigint").write.format("noop").mode("overwrite").save()
+    written = bitmaps.mapInPandas(write, "part string").groupBy("part").count().orderBy("part")
+    return [(f"{folder}/{r.part}", r["count"]) for r in written.collect()]  # a row a subfolder
 
 
 def write_files(files, folder: str) -> None:
@@ -78,20 +85,39 @@ def list_images(spark, d):
     return images.list_images(spark, folder, LISTED).select(F.regexp_extract("path", r"(/img/.*)$", 1).alias("path"), "length")
 
 
+def groups(folders: list[tuple[str, int]], most: int) -> list[list[str]]:
+    """Folders in their order, at most ``most`` files together or one folder."""
+    out, n = [], 0
+    for path, files in folders:
+        if not out or n + files > most:
+            out.append([])
+            n = 0
+        out[-1].append(path)
+        n += files
+    return out
+
+
 def decoded(spark, d):
-    """Every image as a file, decoded once: what is read from the files is kept as a table."""
+    """Every image as a file, decoded once: what is read from the files is kept as a table. Files are listed and read some folders at a
+    time, each listing in tasks, and forgotten by the driver."""
     folder, kept = scratch(spark, "png"), scratch(spark, "decoded")
     folder = folder if ":" in folder else f"file://{folder}"
-    write_pngs(tables.raw_images(spark, d), folder)
+    fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
+    n_docs = tables.table(spark, d, "documents").count()  # one number, read from the file footers
+    parts = groups(write_pngs(tables.raw_images(spark, d), folder, max(FOLDERS, -(-n_docs // IN_FOLDER))), AT_ONCE)
     number = F.regexp_extract("path", r"/(\d+)\.png$", 1).cast("long")
-    name = "spark.sql.files.openCostInBytes"
-    cost = spark.conf.get(name)
-    spark.conf.set(name, str(OPEN_COST))
+    settings = {"spark.sql.files.openCostInBytes": str(OPEN_COST), "spark.sql.sources.parallelPartitionDiscovery.threshold": "0",
+                "spark.sql.hive.filesourcePartitionFileCacheSize": "0"}
+    old = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
-        files = images.decode_images(spark, folder).withColumn("image_id", number)
-        files.write.parquet(kept)
+        for paths in parts or [[folder]]:
+            files = images.decode_images(spark, paths).withColumn("image_id", number)
+            files.write.mode("append").parquet(kept)
     finally:
-        spark.conf.set(name, cost)
+        for name, value in old.items():
+            spark.conf.set(name, value)
     return spark.read.schema(files.schema).parquet(kept)
 
 

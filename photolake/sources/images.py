@@ -32,10 +32,13 @@ def list_images(spark: SparkSession, path: str, extensions: Sequence[str] = tupl
             .where(extension(F.col("path")).isin(list(extensions))))
 
 
-def decode_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decode image files with the built-in source. A file it cannot decode keeps its row, with ``error``."""
+def decode_images(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Decode image files with the built-in source. A file it cannot decode keeps its row, with ``error``.
+
+    The driver lists the files of one read; a larger tree is read some of its folders at a time.
+    """
     raw = (spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false")
-           .load(path).select("image.*"))
+           .load(path if isinstance(path, str) else list(path)).select("image.*"))
     bad = F.col("height") < 1
     return raw.select(
         F.col("origin").alias("path"),

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from photolake.operators import boxes as bx, features, hashing, metadata as md, raster, tallies, texture
+from photolake.plans import q_decode
 from photolake.sources import images
 
 
@@ -68,6 +69,24 @@ def test_listing_and_decoding(spark, tmp_path):
     assert {(r.label, r.class_index) for r in labels} == {("cats", 0)}
 
 
+def test_files_are_listed_some_folders_at_a_time(spark, tmp_path, monkeypatch):
+    """No read lists more files than allowed, and together they decode every image once."""
+    n = 90
+    texts = [(i, "x" * (3 * i + 1) if i % 10 else None) for i in range(n)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    listed, decode = [], images.decode_images
+    monkeypatch.setattr(q_decode, "AT_ONCE", 12)
+    monkeypatch.setattr(images, "decode_images", lambda *a: listed.append(len((df := decode(*a)).inputFiles())) or df)
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    rows = {r.image_id: r for r in q_decode.decode_images(spark, str(tmp_path)).collect()}
+    assert sum(listed) == n - 9 and 1 < len(listed) and max(listed) <= 12 and spark.conf.get(name) == before
+    assert sorted(rows) == [i for i in range(n) if i % 10] and all(r.red == ord("x") * r.width * r.height and r.error is None for r in rows.values())
+    assert q_decode.groups([("a", 5), ("b", 9), ("c", 3), ("d", 40), ("e", 1)], 12) == [["a"], ["b", "c"], ["d"], ["e"]]
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert q_decode.decode_images(spark, f"{tmp_path}/none").count() == 0
+
+
 def mirrored(v, y, x):
     h, w = v.shape
     y = min(1, h - 1) if y < 0 else max(h - 2, 0) if y >= h else y
